@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from strataflow.llm._shared import table
 from strataflow.llm.decontaminate import decontaminate
+from strataflow.llm.line_dedup import dedup_lines
+from strataflow.llm.mixing import mix_sources
 from strataflow.llm.quality_rules import quality_rules
 from strataflow.llm.simhash_dedup import near_duplicates
 from strataflow.llm.substring_dedup import substring_dedup
@@ -34,6 +36,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "verdict", "ratio", "least_chunk_ratio", "largest_chunk_ratio")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "text", "n_lines", "n_removed")
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = learn(docs, training_rows(table(spark, sf_dir, "labels")))
@@ -46,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_mix_sources": op9_mix_sources,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -79,4 +91,35 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op8_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+        k AS (SELECT doc_id, i, trim(ln) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l WHERE trim(ln) <> ''),
+        w AS (SELECT doc_id, s, i AS a, lead(i, 2) OVER o AS b, md5(x || chr(10) || lead(x) OVER o || chr(10) || lead(x, 2) OVER o) AS r
+              FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+        heads AS (SELECT r, min((doc_id, s)) AS head FROM w WHERE b IS NOT NULL GROUP BY r),
+        later AS (SELECT doc_id, s, a, b FROM w JOIN heads USING (r) WHERE b IS NOT NULL AND (doc_id, s) > head),
+        marked AS (SELECT doc_id, a, b, s, sum(CASE WHEN s > before + 3 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS g
+                   FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM later)),
+        gone AS (SELECT doc_id, min(a) AS first, max(b) AS last FROM marked GROUP BY doc_id, g),
+        kept AS (SELECT l.doc_id, l.i, l.ln FROM l WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = l.doc_id AND l.i BETWEEN first AND last)),
+        rebuilt AS (SELECT doc_id, string_agg(ln, chr(10) ORDER BY i) AS t, count(*) AS n FROM kept GROUP BY doc_id)
+        SELECT d.doc_id, lang, source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END AS text,
+               CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, CAST(len(string_split(d.text, chr(10))) - coalesce(n, 0) AS BIGINT) AS n_removed
+        FROM documents d LEFT JOIN rebuilt USING (doc_id)""",
+    "op9_mix_sources": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                          length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS symbols FROM documents),
+        s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+        r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
+        c AS (SELECT *, CAST([5, 2, 1][(rank - 1) % 3 + 1] AS DOUBLE) AS w, CAST(source_size * 3 AS DOUBLE) AS cap FROM r),
+        lv AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
+               FROM c WINDOW o AS (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (SELECT source, rank, CAST(source_size AS BIGINT) AS source_size, least(cap, w * max(level) OVER ()) AS target FROM lv),
+        k AS (SELECT d.doc_id, d.size, t.*, -ln((CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) + 1) / 4503599627370497.0)
+                     / ((size + 1) / (size + symbols + 1.0)) AS key,
+                     CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS BIGINT)) ELSE 0 END AS epochs
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        b AS (SELECT *, target - epochs * source_size AS rest, sum(size) OVER (PARTITION BY rank ORDER BY key, doc_id, size) - size AS before FROM k),
+        n AS (SELECT *, CASE WHEN source_size > 0 THEN epochs + CASE WHEN size > 0 AND epochs < 3 AND before * 2 + size <= rest * 2 THEN 1 ELSE 0 END ELSE 0 END AS copies FROM b)
+        SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM n""",
 }
