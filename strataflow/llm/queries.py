@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strataflow.llm._shared import table
 from strataflow.llm.chat_format import format_chats, read_back
 from strataflow.llm.decontaminate import decontaminate
+from strataflow.llm.license_scan import scan_licenses
 from strataflow.llm.line_dedup import dedup_lines
 from strataflow.llm.mixing import mix_sources
 from strataflow.llm.quality_rules import quality_rules
@@ -47,6 +48,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "verdict", "ratio", "least_chunk_ratio", "largest_chunk_ratio")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "text", "n_lines", "n_removed")
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_license_scan": op7_license_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_toxicity": op10_toxicity,
