@@ -13,6 +13,7 @@ from strataflow.llm.decontaminate import decontaminate
 from strataflow.llm.license_scan import scan_licenses
 from strataflow.llm.line_dedup import dedup_lines
 from strataflow.llm.mixing import mix_sources
+from strataflow.llm.ngram_quality import perplexity_filter
 from strataflow.llm.quality_rules import quality_rules
 from strataflow.llm.simhash_dedup import near_duplicates
 from strataflow.llm.substring_dedup import substring_dedup
@@ -39,6 +40,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return perplexity_filter(table(spark, sf_dir, "documents"), trusted)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_decontaminate": op3_decontaminate,
+    "op4_ngram_quality": op4_ngram_quality,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scan": op7_license_scan,
