@@ -15,9 +15,12 @@ precedes a character.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +86,7 @@ class _Codec:
     def __init__(self, content: str | None) -> None:
         self.tokenizer = None
         if content is not None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_str(content)
@@ -143,8 +147,7 @@ def format_chats(turns: DataFrame, tokenizer: str | None = TOKENIZER, pack_token
             done += 1
             return pack.batch(f"{part.hexdigest()[:16]}-{done}")
 
-        for batch in batches:
-            rows = batch.to_pylist()
+        for rows in _slices(batches, 64):
             if not done and not pack.convs and rows:
                 part.update(f"{rows[0]['conv_id']}:{rows[0]['path']}".encode())
             # all turns that are not known from the row before, tokenized at once
@@ -169,6 +172,13 @@ def format_chats(turns: DataFrame, tokenizer: str | None = TOKENIZER, pack_token
     return spread.mapInArrow(of, PACK)
 
 
+def _slices(batches, rows: int) -> Iterator[list[dict]]:
+    """Rows as Python objects, a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows).to_pylist()
+
+
 def _shared(a: list[str], b: list[str]) -> int:
     n = 0
     for x, y in zip(a, b, strict=False):
@@ -178,19 +188,25 @@ def _shared(a: list[str], b: list[str]) -> int:
     return n
 
 
+def _one(values: array) -> pa.Array:
+    """A column with one list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(np.frombuffer(values, dtype=np.int32)))
+
+
 class _Pack:
     def __init__(self, codec: _Codec) -> None:
         self.codec, self.path, self.stack = codec, [], []
-        self.tokens, self.positions, self.mask, self.nodes, self.convs = [], [], [], [], []
+        self.tokens, self.positions, self.mask = array("i"), array("i"), bytearray()
+        self.nodes, self.convs = [], []
 
     def _node(self, parent: int, pieces: list[tuple[list[int], bool]]) -> int:
         start = len(self.tokens)
         ancestors = [*self.nodes[parent]["ancestors"], {"start": self.nodes[parent]["start"], "end": self.nodes[parent]["end"]}] if parent >= 0 else []
         depth = sum(x["end"] - x["start"] for x in ancestors)
         for ids, loss in pieces:
-            self.tokens += ids
-            self.mask += [int(loss)] * len(ids)
-        self.positions += range(depth, depth + len(self.tokens) - start)
+            self.tokens.extend(ids)
+            self.mask += bytes([loss]) * len(ids)
+        self.positions.extend(range(depth, depth + len(self.tokens) - start))
         self.nodes.append({"start": start, "end": len(self.tokens), "parent": parent, "ancestors": ancestors})
         return len(self.nodes) - 1
 
@@ -211,7 +227,7 @@ class _Pack:
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         node = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("ancestors", pa.list_(span))])
         return pa.RecordBatch.from_arrays([
-            pa.array([name]), pa.array([self.tokens], pa.list_(pa.int32())), pa.array([self.positions], pa.list_(pa.int32())), pa.array([bytes(self.mask)], pa.binary()),
+            pa.array([name]), _one(self.tokens), _one(self.positions), pa.array([bytes(self.mask)], pa.binary()),
             pa.array([self.nodes], pa.list_(node)), pa.array([self.convs], pa.list_(pa.struct([("conv_id", pa.int64()), ("leaf", pa.int32())]))),
         ], ["pack", "tokens", "position_ids", "loss_mask", "nodes", "conversations"])
 
@@ -223,7 +239,7 @@ def read_back(packs: DataFrame, tokenizer: str | None = TOKENIZER) -> DataFrame:
     def of(batches):
         codec = _Codec(content.value)
         for batch in batches:
-            for pack in batch.to_pylist():
+            for (pack,) in _slices([batch], 1):
                 rows, texts = [], {}
                 tokens, mask, nodes = pack["tokens"], pack["loss_mask"], pack["nodes"]
 
