@@ -53,7 +53,7 @@ def runtime_events(spark: SparkSession, sf_dir: str, component: str = "user_id %
 def health_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity_type, entity_id, snapshot_date, health_score): daily mean of an entity's event values, at most 100."""
     ev = table(spark, sf_dir, "events").select(F.concat(F.lit("ADR-"), (F.col("user_id") % 30).cast("string")).alias("entity_id"), F.col("ts").cast("date").alias("snapshot_date"), "value")
-    return ev.groupBy("entity_id", "snapshot_date").agg(F.round(F.least(F.lit(100.0), F.avg("value") + 25), 2).alias("health_score")).select(F.lit("ADR").alias("entity_type"), "entity_id", "snapshot_date", "health_score")
+    return ev.groupBy("entity_id", "snapshot_date").agg((F.floor(F.least(F.lit(100.0), F.avg("value") + 25) * 100 + 1e-6) / 100).alias("health_score")).select(F.lit("ADR").alias("entity_type"), "entity_id", "snapshot_date", "health_score")
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ CTE = {
     "adrs": "adrs AS (SELECT 'ADR-' || i AS id, CAST(DATE '1995-01-01' + to_months(CAST(i * 3 AS INTEGER)) AS DATE) AS created_at FROM range(30) t(i))",
     "runtime_events": """runtime_events AS (SELECT event_id, 'svc' || (user_id % 10) AS component_id, event_type, CASE WHEN value >= 100 THEN 'CRITICAL' WHEN value >= 50 THEN 'ERROR'
         WHEN value >= 20 THEN 'WARNING' ELSE 'INFO' END AS severity, ts, value FROM events)""",
-    "health_history": """health_history AS (SELECT 'ADR' AS entity_type, 'ADR-' || (user_id % 30) AS entity_id, CAST(ts AS DATE) AS snapshot_date, round(least(100.0, avg(value) + 25), 2) AS health_score
+    "health_history": """health_history AS (SELECT 'ADR' AS entity_type, 'ADR-' || (user_id % 30) AS entity_id, CAST(ts AS DATE) AS snapshot_date, floor(least(100.0, avg(value) + 25) * 100 + 1e-6) / 100 AS health_score
         FROM events GROUP BY ALL)""",
     "incidents": """incidents AS (SELECT event_id AS id, 'ADR-' || (user_id % 30) AS entity_id, ['OOM', 'TIMEOUT', 'DEADLOCK', 'CRASH'][user_id % 4 + 1] AS incident_type,
         CASE WHEN value >= 150 THEN 'CRITICAL' WHEN value >= 100 THEN 'HIGH' WHEN event_id % 7 = 0 THEN 'RESOLVED' ELSE 'MEDIUM' END AS severity, ts AS created_at
