@@ -29,5 +29,5 @@ def load() -> None:
     """Imports the modules that register queries."""
     import importlib
 
-    for name in ("history", "snapshots"):
+    for name in ("history", "snapshots", "runtime", "retrieval"):
         importlib.import_module(f"strataflow.plans.{name}")
