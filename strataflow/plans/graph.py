@@ -1,4 +1,4 @@
-"""Graph queries over a typed dependency graph between users (every 40th event is an edge), and over page links."""
+"""Graph queries over a typed dependency graph between events (each depends on the one at half its number and on a later one), and over page links."""
 
 from __future__ import annotations
 
@@ -11,20 +11,22 @@ from strataflow.plans.registry import query
 from strataflow.sources import adapters as role
 from strataflow.sources.adapters import table
 
-_EDGES = """edges AS (SELECT DISTINCT 'u' || user_id AS src, 'u' || ((user_id * 7 + event_id) % 150) AS dst, CASE event_type WHEN 'view' THEN 'calls' WHEN 'click' THEN 'reads' WHEN 'signup' THEN 'imports' WHEN 'purchase' THEN 'instantiates' ELSE 'fallback_to' END AS type
-    FROM events WHERE event_id % 40 = 0 AND user_id <> (user_id * 7 + event_id) % 150)"""
+_EDGES = """edges AS (SELECT 'e' || event_id AS src, 'e' || (event_id // 2) AS dst, CASE event_type WHEN 'view' THEN 'calls' WHEN 'click' THEN 'reads' WHEN 'signup' THEN 'imports' WHEN 'purchase' THEN 'instantiates' ELSE 'fallback_to' END AS type FROM events WHERE event_id > 0
+    UNION SELECT 'e' || event_id, 'e' || (event_id + 1 + user_id % 5), 'assigns' FROM events)"""
 _WALK = "walk AS (SELECT DISTINCT src, dst FROM edges WHERE type <> 'fallback_to')"
 _DEG = "deg AS (SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges) GROUP BY node)"
 
 
 def edges_of(spark, d):
     kind = F.when(F.col("event_type") == "view", "calls").when(F.col("event_type") == "click", "reads").when(F.col("event_type") == "signup", "imports").when(F.col("event_type") == "purchase", "instantiates").otherwise("fallback_to")
-    target = (F.col("user_id") * 7 + F.col("event_id")) % 150
-    return table(spark, d, "events").where("event_id % 40 = 0").where(F.col("user_id") != target).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("src"), F.concat(F.lit("u"), target.cast("string")).alias("dst"), kind.alias("type")).distinct()
+    node = lambda c: F.concat(F.lit("e"), c.cast("string"))
+    events, own = table(spark, d, "events"), node(F.col("event_id")).alias("src")
+    back = events.where("event_id > 0").select(own, node(F.floor(F.col("event_id") / 2)).alias("dst"), kind.alias("type"))
+    return back.union(events.select(own, node(F.col("event_id") + 1 + F.col("user_id") % 5), F.lit("assigns"))).distinct()
 
 
 def _seeds(spark, *ids):
-    return spark.range(1).select(F.explode(F.array(*[F.lit(f"u{i}") for i in ids])).alias("node"))
+    return spark.range(1).select(F.explode(F.array(*[F.lit(f"e{i}") for i in ids])).alias("node"))
 
 
 def _reach(name: str, start: str, edges: str, a: str, b: str, depth: int) -> str:
@@ -32,7 +34,7 @@ def _reach(name: str, start: str, edges: str, a: str, b: str, depth: int) -> str
     return f"{name} AS (WITH RECURSIVE r AS (SELECT node AS seed, node, 0 AS depth FROM {start} UNION SELECT r.seed, e.{b}, r.depth + 1 FROM r JOIN {edges} e ON e.{a} = r.node WHERE r.depth < {depth}) SELECT seed, node, min(depth) AS depth FROM r GROUP BY ALL)"
 
 
-_S = "seeds(node) AS (VALUES ('u1'), ('u2'), ('u5'), ('u8'))"
+_S = "seeds(node) AS (VALUES ('e1'), ('e2'), ('e5'), ('e8'))"
 
 
 @query("g4_neighbours", f"WITH {_EDGES} SELECT src, type, list_sort(list(DISTINCT dst)) AS targets FROM edges GROUP BY ALL")
@@ -58,14 +60,14 @@ def g6_transitive_dependencies(spark, d):
     return op.bfs(op.of_types(edges_of(spark, d), op.WALKED), _seeds(spark, 1, 2, 5, 8), 5)
 
 
-@query("g7_shortest_path", f"WITH {_EDGES}, s(node) AS (VALUES ('u96')), {_reach('r', 's', 'edges', 'src', 'dst', 12)} SELECT depth AS hops FROM r WHERE node = 'u116' AND depth > 0")
+@query("g7_shortest_path", f"WITH {_EDGES}, s(node) AS (VALUES ('e900')), {_reach('r', 's', 'edges', 'src', 'dst', 12)} SELECT depth AS hops FROM r WHERE node = 'e1' AND depth > 0")
 def g7_shortest_path(spark, d):
-    return op.shortest_path(edges_of(spark, d), "u96", "u116", 12).select("hops")
+    return op.shortest_path(edges_of(spark, d), "e900", "e1", 12).select("hops")
 
 
-@query("g8_simple_paths", f"WITH RECURSIVE {_EDGES}, step AS (SELECT DISTINCT src, dst FROM edges), r AS (SELECT 'u1' AS source, 'u1' AS target, ['u1'] AS path UNION ALL SELECT source, dst, list_append(path, dst) FROM r JOIN step ON src = target WHERE len(path) <= 4 AND NOT list_contains(path, dst)) SELECT source, target, CAST(len(path) - 1 AS INTEGER) AS hops, path FROM r WHERE len(path) > 1")
+@query("g8_simple_paths", f"WITH RECURSIVE {_EDGES}, step AS (SELECT DISTINCT src, dst FROM edges), r AS (SELECT 'e100' AS source, 'e100' AS target, ['e100'] AS path UNION ALL SELECT source, dst, list_append(path, dst) FROM r JOIN step ON src = target WHERE len(path) <= 4 AND NOT list_contains(path, dst)) SELECT source, target, CAST(len(path) - 1 AS INTEGER) AS hops, path FROM r WHERE len(path) > 1")
 def g8_simple_paths(spark, d):
-    return op.simple_paths(edges_of(spark, d), _seeds(spark, 1), 4).select("source", "target", "hops", "path")
+    return op.simple_paths(edges_of(spark, d), _seeds(spark, 100), 4).select("source", "target", "hops", "path")
 
 
 _BLAST = f"""WITH {_EDGES}, {_WALK}, {_DEG}, {_S}, {_reach('r', 'seeds', 'walk', 'dst', 'src', 6)},
@@ -134,14 +136,14 @@ def g22_importers(spark, d):
     return _links(spark, d).groupBy("href").agg(F.count_distinct("page_id").alias("importers"), F.sort_array(F.collect_set("page_id")).alias("pages"))
 
 
-@query("g27_dangling_edges", f"WITH {_EDGES}, nodes AS (SELECT 'u' || i AS node FROM range(100) t(i)) SELECT src, dst, 'src' AS missing FROM edges WHERE src NOT IN (SELECT node FROM nodes) UNION ALL SELECT src, dst, 'dst' FROM edges WHERE dst NOT IN (SELECT node FROM nodes)")
+@query("g27_dangling_edges", f"WITH {_EDGES}, nodes AS (SELECT 'e' || event_id AS node FROM events) SELECT src, dst, 'src' AS missing FROM edges WHERE src NOT IN (SELECT node FROM nodes) UNION ALL SELECT src, dst, 'dst' FROM edges WHERE dst NOT IN (SELECT node FROM nodes)")
 def g27_dangling_edges(spark, d):
-    return op.dangling_edges(edges_of(spark, d), spark.range(100).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("node")))
+    return op.dangling_edges(edges_of(spark, d), table(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("node")))
 
 
-@query("g27_valid_edges", f"WITH {_EDGES} SELECT src, dst, type FROM edges WHERE substr(src, 2)::INT < 100 AND substr(dst, 2)::INT < 100")
+@query("g27_valid_edges", f"WITH {_EDGES} SELECT src, dst, type FROM edges WHERE substr(dst, 2)::INT <= (SELECT max(event_id) FROM events)")
 def g27_valid_edges(spark, d):
-    return op.valid_edges(edges_of(spark, d), spark.range(100).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("node"))).select("src", "dst", "type")
+    return op.valid_edges(edges_of(spark, d), table(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("node"))).select("src", "dst", "type")
 
 
 @query("g25_governance_score", role.with_("adr_links") + ", s AS (SELECT adr_id, count(DISTINCT node_id) % 7 AS a, count(*) % 9 AS i, count(*) % 13 AS n FROM adr_links GROUP BY adr_id), t AS (SELECT adr_id, least(10 * a, 60) + least(5 * i, 40) + least(2 * n, 20) AS score FROM s) SELECT adr_id, score, CASE WHEN score <= 10 THEN 'LOW' WHEN score <= 30 THEN 'MEDIUM' WHEN score <= 60 THEN 'HIGH' ELSE 'CRITICAL' END AS band FROM t")
@@ -165,16 +167,15 @@ def g30_intent_neighbourhood(spark, d):
     return rows.select(F.when(F.col("source_intent") == "T3", F.col("target_intent")).otherwise(F.col("source_intent")).alias("neighbour"), "weight")
 
 
-@query("t10_topological_levels", f"WITH RECURSIVE {_EDGES}, step AS (SELECT DISTINCT src, dst FROM edges WHERE substr(src, 2)::INT < substr(dst, 2)::INT), nodes AS (SELECT src AS node FROM step UNION SELECT dst FROM step), r AS (SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT dst FROM step) UNION SELECT dst, level + 1 FROM r JOIN step ON src = node) SELECT node, max(level) AS level FROM r GROUP BY node")
+@query("t10_topological_levels", f"WITH RECURSIVE {_EDGES}, step AS (SELECT DISTINCT src, dst FROM edges WHERE type <> 'assigns'), nodes AS (SELECT src AS node FROM step UNION SELECT dst FROM step), r AS (SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT dst FROM step) UNION SELECT dst, level + 1 FROM r JOIN step ON src = node) SELECT node, max(level) AS level FROM r GROUP BY node")
 def t10_topological_levels(spark, d):
-    number = lambda c: F.substring(c, 2, 9).cast("int")
-    return op.topological_levels(edges_of(spark, d).where(number("src") < number("dst")))
+    return op.topological_levels(edges_of(spark, d).where("type <> 'assigns'"))
 
 
-@query("j19_symbol_resolution", "WITH defs AS (SELECT DISTINCT 'u' || doc_id AS unit, source AS file, doc_id AS line, lower(substr(text, 1, 4)) AS k FROM documents), uses AS (SELECT DISTINCT unit, k FROM defs WHERE line % 10 = 0) SELECT u.unit, u.k AS name, f.unit AS target, row_number() OVER (PARTITION BY u.unit, u.k ORDER BY file, line, f.unit) AS rn FROM uses u JOIN defs f ON f.k = u.k AND f.unit <> u.unit QUALIFY rn <= 3")
+@query("j19_symbol_resolution", "WITH defs AS (SELECT DISTINCT 'u' || doc_id AS unit, source AS file, doc_id AS line, lower(substr(text, 1, 4)) AS k FROM documents), uses AS (SELECT DISTINCT unit, k FROM defs) SELECT u.unit, u.k AS name, f.unit AS target, row_number() OVER (PARTITION BY u.unit, u.k ORDER BY file, line, f.unit) AS rn FROM uses u JOIN defs f ON f.k = u.k AND f.unit <> u.unit QUALIFY rn <= 3")
 def j19_symbol_resolution(spark, d):
     defs = table(spark, d, "documents").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("unit"), F.col("source").alias("file"), F.col("doc_id").alias("line"), F.substring("text", 1, 4).alias("name"))
-    return op.resolve_symbols(defs.where("line % 10 = 0").select("unit", "name"), defs)
+    return op.resolve_symbols(defs.select("unit", "name"), defs)
 
 
 @query("g19_call_resolution", f"WITH {_EDGES}, calls AS (SELECT DISTINCT src AS caller, substr(dst, 2, 2) AS name FROM edges), t0 AS (SELECT DISTINCT src AS caller, substr(dst, 2, 2) AS name, dst AS target FROM edges WHERE type = 'calls'), t1 AS (SELECT DISTINCT src AS caller, substr(dst, 2, 2) AS name, dst AS target FROM edges), r0 AS (SELECT caller, name, min(target) AS target, 0 AS tier FROM calls JOIN t0 USING (caller, name) GROUP BY ALL HAVING count(DISTINCT target) = 1), r1 AS (SELECT caller, name, min(target) AS target, 1 AS tier FROM calls ANTI JOIN r0 USING (caller, name) JOIN t1 USING (caller, name) GROUP BY ALL HAVING count(DISTINCT target) = 1) SELECT * FROM r0 UNION ALL SELECT * FROM r1")

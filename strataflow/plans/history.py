@@ -48,6 +48,15 @@ def _small(spark, d):
     return op.small_groups(op.source_changes(role.commit_files(spark, d)), 8)
 
 
+def _recent(spark, d):
+    """Commits of the last week."""
+    return role.commits(spark, d).where(F.col("ts") >= F.lit("2001-07-25 00:00:00").cast("timestamp_ntz"))
+
+
+def _recent_scope(spark, d):
+    return _small(spark, d).join(_recent(spark, d), "sha").select("path").distinct()
+
+
 def _authored(spark, d):
     return op.authored(role.commit_files(spark, d), role.commits(spark, d), role.AS_OF)
 
@@ -92,15 +101,15 @@ def a30_coupling_centrality(spark, d):
     return op.centrality(_coupled(spark, d), "source_path", "target_path", "confidence").select("node", F.round("centrality", 6).alias("centrality"), "degree")
 
 
-@query("u2_coupled_files", f"{_COUPLING}, scope AS (SELECT DISTINCT path FROM small WHERE sha % 500 = 0) SELECT target_path AS path FROM coupled JOIN scope ON path = source_path UNION SELECT source_path FROM coupled JOIN scope ON path = target_path")
+@query("u2_coupled_files", f"{_COUPLING}, scope AS (SELECT DISTINCT path FROM small JOIN commits USING (sha) WHERE ts >= TIMESTAMP '2001-07-25 00:00:00') SELECT target_path AS path FROM coupled JOIN scope ON path = source_path UNION SELECT source_path FROM coupled JOIN scope ON path = target_path")
 def u2_coupled_files(spark, d):
-    scope, edges = _small(spark, d).where("sha % 500 = 0").select("path").distinct(), _coupled(spark, d)
+    scope, edges = _recent_scope(spark, d), _coupled(spark, d)
     return edges.join(scope, F.col("path") == F.col("source_path")).select(F.col("target_path").alias("path")).union(edges.join(scope, F.col("path") == F.col("target_path")).select("source_path")).distinct()
 
 
-@query("u6_scope_difference", f"{_COUPLING}, scope AS (SELECT DISTINCT path FROM small WHERE sha % 500 = 0) SELECT DISTINCT path FROM (SELECT target_path AS path FROM coupled JOIN scope ON path = source_path UNION SELECT source_path FROM coupled JOIN scope ON path = target_path) ANTI JOIN scope USING (path)")
+@query("u6_scope_difference", f"{_COUPLING}, scope AS (SELECT DISTINCT path FROM small JOIN commits USING (sha) WHERE ts >= TIMESTAMP '2001-07-25 00:00:00') SELECT DISTINCT path FROM (SELECT target_path AS path FROM coupled JOIN scope ON path = source_path UNION SELECT source_path FROM coupled JOIN scope ON path = target_path) ANTI JOIN scope USING (path)")
 def u6_scope_difference(spark, d):
-    return u2_coupled_files(spark, d).join(_small(spark, d).where("sha % 500 = 0").select("path").distinct(), "path", "left_anti")
+    return u2_coupled_files(spark, d).join(_recent_scope(spark, d), "path", "left_anti")
 
 
 @query("r2_file_expertise", f"{_EXPERTISE} SELECT author_email, entity_id, round(expertise_score, 6) AS expertise_score, contribution_count, round(knowledge_age_days, 6) AS age FROM files")
@@ -128,9 +137,9 @@ def a34_knowledge_risk(spark, d):
     return op.knowledge_risk(op.file_expertise(_authored(spark, d)))
 
 
-@query("a33_reviewers", f"{_EXPERTISE}, scope AS (SELECT DISTINCT path FROM commit_files WHERE sha % 300 = 0), own AS (SELECT author_email, sum(expertise_score) AS total, min(knowledge_age_days) AS age FROM files SEMI JOIN scope ON path = entity_id GROUP BY 1) SELECT author_email, round(total, 6) AS total, round(total / (SELECT max(total) FROM own) * CASE WHEN age <= 90 THEN 1.0 WHEN age <= 365 THEN 0.8 ELSE 0.5 END, 6) AS score FROM own ORDER BY round(total / (SELECT max(total) FROM own) * CASE WHEN age <= 90 THEN 1.0 WHEN age <= 365 THEN 0.8 ELSE 0.5 END, 9) DESC, author_email LIMIT 5")
+@query("a33_reviewers", f"{_EXPERTISE}, scope AS (SELECT DISTINCT path FROM commit_files JOIN commits USING (sha) WHERE ts >= TIMESTAMP '2001-07-25 00:00:00'), own AS (SELECT author_email, sum(expertise_score) AS total, min(knowledge_age_days) AS age FROM files SEMI JOIN scope ON path = entity_id GROUP BY 1) SELECT author_email, round(total, 6) AS total, round(total / (SELECT max(total) FROM own) * CASE WHEN age <= 90 THEN 1.0 WHEN age <= 365 THEN 0.8 ELSE 0.5 END, 6) AS score FROM own ORDER BY round(total / (SELECT max(total) FROM own) * CASE WHEN age <= 90 THEN 1.0 WHEN age <= 365 THEN 0.8 ELSE 0.5 END, 9) DESC, author_email LIMIT 5")
 def a33_reviewers(spark, d):
-    scope = role.commit_files(spark, d).where("sha % 300 = 0").select("path")
+    scope = role.commit_files(spark, d).join(_recent(spark, d), "sha").select("path")
     return op.reviewers(op.file_expertise(_authored(spark, d)), scope, 5).select("author_email", F.round("total", 6).alias("total"), F.round("reviewer_score", 6).alias("score"))
 
 

@@ -177,10 +177,10 @@ def j17_min_timestamp_update(spark, d):
     return table(spark, d, "customer").join(first, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("f", F.lit("1970-01-01").cast("date")).alias("first_order"))
 
 
-@query("j21_reconcile", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'add' WHEN a.k IS NULL THEN 'remove' ELSE 'check' END AS action FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_orderkey % 10 = 0) a FULL JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_orderkey % 7 = 0) b ON a.k = b.k")
+@query("j21_reconcile", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'add' WHEN a.k IS NULL THEN 'remove' ELSE 'check' END AS action FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40) a FULL JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 40) b ON a.k = b.k")
 def j21_reconcile(spark, d):
     items = table(spark, d, "lineitem")
-    a, b = items.where("l_orderkey % 10 = 0").select(F.col("l_partkey").alias("a")).distinct(), items.where("l_orderkey % 7 = 0").select(F.col("l_partkey").alias("b")).distinct()
+    a, b = items.where("l_returnflag = 'A' AND l_quantity > 40").select(F.col("l_partkey").alias("a")).distinct(), items.where("l_returnflag = 'N' AND l_quantity > 40").select(F.col("l_partkey").alias("b")).distinct()
     return a.join(b, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("k"), F.when(F.col("b").isNull(), "add").when(F.col("a").isNull(), "remove").otherwise("check").alias("action"))
 
 
@@ -233,10 +233,10 @@ def n19_commits_for_file(spark, d):
     return role.commit_files(spark, d).where(F.col("path").isin("m1/p1", "m7/p27")).join(role.commits(spark, d), "sha").select("path", "sha", F.col("ts").cast("date").alias("day")).distinct()
 
 
-@query("j18_token_links", "WITH a AS (SELECT p_brand AS adr, lower(w) AS token FROM (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 50 = 0)), n AS (SELECT p_partkey AS node, lower(unnest(string_split(p_name, ' '))) AS token FROM part), s AS (SELECT adr, node, count(DISTINCT a.token) * 5 AS score FROM a JOIN n ON a.token = n.token GROUP BY ALL) SELECT adr, node, score, least(1.0, score / 20) AS confidence FROM s WHERE score >= 5")
+@query("j18_token_links", "WITH a AS (SELECT p_brand AS adr, lower(w) AS token FROM (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part)), n AS (SELECT p_partkey AS node, lower(unnest(string_split(p_name, ' '))) AS token FROM part), s AS (SELECT adr, node, count(DISTINCT a.token) * 5 AS score FROM a JOIN n ON a.token = n.token GROUP BY ALL) SELECT adr, node, score, least(1.0, score / 20) AS confidence FROM s WHERE score >= 5")
 def j18_token_links(spark, d):
     part = table(spark, d, "part")
-    a = part.where("p_partkey % 50 = 0").select(F.col("p_brand").alias("adr"), F.explode(F.split("p_name", " ")).alias("w")).select("adr", F.lower("w").alias("token")).distinct()
+    a = part.select(F.col("p_brand").alias("adr"), F.explode(F.split("p_name", " ")).alias("w")).select("adr", F.lower("w").alias("token")).distinct()
     n = part.select(F.col("p_partkey").alias("node"), F.explode(F.split("p_name", " ")).alias("w")).select("node", F.lower("w").alias("token"))
     found = a.join(n, "token").groupBy("adr", "node").agg((F.count_distinct("token") * 5).alias("score")).where("score >= 5")
     return found.withColumn("confidence", F.least(F.lit(1.0), F.col("score") / 20))

@@ -63,10 +63,10 @@ def v7_filtered_search(spark, d):
     return op.top_k(rows, "query", F.round("score", 9), "doc", 5).select("query", "doc", F.round("score", 6).alias("score"))
 
 
-@query("v8_segment_merge", f"WITH {_LISTS}, seg AS (SELECT query, doc, score FROM sc WHERE doc % 5 <> 0), m AS (SELECT query, doc, max(score) AS score FROM seg GROUP BY ALL) SELECT query, doc, round(score, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) <= 10")
+@query("v8_segment_merge", f"WITH {_LISTS}, seg AS (SELECT query, doc, score FROM sc WHERE doc NOT IN (SELECT doc_id FROM documents WHERE lang = 'es')), m AS (SELECT query, doc, max(score) AS score FROM seg GROUP BY ALL) SELECT query, doc, round(score, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) <= 10")
 def v8_segment_merge(spark, d):
     hits = _bm25(spark, d, 1 << 30).drop("rank")
-    dead = table(spark, d, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("doc"))
+    dead = table(spark, d, "documents").where("lang = 'es'").select(F.col("doc_id").alias("doc"))
     segments = hits.where("doc % 2 = 0").unionByName(hits.where("doc % 2 = 1")).join(dead, "doc", "left_anti")
     return op.top_k(segments.groupBy("query", "doc").agg(F.max("score").alias("score")), "query", F.round("score", 9), "doc", 10).select("query", "doc", F.round("score", 6).alias("score"))
 

@@ -240,9 +240,9 @@ def r16_engine_trust(spark, d):
     return wide.select("version", *[F.round(c, 6).alias(c) for c in ("brier", "fpr", "fnr")], ((F.col("brier") < 0.15) & (F.col("fpr") < 0.10) & (F.col("fnr") < 0.05)).alias("trustworthy"))
 
 
-@query("j12_range_join", f"WITH {_PRED} SELECT a.id, count(b.event_id) AS n FROM pred a JOIN events b ON b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 DAYS WHERE a.id % 100 = 0 AND b.event_type = 'error' GROUP BY a.id")
+@query("j12_range_join", f"WITH {_PRED} SELECT a.id, count(b.event_id) AS n FROM pred a JOIN events b ON b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 DAYS WHERE a.p >= 1 AND b.event_type = 'error' GROUP BY a.id")
 def j12_range_join(spark, d):
-    left = _predictions(spark, d).where("id % 100 = 0").select("id", "ts")
+    left = _predictions(spark, d).where("p >= 1").select("id", "ts")
     right = role.table(spark, d, "events").where("event_type = 'error'").select("event_id", F.col("ts").alias("at"))
     return op.range_pairs(left, right, "ts", "at", 2).groupBy("id").agg(F.count("event_id").alias("n"))
 
