@@ -21,15 +21,15 @@ SEVERITIES = ("INFO", "WARNING", "ERROR", "CRITICAL")
 def walk(spark: SparkSession, root: str, extensions: Sequence[str], names: Sequence[str] = IGNORED, most: int | None = None) -> DataFrame:
     """Files under a root: path (relative), language, role, size, modified, text (secrets of dotenv files redacted).
 
-    With `most`, the files of the highest priority: shallow before deep, new before old.
+    Names that begin with a dot or an underscore are hidden to Spark's readers and left out. With `most`, the files of the highest priority: shallow before deep, new before old.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.regexp_replace(F.lit(root), "^file:/*", "/")
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(F.lit("^"), base, F.lit("/*")), "")
-    keep = F.lower("rel").rlike("(" + "|".join("\\." + e.lstrip(".") for e in extensions) + ")$") | F.col("rel").rlike(r"(^|/)\.env(\.[a-z]+)?$")
+    keep = F.lower("rel").rlike("(" + "|".join("\\." + e.lstrip(".") for e in extensions) + ")$") | F.col("rel").rlike(r"(^|/)[^/]*\.env(\.[a-z]+)?$")
     text = F.decode("content", "UTF-8")
     files = raw.withColumn("rel", path).where(keep & ~ignored(F.col("rel"), list(names)))
-    found = files.select(F.col("rel").alias("path"), language(F.col("rel")).alias("language"), file_role(F.col("rel")).alias("role"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.when(F.col("rel").rlike(r"(^|/)\.env(\.[a-z]+)?$"), redact_dotenv(text)).otherwise(text).alias("text"))
+    found = files.select(F.col("rel").alias("path"), language(F.col("rel")).alias("language"), file_role(F.col("rel")).alias("role"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.when(F.col("rel").rlike(r"(^|/)[^/]*\.env(\.[a-z]+)?$"), redact_dotenv(text)).otherwise(text).alias("text"))
     if most is None:
         return found
     return found.orderBy(F.size(F.split("path", "/")), F.col("modified").desc(), "path").limit(most)
