@@ -29,5 +29,5 @@ def load() -> None:
     """Imports the modules that register queries."""
     import importlib
 
-    for name in ("history", "snapshots", "runtime", "retrieval", "graph", "text", "lookup", "memory", "verify", "streams"):
+    for name in ("history", "snapshots", "runtime", "retrieval", "graph", "text", "lookup", "memory", "verify", "streams", "more"):
         importlib.import_module(f"strataflow.plans.{name}")
