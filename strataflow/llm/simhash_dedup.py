@@ -198,10 +198,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, seed: in
     empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, words, seed, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
-    known = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    known = materialize(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = connected_components(near_links(known.select("fp"), distance, hot, block)).withColumnRenamed("node", "fp")
     linked = known.join(roots, "fp")
     label = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    # only fingerprints that differ from their own least id need a join beyond their own group
-    every = known.join(label, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(every, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    every = materialize(known.join(label, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "labelled-fingerprints")
+    # at most 1,000 fingerprints can have a thousandth of the rows each: those go to every task, the rest is joined
+    total = every.agg(F.sum("n")).first()[0] or 0
+    often, seldom = (every.where(c).select("fp", "component_id") for c in (F.col("n") * 1000 >= total, F.col("n") * 1000 < total))
+    rest = fps.join(F.broadcast(often.select("fp")), "fp", "left_anti").join(seldom, "fp")
+    return fps.join(F.broadcast(often), "fp").select("id", "fp", "component_id").unionByName(rest.select("id", "fp", "component_id")).select(F.col("id").alias(id_col), "fp", "component_id")
