@@ -12,6 +12,7 @@ source with a third of all rows is spread over all ranges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -58,11 +59,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), max_e
     return levelled.select("source", "rank", "source_size", F.least("cap", F.col("w") * F.col("top")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, budget: float | None = None, seed: str = "mix", range_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, budget: float | None = None, seed: str = "mix", ranges: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often the mix takes each document: id_col, source, size, source_size, target, quality, copies, taken.
 
     copies = whole epochs of its source, and one more if the fractional epoch takes it (its middle word lies before
-    the end of the rest); taken = copies * size. The same input gives the same mix.
+    the end of the rest); taken = copies * size. The same input gives the same mix. Keys are cut into as many
+    `ranges` as the square root of the rows, so neither a range nor the running sum over ranges outgrows a task.
 
     Defined results: null and empty texts have size 0 and are taken in whole epochs only, with 0 words; a null source is a
     source of its own, the last; a null id takes part under one key; rows that share an id and a text share a
@@ -70,8 +72,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epoch
     """
     own = materialize(measured(docs, id_col, text_col, source_col), "mix-sizes")
     targets = materialize(source_targets(own.select("source", "size"), weights, max_epochs, budget), "mix-targets")
-    n = own.count()
-    ranges = max(1, -(-n // range_rows))
+    if ranges is None:
+        ranges = math.isqrt(own.count()) + 1
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 1) / float((1 << 52) + 1)
     # sources are few beside documents, but their number has no bound, so Spark chooses how to join them
     keyed = own.join(targets, own["source"].eqNullSafe(targets["source"])).select("id", own["source"], "size", "quality", "rank", "source_size", "target", (-F.log(u) / F.col("quality")).alias("key"))
