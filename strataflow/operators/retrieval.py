@@ -80,50 +80,47 @@ def unit(v: Column) -> Column:
     return F.when(norm == 0, F.transform(v, lambda x: F.lit(0.0))).otherwise(F.transform(v, lambda x: x.cast("double") / norm))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, block: int = 256) -> DataFrame:
-    """Exact cosine neighbours of a stated query set against all rows, in blocks of queries: (query, id, similarity, rank).
+def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, tile_rows: int = 50_000, block_rows: int = 2_048) -> DataFrame:
+    """Exact cosine neighbours of a stated query set against all rows: (query, id, similarity, rank).
 
-    Norms are taken once for each row; a partition of rows keeps `k` candidates for each query before anything is shuffled.
+    Rows are dealt into tiles and queries into blocks; a task holds one tile and one block and keeps `k` candidates for each
+    query, so memory is bounded and nothing passes through the driver. Zero vectors have similarity 0.
     """
+    import math
+
     import numpy as np
     import pyarrow as pa
 
-    spark = vectors.sparkSession
-    asked = [(r[0], r[1]) for r in queries.select(key, vector).orderBy(key).collect()]  # the stated query set
-    lots = [spark.sparkContext.broadcast(([q for q, _ in part], np.array([v for _, v in part], dtype=np.float64))) for part in (asked[i : i + block] for i in range(0, len(asked), block))]
-
-    def near(lot):
-        def of(batches):
-            names, q = lot.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            best: list[list[tuple[float, int]]] = [[] for _ in names]
-            for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                width = q.shape[1]
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                if len(flat) != len(ids) * width:
-                    raise ValueError("all vectors need the queries' length")
-                rows = flat.reshape(-1, width).astype(np.float64)
-                norm = np.linalg.norm(rows, axis=1, keepdims=True)
-                sims = q @ (rows / np.where(norm == 0, 1, norm)).T
-                for i in range(len(names)):
-                    take = np.argsort(-sims[i], kind="stable")[: k + 1] if len(ids) > k + 1 else np.arange(len(ids))
-                    edge = sims[i][take].min() if len(take) else 0
-                    take = np.flatnonzero(sims[i] >= edge - 1e-9) if len(ids) > k + 1 else take
-                    best[i] = sorted([*best[i], *[(float(sims[i][j]), int(ids[j])) for j in take]], key=lambda x: (-round(x[0], 9), x[1]))[: k + 1]
-            out = [(names[i], j, s) for i in range(len(names)) for s, j in best[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query", "id", "similarity"])
-
-        return of
-
-    own = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    parts = [own.mapInArrow(near(lot), "query long, id long, similarity double") for lot in lots]
-    if not parts:
-        return spark.createDataFrame([], "query long, id long, similarity double, rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return top_k(found.where("query <> id"), "query", F.round("similarity", 9), "id", k)
+    tiles, blocks = max(1, math.ceil(vectors.count() / tile_rows)), max(1, math.ceil(queries.count() / block_rows))
+    out = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
+
+    def matrix(table) -> tuple:
+        ids = table.column("id").to_numpy()
+        rows = np.array(table.column("v").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+        norm = np.linalg.norm(rows, axis=1, keepdims=True)
+        return ids, rows / np.where(norm == 0, 1, norm)
+
+    def near(own: pa.Table, asked: pa.Table) -> pa.Table:
+        if not own.num_rows or not asked.num_rows:
+            return out.empty_table()
+        (ids, rows), (names, q) = matrix(own), matrix(asked)
+        found = []
+        for name, sims in zip(names.tolist(), q @ rows.T, strict=True):
+            take = np.arange(len(ids))
+            if len(ids) > k + 1:
+                edge = np.partition(sims, len(ids) - k - 1)[len(ids) - k - 1]
+                take = np.flatnonzero(sims >= edge - 1e-9)  # ties at the edge are settled by id
+            best = sorted(((float(sims[j]), int(ids[j])) for j in take if ids[j] != name), key=lambda x: (-round(x[0], 9), x[1]))[:k]
+            found += [(name, i, s) for s, i in best]
+        return pa.table({"query": [f[0] for f in found], "id": [f[1] for f in found], "similarity": [f[2] for f in found]}, schema=out)
+
+    base = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = base(vectors).select("id", "v", deal(tiles).alias("tile"), spread(blocks).alias("block"))
+    asked = base(queries).select("id", "v", deal(blocks).alias("block"), spread(tiles).alias("tile"))
+    found = own.groupBy("tile", "block").cogroup(asked.groupBy("tile", "block")).applyInArrow(near, "query long, id long, similarity double")
+    return top_k(found, "query", F.round("similarity", 9), "id", k)
 
 
 def rrf(channels: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
