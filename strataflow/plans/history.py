@@ -190,7 +190,7 @@ def hotspot_table(spark, d):
     return op.hotspots(links, op.adr_expertise(op.file_expertise(_authored(spark, d)), links), _coupled(spark, d), op.drift_health(_findings(spark, d)), blast)
 
 
-@query("r5_hotspots", f"{_HOTSPOT} SELECT adr_id, expert_count, bus_factor, round(concentration, 6) AS concentration, round(coupling_score, 6) AS coupling_score, round(hotspot_score, 6) AS hotspot_score, CASE WHEN hotspot_score >= 76 THEN 'CRITICAL' WHEN hotspot_score >= 51 THEN 'HIGH' WHEN hotspot_score >= 26 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM parts")
+@query("r5_hotspots", f"{_HOTSPOT} SELECT adr_id, expert_count, bus_factor, round(concentration, 6) AS concentration, round(CAST(coupling_score AS DOUBLE), 6) AS coupling_score, round(hotspot_score, 6) AS hotspot_score, CASE WHEN hotspot_score >= 76 THEN 'CRITICAL' WHEN hotspot_score >= 51 THEN 'HIGH' WHEN hotspot_score >= 26 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM parts")
 def r5_hotspots(spark, d):
     return hotspot_table(spark, d).select("adr_id", "expert_count", "bus_factor", F.round("concentration", 6).alias("concentration"), F.round("coupling_score", 6).alias("coupling_score"), F.round("hotspot_score", 6).alias("hotspot_score"), "severity")
 

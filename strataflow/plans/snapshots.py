@@ -247,7 +247,7 @@ def j12_range_join(spark, d):
     return op.range_pairs(left, right, "ts", "at", 2).groupBy("id").agg(F.count("event_id").alias("n"))
 
 
-@query("a11_outcome_types", role.with_("incidents") + " SELECT entity_id, to_json(list_sort(list(DISTINCT incident_type))) AS types FROM incidents GROUP BY entity_id")
+@query("a11_outcome_types", role.with_("incidents") + " SELECT entity_id, CAST(to_json(list_sort(list(DISTINCT incident_type))) AS VARCHAR) AS types FROM incidents GROUP BY entity_id")
 def a11_outcome_types(spark, d):
     return role.incidents(spark, d).groupBy("entity_id").agg(F.to_json(F.sort_array(F.collect_set("incident_type"))).alias("types"))
 

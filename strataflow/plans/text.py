@@ -59,7 +59,7 @@ def p14_test_penalty(spark, d):
     return paths(spark, d).select("doc_id", (F.when(F.col("path").contains("/tests/"), 0.1).otherwise(1.0).cast("decimal(2,1)") * F.col("n_chars")).alias("score"))
 
 
-@query("p15_demo_downrank", f"SELECT doc_id, CASE WHEN regexp_matches(path, '(?i)/(docs|demo|i18n)/') THEN 0.25 ELSE 1.0 END AS factor FROM (SELECT doc_id, {_PATH} AS path FROM documents)")
+@query("p15_demo_downrank", f"SELECT doc_id, CAST(CASE WHEN regexp_matches(path, '(?i)/(docs|demo|i18n)/') THEN 0.25 ELSE 1.0 END AS DOUBLE) AS factor FROM (SELECT doc_id, {_PATH} AS path FROM documents)")
 def p15_demo_downrank(spark, d):
     return paths(spark, d).select("doc_id", F.when(F.col("path").rlike("(?i)/(docs|demo|i18n)/"), 0.25).otherwise(1.0).alias("factor"))
 
@@ -109,7 +109,7 @@ def p19_stale_manifest(spark, d):
     return docs.join(manifest, F.col("doc_id") == F.col("id"), "left").where(F.col("id").isNull() | (F.col("size") != F.col("n_chars"))).select("doc_id")
 
 
-@query("k9_manifest", "SELECT source, count(*) AS files, sum(n_chars) AS chars, max(sha256(text)) AS last_hash FROM documents GROUP BY source")
+@query("k9_manifest", "SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars, max(sha256(text)) AS last_hash FROM documents GROUP BY source")
 def k9_manifest(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.max(F.sha2("text", 256)).alias("last_hash"))
 

@@ -123,7 +123,7 @@ def j4_expert_extremes(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_nationkey").agg(F.max("c_acctbal").alias("best"), F.min("c_acctbal").alias("worst"), F.count("*").alias("n"))
 
 
-@query("j22_prediction_outcome", "SELECT l.quality, count(*) AS n, sum(l.toxic) AS toxic FROM documents d JOIN labels l USING (doc_id) GROUP BY l.quality")
+@query("j22_prediction_outcome", "SELECT l.quality, count(*) AS n, CAST(sum(l.toxic) AS BIGINT) AS toxic FROM documents d JOIN labels l USING (doc_id) GROUP BY l.quality")
 def j22_prediction_outcome(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
 
