@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir), works on all documents its predecessor kept, and returns a DataFrame with
 the columns of docs; the last adds `copies`. run() writes each stage's result as Parquet and reads it again
 as the next one's input.
+
+Defined results: null and empty texts are no reason to reject a document (of those whose fingerprint is 0 one stays, as of
+any group of near copies); a null id keeps its row; rows that repeat stay until the third stage, which keeps one of a
+group; other columns of docs are carried along whatever their names, only a column named `copies` is replaced by
+the last stage; empty tables give empty tables.
 """
 
 from __future__ import annotations
