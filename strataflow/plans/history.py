@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.functions.session import cut
 from strataflow.operators import history as op
 from strataflow.plans.registry import query
 from strataflow.sources import adapters as role
@@ -184,10 +188,30 @@ _HOTSPOT = f"""{_DRIFT}, {_HEALTH}, {_AUTHORED}, {_ADR_EXPERTS},
         FROM (SELECT DISTINCT adr_id FROM adr_links) LEFT JOIN people USING (adr_id) LEFT JOIN coupling USING (adr_id) LEFT JOIN health USING (adr_id) LEFT JOIN blast USING (adr_id))"""
 
 
-def hotspot_table(spark, d):
-    links = role.adr_links(spark, d)
-    blast = links.select("adr_id", "node_id").distinct().groupBy("adr_id").agg(F.least(F.lit(100.0), F.count("*") * 1.0).alias("blast_score"))
-    return op.hotspots(links, op.adr_expertise(op.file_expertise(_authored(spark, d)), links), _coupled(spark, d), op.drift_health(_findings(spark, d)), blast)
+@dataclass
+class Parts:
+    """What the decision analytics share, each computed once and written."""
+
+    links: DataFrame
+    coupled: DataFrame
+    experts: DataFrame
+    findings: DataFrame
+    health: DataFrame
+
+
+def parts(spark, d) -> Parts:
+    links, commits, files = role.adr_links(spark, d), role.commits(spark, d), role.commit_files(spark, d)
+    small = cut(_small(spark, d))
+    coupled = cut(_coupled(spark, d))
+    experts = cut(op.adr_expertise(op.file_expertise(op.authored(files, commits, role.AS_OF)), links))
+    findings = cut(op.drift_findings(role.adrs(spark, d), links, op.file_change_stats(small, commits), coupled, role.AS_OF[:10]))
+    return Parts(links, coupled, experts, findings, op.drift_health(findings))
+
+
+def hotspot_table(spark, d, p: Parts | None = None):
+    p = p or parts(spark, d)
+    blast = p.links.select("adr_id", "node_id").distinct().groupBy("adr_id").agg(F.least(F.lit(100.0), F.count("*") * 1.0).alias("blast_score"))
+    return op.hotspots(p.links, p.experts, p.coupled, p.health, blast)
 
 
 @query("r5_hotspots", f"{_HOTSPOT} SELECT adr_id, expert_count, bus_factor, round(concentration, 6) AS concentration, round(CAST(coupling_score AS DOUBLE), 6) AS coupling_score, round(hotspot_score, 6) AS hotspot_score, CASE WHEN hotspot_score >= 76 THEN 'CRITICAL' WHEN hotspot_score >= 51 THEN 'HIGH' WHEN hotspot_score >= 26 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM parts")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataflow.operators import history as hist
+from strataflow.functions.session import cut
 from strataflow.operators import snapshots as op
 from strataflow.plans import history as plans
 from strataflow.plans.registry import query
@@ -116,16 +116,14 @@ _VALIDITY = plans._HOTSPOT + """, hot AS (SELECT *, CASE WHEN hotspot_score >= 7
         least(100, CASE WHEN experts > 0 THEN 25 ELSE 0 END + CASE WHEN health_score IS NOT NULL THEN 25 ELSE 0 END + CASE WHEN hot IS NOT NULL THEN 25 ELSE 0 END + 25) AS confidence_score FROM st)"""
 
 
-def _validity(spark, d):
-    links = role.adr_links(spark, d)
-    experts = hist.adr_expertise(hist.file_expertise(plans._authored(spark, d)), links)
-    findings = plans._findings(spark, d)
-    return op.validity(links, experts, hist.drift_health(findings), plans.hotspot_table(spark, d), findings)
+def _validity(p, hotspots):
+    return op.validity(p.links, p.experts, p.health, hotspots, p.findings)
 
 
 @query("r6_validity", f"{_VALIDITY} SELECT adr_id, round(validity_score, 6) AS validity_score, confidence_score, CASE WHEN validity_score >= 90 THEN 'VERY_HIGH' WHEN validity_score >= 75 THEN 'HIGH' WHEN validity_score >= 50 THEN 'MEDIUM' WHEN validity_score >= 25 THEN 'LOW' ELSE 'VERY_LOW' END AS tier FROM validity")
 def r6_validity(spark, d):
-    return _validity(spark, d).withColumn("validity_score", F.round("validity_score", 6))
+    p = plans.parts(spark, d)
+    return _validity(p, plans.hotspot_table(spark, d, p)).withColumn("validity_score", F.round("validity_score", 6))
 
 
 _FACTORS = """factors AS (SELECT DISTINCT i.id AS incident_id, i.incident_type, 'COVERAGE_DEGRADATION' AS factor_type, 80 AS contribution_score FROM incidents i JOIN coverage_history h ON h.entity_id = i.entity_id AND h.snapshot_date >= i.created_at - INTERVAL 30 DAYS AND h.snapshot_date <= i.created_at WHERE coverage_percent < 50 AND severity <> 'RESOLVED'
@@ -171,7 +169,9 @@ _PREDICT = _VALIDITY.replace(role.CTE["commits"], ", ".join(role.CTE[k] for k in
 def r12_incident_predictions(spark, d):
     entities = u7_signal_key_union(spark, d)
     cov, health = op.latest_snapshot(role.coverage_history(spark, d), "snapshot_date"), op.latest_snapshot(role.health_history(spark, d), "snapshot_date")
-    return op.incident_predictions(entities, cov, health, plans.hotspot_table(spark, d), _outcomes(spark, d), _validity(spark, d)).withColumn("risk_score", F.round("risk_score", 6))
+    p = plans.parts(spark, d)
+    hotspots = cut(plans.hotspot_table(spark, d, p))
+    return op.incident_predictions(entities, cov, health, hotspots, _outcomes(spark, d), _validity(p, hotspots)).withColumn("risk_score", F.round("risk_score", 6))
 
 
 @query("x7_incident_escalations", role.with_("incidents") + """, s AS (SELECT entity_id, incident_type, id, epoch_us(created_at) AS t, CASE severity WHEN 'RESOLVED' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'HIGH' THEN 2 ELSE 3 END AS r,
