@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.functions.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
@@ -18,6 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
+    """Keeps Arrow batches to `most` bytes: off-heap buffers and Python's copies of them count against an executor."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).rstrip("bB")
+    if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(name, str(most))
+    ship(spark)
+    return spark
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

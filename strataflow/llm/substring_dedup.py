@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm._shared import text_bytes
+from strataflow.llm._shared import bounded, text_bytes
 from strataflow.llm._text import Words, chunks, covered, rolling, runs, window_heads
 
 _ENTRIES = "bucket int, block int, hashes binary, docs binary"
@@ -189,6 +189,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     portions; raise it with the square root of the corpus (256 MB at 100 TB) so that the
     number of block-to-bucket messages stays below that of an ordinary shuffle of that size.
     """
+    bounded(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n = max(1, math.ceil(text_bytes(own) / block_bytes))
     blocked = own.withColumn("block", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1))), F.lit(n)).cast("int"))
