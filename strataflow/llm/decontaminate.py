@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.llm._shared import bounded
 from strataflow.llm._text import NOT_WORDLIKE, Words, chunks, runs
 
 _SPAN = "array<struct<start:int,end:int>>"
@@ -179,7 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
     without words hit nothing; items with the same words are all reported; repeated documents are judged
     each on its own; other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     shards = _shards(benchmark, item_col, item_text_col, shard_bytes)
     lots = [spark.sparkContext.broadcast(([str(i) for i, _ in own], [t for _, t in own])) for own in shards]
     n_carry, tag = len(carry), uuid.uuid4().hex
