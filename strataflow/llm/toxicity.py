@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm._shared import materialize
+from strataflow.llm._shared import bounded, materialize
 
 #: Words that are insults in running text, with their weights, where no labels say more.
 SEED: Mapping[str, float] = {"idiot": 4.0, "moron": 4.0, "scum": 4.0, "stupid": 3.0, "worthless": 3.0, "pathetic": 3.0, "disgusting": 3.0}
@@ -155,6 +155,7 @@ def _beginnings(words: Sequence[str], lengths: Sequence[int]) -> Counter:
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, entries: int = 200, candidates: int = 600, lengths: Sequence[int] = (3, 4, 5, 6, 7, 8), least_support: int = 5, least_share: float = 0.015, exceptions: Sequence[str] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learns a lexicon from about `train_rows` labelled rows, chosen by a hash of their id; equal texts count once."""
+    bounded(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
     n = marked.count()
     if n == 0:
@@ -229,6 +230,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id_col:
     Defined results: null and empty texts score as texts without hits; repeated rows score alike; other columns are
     ignored; an empty table gives no rows. The lexicon travels with the tasks: it has a few hundred entries at most.
     """
+    bounded(docs.sparkSession)
     n = len(carry) + 1
 
     def of(batches):
