@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.llm._shared import bounded
+
 #: Fixed control strings of the template.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]")
 BEGIN = "<s>"
@@ -129,7 +131,7 @@ def format_chats(turns: DataFrame, tokenizer: str | None = TOKENIZER, pack_token
     turns are turns of their own; a null conversation id is one conversation; other columns are ignored; an empty table gives no
     packs; a conversation longer than a pack is a pack of its own.
     """
-    spark = turns.sparkSession
+    spark = bounded(turns.sparkSession)
     content = spark.sparkContext.broadcast(_content(tokenizer))
     convs = conversations_of(turns, conv_col, turn_col, role_col, text_col)
     order = ["path", "conv_id"]
