@@ -27,10 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm._shared import materialize, text_bytes
-from strataflow.llm._text import buffers
+from strataflow.llm._shared import bounded, materialize, text_bytes
+from strataflow.llm._text import buffers, chunks
 
 _U8 = np.uint64(8)
+#: Bytes of text whose n-grams are held at a time: eight bytes each, several times over.
+_SLICE = 1 << 20
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -89,13 +91,11 @@ def _rows(table: pa.Table) -> pa.Table:
     return rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending"), ("lang", "ascending"), ("text", "ascending")]))
 
 
-def _grams(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+def _grams(part: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each byte of the texts (zeros before a text), and the offsets of the texts."""
-    chunks = rows.column("text").chunks
-    data, at = buffers(chunks[0] if chunks else pa.array([], pa.string()))
+    data, at = buffers(part.column("text"))
     n, pad = len(at) - 1, order - 1
-    sizes = np.diff(at)
-    place = np.arange(len(data)) + np.repeat((np.arange(n) + 1) * pad, sizes)
+    place = np.arange(len(data)) + np.repeat((np.arange(n) + 1) * pad, np.diff(at))
     padded = np.zeros(len(data) + (n + 1) * pad, dtype=np.uint8)
     padded[place] = data
     grams = np.zeros(len(data), dtype=np.uint64)
@@ -105,15 +105,20 @@ def _grams(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, at
 
 
+def _distinct(rows: pa.Table, order: int) -> np.ndarray:
+    """All n-grams of a block, a slice of its texts at a time."""
+    found = [np.unique(_grams(part, order)[0]) for part in chunks(rows, "text", _SLICE)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+
+
 def _share(grams: np.ndarray, shards: int) -> np.ndarray:
     """The shard of an n-gram: by a hash, so that shards are even."""
     mixed = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
     return (mixed * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _named(grams: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _named(distinct: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams ordered by shard, then value, and the bounds of the shards."""
-    distinct = np.unique(grams)
     shard = _share(distinct, shards)
     order = np.argsort(shard, kind="stable")
     return distinct[order], shard[order], np.searchsorted(shard[order], np.arange(shards + 1))
@@ -125,14 +130,18 @@ def _counted(order: int, shards: int):
         if not table.num_rows:
             return pa.table({"shard": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "grams": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
         rows = _rows(table)
-        grams, at = _grams(rows, order)
-        all_, _, bounds = _named(grams, shards)
+        by_value = _distinct(rows, order)
+        all_, _, bounds = _named(by_value, shards)
         ids = trusted.column("id").to_numpy() if trusted.num_rows else np.zeros(0, dtype=np.int64)
-        own = np.isin(rows.column("id").fill_null(-1).to_numpy(), ids) & ~rows.column("id").is_null().to_numpy(zero_copy_only=False)
-        seen, n = np.unique(grams[np.repeat(own, np.diff(at))], return_counts=True)
-        by_value = np.argsort(all_, kind="stable")
-        counts = np.zeros(len(all_), dtype=np.uint32)
-        counts[by_value[np.searchsorted(all_[by_value], seen)]] = n
+        taught = np.zeros(len(by_value), dtype=np.int64)
+        for part in chunks(rows, "text", _SLICE):
+            known = part.column("id")
+            own = np.isin(known.fill_null(-1).to_numpy(zero_copy_only=False), ids) & known.is_valid().to_numpy(zero_copy_only=False)
+            if own.any():
+                grams, at = _grams(part, order)
+                seen, n = np.unique(grams[np.repeat(own, np.diff(at))], return_counts=True)
+                taught[np.searchsorted(by_value, seen)] += n
+        counts = taught[np.searchsorted(by_value, all_)].astype(np.uint32)
         block = table.column("block")[0].as_py()
         used = [k for k in range(shards) if bounds[k + 1] > bounds[k]]
         return pa.Table.from_arrays([
@@ -210,12 +219,16 @@ def _scored(order: int, shards: int):
         if not table.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n_bytes": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64())})
         rows = _rows(table)
-        grams, at = _grams(rows, order)
-        named, _, _ = _named(grams, shards)
+        named, _, _ = _named(_distinct(rows, order), shards)
         got = dict(zip(answers.column("shard").to_pylist(), answers.column("lps").to_pylist(), strict=True))
         values = np.concatenate([_unpack(got[k], np.float32) for k in sorted(got)]) if got else np.zeros(0, dtype=np.float32)
-        total = np.concatenate(([0.0], np.cumsum(_Lookup(named, values).get(grams), dtype=np.float64)))
-        return pa.table({"id": rows.column("id"), "lang": rows.column("lang"), "n_bytes": pa.array(np.diff(at), pa.int64()), "log_prob": pa.array(total[at[1:]] - total[at[:-1]], pa.float64())})
+        lookup, sums, sizes = _Lookup(named, values), [], []
+        for part in chunks(rows, "text", _SLICE):
+            grams, at = _grams(part, order)
+            total = np.concatenate(([0.0], np.cumsum(lookup.get(grams), dtype=np.float64)))
+            sums.append(total[at[1:]] - total[at[:-1]])
+            sizes.append(np.diff(at))
+        return pa.table({"id": rows.column("id"), "lang": rows.column("lang"), "n_bytes": pa.array(np.concatenate(sizes), pa.int64()), "log_prob": pa.array(np.concatenate(sums), pa.float64())})
 
     return of_block
 
@@ -279,6 +292,7 @@ def perplexity_filter(docs: DataFrame, trusted: DataFrame, order: int = 5, quant
     """
     if not 1 <= order <= 7:
         raise ValueError("order has to be from 1 to 7: an n-gram is packed into a long")
+    bounded(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = max(1, math.ceil(text_bytes(own) / block_bytes))
     block = F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1))), F.lit(n)).cast("int").alias("block")
