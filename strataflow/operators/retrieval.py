@@ -44,15 +44,17 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: st
 
     Query tokens filter the postings before anything is counted by document, so a search touches only the lists it needs.
     """
-    lists = postings(docs, key, text, tokenize)
     asked = queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct(tokenize(F.coalesce(F.col(query_text), F.lit(""))))).alias("term"))
+    terms = asked.select("term").distinct()
     stats = docs.select(F.size(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    own = docs.select(F.col(key).alias("doc"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    places = own.select("doc", F.size("t").alias("dl"), F.explode("t").alias("token"))
     if prefix:
-        # prefixes of each posting's token meet the terms by equality
-        lists = lists.withColumn("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda k: F.substring(F.col("token"), F.lit(1), k))))
+        # prefixes of each token meet the terms by equality
+        lists = places.groupBy("doc", "dl", "token").agg(F.count("*").alias("tf")).withColumn("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda k: F.substring(F.col("token"), F.lit(1), k)))).join(terms, "term", "left_semi")
     else:
-        lists = lists.withColumn("term", F.col("token"))
-    lists = lists.join(asked.select("term").distinct(), "term", "left_semi")
+        # tokens that no query asks for go before anything is grouped or shuffled
+        lists = places.withColumn("term", F.col("token")).join(terms, "term", "left_semi").groupBy("doc", "dl", "token", "term").agg(F.count("*").alias("tf"))
     df = lists.groupBy("token", "term").agg(F.count_distinct("doc").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
