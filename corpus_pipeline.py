@@ -26,6 +26,8 @@ from strataflow.llm.toxicity import learn, toxicity, training_rows
 
 #: A document that benchmark passages cover to more than this share goes as a whole; of others the passages go.
 MOST_COVERED = 0.5
+#: Repeated passages of fewer than three lines go too if they have this many words.
+LONG_WORDS = 50
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, str, str, list[str]]:
@@ -54,9 +56,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of three or more lines that an earlier document has, or that come earlier in the document, go."""
+    """Passages of three or more lines, or of LONG_WORDS words, that an earlier document has, or that come earlier in the document, go."""
     own, id_col, text, _ = _plain(docs)
-    return _renamed(dedup_lines(own, id_col=id_col, text_col=text), docs, text)
+    return _renamed(dedup_lines(own, id_col=id_col, text_col=text, long_words=LONG_WORDS), docs, text)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ Around each fingerprint that occurs elsewhere, the runs of gram + window - 1 lin
 compared by hash with their first occurrence in (id, line) order; runs that overlap or touch are one
 match extended both ways. Every match but the first is deleted.
 
+With `long_words`, a run of fewer lines is a passage too if it has that many words: single lines and shorter runs of so many
+words are compared by hash as they are (few lines are that long), and overlap and touch the other matches alike.
+
 Joins meet at the first occurrence only, never all pairs of occurrences, and counts are combined before the shuffle, so a
 passage that a third of the corpus shares costs one row for each document that has it.
 """
@@ -26,13 +29,27 @@ def _positions(lines_hash, n, width: int):
     return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), lambda p: F.xxhash64(*[F.get(lines_hash, p + k) for k in range(width)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def repeated_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, first, last): maximal runs of lines, by number of the text's lines, that repeat an earlier passage of at least gram + window - 1 lines."""
+def _long_runs(own: DataFrame, width: int, long_words: int) -> DataFrame:
+    """(id, s, e, r, first, last): every run of `width` lines that has `long_words` words or more."""
+    words = sum((F.get(F.col("words"), F.col("_s") + k) for k in range(1, width)), F.get(F.col("words"), F.col("_s")))
+    starts = own.where(F.col("n") >= width).select("id", "at", "h", "words", F.explode(F.sequence(F.lit(0), F.col("n") - width)).alias("_s")).where(words >= long_words)
+    return starts.select("id", F.col("_s").alias("s"), (F.col("_s") + (width - 1)).alias("e"), F.xxhash64(F.lit(width), *[F.get("h", F.col("_s") + k) for k in range(width)]).alias("r"), F.get("at", F.col("_s")).alias("first"), F.get("at", F.col("_s") + (width - 1)).alias("last")).distinct()
+
+
+def _later(runs: DataFrame) -> DataFrame:
+    """(id, s, e, first, last) of the runs that are not the first of their hash."""
+    heads = runs.groupBy("r").agg(F.min(F.struct("id", "s")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    return runs.join(heads, "r").where(F.struct("id", "s") > F.col("head")).select("id", "s", "e", "first", "last")
+
+
+def repeated_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
+    """(id, gone): maximal runs of lines, by number of the text's lines, that repeat earlier passages of at least gram + window - 1 lines, or of long_words words."""
     run = gram + window - 1
     lines = F.split(F.col(text_col), "\n", -1)
     numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x"))), lambda s: s["x"] != "")
-    own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(numbered, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"))).alias("lines")).where(F.size("lines") >= run)
-    own = own.select("id", F.col("lines.i").alias("at"), F.col("lines.h").alias("h")).withColumn("n", F.size("h"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), numbered.alias("lines"))
+    hashed = texts.select("id", F.transform("lines", lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"))).alias("lines")).where(F.size("lines") >= run)
+    own = hashed.select("id", F.col("lines.i").alias("at"), F.col("lines.h").alias("h")).withColumn("n", F.size("h"))
     grams = own.select("id", "at", "n", _positions(F.col("h"), F.col("n"), gram).alias("g"), _positions(F.col("h"), F.col("n"), run).alias("r"))
     least = F.transform(F.sequence(F.lit(0), F.size("g") - window), lambda j: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct(F.get(F.col("g"), j + k).alias("f"), (-(j + k)).alias("p")))))
     chosen = F.array_distinct(least)
@@ -42,20 +59,27 @@ def repeated_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str
     marks = materialize(grams.select("id", F.explode(F.transform(chosen, lambda c: F.struct(c["f"].alias("f"), (-c["p"]).alias("p"), F.transform(around(-c["p"]), lambda x: F.struct(x["s"].alias("s"), x["r"].alias("r"), F.get(F.col("at"), x["s"]).alias("first"), F.get(F.col("at"), x["s"] + run - 1).alias("last"))).alias("runs")))).alias("m")).select("id", "m.f", "m.p", "m.runs"), "line-marks")
     place = F.struct("id", "p")
     shared = marks.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("f")
-    runs = marks.join(shared, "f").select("id", F.explode("runs").alias("r")).select("id", "r.s", "r.r", "r.first", "r.last").distinct()
-    heads = runs.groupBy("r").agg(F.min(F.struct("id", "s")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    later = runs.join(heads, "r").where(F.struct("id", "s") > F.col("head")).select("id", "s", "first", "last")
-    sorted_ = later.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("s", "first", "last"))).alias("m"))
+    runs = marks.join(shared, "f").select("id", F.explode("runs").alias("r")).select("id", "r.s", (F.col("r.s") + (run - 1)).alias("e"), "r.r", "r.first", "r.last").distinct()
+    later = _later(runs)
+    if long_words is not None:
+        counted = texts.select("id", F.transform("lines", lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.size(F.regexp_extract_all(s["x"], F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))).alias("lines"))
+        counted = counted.select("id", F.col("lines.i").alias("at"), F.col("lines.h").alias("h"), F.col("lines.words").alias("words")).withColumn("n", F.size("h"))
+        for width in range(1, run):
+            later = later.unionByName(_later(_long_runs(counted, width, long_words)))
+    sorted_ = later.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("s", "e", "first", "last"))).alias("m"))
+    # one run for each start, the longest; a run reaches no further than the `run` starts before it tell
+    sorted_ = sorted_.withColumn("m", F.filter("m", lambda x, i: (i == F.size("m") - 1) | (F.get(F.col("m"), i + 1)["s"] != x["s"])))
     m = F.col("m")
-    begins = F.filter(m, lambda x, i: (i == 0) | (x["s"] > F.get(m, i - 1)["s"] + run))
-    ends = F.filter(m, lambda x, i: (i == F.size(m) - 1) | (F.get(m, i + 1)["s"] > x["s"] + run))
+    upto = lambda i, k, c: F.greatest(*[F.get(m, i - j)[c] for j in range(k, run + 1)], F.lit(-1))
+    begins = F.filter(m, lambda x, i: (i == 0) | (x["s"] > upto(i, 1, "e") + 1))
+    ends = F.filter(F.transform(m, lambda x, i: F.struct(upto(i, 0, "last").alias("last"), ((i == F.size(m) - 1) | (F.get(m, i + 1)["s"] > upto(i, 0, "e") + 1)).alias("final"))), lambda x: x["final"])
     return sorted_.select("id", F.zip_with(begins, ends, lambda a, b: F.struct(a["first"].alias("first"), b["last"].alias("last"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """The documents with repeated passages of lines deleted: every column of docs, text_col changed, and n_lines, n_removed, gone.
 
-    A passage is gram + window - 1 or more neighbouring lines (trimmed of spaces; blank lines do not count and go with
+    A passage is gram + window - 1 or more neighbouring lines, or with long_words any that have so many words together (trimmed of spaces; blank lines do not count and go with
     the lines around them); it is deleted wherever it is not its first occurrence in the order of id and line. gone holds the deleted
     ranges of line numbers, from 0, both ends included.
 
@@ -64,7 +88,7 @@ def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "
     lines; a null id sorts first and loses nothing; columns of docs named n_lines, n_removed or gone are replaced; an empty
     table gives no rows.
     """
-    found = repeated_lines(docs, gram, window, id_col, text_col)
+    found = repeated_lines(docs, gram, window, id_col, text_col, long_words)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "gone")]
     joined = docs.select(keep).join(found.hint("shuffle_hash").withColumnRenamed("id", "_gone_id").withColumnRenamed("gone", "_gone"), F.col(id_col) == F.col("_gone_id"), "left")
     text, gone = F.col(text_col), F.col("_gone")

@@ -478,3 +478,33 @@ def test_toxicity_edges(spark):
     got = toxicity.toxicity(edge.docs(spark), lexicon).collect()
     assert len(got) == len(edge.texts()) and all(r.predicted == 0 for r in got)
     assert toxicity.toxicity(edge.empty(spark), lexicon).count() == 0
+
+
+# later rounds
+
+
+def passages_removed(rows, run, long_words):
+    """Later copies of runs of `run` lines, and of shorter runs of `long_words` words; what touches is one passage."""
+    own = [(i, t, [(k, x.strip(" ")) for k, x in enumerate(t.split("\n")) if x.strip(" ")]) for i, t in rows]
+    units = [(i, s, tuple(x for _, x in kept[s : s + w])) for i, _, kept in own for w in range(1, run + 1) for s in range(len(kept) - w + 1)]
+    units = [u for u in units if len(u[2]) == run or sum(len(WORD.findall(x)) for x in u[2]) >= long_words]
+    first = {}
+    for i, s, key in units:
+        first[key] = min(first.get(key, (i, s)), (i, s))
+    gone = defaultdict(set)
+    for i, s, key in units:
+        if first[key] < (i, s):
+            gone[i] |= set(range(s, s + len(key)))
+    out = []
+    for i, t, kept in own:
+        cutting = {kept[k][0] for k in gone[i]} | {j for k in gone[i] if k + 1 in gone[i] for j in range(kept[k][0], kept[k + 1][0])}
+        out.append((i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cutting), len(cutting)))
+    return out
+
+
+@pytest.mark.parametrize(("gram", "window"), [(2, 2), (1, 2), (3, 1)])
+def test_line_dedup_of_long_short_passages(spark, gram, window):
+    rng = random.Random(gram * 10 + window)
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c", " a ", "", "d e", "f g h i", "j k l m n o", "p q r s t u v"]) for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    got = [(r.doc_id, r.text, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), gram, window, long_words=6).collect()]
+    assert bag(got) == bag(passages_removed(rows, gram + window - 1, 6))

@@ -53,3 +53,11 @@ def test_near_copies_leave_one(spark):
     rows = [(1, edge.words(1, 200)), (2, edge.words(1, 200)), (2, edge.words(1, 200)), (3, edge.words(2, 200)), (None, edge.words(3, 200))]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(str(r.doc_id) for r in pipeline.keep_one_of_near_copies(spark, docs, SF).collect()) == ["1", "3", "None"]
+
+
+def test_line_dedup_takes_long_passages_of_one_and_two_lines(spark):
+    one, two = edge.words(1, 60), edge.words(2, 30) + "\n" + edge.words(3, 30)
+    rows = [(1, one), (2, one), (3, two), (4, two), (5, "short line"), (6, "short line"), (7, "begin\n" + one + "\nend")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert got == {1: one, 2: "", 3: two, 4: "", 5: "short line", 6: "short line", 7: "begin\nend"}
