@@ -154,7 +154,7 @@ def _beginnings(words: Sequence[str], lengths: Sequence[int]) -> Counter:
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, entries: int = 200, candidates: int = 600, lengths: Sequence[int] = (3, 4, 5, 6, 7, 8), least_support: int = 5, least_share: float = 0.015, exceptions: Sequence[str] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
-    """Learns a lexicon from about `train_rows` labelled rows, chosen by a hash of their id; equal texts count once."""
+    """Learns a lexicon from about `train_rows` labelled rows, chosen by a hash of their id; texts that are equal after folding count once for each label."""
     bounded(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
     n = marked.count()
@@ -165,14 +165,11 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, entries: i
     # about train_rows rows of 12 bytes, so the side is bounded
     def signed(batches):
         for batch in batches:
-            keys = []
-            for text in batch.column(0).to_pylist():
-                words = {w for w in _words(fold(text or "")) if len(w) >= 8}
-                keys.append(min((xxhash.xxh64_intdigest(w) >> 1 for w in words), default=xxhash.xxh64_intdigest(text or "") >> 1))
+            keys = [xxhash.xxh64_intdigest(fold(text or "")) >> 1 for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), batch.column(1)], ["h", "text", "y"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
-    once = rows.mapInArrow(signed, "h long, text string, y int").groupBy("h").agg(F.max_by("text", F.xxhash64("text")).alias("text"), F.max_by("y", F.xxhash64("text")).alias("y"))
+    once = rows.mapInArrow(signed, "h long, text string, y int").groupBy("h", "y").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
     sample = materialize(once.select("text", "y"), "toxicity-sample")
 
     def count(batches):

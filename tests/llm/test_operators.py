@@ -508,3 +508,12 @@ def test_line_dedup_of_long_short_passages(spark, gram, window):
     rows = [(i, "\n".join(rng.choice(["a", "b", "c", " a ", "", "d e", "f g h i", "j k l m n o", "p q r s t u v"]) for _ in range(rng.randint(0, 14)))) for i in range(60)]
     got = [(r.doc_id, r.text, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), gram, window, long_words=6).collect()]
     assert bag(got) == bag(passages_removed(rows, gram + window - 1, 6))
+
+
+def test_toxicity_learns_from_all_different_texts(spark):
+    # the least hash of the long words is that of one word that all texts share
+    common = min((w for k in range(400) for w in [f"common{chr(97 + k % 26)}{chr(97 + k // 26)}xx"]), key=lambda w: xxhash.xxh64_intdigest(w))
+    rows = [(k, f"{common} {edge.words(k, 20)}", 0) for k in range(200)] + [(200 + k, f"{common} zorgish {edge.words(200 + k, 20)}", 1) for k in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    lexicon = toxicity.learn(df, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert any(e.startswith("zorg") for e in lexicon.weights)
