@@ -47,7 +47,7 @@ def _fingerprint(text: bytes, words: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SimHash of the XXH64 of all shingles of `words` words: (id_col, fp long). A text without words has 0."""
+    """SimHash of the XXH64 of all shingles of `words` words: (id_col, fp long). A text without words has 0. An id is a long or a struct."""
 
     def of(batches):
         for batch in batches:
@@ -55,8 +55,11 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_fingerprint(x or b"", words, seed) for x in texts], pa.int64())], ["id", "fp"])
 
     bounded(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(of, "id long, fp long").withColumnRenamed("id", id_col)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
+    if not kind.startswith("struct<"):
+        own, kind = own.withColumn("id", F.col("id").cast("long")), "long"
+    return own.mapInArrow(of, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
 def bit_groups(fps: DataFrame, m: int, moments: tuple[np.ndarray, int] | None = None) -> list[list[int]]:

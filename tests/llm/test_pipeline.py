@@ -61,3 +61,11 @@ def test_line_dedup_takes_long_passages_of_one_and_two_lines(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in pipeline.drop_repeated_lines(spark, docs, SF).collect()}
     assert got == {1: one, 2: "", 3: two, 4: "", 5: "short line", 6: "short line", 7: "begin\nend"}
+
+
+def test_near_copies_of_different_components_stay(spark):
+    rows = [(None, edge.words(1, 200)), (None, edge.words(2, 200)), (None, edge.words(3, 200)), (7, edge.words(4, 200)), (7, edge.words(5, 200)), (7, edge.words(5, 200)), (8, edge.words(4, 200)), (None, edge.words(5, 200))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.keep_one_of_near_copies(spark, docs, SF)
+    assert got.columns == COLUMNS
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("None", edge.words(k, 200)) for k in (1, 2, 3)] + [("7", edge.words(4, 200)), ("7", edge.words(5, 200))])
