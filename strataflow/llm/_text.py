@@ -74,6 +74,51 @@ def rolling(values: np.ndarray, width: int, powers: Powers = _OF_WORDS) -> np.nd
     return mix64((sums[width:] - sums[:n]) * down[:n])
 
 
+#: A prime for the second hash: equal modulo 2**64 and modulo this by chance only, whatever the bytes.
+PRIME = U64((1 << 31) - 1)
+
+
+class Residues:
+    """Powers of a base and of its inverse modulo PRIME, grown on demand."""
+
+    def __init__(self, base: int) -> None:
+        self.factors = base, pow(base, -1, int(PRIME))
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            rows = []
+            for factor in self.factors:
+                row = np.ones(1, dtype=np.uint64)
+                while len(row) < max(n, 1 << 16):
+                    row = np.concatenate((row, row * U64(pow(factor, len(row), int(PRIME))) % PRIME))
+                rows.append(row)
+            self.up, self.down = rows
+        return self.up, self.down
+
+
+_BYTES_MOD, _WORDS_MOD = Residues(1_483_651_777), Residues(918_273_645)
+_BYTE_MOD = _BYTE % PRIME
+
+
+def _residues(values: np.ndarray, powers: Residues) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of values * base**place, and the inverse powers."""
+    up, down = powers.to(len(values) + 1)
+    terms = values * up[: len(values)]
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum((terms & PRIME) + (terms >> U64(31)), out=sums[1:])
+    return sums, down
+
+
+def rolling_mod(values: np.ndarray, width: int) -> np.ndarray:
+    """Rabin-Karp hashes modulo PRIME (uint32) of all runs of `width` neighbouring values under PRIME."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint32)
+    sums, down = _residues(values, _WORDS_MOD)
+    return ((sums[width:] - sums[:n]) % PRIME * down[:n] % PRIME).astype(np.uint32)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (n + 1) of a string column; null counts as empty."""
     if column.null_count:
@@ -132,12 +177,19 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.at) - 1), self.counts())
 
-    def hashes(self) -> np.ndarray:
+    def residues(self) -> np.ndarray:
+        """Hashes of the words modulo PRIME, as uint64."""
+        sums, down = _residues(_BYTE_MOD[self.data], _BYTES_MOD)
+        return (sums[self.ends] - sums[self.starts]) % PRIME * down[self.starts] % PRIME
+
+    def hashes(self, residues: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the words: a polynomial modulo 2**64, one modulo PRIME and the length, mixed."""
         n = len(self.data)
         up, down = _OF_BYTES.to(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_BYTE[self.data] * up[:n], out=sums[1:])
-        return mix64((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        second = self.residues() if residues is None else residues
+        return mix64((sums[self.ends] - sums[self.starts]) * down[self.starts] + mix64((second << U64(32)) + (self.ends - self.starts).astype(np.uint64)))
 
 
 def window_heads(first: np.ndarray, width: int) -> np.ndarray:

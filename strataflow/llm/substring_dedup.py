@@ -2,17 +2,20 @@
 
 Plan
 ----
-1. Documents are grouped into blocks by a hash of their id; a block holds about
-   `block_bytes` of text. A block hashes all its windows and keeps each hash once, with the
-   smallest document id that has it (the map-side combine: a window that a third of
+1. Documents are dealt into blocks by a hash of id and text. A block hashes all its windows and keeps each hash
+   once, with the smallest document id that has it (the map-side combine: a window that a third of
    the corpus shares is one entry per block).
 2. The entries are dealt by hash into buckets; a bucket counts each hash over all
    blocks and answers every entry with one bit: does a smaller document have it?
 3. The blocks read their documents again, apply the bits, merge repeated windows into
    maximal intervals, and cut the words in them.
 
-Shuffled: the texts once, eight bytes per different window of a block, one bit back.
-Nothing is broadcast or collected, and no pair of documents is ever made.
+Two windows are equal if two independent hashes of them are: a polynomial modulo 2**64 over the words' 64-bit hashes, and one
+modulo a prime over the words' hashes modulo that prime, 95 bits together. At 10**13 windows one false match is expected in some
+hundred corpora of that size; bytes that are made to collide modulo 2**64 differ in the other.
+
+Shuffled: the texts once, compressed; twelve bytes per different window of a block, one bit back. Blocks grow with the square root
+of the corpus and partitions with the number of blocks. Nothing is broadcast or collected, and no pair of documents is ever made.
 
 A pass over blocks is deterministic (rows are ordered by id and text), so a lost
 executor's work can be redone.
@@ -20,60 +23,68 @@ executor's work can be redone.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.llm._lots import block_count, by_block, packed, unpacked
 from strataflow.llm._shared import bounded, text_bytes
-from strataflow.llm._text import Words, chunks, covered, rolling, runs, window_heads
+from strataflow.llm._text import Words, chunks, covered, rolling, rolling_mod, runs, window_heads
 
 _ENTRIES = "bucket int, block int, hashes binary, docs binary"
 _ANSWERS = "block int, bucket int, bits binary"
 _SPANS = "array<struct<start:int,end:int>>"
 _NO_ID = np.iinfo(np.int64).max
+_ROW = pa.schema([("id", pa.int64()), ("text", pa.string())])
 
 
-def _ordered(table: pa.Table) -> pa.Table:
-    """Rows by id, null last, then text: the same order each time the block is read."""
-    return table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("text", "ascending")], null_placement="at_end")) if table.num_rows > 1 else table
-
-
-def _windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Window hashes of a block, their ids (null: largest) and word positions, and all rows' first words."""
-    hashes, ids, heads, first, base = [], [], [], [np.zeros(1, dtype=np.int64)], 0
+def _windows(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of a block's windows, their ids (null: largest) and word positions, and all rows' first words."""
+    hashes, checks, ids, heads, first, base = [], [], [], [], [np.zeros(1, dtype=np.int64)], 0
     for part in chunks(table, "text"):
         words = Words(part.column("text"))
         at = window_heads(words.first, width)
-        row = np.searchsorted(words.first, at, "right") - 1
+        row = np.repeat(np.arange(part.num_rows), np.maximum(words.counts() - width + 1, 0))
         own = part.column("id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-        hashes.append(rolling(words.hashes(), width)[at])
+        residues = words.residues()
+        hashes.append(rolling(words.hashes(residues), width)[at])
+        checks.append(rolling_mod(residues, width)[at])
         ids.append(own[row])
         heads.append(at + base)
         first.append(words.first[1:] + base)
         base += len(words)
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
-    return join(hashes, np.uint64), join(ids, np.int64), join(heads, np.int64), np.concatenate(first)
+    return join(hashes, np.uint64), join(checks, np.uint32), join(ids, np.int64), join(heads, np.int64), np.concatenate(first)
+
+
+def _groups(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal pairs together, and where in it each group begins."""
+    order = np.argsort(hashes)
+    ranked, second = hashes[order], checks[order]
+    same = ranked[1:] == ranked[:-1]
+    if (same & (second[1:] != second[:-1])).any():
+        order = np.lexsort((checks, hashes))
+        ranked, second = hashes[order], checks[order]
+        same = (ranked[1:] == ranked[:-1]) & (second[1:] == second[:-1])
+    return order, np.flatnonzero(np.concatenate((np.ones(min(len(order), 1), dtype=bool), ~same)))
 
 
-def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position of the first occurrence of each hash, and for every window the rank of its hash among them.
+def _distinct(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the first occurrence of each window, and for every window the rank of its first among them.
 
     First occurrences come in window order, so their ids ascend.
     """
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    new = np.ones(len(ranked), dtype=bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    heads = order[new]
-    kept = np.sort(heads)
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    order, heads = _groups(hashes, checks)
+    firsts = np.minimum.reduceat(order, heads)
+    is_first = np.zeros(len(hashes), dtype=bool)
+    is_first[firsts] = True
     rank = np.empty(len(hashes), dtype=np.int64)
-    rank[order] = np.searchsorted(kept, heads)[np.cumsum(new) - 1] if len(hashes) else 0
-    return kept, rank
+    rank[order] = np.repeat((np.cumsum(is_first) - 1)[firsts], np.diff(np.append(heads, len(hashes))))
+    return np.flatnonzero(is_first), rank
 
 
 def _dealt(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -97,9 +108,9 @@ def _unpack_ids(packed: bytes) -> np.ndarray:
 def _entries(width: int, buckets: int):
     def of_block(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        hashes, ids, _, _ = _windows(_ordered(table), width)
-        kept, _ = _distinct(hashes)
-        hashes, ids = hashes[kept], ids[kept]
+        hashes, checks, ids, _, _ = _windows(unpacked(table, _ROW), width)
+        kept, _ = _distinct(hashes, checks)
+        hashes, checks, ids = hashes[kept], checks[kept], ids[kept]
         bucket = _dealt(hashes, buckets)
         order = np.argsort(bucket, kind="stable")
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -107,7 +118,7 @@ def _entries(width: int, buckets: int):
         return pa.table({
             "bucket": pa.array([b for b, _ in found], pa.int32()),
             "block": pa.array([block] * len(found), pa.int32()),
-            "hashes": pa.array([hashes[x].tobytes() for _, x in found], pa.binary()),
+            "hashes": pa.array([hashes[x].tobytes() + checks[x].tobytes() for _, x in found], pa.binary()),
             "docs": pa.array([_pack_ids(ids[x]) for _, x in found], pa.binary()),
         })
 
@@ -117,15 +128,15 @@ def _entries(width: int, buckets: int):
 def _answers(table: pa.Table) -> pa.Table:
     """Counts the hashes of a bucket; a bit per entry: a smaller document has this window."""
     blobs = table.column("hashes").to_pylist()
-    hashes = np.frombuffer(b"".join(blobs), dtype=np.uint64)
+    sizes = [len(x) // 12 for x in blobs]
+    hashes = np.concatenate([np.frombuffer(x, dtype=np.uint64, count=n) for x, n in zip(blobs, sizes, strict=True)])
+    checks = np.concatenate([np.frombuffer(x, dtype=np.uint32, count=n, offset=8 * n) for x, n in zip(blobs, sizes, strict=True)])
     ids = np.concatenate([_unpack_ids(x) for x in table.column("docs").to_pylist()])
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    order, heads = _groups(hashes, checks)
     least = np.minimum.reduceat(ids[order], heads)
     flags = np.empty(len(hashes), dtype=bool)
-    flags[order] = ids[order] > np.repeat(least, np.diff(np.concatenate((heads, [len(hashes)]))))
-    ends = np.cumsum([len(x) // 8 for x in blobs])
+    flags[order] = ids[order] > np.repeat(least, np.diff(np.append(heads, len(hashes))))
+    ends = np.cumsum(sizes)
     bits = [np.packbits(x).tobytes() for x in np.split(flags, ends[:-1])]
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
@@ -134,9 +145,9 @@ def _cut(width: int, buckets: int):
     def of_block(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in (("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_text", pa.string()))})
-        table = _ordered(table)
-        hashes, ids, heads, first = _windows(table, width)
-        kept, rank = _distinct(hashes)
+        table = unpacked(table, _ROW)
+        hashes, checks, ids, heads, first = _windows(table, width)
+        kept, rank = _distinct(hashes, checks)
         bucket = _dealt(hashes[kept], buckets)
         order = np.argsort(bucket, kind="stable")
         sizes = np.bincount(bucket, minlength=buckets)
@@ -174,7 +185,7 @@ def _cut(width: int, buckets: int):
     return of_block
 
 
-def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """Cuts every word covered by a window of `width` words that also starts in a document with a smaller id.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Windows are judged on the input, so a copy loses a
@@ -185,15 +196,16 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     window is kept whole; rows that share an id never remove each other's words; a null id counts as
     the largest id; other columns are ignored, whatever their names; an empty table gives no rows.
 
-    `block_bytes` bounds the memory of a task. Blocks and buckets are as many as the corpus has such
-    portions; raise it with the square root of the corpus (256 MB at 100 TB) so that the
-    number of block-to-bucket messages stays below that of an ordinary shuffle of that size.
+    `block_bytes` bounds the memory of a task (about twelve times as much); by default it grows with the square root of the
+    corpus, from 8 MB to 256 MB at 100 TB, so that the number of block-to-bucket messages stays that of an ordinary shuffle.
+    Rows with a null id are dealt by their texts like all others.
     """
     bounded(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    n = max(1, math.ceil(text_bytes(own) / block_bytes))
-    blocked = own.withColumn("block", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1))), F.lit(n)).cast("int"))
-    entries = blocked.groupBy("block").applyInArrow(_entries(width, n), _ENTRIES)
-    answers = entries.groupBy("bucket").applyInArrow(_answers, _ANSWERS)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    n = block_count(text_bytes(own), block_bytes)
+    lots = own.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).select("block", "id", "text").mapInArrow(packed(_ROW), "block int, blob binary")
+    blocked = by_block(lots, n, "block")
+    entries = by_block(blocked.groupBy("block").applyInArrow(_entries(width, n), _ENTRIES), n, "bucket")
+    answers = by_block(entries.groupBy("bucket").applyInArrow(_answers, _ANSWERS), n, "block")
     result = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cut(width, n), f"id long, n_words long, n_removed long, spans {_SPANS}, kept_text string")
     return result.withColumnRenamed("id", id_col)

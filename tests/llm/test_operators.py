@@ -56,6 +56,25 @@ def test_substring_dedup(spark, block):
     assert sum(x[2] for x in got) > 200
 
 
+def thue_morse(n):
+    """Two words whose polynomial hashes modulo 2**64 are equal for every odd base."""
+    return tuple("".join(s[k.bit_count() % 2] for k in range(n)) for s in ("ab", "ba"))
+
+
+def test_substring_dedup_tells_colliding_words_apart(spark):
+    a, b = thue_morse(1024)
+    rest = edge.words(77, 49)
+    rows = [(1, rest + " " + a), (2, rest + " " + b), (3, rest + " " + b)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
+def test_substring_dedup_null_ids_over_many_blocks(spark):
+    rows = [(None, edge.words(k % 9, 80)) for k in range(60)] + [(k, edge.words(k, 80)) for k in range(9)]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 50, block_bytes=1500).collect()]
+    assert bag(got) == bag(cut(rows, 50))
+
+
 def test_substring_dedup_spans_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (2, "x a b c y b c d")], "doc_id long, text string")
     rows = {r.doc_id: ([(s.start, s.end) for s in r.spans], r.kept_text) for r in substring_dedup(df, 3).collect()}

@@ -65,9 +65,21 @@ def test_ids_round_trip(ids):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=30))
 def test_distinct_keeps_first_occurrences(values):
-    kept, rank = _distinct(np.array(values, dtype=np.uint64))
-    assert [values[k] for k in kept] == list(dict.fromkeys(values))
-    assert [values[kept[r]] for r in rank] == values
+    # pairs that agree in one hash only are different
+    pairs = [(v // 2, v % 3) for v in values]
+    kept, rank = _distinct(np.array([a for a, _ in pairs], dtype=np.uint64), np.array([b for _, b in pairs], dtype=np.uint32))
+    assert [pairs[k] for k in kept] == list(dict.fromkeys(pairs))
+    assert [pairs[kept[r]] for r in rank] == pairs
+
+
+def test_words_that_collide_modulo_a_power_of_two_differ():
+    import pyarrow as pa
+
+    a = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    b = "".join("ba"[k.bit_count() % 2] for k in range(2048))
+    words = _text.Words(pa.array([a, b, a]))
+    hashes, residues = words.hashes(), words.residues()
+    assert hashes[0] == hashes[2] != hashes[1] and residues[0] == residues[2] != residues[1]
 
 
 @settings(max_examples=100, deadline=None)
