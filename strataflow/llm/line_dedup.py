@@ -3,94 +3,105 @@
 Lines (trimmed, blank ones skipped) are hashed; grams of `gram` neighbouring line hashes are hashed again, and of
 every `window` neighbouring grams the least is kept as a fingerprint. Any two runs of
 gram + window - 1 equal lines then share a fingerprint at the same place (the winnowing guarantee), so
-fingerprints that occur once rule out most of the corpus with a fraction of its positions.
+fingerprints that occur once rule out most of the corpus with a fraction of its positions. Shorter runs that are long passages
+all the same (`long_words` words) are fingerprints as they are.
 
-Around each fingerprint that occurs elsewhere, the runs of gram + window - 1 lines that contain it are
-compared by hash with their first occurrence in (id, line) order; runs that overlap or touch are one
-match extended both ways. Every match but the first is deleted.
-
-With `long_words`, a run of fewer lines is a passage too if it has that many words: single lines and shorter runs of so many
-words are compared by hash as they are (few lines are that long), and overlap and touch the other matches alike.
+Positions of fingerprints that occur elsewhere are joined: each window of lines around one meets the first
+occurrence of the same lines in (id, line) order. Windows that follow each other in both texts are one match, extended both
+ways as far as the lines agree (`line_matches`). Every occurrence but the first is deleted; since a window
+has its own first occurrence, what is deleted is exactly what any earlier passage covers, wherever that passage ends.
 
 Joins meet at the first occurrence only, never all pairs of occurrences, and counts are combined before the shuffle, so a
-passage that a third of the corpus shares costs one row for each document that has it.
+passage that a third of the corpus shares costs one row for each document that has it. All joins sort and spill.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.llm._shared import materialize
 
-
-def _positions(lines_hash, n, width: int):
-    """Hashes of all runs of `width` neighbouring elements."""
-    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), lambda p: F.xxhash64(*[F.get(lines_hash, p + k) for k in range(width)]))).otherwise(F.array().cast("array<bigint>"))
+_RUN = "struct<f:bigint,p:int,runs:array<struct<s:int,e:int,r:bigint,first:int,last:int>>>"
 
 
-def _long_runs(own: DataFrame, width: int, long_words: int) -> DataFrame:
-    """(id, s, e, r, first, last): every run of `width` lines that has `long_words` words or more."""
-    words = sum((F.get(F.col("words"), F.col("_s") + k) for k in range(1, width)), F.get(F.col("words"), F.col("_s")))
-    starts = own.where(F.col("n") >= width).select("id", "at", "h", "words", F.explode(F.sequence(F.lit(0), F.col("n") - width)).alias("_s")).where(words >= long_words)
-    return starts.select("id", F.col("_s").alias("s"), (F.col("_s") + (width - 1)).alias("e"), F.xxhash64(F.lit(width), *[F.get("h", F.col("_s") + k) for k in range(width)]).alias("r"), F.get("at", F.col("_s")).alias("first"), F.get("at", F.col("_s") + (width - 1)).alias("last")).distinct()
+def _starts(width: int) -> Column:
+    """Where a run of `width` of n lines can start."""
+    return F.when(F.col("n") >= width, F.sequence(F.lit(0), F.col("n") - width)).otherwise(F.array().cast("array<int>"))
 
 
-def _later(runs: DataFrame) -> DataFrame:
-    """(id, s, e, first, last) of the runs that are not the first of their hash."""
-    heads = runs.groupBy("r").agg(F.min(F.struct("id", "s")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    return runs.join(heads, "r").where(F.struct("id", "s") > F.col("head")).select("id", "s", "e", "first", "last")
+def _run(s: Column, width: int, salt: int | None = None) -> Column:
+    """The run of `width` lines from s: its ends, hash, and the text's line numbers."""
+    h = F.xxhash64(*([F.lit(salt)] if salt else []), *[F.get("h", s + k) for k in range(width)])
+    return F.struct(s.alias("s"), (s + (width - 1)).alias("e"), h.alias("r"), F.get("at", s).alias("first"), F.get("at", s + (width - 1)).alias("last"))
 
 
-def repeated_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
-    """(id, gone): maximal runs of lines, by number of the text's lines, that repeat earlier passages of at least gram + window - 1 lines, or of long_words words."""
+def _marks(lines: DataFrame, gram: int, window: int, long_words: int | None) -> DataFrame:
+    """(id, f, p, runs): the fingerprints of each text, where they are, and the runs of lines that contain them."""
     run = gram + window - 1
-    lines = F.split(F.col(text_col), "\n", -1)
-    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x"))), lambda s: s["x"] != "")
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), numbered.alias("lines"))
-    hashed = texts.select("id", F.transform("lines", lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"))).alias("lines")).where(F.size("lines") >= run)
-    own = hashed.select("id", F.col("lines.i").alias("at"), F.col("lines.h").alias("h")).withColumn("n", F.size("h"))
-    grams = own.select("id", "at", "n", _positions(F.col("h"), F.col("n"), gram).alias("g"), _positions(F.col("h"), F.col("n"), run).alias("r"))
-    least = F.transform(F.sequence(F.lit(0), F.size("g") - window), lambda j: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct(F.get(F.col("g"), j + k).alias("f"), (-(j + k)).alias("p")))))
-    chosen = F.array_distinct(least)
+    grams = F.transform(_starts(gram), lambda p: F.xxhash64(*[F.get("h", p + k) for k in range(gram)]))
+    places = F.when(F.col("n") >= run, F.sequence(F.lit(0), F.size("g") - window)).otherwise(F.array().cast("array<int>"))
+    least = F.transform(places, lambda j: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct(F.get("g", j + k).alias("f"), (-(j + k)).alias("p")))))
     # the runs that contain the gram at place p start at p - (window - 1) .. p
-    around = lambda p: F.filter(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct((p - k).alias("s"), F.get(F.col("r"), p - k).alias("r"))), lambda x: (x["s"] >= 0) & x["r"].isNotNull())
-    # get() with a negative index gives null in place of an error
-    marks = materialize(grams.select("id", F.explode(F.transform(chosen, lambda c: F.struct(c["f"].alias("f"), (-c["p"]).alias("p"), F.transform(around(-c["p"]), lambda x: F.struct(x["s"].alias("s"), x["r"].alias("r"), F.get(F.col("at"), x["s"]).alias("first"), F.get(F.col("at"), x["s"] + run - 1).alias("last"))).alias("runs")))).alias("m")).select("id", "m.f", "m.p", "m.runs"), "line-marks")
-    place = F.struct("id", "p")
-    shared = marks.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("f")
-    runs = marks.join(shared, "f").select("id", F.explode("runs").alias("r")).select("id", "r.s", (F.col("r.s") + (run - 1)).alias("e"), "r.r", "r.first", "r.last").distinct()
-    later = _later(runs)
-    if long_words is not None:
-        counted = texts.select("id", F.transform("lines", lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.size(F.regexp_extract_all(s["x"], F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))).alias("lines"))
-        counted = counted.select("id", F.col("lines.i").alias("at"), F.col("lines.h").alias("h"), F.col("lines.words").alias("words")).withColumn("n", F.size("h"))
-        for width in range(1, run):
-            later = later.unionByName(_later(_long_runs(counted, width, long_words)))
-    sorted_ = later.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("s", "e", "first", "last"))).alias("m"))
-    # one run for each start, the longest; a run reaches no further than the `run` starts before it tell
-    sorted_ = sorted_.withColumn("m", F.filter("m", lambda x, i: (i == F.size("m") - 1) | (F.get(F.col("m"), i + 1)["s"] != x["s"])))
-    m = F.col("m")
-    upto = lambda i, k, c: F.greatest(*[F.get(m, i - j)[c] for j in range(k, run + 1)], F.lit(-1))
-    begins = F.filter(m, lambda x, i: (i == 0) | (x["s"] > upto(i, 1, "e") + 1))
-    ends = F.filter(F.transform(m, lambda x, i: F.struct(upto(i, 0, "last").alias("last"), ((i == F.size(m) - 1) | (F.get(m, i + 1)["s"] > upto(i, 0, "e") + 1)).alias("final"))), lambda x: x["final"])
-    return sorted_.select("id", F.zip_with(begins, ends, lambda a, b: F.struct(a["first"].alias("first"), b["last"].alias("last"))).alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
+    around = lambda p: F.transform(F.filter(F.sequence(p - (window - 1), p), lambda s: (s >= 0) & (s + run <= F.col("n"))), lambda s: _run(s, run))
+    found = [F.transform(F.array_distinct(least), lambda c: F.struct(c["f"].alias("f"), (-c["p"]).alias("p"), around(-c["p"]).alias("runs")))]
+    for width in range(1, run) if long_words else ():
+        words = lambda s: sum((F.get("words", s + k) for k in range(1, width)), F.get("words", s))  # noqa: B023, E731
+        long = F.transform(F.filter(_starts(width), lambda s: words(s) >= long_words), lambda s: _run(s, width, width))  # noqa: B023
+        found.append(F.transform(long, lambda x: F.struct(x["r"].alias("f"), x["s"].alias("p"), F.array(x).alias("runs"))))
+    return lines.withColumn("g", grams).select("id", F.explode(F.concat(*[x.cast(f"array<{_RUN}>") for x in found])).alias("m")).select("id", "m.f", "m.p", "m.runs")
+
+
+def line_matches(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = 50) -> DataFrame:
+    """Maximal matches with earlier passages: (id, s, e, first, last, source_id, source_s).
+
+    s to e are places among the lines that are not blank, first to last the text's line numbers, both ends included; the
+    same lines stand in source_id from place source_s on, the earliest occurrence of each window. Null ids are sources only.
+    """
+    number = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x"))), lambda s: s["x"] != "")
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), number.alias("lines"))
+    columns = [F.col("lines.i").alias("at"), F.transform("lines", lambda s: F.xxhash64(s["x"])).alias("h"), F.size("lines").alias("n")]
+    if long_words:
+        columns.append(F.transform("lines", lambda s: F.size(F.regexp_extract_all(s["x"], F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).alias("words"))
+    marks = materialize(_marks(texts.select("id", *columns), gram, window, long_words), "line-marks")
+    shared = marks.groupBy("f").agg(F.min(F.struct("id", "p")).alias("a"), F.max(F.struct("id", "p")).alias("b")).where("a <> b").select("f")
+    runs = materialize(marks.join(shared, "f").select("id", F.explode("runs").alias("r")).select("id", "r.*"), "line-runs")
+    heads = runs.groupBy("r").agg(F.min(F.struct("id", "s")).alias("head"), F.max(F.struct("id", "s")).alias("tail")).where("head <> tail").select("r", "head")
+    later = runs.join(heads, "r").where(F.col("id").isNotNull() & (F.struct("id", "s") > F.col("head"))).select("id", "s", "e", "first", "last", F.col("head.id").alias("source_id"), F.col("head.s").alias("source_s"))
+    # windows on one diagonal that overlap or follow each other are one match
+    diagonal = F.col("source_s") - F.col("s")
+    along = Window.partitionBy("id").orderBy("source_id", diagonal, "s", "e")
+    begins = F.lag("s").over(along).isNull() | ~F.lag("source_id").over(along).eqNullSafe(F.col("source_id")) | (F.lag(diagonal).over(along) != diagonal) | (F.col("s") > F.lag("e").over(along) + 1)
+    numbered = later.withColumn("new", begins.cast("int")).withColumn("g", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("id", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("source_id").alias("source_id"), F.min("source_s").alias("source_s")).drop("g")
+
+
+def repeated_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = 50) -> DataFrame:
+    """(id, gone): the ranges of line numbers that matches with earlier passages cover; ranges that overlap or touch are one."""
+    found = line_matches(docs, gram, window, id_col, text_col, long_words)
+    order = Window.partitionBy("id").orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    split = found.withColumn("new", F.coalesce((F.col("s") > reach + 1).cast("int"), F.lit(1))).withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = split.groupBy("id", "g").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return ranges.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = 50) -> DataFrame:
     """The documents with repeated passages of lines deleted: every column of docs, text_col changed, and n_lines, n_removed, gone.
 
-    A passage is gram + window - 1 or more neighbouring lines, or with long_words any that have so many words together (trimmed of spaces; blank lines do not count and go with
-    the lines around them); it is deleted wherever it is not its first occurrence in the order of id and line. gone holds the deleted
+    A passage is gram + window - 1 or more neighbouring lines, or fewer that have `long_words` words together (None: no such).
+    Lines are trimmed of spaces; blank lines do not count and go with the lines around them. A passage is deleted
+    wherever it is not its first occurrence in the order of id and line. gone holds the deleted
     ranges of line numbers, from 0, both ends included.
 
     Defined results: a null text stays null with null counts; an empty text has one line; texts with fewer lines than a
-    passage stay as they are; rows that share an id are neither's earlier copy and lose the same
+    passage stay as they are unless they are long passages; rows that share an id are neither's earlier copy and lose the same
     lines; a null id sorts first and loses nothing; columns of docs named n_lines, n_removed or gone are replaced; an empty
     table gives no rows.
     """
     found = repeated_lines(docs, gram, window, id_col, text_col, long_words)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "gone")]
-    joined = docs.select(keep).join(found.hint("shuffle_hash").withColumnRenamed("id", "_gone_id").withColumnRenamed("gone", "_gone"), F.col(id_col) == F.col("_gone_id"), "left")
+    joined = docs.select(keep).join(found.withColumnRenamed("id", "_gone_id").withColumnRenamed("gone", "_gone"), F.col(id_col) == F.col("_gone_id"), "left")
     text, gone = F.col(text_col), F.col("_gone")
     lines = F.split(text, "\n", -1)
     # what is kept lies between the deleted ranges

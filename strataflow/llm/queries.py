@@ -129,13 +129,16 @@ ORACLE_SQL: dict[str, str] = {
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op8_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-        k AS (SELECT doc_id, i, trim(ln) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l WHERE trim(ln) <> ''),
-        w AS (SELECT doc_id, s, i AS a, lead(i, 2) OVER o AS b, md5(x || chr(10) || lead(x) OVER o || chr(10) || lead(x, 2) OVER o) AS r
-              FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
-        heads AS (SELECT r, min((doc_id, s)) AS head FROM w WHERE b IS NOT NULL GROUP BY r),
-        later AS (SELECT doc_id, s, a, b FROM w JOIN heads USING (r) WHERE b IS NOT NULL AND (doc_id, s) > head),
-        marked AS (SELECT doc_id, a, b, s, sum(CASE WHEN s > before + 3 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS g
-                   FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM later)),
+        k AS (SELECT doc_id, i, trim(ln) AS x, len(regexp_extract_all(ln, '[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l WHERE trim(ln) <> ''),
+        near AS (SELECT *, lead(x) OVER o AS x2, lead(x, 2) OVER o AS x3, lead(i) OVER o AS i2, lead(i, 2) OVER o AS i3, lead(n) OVER o AS n2
+                 FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+        w AS (SELECT doc_id, s, s AS e, i AS a, i AS b, md5(x) AS r FROM near WHERE n >= 50
+              UNION ALL SELECT doc_id, s, s + 1, i, i2, md5(x || chr(10) || x2) FROM near WHERE n + n2 >= 50
+              UNION ALL SELECT doc_id, s, s + 2, i, i3, md5(x || chr(10) || x2 || chr(10) || x3) FROM near WHERE x3 IS NOT NULL),
+        heads AS (SELECT r, min((doc_id, s)) AS head FROM w GROUP BY r),
+        later AS (SELECT doc_id, s, e, a, b FROM w JOIN heads USING (r) WHERE (doc_id, s) > head),
+        reached AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM later),
+        marked AS (SELECT *, sum(CASE WHEN upto IS NULL OR s > upto + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e) AS g FROM reached),
         gone AS (SELECT doc_id, min(a) AS first, max(b) AS last FROM marked GROUP BY doc_id, g),
         kept AS (SELECT l.doc_id, l.i, l.ln FROM l WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = l.doc_id AND l.i BETWEEN first AND last)),
         rebuilt AS (SELECT doc_id, string_agg(ln, chr(10) ORDER BY i) AS t, count(*) AS n FROM kept GROUP BY doc_id)

@@ -14,7 +14,7 @@ import zstandard
 from strataflow.llm import chat_format, license_scan, mixing, ngram_quality, quality_rules, simhash_dedup, toxicity
 from strataflow.llm.components import connected_components
 from strataflow.llm.decontaminate import decontaminate
-from strataflow.llm.line_dedup import dedup_lines
+from strataflow.llm.line_dedup import dedup_lines, line_matches
 from strataflow.llm.substring_dedup import substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -404,8 +404,10 @@ def lines_removed(rows, run):
 
 def test_line_dedup(spark):
     rows = edge.texts()
-    got = [(r.doc_id, r.text, r.n_removed) for r in dedup_lines(edge.docs(spark)).collect()]
+    got = [(r.doc_id, r.text, r.n_removed) for r in dedup_lines(edge.docs(spark), long_words=None).collect()]
     assert bag(got) == bag(lines_removed([x for x in rows if x[0] != 4] + [(4, rows[3][1])] * 2, 3))
+    with_long = {r.doc_id: r.text for r in dedup_lines(edge.docs(spark)).collect()}
+    assert with_long[3] == rows[2][1] and with_long[4] == "" and with_long[2] == rows[1][1]  # one line of 60 words
     assert {i: n for i, _, n in got}[10] == 6 and {i: n for i, _, n in got}[15] == 4
     assert dedup_lines(edge.docs(spark)).columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
     assert dedup_lines(edge.empty(spark)).count() == 0
@@ -415,10 +417,20 @@ def test_line_dedup(spark):
 def test_line_dedup_of_random_lines(spark, gram, window):
     rng = random.Random(gram * 10 + window)
     rows = [(i, "\n".join(rng.choice(["a", "b", "c", " a ", "", "d e"]) for _ in range(rng.randint(0, 14)))) for i in range(60)]
-    got = [(r.doc_id, r.text, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), gram, window).collect()]
+    got = [(r.doc_id, r.text, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), gram, window, long_words=None).collect()]
     assert bag(got) == bag(lines_removed(rows, gram + window - 1))
 
 
+def test_line_matches_extend_both_ways(spark):
+    a, b = [f"alpha {k}" for k in range(6)], [f"beta {k}" for k in range(4)]
+    rows = [(1, "\n".join(["x", *a, "y"])), (2, "\n".join(b)), (3, "\n".join(["p", *a, *b, "q"])), (None, "\n".join(a))]
+    got = [(r.id, r.first, r.last, r.source_id, r.source_s) for r in line_matches(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect()]
+    assert bag(got) == bag([(3, 1, 6, 1, 1), (3, 7, 10, 2, 0)])  # neighbours with different origins are two matches
+    # a null id comes first and loses nothing
+    got = {(r.doc_id, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 6), (2, 0), (3, 10), (None, 0)}
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = dedup_lines(edge.docs(spark))._jdf.queryExecution().executedPlan().toString() + license_scan.scan_licenses(edge.docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
