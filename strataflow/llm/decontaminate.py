@@ -6,15 +6,16 @@ match that ends there and, by the suffix links, the items it is in. A document w
 back to its root, so only runs of words known to the items are walked word by word; finding those
 runs is vectorised.
 
-The items are the small side: they are split into shards of at most `shard_words` words, one
-automaton each, and only a shard's texts (so bounded) travel with the tasks. A document passes all shards
-in one job without a shuffle.
+The items are the small side: they are split into shards of bounded size, one automaton each, and only a shard's texts
+travel with the tasks. Documents pass one shard after the other, without a shuffle; a benchmark of one shard
+(the usual case) takes one scan.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm._shared import bounded
+from strataflow.llm._shared import bounded, materialize
 from strataflow.llm._text import NOT_WORDLIKE, Words, chunks, runs
 
 _SPAN = "array<struct<start:int,end:int>>"
@@ -30,87 +31,121 @@ _WORD_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 class SuffixAutomaton:
-    """A generalised suffix automaton over integer tokens, with the windows of each item at its states."""
+    """A generalised suffix automaton over tokens (integers from 0), with the windows of each item at its states.
+
+    States are rows of arrays; a state's first transition is in the arrays too, only branching states have a dictionary. So a
+    state takes some thirty bytes, and an item's word two states at most.
+    """
 
     def __init__(self, items: Sequence[Sequence[int]], width: int) -> None:
         self.width = width
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
-        self.ends: list[set[int]] = [set()]
-        for number, tokens in enumerate(items):
+        self.link, self.len = array("i", [-1]), array("i", [0])
+        self.token, self.to = array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+        for tokens in items:
             last = 0
             for token in tokens:
                 last = self._extend(last, token)
-                self.ends[last].add(number)
-        for state in sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True):
-            if self.len[self.link[state]] >= width:
-                self.ends[self.link[state]] |= self.ends[state]
-        #: by state: (window length, items) for every window that may end where the state is reached
-        self.windows: list[list[tuple[int, frozenset[int]]]] = [[] for _ in self.len]
-        for number, tokens in enumerate(items):
-            if 0 < len(tokens) < width:
-                state = self._find(tokens)
-                self.windows[state] = [*self.windows[state], (len(tokens), frozenset([number]))]
-        for state in sorted(range(1, len(self.len)), key=self.len.__getitem__):
-            if self.link[state] > 0:
-                self.windows[state] = self.windows[self.link[state]] + self.windows[state]
-            if self.len[self.link[state]] < width <= self.len[state]:
-                self.windows[state] = [*self.windows[state], (width, frozenset(self.ends[state]))]
+        self._mark(items)
+
+    def _step(self, state: int, token: int) -> int:
+        """The state after a token, or -1."""
+        if self.token[state] == token:
+            return self.to[state]
+        more = self.more.get(state)
+        return more.get(token, -1) if more else -1
+
+    def _set(self, state: int, token: int, target: int) -> None:
+        if self.token[state] in (-1, token):
+            self.token[state], self.to[state] = token, target
+        else:
+            self.more.setdefault(state, {})[token] = target
+
+    def _new(self, length: int, link: int) -> int:
+        self.link.append(link)
+        self.len.append(length)
+        self.token.append(-1)
+        self.to.append(0)
+        return len(self.len) - 1
 
     def _clone(self, state: int, token: int, parent: int) -> int:
-        copy = len(self.len)
-        self.next.append(dict(self.next[state]))
-        self.link.append(self.link[state])
-        self.len.append(self.len[parent] + 1)
-        self.ends.append(set())
-        while parent != -1 and self.next[parent].get(token) == state:
-            self.next[parent][token] = copy
+        copy = self._new(self.len[parent] + 1, self.link[state])
+        self.token[copy], self.to[copy] = self.token[state], self.to[state]
+        if state in self.more:
+            self.more[copy] = dict(self.more[state])
+        while parent != -1 and self._step(parent, token) == state:
+            self._set(parent, token, copy)
             parent = self.link[parent]
         self.link[state] = copy
         return copy
 
     def _extend(self, last: int, token: int) -> int:
-        if token in self.next[last]:
-            state = self.next[last][token]
+        state = self._step(last, token)
+        if state >= 0:
             return state if self.len[state] == self.len[last] + 1 else self._clone(state, token, last)
-        new = len(self.len)
-        self.next.append({})
-        self.link.append(0)
-        self.len.append(self.len[last] + 1)
-        self.ends.append(set())
+        new = self._new(self.len[last] + 1, 0)
         parent = last
-        while parent != -1 and token not in self.next[parent]:
-            self.next[parent][token] = new
+        while parent != -1 and self._step(parent, token) < 0:
+            self._set(parent, token, new)
             parent = self.link[parent]
         if parent != -1:
-            state = self.next[parent][token]
+            state = self._step(parent, token)
             self.link[new] = state if self.len[state] == self.len[parent] + 1 else self._clone(state, token, parent)
         return new
 
-    def _find(self, tokens: Sequence[int]) -> int:
-        state = 0
-        for token in tokens:
-            state = self.next[state][token]
-        return state
-
-    def scan(self, tokens: Sequence[int]) -> list[tuple[int, int, frozenset[int]]]:
-        """(end, length, items) of every window of an item that occurs in the tokens."""
-        follow, link, length, windows = self.next, self.link, self.len, self.windows
+    def _mark(self, items: Sequence[Sequence[int]]) -> None:
+        """Finds by state: the state of its suffix of `width` words, and the next one, by suffix links, that a short item is."""
+        n, width = len(self.len), self.width
+        places: list[np.ndarray] = []
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for number, tokens in enumerate(items):
+            state, path = 0, []
+            for token in tokens:
+                state = self._step(state, token)
+                path.append(state)
+            if 0 < len(tokens) < width:
+                self.short.setdefault(state, []).append((len(tokens), number))
+            elif len(tokens) >= width:
+                places.append(np.array([path[width - 1 :], [number] * (len(tokens) - width + 1)], dtype=np.int32))
+        lens, links = np.frombuffer(self.len, dtype=np.int32), np.frombuffer(self.link, dtype=np.int32)
+        self.top, self.near = array("i", bytes(4 * n)), array("i", bytes(4 * n))
+        self.top[0] = self.near[0] = -1
+        for state in np.argsort(lens, kind="stable")[1:].tolist():
+            link = int(links[state])
+            self.top[state] = -1 if lens[state] < width else state if lens[link] < width else self.top[link]
+            self.near[state] = state if state in self.short else self.near[link]
+        # the items of each window: those of state s are own[first[s] : first[s + 1]]
+        pairs = np.concatenate(places, axis=1) if places else np.zeros((2, 0), dtype=np.int32)
+        pairs = np.unique(np.stack((np.frombuffer(self.top, dtype=np.int32)[pairs[0]], pairs[1])), axis=1) if pairs.size else pairs
+        self.own, self.first = pairs[1], np.searchsorted(pairs[0], np.arange(n + 1)).astype(np.int32)
+
+    def scan(self, tokens: Sequence[int]) -> tuple[list[tuple[int, int]], set[int]]:
+        """(end, length) of every window of an item that occurs in the tokens, and the items; a token under 0 is in no item."""
+        link, length, step_of = self.link, self.len, self._step
         state = matched = 0
-        found = []
+        found, states, items = [], set(), set()
         for at, token in enumerate(tokens):
-            step = follow[state].get(token)
-            while step is None and state:
+            step = -1 if token < 0 else step_of(state, token)
+            while step < 0 and state:
                 state = link[state]
                 matched = length[state]
-                step = follow[state].get(token)
-            if step is None:
+                step = -1 if token < 0 else step_of(state, token)
+            if step < 0:
                 continue
             state, matched = step, matched + 1
-            for size, items in windows[state]:
-                if size <= matched:
-                    found.append((at + 1, size, items))
-        return found
+            if matched >= self.width:
+                found.append((at + 1, self.width))
+                states.add(self.top[state])
+            short = self.near[state]
+            while short > 0:
+                for size, number in self.short[short]:
+                    if size <= matched:
+                        found.append((at + 1, size))
+                        items.add(number)
+                short = self.near[link[short]]
+        for x in states:
+            items.update(self.own[self.first[x] : self.first[x + 1]].tolist())
+        return found, items
 
 
 class Matcher:
@@ -118,33 +153,39 @@ class Matcher:
 
     def __init__(self, ids: Sequence, texts: Sequence[str | None], width: int) -> None:
         words = Words(pa.array([x or "" for x in texts], pa.string()), NOT_WORDLIKE, lower=True)
+        raw = words.data.tobytes()
         self.ids = list(ids)
-        self.vocabulary, tokens = np.unique(words.hashes(), return_inverse=True)
-        items = [tokens[a:b].tolist() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        sizes = [min(len(x), width) for x in items if x]
-        self.shortest = min(sizes, default=width)
+        self.tokens: dict[bytes, int] = {}
+        flat = array("i", (self.tokens.setdefault(raw[a:b], len(self.tokens)) for a, b in zip(words.starts.tolist(), words.ends.tolist(), strict=True)))
+        items = [flat[a:b] for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+        self.hashes = np.unique(words.hashes())
+        self.shortest = min((min(len(x), width) for x in items if len(x)), default=width)
         self.automaton = SuffixAutomaton(items, width)
 
     def find(self, words: Words) -> tuple[np.ndarray, list[set]]:
-        """Which words are hit, and the items found in each row."""
+        """Which words are hit, and the items found in each row.
+
+        Hashes find the runs of words that may be in items; whether a word is one is decided by its bytes.
+        """
         hit, items = np.zeros(len(words) + 1, dtype=np.int64), [set() for _ in range(len(words.first) - 1)]
-        if not len(self.vocabulary) or not len(words):
+        if not len(self.hashes) or not len(words):
             return hit[:-1] > 0, items
         hashes = words.hashes()
-        token = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        known = self.vocabulary[token] == hashes
+        known = self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
         starts, ends = runs(known)
         # a run ends with its row
         cuts = words.first[1:-1]
         starts = np.unique(np.concatenate((starts, cuts[(cuts < len(words)) & known[np.minimum(cuts, len(words) - 1)]])))
         ends = np.unique(np.concatenate((ends, cuts[(cuts > 0) & known[np.maximum(cuts - 1, 0)]])))
         long = ends - starts >= self.shortest
+        raw, token = words.data.tobytes(), self.tokens.get
         for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-            for end, size, found in self.automaton.scan(token[a:b].tolist()):
+            found, numbers = self.automaton.scan([token(raw[x:y], -1) for x, y in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True)])
+            for end, size in found:
                 hit[a + end - size] += 1
                 hit[a + end] -= 1
-                row = int(np.searchsorted(words.first, a, "right")) - 1
-                items[row] |= {self.ids[x] for x in found}
+            if numbers:
+                items[int(np.searchsorted(words.first, a, "right")) - 1] |= {self.ids[x] for x in numbers}
         return np.cumsum(hit[:-1]) > 0, items
 
 
@@ -159,16 +200,15 @@ def _matcher(key: str, shard, width: int) -> Matcher:
     return _MATCHERS[key]
 
 
-def _shards(benchmark: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> list[list[tuple]]:
-    """The items in shards of about `shard_bytes`; the number of shards, not their size, grows with the benchmark."""
-    own = benchmark.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("size", F.octet_length("text") + 8)
+def _shards(benchmark: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> tuple[DataFrame, int]:
+    """The different items, dealt into shards of about `shard_bytes`; the number of shards, not their size, grows with the benchmark."""
+    own = benchmark.select(F.col(id_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct().withColumn("size", F.octet_length("text") + 8)
     total = own.agg(F.sum("size")).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
-    dealt = own.withColumn("shard", F.pmod(F.xxhash64(F.col("item").cast("string"), F.col("text")), F.lit(n)))
-    return [[(r["item"], r["text"]) for r in dealt.where(F.col("shard") == k).orderBy(F.col("item").cast("string"), "text").select("item", "text").collect()] for k in range(n)]
+    return own.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Finds the windows of benchmark items in documents and cuts them out.
 
     A window is `width` consecutive words of an item; an item of fewer words, but not none, is one window.
@@ -177,16 +217,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
     hit interval), and clean_text: the text without the bytes of the hit words and what stands between them.
 
     Defined results: null and empty texts have no words and stay as they are; an empty benchmark or items
-    without words hit nothing; items with the same words are all reported; repeated documents are judged
+    without words hit nothing; items with the same words are all reported, a null item id as "null"; repeated documents are judged
     each on its own; other columns are ignored; an empty table gives no rows.
+
+    Memory: a shard's texts (`shard_bytes`) at a time are on the driver and travel with the tasks, and a worker holds one
+    automaton, about twenty times as large. Each shard but the last is a pass of its own, written to the shared folder.
     """
     spark = bounded(docs.sparkSession)
-    shards = _shards(benchmark, item_col, item_text_col, shard_bytes)
-    lots = [spark.sparkContext.broadcast(([str(i) for i, _ in own], [t for _, t in own])) for own in shards]
+    shards, n_shards = _shards(benchmark, item_col, item_text_col, shard_bytes)
     n_carry, tag = len(carry), uuid.uuid4().hex
 
-    def seek(k: int, last: bool):
-        lot = lots[k]
+    def seek(k: int, last: bool, lot):
         key = f"{tag}-{k}"
 
         def of(batches):
@@ -226,8 +267,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
     own = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("text"))
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields]
     names_out = [*own.columns, "n_words", "n_hit", "items", "spans", "longest"]
-    for k in range(len(lots)):
-        own = own.mapInArrow(seek(k, k == len(lots) - 1), ", ".join([*kinds, "n_words long", "n_hit long", "items array<string>", f"spans {_SPAN}", "longest long"]))
+    for k in range(n_shards):
+        part = shards.where(F.col("shard") == k).orderBy("item", "text").collect()
+        lot = spark.sparkContext.broadcast(([r["item"] or "null" for r in part], [r["text"] for r in part]))
+        last = k == n_shards - 1
+        own = own.mapInArrow(seek(k, last, lot), ", ".join([*kinds, "n_words long", "n_hit long", "items array<string>", f"spans {_SPAN}", "longest long"]))
+        if not last:
+            own = materialize(own, "decontaminated")
+            lot.destroy()
     return own.toDF(id_col, *carry, "clean_text", "n_words", "n_hit", "items", "spans", "longest")
 
 

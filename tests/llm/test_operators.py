@@ -7,13 +7,15 @@ from collections import Counter, defaultdict
 
 import edge
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
 
 from strataflow.llm import chat_format, license_scan, mixing, ngram_quality, quality_rules, simhash_dedup, toxicity
+from strataflow.llm._text import NOT_WORDLIKE, Words
 from strataflow.llm.components import connected_components
-from strataflow.llm.decontaminate import decontaminate
+from strataflow.llm.decontaminate import Matcher, decontaminate
 from strataflow.llm.line_dedup import dedup_lines, line_matches
 from strataflow.llm.substring_dedup import substring_dedup
 
@@ -168,6 +170,24 @@ def test_decontaminate(spark, shard):
     assert clean[50] == "x ! y" and clean[5] is None and clean[6] == ""
 
 
+def test_decontaminate_tells_colliding_words_apart(spark):
+    a, b = thue_morse(1024)
+    found = decontaminate(spark.createDataFrame([(1, a), (2, b), (3, f"x {b} {b}")], "doc_id long, text string"), spark.createDataFrame([(7, b)], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in found} == {1: (0, []), 2: (1, ["7"]), 3: (2, ["7"])}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_automaton_of_few_words(seed):
+    rng = random.Random(seed)
+    items = [(k, " ".join(rng.choices("abc", k=rng.randint(0, 14)))) for k in range(12)]
+    texts = [(k, " ".join(rng.choices("abcd", k=rng.randint(0, 60)))) for k in range(20)]
+    matcher = Matcher([str(i) for i, _ in items], [t for _, t in items], 5)
+    words = Words(pa.array([t for _, t in texts]), NOT_WORDLIKE, lower=True)
+    hit, found = matcher.find(words)
+    got = [(i, int(b - a), int(hit[a:b].sum()), sorted(f)) for (i, _), a, b, f in zip(texts, words.first[:-1], words.first[1:], found, strict=True)]
+    assert got == scan(texts, items, 5)
+
+
 def test_decontaminate_empty_sides(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(r.n_hit == 0 for r in decontaminate(edge.docs(spark), none).collect())
@@ -340,6 +360,35 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(edge.empty(spark)).count() == 0
 
 
+def judged(text, chunk=4096, tail=256):
+    """Ratios and verdict of a text under the production bands, chunk by chunk."""
+    raw = text.encode()
+    size = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x)) / len(x)
+    band = lambda bands, n: next((a, b) for upto, a, b in bands if n <= upto)
+    cuts = list(range(0, len(raw), chunk))
+    if len(cuts) > 1 and len(raw) - cuts[-1] < tail:
+        cuts.pop()
+    parts = [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+    ratios = [size(x) for x in parts]
+    checks = [(size(raw), *band(quality_rules.DOCUMENT_BANDS, len(raw))), *[(r, *band(quality_rules.CHUNK_BANDS, len(x))) for r, x in zip(ratios, parts, strict=True)]]
+    verdict = "repetitive" if any(r < a for r, a, _ in checks) else "incompressible" if any(r > b for r, _, b in checks) else "ok"
+    return verdict, min(ratios), max(ratios)
+
+
+def test_quality_rules_judge_every_byte(spark):
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choices([chr(c) for c in range(33, 127)], k=n))
+    prose = lambda k, n: edge.words(k, n)[:n]
+    texts = [prose(1, 4096) + noise(1000), prose(2, 4096) + noise(300), prose(3, 4096) + noise(200), prose(4, 8192) + "ab" * 400, prose(5, 4096) + "x", prose(6, 100), prose(7, 20000), prose(8, 5000), noise(5000), "ab " * 3000, prose(9, 4096)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    for r in quality_rules.quality_rules(df).collect():
+        verdict, low, high = judged(texts[r.doc_id])
+        assert (r.verdict, r.least_chunk_ratio, r.largest_chunk_ratio) == (verdict, pytest.approx(low), pytest.approx(high)), r.doc_id
+        assert r.kept == (verdict == "ok" and not r.base_failed)
+    assert judged(texts[3])[0] == "repetitive"  # only its tail repeats
+    assert judged(texts[0])[0] == "incompressible"  # only its tail is noise
+
+
 def test_incompressible_text_and_own_bands(spark):
     rng = random.Random(1)
     noise = " ".join("".join(rng.choices([chr(c) for c in range(33, 127)], k=60)) for _ in range(100))
