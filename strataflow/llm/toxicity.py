@@ -145,16 +145,37 @@ def _beginnings(words: Sequence[str], lengths: Sequence[int]) -> Counter:
     """How often each beginning of a word, and each whole word, occurs."""
     found: Counter = Counter()
     for word, n in Counter(words).items():
-        if len(word) <= 24:
-            found[word + "$"] += n
+        found[word + "$"] += n
         for k in lengths:
             if len(word) >= k:
                 found[word[:k]] += n
     return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, entries: int = 200, candidates: int = 600, lengths: Sequence[int] = (3, 4, 5, 6, 7, 8), least_support: int = 5, least_share: float = 0.015, exceptions: Sequence[str] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
-    """Learns a lexicon from about `train_rows` labelled rows, chosen by a hash of their id; texts that are equal after folding count once for each label."""
+def _families(worth: Mapping[str, float]) -> list[str]:
+    """Of each family of beginnings of the same words the entry that does best."""
+    left, chosen = dict(worth), []
+    for entry in sorted(worth, key=lambda e: (worth[e], len(e), e), reverse=True):
+        if entry not in left:
+            continue
+        # of beginnings of the same words the longest that is worth as much says most
+        near = [e for e, x in left.items() if e.startswith(entry.rstrip("$")) and x >= 0.85 * worth[entry]]
+        best = max(near, key=lambda e: (not e.endswith("$"), len(e), e))
+        word = best.rstrip("$")
+        chosen.append(best)
+        for e in [e for e in left if e.rstrip("$").startswith(word) or word.startswith(e.rstrip("$"))]:
+            del left[e]
+    return chosen
+
+
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, lengths: Sequence[int] = (3, 4, 5, 6, 7, 8), least_support: int = 5, least_share: float = 0.015, exceptions: Sequence[str] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
+    """Learns a lexicon from about `train_rows` labelled rows, chosen by a hash of their id; texts that are equal after folding count once for each label.
+
+    Entries are all whole words and all beginnings of `lengths` letters that enough of those rows bear out (`least_support`,
+    `least_share`); their number is bounded by the rows learned from and by nothing else. Of entries of equal
+    worth the longer comes first, then the greater in code points, so reruns agree. An id with several labels counts as toxic if one
+    says so; null ids and null labels are not learned from; null texts are texts without words.
+    """
     bounded(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
     n = marked.count()
@@ -196,18 +217,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, entries: i
     worth = F.col("df1") - price * F.col("df0")
     odds = F.log(((F.col("tok1") + 0.5) / whole["tok1"]) / ((F.col("tok0") + 0.5) / whole["tok0"]))
     least = max(least_support, least_share * whole["df1"])
-    top = counted.where((F.col("entry") != "") & (odds > 2) & (worth >= least)).orderBy(worth.desc(), F.length("entry").desc(), "entry").limit(candidates).select("entry", odds.alias("w"), worth.alias("worth")).collect()
-    left, chosen_entries = {r["entry"]: r for r in top}, []
-    while left and len(chosen_entries) < entries:
-        best = max(left.values(), key=lambda r: (r["worth"], len(r["entry"]), r["entry"]))
-        # of beginnings of the same words the longest that is worth as much says most
-        near = [r for r in left.values() if r["entry"].startswith(best["entry"].rstrip("$")) and r["worth"] >= 0.85 * best["worth"]]
-        best = max(near, key=lambda r: (not r["entry"].endswith("$"), len(r["entry"]), r["entry"]))
-        word = best["entry"].rstrip("$")
-        chosen_entries.append(best["entry"])
-        left = {e: r for e, r in left.items() if not (e.rstrip("$").startswith(word) or word.startswith(e.rstrip("$")))}
-    weights = {r["entry"]: r["w"] for r in top}
-    lexicon = Lexicon({e: float(weights[e]) for e in chosen_entries} or dict(SEED), exceptions)
+    top = counted.where((F.col("entry") != "") & (odds > 2) & (worth >= least)).select("entry", odds.alias("w"), worth.alias("worth")).collect()
+    weights = {r["entry"]: float(r["w"]) for r in top}
+    lexicon = Lexicon({e: weights[e] for e in _families({r["entry"]: float(r["worth"]) for r in top})} or dict(SEED), exceptions)
     parts = lexicon
 
     def measure(batches):
@@ -224,8 +236,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, entries: i
 def toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Scores every whole text: id_col, the columns in `carry`, score (0 to 1), predicted (1 from `threshold`), hits (entries that count).
 
-    Defined results: null and empty texts score as texts without hits; repeated rows score alike; other columns are
-    ignored; an empty table gives no rows. The lexicon travels with the tasks: it has a few hundred entries at most.
+    Defined results: null and empty texts score as texts without hits; repeated rows score alike; a null id keeps its row;
+    other columns are ignored; an empty table gives no rows. A text is folded and scanned as a whole, however long, one at a
+    time: memory is a few times the longest text. The lexicon travels with the tasks; it is bounded by the rows it was learned from.
     """
     bounded(docs.sparkSession)
     n = len(carry) + 1

@@ -560,6 +560,46 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity(edge.empty(spark), lexicon).count() == 0
 
 
+def naive_hits(lexicon, text):
+    """Weights that count, by looking at every place for every entry and phrase."""
+    t = toxicity.fold(text)
+    ends = lambda e: e == len(t) or not t[e].isalnum()
+    begins = [k for k in range(len(t)) if not k or not t[k - 1].isalnum()]
+    spared = [(k, k + len(p)) for p in map(toxicity.fold, lexicon.exceptions) for k in begins if t.startswith(p, k) and ends(k + len(p))]
+    found = {}
+    for k in begins:
+        for entry in lexicon.weights:
+            word = entry.rstrip("$")
+            if t.startswith(word, k) and (not entry.endswith("$") or ends(k + len(word))) and not any(a <= k and k + len(word) <= b for a, b in spared):
+                found.setdefault((k, len(word)), 0.0)
+                found[k, len(word)] += lexicon.weights[entry]
+    longest = {}
+    for (k, n), w in sorted(found.items()):
+        longest[k] = w
+    return sorted(longest.values())
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(12)
+    lexicon = toxicity.Lexicon({"ab": 1.0, "abc": 2.0, "abc$": 0.5, "ba$": 3.0, "cab": 1.5, "a$": 0.25}, ["ab ba", "cab c"], (-2.0, 1.0, 3.0, -0.1))
+    rows = [(k, "".join(rng.choices(["a", "b", "c", " ", "ab", "cab", "B", "4", "8", ".", "а", "\u200b"], k=rng.randint(0, 60)))) for k in range(200)]
+    for r in toxicity.toxicity(spark.createDataFrame([*rows, (None, None)], "doc_id long, text string"), lexicon).collect():
+        text = dict(rows).get(r.doc_id, "")
+        weights, words = naive_hits(lexicon, text), len(toxicity.fold(text).split())
+        z = -2.0 + math.log1p(sum(weights)) + 3.0 * sum(weights) / max(words, 1) - 0.1 * math.log1p(words)
+        assert r.hits == len(weights) and r.score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_toxicity_learns_long_words_and_many(spark):
+    # more entries than any fixed list would have, one of them longer than 24 letters
+    long = "zorg" + "xyz" * 10
+    bad = [f"{a}{b}qqv" for a in "bcdfghjklmnpqrstvwxz" for b in "bcdfghjklmnpqrstvwxz"][:300] + [long]
+    rows = [(k, edge.words(k, 30), 0) for k in range(700)] + [(700 + k, " ".join(bad[k % len(bad) :: 7]) + " " + edge.words(900 + k, 10), 1) for k in range(350)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    lexicon = toxicity.learn(df, spark.createDataFrame([(i, y, "x") for i, _, y in rows], "doc_id long, toxic int, text string"))
+    assert len(lexicon.weights) > 200 and any(e.startswith("zorgxyz") for e in lexicon.weights)
+
+
 # later rounds
 
 
