@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strataflow.llm._shared import materialize, table
 from strataflow.llm.decontaminate import decontaminate
 from strataflow.llm.line_dedup import dedup_lines
-from strataflow.llm.mixing import mix_sources
+from strataflow.llm.mixing import mix_documents
 from strataflow.llm.simhash_dedup import near_duplicates
 from strataflow.llm.toxicity import learn, toxicity, training_rows
 
@@ -81,9 +81,7 @@ def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes, with the number of copies it takes of each; rows that share an id are taken alike."""
-    taken = mix_sources(docs).groupBy(F.col("doc_id").alias("_taken")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken")))
-    return joined.select(*[joined[c] for c in docs.columns if c != "copies"], F.col("_copies").alias("copies"))
+    return mix_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -520,6 +520,24 @@ def test_mixing(spark):
     assert mixing.mix_sources(edge.empty(spark)).count() == 0
 
 
+def test_mixed_documents_are_those_of_the_mix(spark):
+    rows = [(None if k % 9 == 0 else k, edge.words(k, 1 + k % 40), "abcdefg"[k % 7] if k % 11 else None, "x") for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
+    sizes = {(r.doc_id, r.size, r.source): r.copies for r in mixing.mix_sources(df).collect()}
+    got = Counter((r.doc_id, len(WORD.findall(r.text)), r.source, r.copies) for r in mixing.mix_documents(df).collect())
+    assert set(got) == {(*k, v) for k, v in sizes.items() if v}
+    assert mixing.mix_documents(edge.empty(spark)).count() == 0
+
+
+def test_source_targets_over_many_ranges(spark, monkeypatch):
+    sizes = [(f"s{k:03}" if k else None, 1 + k * k % 97) for k in range(150)]
+    df = spark.createDataFrame(sizes, "source string, size long")
+    whole = {r.source: (r["rank"], r.target) for r in mixing.source_targets(df).collect()}
+    monkeypatch.setattr(mixing._running, "__defaults__", (20,))
+    parts = {r.source: (r["rank"], r.target) for r in mixing.source_targets(df).collect()}
+    assert whole == parts and sorted(r for r, _ in whole.values()) == list(range(1, 151)) and whole[None][0] == 150
+
+
 def test_mixing_prefers_quality(spark):
     rows = [(k, "#" * 50 + " " + edge.words(k, 20) if k % 2 else edge.words(k, 21), "ab"[k % 4 // 2]) for k in range(2000)]
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 9)).collect()
