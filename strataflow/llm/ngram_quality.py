@@ -2,8 +2,8 @@
 
 Plan
 ----
-1. Texts are compressed in lots dealt by a hash of the document id into blocks (one shuffle of compressed text; a block has
-   about `block_bytes`). Label rows meet their block, so the trusted documents are known without a join of texts.
+1. Texts are compressed in lots dealt by a hash of the document id (of the text where the id is null) into blocks (one shuffle of
+   compressed text; a block has about `block_bytes`, partitions are as many as blocks). Label rows meet their block, so the trusted documents are known without a join of texts.
 2. A block counts its n-grams in trusted text and names all n-grams of its texts (the map-side combine). Both travel as
    compressed sorted blobs to shards by n-gram; a shard adds up the counts.
 3. The model is built by Spark joins and aggregations on the n-gram tables: highest-order counts, continuation counts of the
@@ -18,15 +18,13 @@ language reaches the driver or is broadcast.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.llm._lots import block_count, by_block, packed, unpacked
 from strataflow.llm._shared import bounded, materialize, text_bytes
 from strataflow.llm._text import buffers, chunks
 
@@ -50,45 +48,9 @@ def _deltas(values: np.ndarray) -> np.ndarray:
 _LOT = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
 
 
-def _lots(block_size: int):
-    """Rows of each block of a task, compressed together."""
-
-    def of(batches):
-        held, size = [], 0
-
-        def flush():
-            table = pa.Table.from_batches(held).combine_chunks()
-            order = np.argsort(table.column("block").to_numpy(), kind="stable")
-            blocks = table.column("block").to_numpy()[order]
-            at = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1])))
-            keys, blobs = [], []
-            for a, b in zip(at, [*at[1:], len(blocks)], strict=True):
-                part = table.take(pa.array(order[a:b])).select(["id", "lang", "text"]).cast(_LOT)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, _LOT) as writer:
-                    writer.write_table(part.combine_chunks())
-                keys.append(int(blocks[a]))
-                blobs.append(zstandard.ZstdCompressor(level=6).compress(sink.getvalue().to_pybytes()))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["block", "blob"])
-
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= block_size:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
-
-    return of
-
-
 def _rows(table: pa.Table) -> pa.Table:
-    """The documents of a block, ordered by id, language and text: the same each time."""
-    parts = [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x)).read_all() for x in table.column("blob").to_pylist()]
-    rows = pa.concat_tables(parts) if parts else _LOT.empty_table()
-    rows = rows.combine_chunks()
-    return rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending"), ("lang", "ascending"), ("text", "ascending")]))
+    """The documents of a block, ordered by id, language and text."""
+    return unpacked(table, _LOT)
 
 
 def _grams(part: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,52 +229,57 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return lower.select("g", F.log("p").alias("lp"))
 
 
-def _thresholds(scored: DataFrame, quantile: float, least_docs: int) -> DataFrame:
+def _thresholds(scored: DataFrame, quantile: float) -> DataFrame:
     """(lang, cut): the quantile of the held-out documents' perplexities, exact to a thousandth of the logarithm; lang null holds the common one."""
     bins = scored.where("role = 'held out' AND n_bytes > 0").select("lang", F.round(F.log("perplexity"), 3).alias("bin"))
     by_lang = bins.groupBy("lang", "bin").agg(F.count("*").alias("n")).where("lang IS NOT NULL")
     every = bins.groupBy("bin").agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("lang"), "bin", "n")
     w = Window.partitionBy("lang")
     ranked = by_lang.unionByName(every).withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    return ranked.where((F.col("upto") >= F.col("all") * quantile) & (F.col("lang").isNull() | (F.col("all") >= least_docs))).groupBy("lang").agg(F.exp(F.min("bin") + 0.0005).alias("cut"))
+    return ranked.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg(F.exp(F.min("bin") + 0.0005).alias("cut"))
 
 
-def perplexity_filter(docs: DataFrame, trusted: DataFrame, order: int = 5, quantile: float = 0.99, slack: float = 1.1, short: float = 2.0, held_out: int = 5, least_docs: int = 50, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def perplexity_filter(docs: DataFrame, trusted: DataFrame, order: int = 5, quantile: float = 0.99, held_out: int = 3, block_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Perplexity (by byte) of each document, and whether it is at most the threshold of its language.
 
-    trusted: (id_col) of the trusted documents. One in `held_out` of them, by a hash of the id, is kept out of training; the
-    threshold is `slack` times the quantile of those, so that unseen text is judged by unseen text. The mean of a few
-    bytes strays further than that of many, so a text of n bytes has its threshold times exp(short / sqrt(n)).
+    trusted: (id_col) of the trusted documents. One in `held_out` of them, by a hash of the id, is kept out of training; a
+    language's threshold is the `quantile` of the perplexities of its documents held out, so that unseen text is judged by
+    unseen text (the largest of them where there are fewer than 1 / (1 - quantile)).
     Returns id_col, lang, n_bytes, log_prob, perplexity, role ("train", "held out" or null), threshold, kept.
 
-    Defined results: null and empty texts have 0 bytes, perplexity 0 and are not kept; languages with fewer than `least_docs`
-    documents held out, null among them, take the common threshold; without any trusted text every byte has probability
+    Defined results: null and empty texts have 0 bytes, perplexity 0 and are not kept; only a language without any document
+    held out, and the null language, take the quantile of all documents held out; without any trusted text every byte has probability
     1/256 and every text with bytes is kept; rows that share an id are all trusted or none; a null id is never
     trusted; other columns are ignored; an empty table gives no rows.
+
+    `block_bytes` bounds the memory of a task; by default blocks grow with the square root of the corpus, as in substring dedup.
     """
     if not 1 <= order <= 7:
         raise ValueError("order has to be from 1 to 7: an n-gram is packed into a long")
     bounded(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = max(1, math.ceil(text_bytes(own) / block_bytes))
-    block = F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1))), F.lit(n)).cast("int").alias("block")
-    lots = own.select(block, "id", "lang", "text").mapInArrow(_lots(32 << 20), "block int, blob binary")
+    n = block_count(text_bytes(own), block_bytes)
+    # labels know ids only; a null id is in no label, so its rows are dealt by their texts
+    dealt = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+    block = F.when(F.col("id").isNull(), dealt("lang", "text")).otherwise(dealt("id")).alias("block")
+    lots = by_block(own.select(block, "id", "lang", "text").mapInArrow(packed(_LOT, level=6), "block int, blob binary"), n, "block")
     role = F.when(F.pmod(F.xxhash64(F.lit("role"), F.col("id")), F.lit(held_out)) == 0, "held out").otherwise("train")
-    marks = trusted.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct().select(block, "id", role.alias("role"))
-    taught = marks.where("role = 'train'").select("block", "id")
+    marks = trusted.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct().select(dealt("id").alias("block"), "id", role.alias("role"))
+    taught = by_block(marks.where("role = 'train'").select("block", "id"), n, "block")
     asked = materialize(lots.groupBy("block").cogroup(taught.groupBy("block")).applyInArrow(_counted(order, n), "shard int, block int, grams binary, counts binary"), "kn-asked")
-    counts = materialize(asked.groupBy("shard").applyInArrow(_added, "shard int, g long, c long"), "kn-counts")
+    counts = materialize(by_block(asked, n, "shard").groupBy("shard").applyInArrow(_added, "shard int, g long, c long"), "kn-counts")
     known = kneser_ney(counts.select("g", "c"), order).join(counts.select("g", "shard"), "g").select("shard", "g", "lp")
-    answers = asked.select("shard", "block", "grams").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_answered, "block int, shard int, lps binary")
+    answers = by_block(asked.select("shard", "block", "grams"), n, "shard").groupBy("shard").cogroup(by_block(known, n, "shard").groupBy("shard")).applyInArrow(_answered, "block int, shard int, lps binary")
+    answers = by_block(answers, n, "block")
     summed = lots.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, n), "id long, lang string, n_bytes long, log_prob double")
     perplexity = F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_prob") / F.col("n_bytes"))).otherwise(0.0)
     summed = materialize(summed.withColumn("perplexity", perplexity), "kn-scores")
     scored = summed.join(marks.select(F.col("id").alias("_mark"), "role"), F.col("id") == F.col("_mark"), "left").drop("_mark")
-    cuts = materialize(_thresholds(scored, quantile, least_docs), "kn-cuts")
+    cuts = materialize(_thresholds(scored, quantile), "kn-cuts")
     common = cuts.where("lang IS NULL").select(F.col("cut").alias("common"))
     own_cut = cuts.where("lang IS NOT NULL").select(F.col("lang").alias("_lang"), "cut")
     # one row, or none without trusted text
     limit = common.agg(F.first("common").alias("common"))
     joined = scored.join(own_cut, F.col("lang") == F.col("_lang"), "left").join(F.broadcast(limit))
-    threshold = F.coalesce(F.col("cut"), F.col("common"), F.lit(257.0)) * slack * F.exp(F.lit(float(short)) / F.sqrt(F.greatest("n_bytes", F.lit(1))))
+    threshold = F.coalesce(F.col("cut"), F.col("common"), F.lit(257.0))
     return joined.select(F.col("id").alias(id_col), "lang", "n_bytes", "log_prob", "perplexity", "role", threshold.alias("threshold"), ((F.col("n_bytes") > 0) & (F.col("perplexity") <= threshold)).alias("kept"))
