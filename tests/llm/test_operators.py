@@ -436,6 +436,69 @@ def test_licences(spark):
     assert license_scan.scan_licenses(edge.empty(spark)).count() == 0
 
 
+PROBES = [
+    ("Eclipse Public License - v 2.0", "unknown"), ("Released under the Foobar Public License 2.0", "unknown"), ("All rights reserved. No license is granted.", "unknown"),
+    ("MIT License", "MIT"), ("License: MIT", "MIT"), ("Released under MIT.", "MIT"), ("Apache License", "Apache-2.0"), ("Distributed under Apache 2.0 terms", "Apache-2.0"), ("GPL v3", "GPL-3.0"), ("Available under MPL 2.0", "MPL-2.0"),
+    ("You may obtain a copy of the License at\n    http://www.apache.org/licenses/LICENSE-2.0", "Apache-2.0"),
+    ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.", "GPL-3.0"),
+    ("// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the \"Software\"), to deal\n// in the Software without restriction", "MIT"),
+    ("ich gehe mit ihm und mit der Software", "none"), ("Mit und.", "none"), ("He drove with a license to the public library", "none"),
+]
+
+
+def judge_notice(notice, model, least=0.5, overlap=0.6):
+    """Family, probability, similarity and rival of a notice, by the definition."""
+    words = notice.split(" ")
+    z = model.bias.astype(float).copy()
+    for f in set(words) | {" ".join(words[i : i + 2]) for i in range(len(words) - 1)}:
+        if f in model.features:
+            z += [round(float(x), 6) for x in model.weights[model.features.index(f)]]
+    p = np.exp(z / model.temperature - (z / model.temperature).max())
+    p /= p.sum()
+    guess = model.classes[int(p.argmax())]
+    own = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+    weight = {g: x for g, _, _, x, _, _ in model.grams}
+    size = sum(weight.get(g, 0.0 if g in license_scan.COMMON else model.strange) for g in own)
+    met = defaultdict(lambda: [0.0, 0.0, False])
+    for g, family, i, x, total, alone in model.grams:
+        if g in own:
+            met[family, i][0] += x
+            met[family, i][1] = total
+            met[family, i][2] |= alone
+    like, alone = defaultdict(float), defaultdict(bool)
+    for (family, _), (common, total, only) in met.items():
+        like[family] = max(like[family], common / max(min(total, size), 1e-9))
+        alone[family] |= only
+    return guess, p.max(), min(like.get(guess, 0.0), 1.0), alone.get(guess, False)
+
+
+def test_licence_probes_and_brute_force(spark):
+    model = license_scan.train()
+    df = spark.createDataFrame([(k, f"{t}\n\nother words here") for k, (t, _) in enumerate(PROBES)], "doc_id long, text string")
+    got = {r.doc_id: r.family for r in license_scan.scan_licenses(df).collect()}
+    assert [got[k] for k in range(len(PROBES))] == [f for _, f in PROBES]
+    rows = license_scan.paragraphs(df).collect()
+    assert len(rows) >= 14
+    for r in rows:
+        guess, p, like, alone = judge_notice(r.notice, model)
+        assert r.probability == pytest.approx(p, abs=1e-4) and r.similarity == pytest.approx(like, abs=1e-4)
+        assert r.family in (guess, "unknown")
+        if r.confirmed:
+            assert r.family == guess and p >= 0.5 and like >= 0.6 and alone
+
+
+def test_licence_candidates(spark):
+    df = spark.createDataFrame([(1, "a b x1 x2 c d e f g h x1 i x2\n\nx1 alone. \nx2 too.\nx1 y\nz x2", "c"), (2, None, "c"), (3, "", "c")], "doc_id long, text string, notice string")
+    got = [(r.id, r.paragraph, r.place, r.notice) for r in license_scan.candidates(df, ["x1", "x2", *(f"q{k}" for k in range(12))], gap=3, context=1).collect()]
+    assert bag(got) == bag([(1, 0, 2, "b x1 x2 c"), (1, 0, 10, "h x1 i x2"), (1, 3, 0, "x1 y z x2")])
+
+
+def test_licence_training_follows_its_arguments():
+    assert license_scan.train() is license_scan.train()
+    other = license_scan.train(seed=3, variants=2, rounds=5)
+    assert other is not license_scan.train() and not np.array_equal(other.bias, license_scan.train().bias)
+
+
 def test_licence_templates_are_found(spark):
     own = [(f, t) for f, notices in license_scan.TEMPLATES.items() for t in notices]
     df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(own)], "doc_id long, text string")
