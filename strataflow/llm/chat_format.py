@@ -112,8 +112,10 @@ def _content(tokenizer: str | None) -> str | None:
 
 def conversations_of(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turns, path): the turns of each conversation in order, and the hashes of its turns."""
-    own = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
-    listed = own.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    # rows without a conversation are not gathered: each different one stands alone
+    alone = F.when(F.col(conv_col).isNull(), F.xxhash64(turn_col, role_col, text_col)).alias("alone")
+    own = turns.select(F.col(conv_col).cast("long").alias("conv_id"), alone, F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
+    listed = own.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("alone")
     return listed.withColumn("path", F.transform("turns", lambda t: F.md5(F.concat_ws("\n", t["role"], t["text"]))))
 
 
@@ -128,7 +130,7 @@ def format_chats(turns: DataFrame, tokenizer: str | None = TOKENIZER, pack_token
     conversations are told apart by their id in the sort, so that a group of any size is spread over partitions.
 
     Defined results: a null text or role is empty; turns sort by number, then role and text; repeated
-    turns are turns of their own; a null conversation id is one conversation; other columns are ignored; an empty table gives no
+    turns are turns of their own; rows with a null conversation id are conversations of their own, one for each different row; other columns are ignored; an empty table gives no
     packs; a conversation longer than a pack is a pack of its own.
     """
     spark = bounded(turns.sparkSession)
