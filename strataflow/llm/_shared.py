@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,16 @@ from pyspark.sql import functions as F
 from strataflow.functions.session import ship
 
 
+#: Folders written by this session that nothing has discarded yet.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all of Spark runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="strataflow-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -34,9 +41,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many folders there are to discard."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the folders written since written() was `since`, but for the last `keep`: nothing may need them any more."""
+    stop = len(_WRITTEN) - keep
+    for path in _WRITTEN[since:stop]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    del _WRITTEN[since:stop]
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts, at least 1."""
     return int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) + 1

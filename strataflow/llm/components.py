@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm._shared import materialize
+from strataflow.llm._shared import discard, materialize, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -26,6 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     folder. The number of rounds grows with the logarithm of the longest chain. Null ends and loops are
     ignored; an empty table gives no rows.
     """
+    spark, before = edges.sparkSession, written()
     links = materialize(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     while True:
@@ -38,4 +39,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("root"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).unionByName(least.select("a", F.col("root").alias("b")))
         links = materialize(small.where("a <> b").distinct(), "links")
+        discard(spark, before, keep=1)
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -7,8 +7,9 @@ the rows to shuffle and the candidates to verify, estimated on a bounded sample;
 speed only, never which pairs are found.
 
 Equal fingerprints are merged before anything is joined. A probe key that more than `hot` different
-fingerprints share is not joined: its members are compared in blocks, and a block gives back the links of a
-spanning forest only, so that a group of n near copies costs n links and not their square.
+fingerprints share is not joined: its members are cut further by pieces of their other bits, one of which near ones
+share, and compared within those groups; a group gives back the links of a spanning forest only, so
+that n near copies cost n links and not their square.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from strataflow.llm._text import LOWER_BYTES
 from strataflow.llm.components import connected_components
 
 SAMPLE = 4096
+#: Shingles whose bits are held at a time.
+_SLICE = 1 << 16
 
 
 def _fingerprint(text: bytes, words: int, seed: int) -> int:
@@ -36,14 +39,15 @@ def _fingerprint(text: bytes, words: int, seed: int) -> int:
         return 0
     gaps = np.flatnonzero(np.frombuffer(norm, dtype=np.uint8) == 32)
     if len(gaps) < words:
-        spans = [(0, len(norm))]
+        starts, stops = [0], [len(norm)]
     else:
-        starts = [0, *(gaps[: len(gaps) - words + 2] + 1).tolist()]
-        spans = zip(starts, [*gaps[words - 1 :].tolist(), len(norm)], strict=False)
-    digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(norm[a:b], seed) for a, b in spans]), dtype=np.uint8).reshape(-1, 8)
-    ones = np.add.reduce(np.unpackbits(hashes, axis=1), axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+        starts = np.concatenate(([0], gaps[: len(gaps) - words + 1] + 1)).tolist()
+        stops = np.concatenate((gaps[words - 1 :], [len(norm)])).tolist()
+    digest, ones = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64)
+    for at in range(0, len(starts), _SLICE):
+        raw = b"".join([digest(norm[a:b], seed) for a, b in zip(starts[at : at + _SLICE], stops[at : at + _SLICE], strict=True)])
+        ones += np.add.reduce(np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(starts)).view(">i8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,11 +169,17 @@ def _forest(distance: int):
     return of
 
 
+def _pieces(mask: int, n: int) -> list[int]:
+    """The bits outside a mask in n pieces."""
+    outside = [b for b in range(64) if not mask >> b & 1]
+    return [_mask(outside[k::n]) for k in range(n)]
+
+
 def near_links(fps: DataFrame, distance: int = 4, hot: int = 64, block: int = 2048) -> DataFrame:
     """Links (a, b) between different fingerprints that connect exactly those within `distance` bits.
 
     fps: distinct (fp long). Under a key that at most `hot` fingerprints share, each near pair is a link; under
-    others the links of a spanning forest of each block are, which connect the same fingerprints.
+    others the links of a spanning forest of each group of at most `block` are, which connect the same fingerprints.
     """
     plan = probe_plan(fps, distance)
     def spread(only_own: bool) -> DataFrame:
@@ -184,11 +194,19 @@ def near_links(fps: DataFrame, distance: int = 4, hot: int = 64, block: int = 20
     links = pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     if busy.isEmpty():
         return links
-    members = probe.join(busy, ["part", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / block)).cast("int"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    met = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    tiles = members.select("fp", "part", "key", "own", met).select("fp", "part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return links.unionByName(tiles.groupBy("part", "key", "i", "j").applyInArrow(_forest(distance), "a long, b long"))
+    # members that differ in `distance` bits at most agree in one of distance + 1 pieces of the bits outside the key: a key with
+    # more than `block` fingerprints is cut by those first
+    members = probe.join(busy, ["part", "key"])
+    pieces = F.array(*[F.array(*[F.lit(_signed(x)).cast("long") for x in _pieces(mask, distance + 1)]) for mask, _ in plan])
+    whole = members.where(F.col("n") <= block).select("fp", "part", "key", F.lit(-1).alias("piece"), F.lit(0).cast("long").alias("bits"), "n")
+    cut = members.where(F.col("n") > block).select("fp", "part", "key", F.posexplode(F.get(pieces, F.col("part"))).alias("piece", "mask")).select("fp", "part", "key", "piece", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+    keys = ["part", "key", "piece", "bits"]
+    sized = cut.join(cut.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), keys).select("fp", *keys, "n")
+    n_blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = whole.unionByName(sized).withColumn("own", F.pmod(F.xxhash64("fp"), n_blocks).cast("int"))
+    # what agrees in a piece and is too much still is compared in blocks, each two of which meet once
+    tiles = dealt.select("fp", *keys, "own", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other")).select("fp", *keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return links.unionByName(tiles.groupBy(*keys, "i", "j").applyInArrow(_forest(distance), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, seed: int = 42, hot: int = 64, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +215,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, seed: in
     Returns id_col, fp (long), component_id (the least id that can be reached, its own included).
 
     Defined results: null, empty and blank texts have fingerprint 0 and are linked like others; a text
-    with fewer words than a shingle is one shingle; equal texts and repeated rows share a component; a null id
+    with fewer words than a shingle is one shingle; of a long text the bits of some shingles are held at a time, besides the text; equal texts and repeated rows share a component; a null id
     keeps its row and is never a component's id unless no other id is in it; other columns are ignored; an
     empty table gives no rows.
     """
