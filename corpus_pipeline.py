@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir), works on all documents its predecessor kept, and returns a DataFrame with
 the columns of docs; the last adds `copies`. run() writes each stage's result as Parquet and reads it again
-as the next one's input.
+as the next one's input; what a stage wrote on its way is deleted when its result is there.
 
 Defined results: null and empty texts are no reason to reject a document (of those whose fingerprint is 0 one stays, as of
 any group of near copies); a null id keeps its row; rows that repeat stay until the third stage, which keeps one of a
@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm._shared import materialize, table
+from strataflow.llm._shared import discard, materialize, table, written
 from strataflow.llm.decontaminate import decontaminate
 from strataflow.llm.line_dedup import dedup_lines
 from strataflow.llm.mixing import mix_documents
@@ -69,7 +69,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     n, keys = found.select(F.count("*"), F.count_distinct("doc_id")).first()
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.id").alias("_kept"), F.col("doc_id.h").alias("_of")).distinct()
     left = docs.withColumn("_h", F.xxhash64("text")).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_h") == F.col("_of")), "left_semi")
-    return (left if n == keys else left.dropDuplicates(["doc_id", "_h"])).drop("_h")
+    # of rows with one id and one text the greatest in all columns stays, so that reruns agree
+    return left.drop("_h") if n == keys else left.groupBy("doc_id", "_h").agg(F.max(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,12 +93,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix_to_targets),
 ]
 
-#: The first and third stage can't be expressed in SQL; the tests hold run() against brute force.
+#: The first and third stage can't be expressed in SQL; tests/llm/test_pipeline.py holds every stage and run() against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, before, keep=1)
     return docs
