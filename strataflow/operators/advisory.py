@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.functions.session import cut
 from strataflow.operators.graph import bfs, reversed_
 
 
@@ -38,13 +39,14 @@ def incident_rules(health: DataFrame, coverage: DataFrame) -> DataFrame:
     return h.unionByName(c)
 
 
-def communities(edges: DataFrame, folder: Callable[[Column], Column], hub_share: float = 0.05, cross: int = 3, largest: int = 20, least: int = 3) -> DataFrame:
+def communities(edges: DataFrame, folder: Callable[[Column], Column], hub_share: float = 0.05, cross: int = 3, largest: int = 20, least: int = 3, most_pairs: int = 200_000) -> DataFrame:
     """Greedy communities of a file graph: (node, community).
 
     The best-connected `hub_share` of nodes are set aside; the others start as their folders; folders are merged, the most
     connected pair first, while more than `cross` edges join them and the result has no more than `largest` members; hubs join the
     community that most of their edges lead to; communities under `least` members are dropped. Folders, not files, are merged
-    on the driver, so what is collected has the size of the folder graph.
+    on the driver, so what is collected has the size of the folder graph; a graph of more than `most_pairs` pairs of folders
+    is refused: give a coarser `folder`.
     """
     pairs = edges.select("src", "dst").where("src <> dst").distinct()
     ends = pairs.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(pairs.select(F.col("dst").alias("node"), F.col("src").alias("other")))
@@ -52,9 +54,12 @@ def communities(edges: DataFrame, folder: Callable[[Column], Column], hub_share:
     limit = degree.agg(F.expr(f"percentile(n, {1 - hub_share})").alias("cut"))
     hubs = degree.join(F.broadcast(limit)).where("n > cut").select("node")
     own = degree.select("node").join(hubs, "node", "left_anti").withColumn("folder", folder(F.col("node")))
-    sizes = {r["folder"]: r["n"] for r in own.groupBy("folder").agg(F.count("*").alias("n")).collect()}
     a, b = own.select(F.col("node").alias("src"), F.col("folder").alias("fa")), own.select(F.col("node").alias("dst"), F.col("folder").alias("fb"))
-    links = pairs.join(a, "src").join(b, "dst").where("fa <> fb").groupBy(F.least("fa", "fb").alias("x"), F.greatest("fa", "fb").alias("y")).agg(F.count("*").alias("n")).collect()
+    links = pairs.join(a, "src").join(b, "dst").where("fa <> fb").groupBy(F.least("fa", "fb").alias("x"), F.greatest("fa", "fb").alias("y")).agg(F.count("*").alias("n"))
+    links, folders = cut(links), cut(own.groupBy("folder").agg(F.count("*").alias("n")))
+    if links.count() > most_pairs or folders.count() > most_pairs:
+        raise ValueError(f"more than {most_pairs} folders or pairs of folders: give a coarser folder")
+    links, sizes = links.collect(), {r["folder"]: r["n"] for r in folders.collect()}
     weight = {(r["x"], r["y"]): r["n"] for r in links}
     into = {f: f for f in sizes}
     while True:

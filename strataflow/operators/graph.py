@@ -6,6 +6,7 @@ to the shared folder, so a lost executor costs a round and not the whole run.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,12 +26,12 @@ def of_types(edges: DataFrame, types: Sequence[str] | None) -> DataFrame:
     return edges if types is None else edges.where(F.col("type").isin(*types))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 10, every: int = 3) -> DataFrame:
-    """(seed, node, depth): nodes within `depth` hops along the edges, by their least distance; the seed itself is not among them."""
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = 10) -> DataFrame:
+    """(seed, node, depth): nodes within `depth` hops along the edges (None: any number), by their least distance; the seed itself is not among them."""
     step = edges.select("src", "dst").distinct()
     visited = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("depth", F.lit(0))
     frontier = visited
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         reached = frontier.join(step, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct().join(visited.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d))
         frontier = cut(reached)
         if frontier.isEmpty():
@@ -106,8 +107,12 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, subsystem: DataFrame, depth
     return own.withColumn("score", score).withColumn("band", risk_band(F.col("score")))
 
 
-def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, seeds: DataFrame | None = None, every: int = 5) -> DataFrame:
-    """(node, score): weighted PageRank; what dangling nodes hold goes to the personalisation vector (uniform without seeds)."""
+def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, seeds: DataFrame | None = None) -> DataFrame:
+    """(node, score): weighted PageRank; what dangling nodes hold goes to the personalisation vector (uniform without seeds).
+
+    A round is one join of the scores with the edges and one sum by target, written once; how far scores moved and what dangling
+    nodes hold are sums over what was written. Rounds end when scores move by less than `tolerance` in all.
+    """
     weighted = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     out = weighted.groupBy("src").agg(F.sum("weight").alias("total"))
     share = cut(weighted.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
@@ -116,48 +121,61 @@ def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, tol
     start = nodes if seeds is None else seeds.select("node").distinct()
     size = n if seeds is None else start.count()
     person = nodes.join(start.withColumn("p", F.lit(1.0 / max(size, 1))), "node", "left").fillna({"p": 0.0})
-    person = cut(person.join(share.select(F.col("src").alias("node")).distinct().withColumn("follows", F.lit(True)), "node", "left").fillna({"follows": False}))
-    rank = person.select("node", F.lit(1.0 / max(n, 1)).alias("score"))
-    for i in range(1, iterations + 1):
-        state = person.join(rank, "node")
-        dangling = state.where("NOT follows").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("dangling"))
-        gained = rank.join(share, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("gain"))
-        fresh = person.join(gained, "node", "left").join(F.broadcast(dangling)).select("node", ((1 - damping) * F.col("p") + damping * (F.coalesce("gain", F.lit(0.0)) + F.col("dangling") * F.col("p"))).alias("score"))
-        if i % every == 0 or tolerance is not None:
-            fresh = cut(fresh)
-        if tolerance is not None and (fresh.join(rank.withColumnRenamed("score", "before"), "node").agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) < tolerance:
-            rank = fresh
+    person = person.join(share.select(F.col("src").alias("node")).distinct().withColumn("follows", F.lit(True)), "node", "left").fillna({"follows": False})
+    rank = cut(person.select("node", "p", "follows", F.lit(1.0 / max(n, 1)).alias("score"), F.lit(1.0).alias("moved")))
+    for _ in range(iterations):
+        held, moved = rank.agg(F.coalesce(F.sum(F.when(~F.col("follows"), F.col("score"))), F.lit(0.0)), F.coalesce(F.sum("moved"), F.lit(0.0))).first()
+        if tolerance is not None and moved < tolerance:
             break
-        rank = fresh
-    return rank
+        gained = rank.join(share, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("gain"))
+        fresh = (1 - damping) * F.col("p") + damping * (F.coalesce("gain", F.lit(0.0)) + held * F.col("p"))
+        rank = cut(rank.join(gained, "node", "left").select("node", "p", "follows", fresh.alias("score"), F.abs(fresh - F.col("score")).alias("moved")))
+    return rank.select("node", "score")
 
 
-def entry_distance(edges: DataFrame, depth: int = 20) -> DataFrame:
-    """(node, n_in, distance, importance): hops from the nearest node without callers, 999 if none; importance .6 in + .4 / (distance + 1)."""
+def entry_distance(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, n_in, distance, importance): hops from the nearest node without callers, 999 if none leads there; importance .6 in + .4 / (distance + 1)."""
     rank = degrees(edges)
+    # all entries walk together: a node is reached once, by its nearest entry
     entries = rank.where("n_in = 0").select("node")
-    reach = bfs(edges, entries, depth).groupBy("node").agg(F.min("depth").alias("distance")).unionByName(entries.withColumn("distance", F.lit(0)))
-    rows = rank.join(reach, "node", "left").fillna({"distance": 999})
+    step = edges.select("src", "dst").distinct()
+    found = cut(entries.withColumn("distance", F.lit(0)))
+    frontier = found
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
+        frontier = cut(frontier.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("distance", F.lit(d)))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    rows = rank.join(found, "node", "left").fillna({"distance": 999})
     return rows.select("node", "n_in", "distance", (0.6 * F.col("n_in") + 0.4 / (F.col("distance") + 1)).alias("importance"))
 
 
-def topological_levels(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node, level): longest distance from a node without predecessors; nodes on cycles stay out."""
+def topological_levels(edges: DataFrame) -> DataFrame:
+    """(node, level): longest distance from a node without predecessors, however long; nodes on cycles, or behind one, stay out."""
     step = edges.select("src", "dst").distinct()
     nodes = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()
-    left, done, level = cut(step), None, 0
-    open_ = nodes
-    while level < most:
+    left, done, open_ = cut(step), None, cut(nodes)
+    for level in itertools.count():
         ready = cut(open_.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
         left = cut(left.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
-        open_ = open_.join(ready.select("node"), "node", "left_anti")
-        level += 1
+        open_ = cut(open_.join(ready.select("node"), "node", "left_anti"))
     return done if done is not None else nodes.withColumn("level", F.lit(0)).limit(0)
 
 
+def topological_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, place) of a few nodes (node), each after all that lead to it; those on cycles, or behind one, come last, by name."""
+    own = nodes.select("node").distinct()
+    inner = valid_edges(edges, own)
+    linked = inner.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    alone = own.join(linked, "node", "left_anti").withColumn("level", F.lit(0))
+    levels = topological_levels(inner).unionByName(alone)
+    ranked = own.join(levels, "node", "left").fillna({"level": 1 << 30})
+    return ranked.select("node", F.row_number().over(Window.orderBy("level", "node")).alias("place"))
+
+
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
 

@@ -50,27 +50,27 @@ def g5_dependents(spark, d):
     return op.dependents(edges_of(spark, d))
 
 
-@query("g6_transitive_dependents", f"WITH {_EDGES}, {_WALK}, {_S}, {_reach('r', 'seeds', 'walk', 'dst', 'src', 5)} SELECT seed, node, depth FROM r WHERE depth > 0")
+@query("g6_transitive_dependents", f"WITH {_EDGES}, {_WALK}, {_S}, {_reach('r', 'seeds', 'walk', 'dst', 'src', 10)} SELECT seed, node, depth FROM r WHERE depth > 0")
 def g6_transitive_dependents(spark, d):
-    return op.bfs(op.reversed_(op.of_types(edges_of(spark, d), op.WALKED)), _seeds(spark, 1, 2, 5, 8), 5)
+    return op.bfs(op.reversed_(op.of_types(edges_of(spark, d), op.WALKED)), _seeds(spark, 1, 2, 5, 8))
 
 
-@query("g6_transitive_dependencies", f"WITH {_EDGES}, {_WALK}, {_S}, {_reach('r', 'seeds', 'walk', 'src', 'dst', 5)} SELECT seed, node, depth FROM r WHERE depth > 0")
+@query("g6_transitive_dependencies", f"WITH {_EDGES}, {_WALK}, {_S}, {_reach('r', 'seeds', 'walk', 'src', 'dst', 10)} SELECT seed, node, depth FROM r WHERE depth > 0")
 def g6_transitive_dependencies(spark, d):
-    return op.bfs(op.of_types(edges_of(spark, d), op.WALKED), _seeds(spark, 1, 2, 5, 8), 5)
+    return op.bfs(op.of_types(edges_of(spark, d), op.WALKED), _seeds(spark, 1, 2, 5, 8))
 
 
-@query("g7_shortest_path", f"WITH {_EDGES}, s(node) AS (VALUES ('e900')), {_reach('r', 's', 'edges', 'src', 'dst', 12)} SELECT depth AS hops FROM r WHERE node = 'e1' AND depth > 0")
+@query("g7_shortest_path", f"WITH {_EDGES}, s(node) AS (VALUES ('e900')), {_reach('r', 's', 'edges', 'src', 'dst', 15)} SELECT depth AS hops FROM r WHERE node = 'e1' AND depth > 0")
 def g7_shortest_path(spark, d):
-    return op.shortest_path(edges_of(spark, d), "e900", "e1", 12).select("hops")
+    return op.shortest_path(edges_of(spark, d), "e900", "e1").select("hops")
 
 
-@query("g8_simple_paths", f"WITH RECURSIVE {_EDGES}, step AS (SELECT DISTINCT src, dst FROM edges), r AS (SELECT 'e100' AS source, 'e100' AS target, ['e100'] AS path UNION ALL SELECT source, dst, list_append(path, dst) FROM r JOIN step ON src = target WHERE len(path) <= 4 AND NOT list_contains(path, dst)) SELECT source, target, CAST(len(path) - 1 AS INTEGER) AS hops, path FROM r WHERE len(path) > 1")
+@query("g8_simple_paths", f"WITH RECURSIVE {_EDGES}, step AS (SELECT DISTINCT src, dst FROM edges), r AS (SELECT 'e100' AS source, 'e100' AS target, ['e100'] AS path UNION ALL SELECT source, dst, list_append(path, dst) FROM r JOIN step ON src = target WHERE len(path) <= 10 AND NOT list_contains(path, dst)) SELECT source, target, CAST(len(path) - 1 AS INTEGER) AS hops, path FROM r WHERE len(path) > 1 QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY len(path), path) <= 100")
 def g8_simple_paths(spark, d):
-    return op.simple_paths(edges_of(spark, d), _seeds(spark, 100), 4).select("source", "target", "hops", "path")
+    return op.simple_paths(edges_of(spark, d), _seeds(spark, 100), 10, 100).select("source", "target", "hops", "path")
 
 
-_BLAST = f"""WITH {_EDGES}, {_WALK}, {_DEG}, {_S}, {_reach('r', 'seeds', 'walk', 'dst', 'src', 6)},
+_BLAST = f"""WITH {_EDGES}, {_WALK}, {_DEG}, {_S}, {_reach('r', 'seeds', 'walk', 'dst', 'src', 10)},
     x AS (SELECT seed, node, depth, substr(node, 2)::INT % 6 AS subsystem, depth + 2 * coalesce(n_in, 0) + coalesce(n_out, 0) AS criticality FROM r LEFT JOIN deg USING (node) WHERE depth > 0),
     t AS (SELECT seed, count(*) AS impacted, max(depth) AS max_depth, count(DISTINCT subsystem) AS subsystems, least(20, count(*) FILTER (criticality >= 10)) AS critical FROM x GROUP BY seed),
     b AS (SELECT seeds.node AS seed, coalesce(impacted, 0) AS impacted, coalesce(max_depth, 0) AS max_depth, coalesce(subsystems, 0) AS subsystems, coalesce(critical, 0) AS critical, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out FROM seeds LEFT JOIN t ON t.seed = seeds.node LEFT JOIN deg ON deg.node = seeds.node),
@@ -81,7 +81,7 @@ _BLAST = f"""WITH {_EDGES}, {_WALK}, {_DEG}, {_S}, {_reach('r', 'seeds', 'walk',
 def g10_blast_radius(spark, d):
     rows = edges_of(spark, d)
     subsystem = rows.select(F.col("src").alias("node")).union(rows.select("dst")).distinct().withColumn("subsystem", F.substring("node", 2, 9).cast("int") % 6)
-    return op.blast_radius(rows, _seeds(spark, 1, 2, 5, 8), subsystem, 6).select("seed", "impacted", "max_depth", "subsystems", "critical", "score", "band")
+    return op.blast_radius(rows, _seeds(spark, 1, 2, 5, 8), subsystem).select("seed", "impacted", "max_depth", "subsystems", "critical", "score", "band")
 
 
 @query("g12_degree_ranking", f"WITH {_EDGES}, {_DEG} SELECT node, n_in, n_out, 3 * n_in + n_out AS heat FROM deg ORDER BY 3 * n_in + n_out DESC, node LIMIT 10")
@@ -90,21 +90,26 @@ def g12_degree_ranking(spark, d):
     return op.degrees(edges_of(spark, d)).withColumn("heat", heat).orderBy(F.col("heat").desc(), "node").limit(10)
 
 
-def _ranks(n: int) -> str:
-    parts = ["w AS (SELECT src, dst, count(*) * 1.0 AS weight FROM edges GROUP BY ALL)", "sh AS (SELECT w.src, dst, weight / total AS share FROM w JOIN (SELECT src, sum(weight) AS total FROM w GROUP BY src) USING (src))", "nd AS (SELECT src AS node FROM sh UNION SELECT dst FROM sh)", "nn AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS p, node IN (SELECT src FROM sh) AS follows FROM nd)", "p0 AS (SELECT node, p AS score FROM nn)"]
-    for k in range(1, n + 1):
-        parts.append(f"p{k} AS (SELECT nn.node, 0.15 * p + 0.85 * (coalesce(gain, 0) + coalesce((SELECT sum(score) FROM p{k - 1} JOIN nn x USING (node) WHERE NOT follows), 0) * p) AS score FROM nn LEFT JOIN (SELECT dst AS node, sum(score * share) AS gain FROM p{k - 1} JOIN sh ON src = node GROUP BY dst) USING (node))")
-    return ", ".join(parts)
+#: PageRank until scores move by less than 1e-6 in all, 100 rounds at most; ranks(node, score).
+_RANKS = """w AS (SELECT src, dst, count(*) * 1.0::DOUBLE AS weight FROM edges GROUP BY ALL), sh AS (SELECT w.src, dst, weight / total AS share FROM w JOIN (SELECT src, sum(weight) AS total FROM w GROUP BY src) USING (src)),
+    nd AS (SELECT src AS node FROM sh UNION SELECT dst FROM sh), nn AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS p, node IN (SELECT src FROM sh) AS follows FROM nd),
+    pr AS (SELECT 0 AS i, node, p AS score, 1.0::DOUBLE AS moved FROM nn UNION ALL
+        SELECT i + 1, node, fresh, abs(fresh - score) FROM (SELECT o.i, nn.node, o.score, 0.15 * nn.p + 0.85 * (coalesce(gain, 0) + held.x * nn.p) AS fresh, total.x AS total
+            FROM nn JOIN pr o ON o.node = nn.node LEFT JOIN (SELECT dst, sum(score * share) AS gain FROM pr JOIN sh ON src = node GROUP BY dst) g ON g.dst = nn.node,
+                (SELECT coalesce(sum(score), 0) AS x FROM pr JOIN nn y ON y.node = pr.node WHERE NOT y.follows) held, (SELECT sum(moved) AS x FROM pr) total) WHERE total >= 1e-6 AND i < 100),
+    ranks AS (SELECT node, score FROM pr WHERE i = (SELECT max(i) FROM pr))"""
 
 
-@query("g14_pagerank", f"WITH {_EDGES}, {_ranks(8)} SELECT node, round(score, 9) AS score FROM p8")
+@query("g14_pagerank", f"WITH RECURSIVE {_EDGES}, {_RANKS} SELECT node, round(score, 9) AS score FROM ranks")
 def g14_pagerank(spark, d):
-    return op.pagerank(edges_of(spark, d).withColumn("weight", F.lit(1.0)), iterations=8, tolerance=None, every=4).withColumn("score", F.round("score", 9))
+    return op.pagerank(edges_of(spark, d).withColumn("weight", F.lit(1.0))).withColumn("score", F.round("score", 9))
 
 
-@query("g18_entry_distance", f"WITH {_EDGES}, {_DEG}, ent AS (SELECT node FROM deg WHERE n_in = 0), {_reach('r', 'ent', 'edges', 'src', 'dst', 8)}, m AS (SELECT node, min(depth) AS distance FROM r GROUP BY node) SELECT node, n_in, coalesce(distance, 999) AS distance, round(0.6 * n_in + 0.4 / (coalesce(distance, 999) + 1), 6) AS importance FROM deg LEFT JOIN m USING (node)")
+@query("g18_entry_distance", f"""WITH RECURSIVE {_EDGES}, {_DEG}, near(node, distance) USING KEY (node) AS (SELECT node, 0 FROM deg WHERE n_in = 0
+        UNION SELECT e.dst, min(near.distance) + 1 FROM near JOIN edges e ON e.src = near.node WHERE NOT EXISTS (SELECT 1 FROM recurring.near x WHERE x.node = e.dst) GROUP BY e.dst)
+    SELECT node, n_in, coalesce(distance, 999) AS distance, round(0.6 * n_in + 0.4 / (coalesce(distance, 999) + 1), 6) AS importance FROM deg LEFT JOIN near USING (node)""")
 def g18_entry_distance(spark, d):
-    return op.entry_distance(edges_of(spark, d), 8).withColumn("importance", F.round("importance", 6))
+    return op.entry_distance(edges_of(spark, d)).withColumn("importance", F.round("importance", 6))
 
 
 @query("g11_structural_risk", f"WITH {_EDGES}, {_DEG} SELECT node, least(100, 2 * n_in + 4 + 5 * (CASE WHEN n_in >= 3 THEN 1 ELSE 0 END) + 5 + 2 * n_in + n_out) AS score FROM deg")

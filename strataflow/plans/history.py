@@ -13,7 +13,7 @@ from strataflow.plans.registry import query
 from strataflow.sources import adapters as role
 
 _CHANGES = r"""changes AS (SELECT DISTINCT sha, path FROM commit_files WHERE change_type <> 'DELETE' AND path NOT LIKE '%/package-lock.json')"""
-_SMALL = "small AS (SELECT sha, path FROM changes QUALIFY count(*) OVER (PARTITION BY sha) <= 8)"
+_SMALL = "small AS (SELECT sha, path FROM changes QUALIFY count(*) OVER (PARTITION BY sha) <= 50)"
 _STATS = "stats AS (SELECT path, count(*) AS change_count, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM small JOIN commits USING (sha) GROUP BY path)"
 _EDGES = """edges AS (SELECT a.path AS source_path, b.path AS target_path, count(*) AS co_change_count, min(ts) AS first_seen_at, max(ts) AS last_seen_at
     FROM small a JOIN small b ON a.sha = b.sha AND a.path < b.path JOIN commits c ON c.sha = a.sha GROUP BY ALL HAVING count(*) >= 2)"""
@@ -45,11 +45,11 @@ _DRIFT = role.with_("commits", "commit_files", "adrs", "adr_links") + f", {_CHAN
 
 
 def _coupled(spark, d):
-    return op.logical_coupling(role.commit_files(spark, d), role.commits(spark, d), 8)
+    return op.logical_coupling(role.commit_files(spark, d), role.commits(spark, d))
 
 
 def _small(spark, d):
-    return op.small_groups(op.source_changes(role.commit_files(spark, d)), 8)
+    return op.small_groups(op.source_changes(role.commit_files(spark, d)), 50)
 
 
 def _recent(spark, d):
@@ -90,9 +90,9 @@ def p11_small_commits(spark, d):
     return _small(spark, d).groupBy("sha").agg(F.count("*").alias("n"))
 
 
-@query("w10_coupling_evidence", f"{_COUPLING} SELECT source_path, target_path, a.sha, row_number() OVER (PARTITION BY source_path, target_path ORDER BY ts DESC, a.sha) AS rn FROM edges JOIN small a ON a.path = source_path JOIN small b ON b.path = target_path AND b.sha = a.sha JOIN commits c ON c.sha = a.sha QUALIFY rn <= 3")
+@query("w10_coupling_evidence", f"{_COUPLING} SELECT source_path, target_path, a.sha, row_number() OVER (PARTITION BY source_path, target_path ORDER BY ts DESC, a.sha) AS rn FROM edges JOIN small a ON a.path = source_path JOIN small b ON b.path = target_path AND b.sha = a.sha JOIN commits c ON c.sha = a.sha QUALIFY rn <= 20")
 def w10_coupling_evidence(spark, d):
-    return op.coupling_evidence(role.commit_files(spark, d), role.commits(spark, d), 8, 2, 3)
+    return op.coupling_evidence(role.commit_files(spark, d), role.commits(spark, d))
 
 
 @query("t1_strongest_couplings", f"{_COUPLING} SELECT source_path, target_path, round(confidence, 6) AS confidence FROM coupled ORDER BY round(confidence, 9) DESC, source_path, target_path LIMIT 10")

@@ -222,10 +222,10 @@ def v19_signal_prefilter(spark, d):
     return rows.select("source", (2 * F.size(F.array_intersect("s", F.array(F.lit("en"), F.lit("fr")))) + F.col("n")).alias("score")).orderBy(F.col("score").desc(), "source").limit(8)
 
 
-@query("v18_pagerank_channel", f"WITH {graph._EDGES}, {graph._ranks(8)}, seed AS (SELECT DISTINCT dst AS node FROM edges WHERE src IN ('e100', 'e101')) SELECT node FROM p8 ORDER BY round(score * CASE WHEN node IN (SELECT node FROM seed) THEN 10 ELSE 1 END, 9) DESC, node LIMIT 10")
+@query("v18_pagerank_channel", f"WITH RECURSIVE {graph._EDGES}, {graph._RANKS}, seed AS (SELECT DISTINCT dst AS node FROM edges WHERE src IN ('e100', 'e101')) SELECT node FROM ranks ORDER BY round(score * CASE WHEN node IN (SELECT node FROM seed) THEN 10 ELSE 1 END, 9) DESC, node LIMIT 10")
 def v18_pagerank_channel(spark, d):
     edges = graph.edges_of(spark, d)
-    ranks = gop.pagerank(edges.withColumn("weight", F.lit(1.0)), iterations=8, tolerance=None, every=4)
+    ranks = gop.pagerank(edges.withColumn("weight", F.lit(1.0)))
     targets = edges.where(F.col("src").isin("e100", "e101")).select(F.col("dst").alias("t")).distinct()
     boosted = ranks.join(targets, F.col("node") == F.col("t"), "left").select("node", F.round(F.col("score") * F.when(F.col("t").isNotNull(), 10).otherwise(1), 9).alias("s"))
     return boosted.orderBy(F.col("s").desc(), "node").limit(10).select("node")

@@ -21,9 +21,9 @@ def _bm25(spark, d, top=10, **more):
     return op.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", top, **more)
 
 
-@query("v1_line_chunks", "SELECT doc_id, s + 1 AS start_line, least(s + 8, len(l)) AS end_line, substr(array_to_string(l[s + 1:s + 8], chr(10)), 1, 6000) AS text FROM (SELECT doc_id, l, unnest(range(0, len(l), 6)) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE length(trim(substr(array_to_string(l[s + 1:s + 8], chr(10)), 1, 6000))) >= 8")
+@query("v1_line_chunks", "SELECT doc_id, s + 1 AS start_line, least(s + 50, len(l)) AS end_line, substr(array_to_string(l[s + 1:s + 50], chr(10)), 1, 6000) AS text FROM (SELECT doc_id, l, unnest(range(0, len(l), 40)) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE length(trim(substr(array_to_string(l[s + 1:s + 50], chr(10)), 1, 6000))) >= 8")
 def v1_line_chunks(spark, d):
-    return op.line_chunks(table(spark, d, "documents"), "doc_id", "text", 8, 2)
+    return op.line_chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("v3_chunk_ids", "SELECT doc_id, sha256(source || ':' || '1' || ':' || sha256(text)) AS chunk_id FROM documents")
