@@ -65,7 +65,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Of each component of near duplicates the document with the least id stays (ids before null); of its rows that share the id, one."""
     # the text's hash tells rows that share an id apart; rows that share both are copies
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
-    found = materialize(near_duplicates(docs.select(key.alias("doc_id"), "text")), "near-duplicates")
+    found = materialize(near_duplicates(docs.select(key.alias("doc_id"), "text")), "near-duplicates", compact=True)
     n, keys = found.select(F.count("*"), F.count_distinct("doc_id")).first()
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.id").alias("_kept"), F.col("doc_id.h").alias("_of")).distinct()
     left = docs.withColumn("_h", F.xxhash64("text")).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_h") == F.col("_of")), "left_semi")

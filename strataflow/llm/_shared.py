@@ -37,10 +37,15 @@ def bounded(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
     return spark
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    compact: rows are few bytes beside what they were made from (a scan of texts), so they are first gathered into files of the
+    advisory size; else each task of a large scan would leave a tiny file.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = df.hint("rebalance") if compact else df
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

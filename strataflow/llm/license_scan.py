@@ -313,7 +313,7 @@ def classify(notices: DataFrame, least: float = 0.5, overlap: float = 0.6, model
 def paragraphs(docs: DataFrame, least: float = 0.5, overlap: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every notice candidate: id, paragraph, place, notice, family, probability, similarity, confirmed."""
     model = train()
-    found = materialize(candidates(docs, model.known, id_col=id_col, text_col=text_col), "licence-notices")
+    found = materialize(candidates(docs, model.known, id_col=id_col, text_col=text_col), "licence-notices", compact=True)
     judged = classify(found.select("notice").distinct(), least, overlap, model)
     return found.join(judged, "notice").select("id", "paragraph", "place", "notice", "family", "probability", "similarity", "confirmed")
 

@@ -90,7 +90,7 @@ def _keyed(own: DataFrame, targets: DataFrame, max_epochs: int, seed: str) -> Da
 
 def _placed(docs: DataFrame, weights: Sequence[float], max_epochs: int, budget: float | None, seed: str, ranges: int | None, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
     """Each row with `extra`, whether the fractional epoch of its source takes it; and the targets."""
-    own = materialize(measured(docs, id_col, text_col, source_col), "mix-sizes")
+    own = materialize(measured(docs, id_col, text_col, source_col), "mix-sizes", compact=True)
     targets = materialize(source_targets(own.select("source", "size"), weights, max_epochs, budget), "mix-targets")
     if ranges is None:
         ranges = math.isqrt(own.count()) + 1

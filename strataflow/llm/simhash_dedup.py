@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, seed: in
     keeps its row and is never a component's id unless no other id is in it; other columns are ignored; an
     empty table gives no rows.
     """
-    fps = materialize(fingerprints(docs, words, seed, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
+    fps = materialize(fingerprints(docs, words, seed, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints", compact=True)
     known = materialize(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = connected_components(near_links(known.select("fp"), distance, hot, block)).withColumnRenamed("node", "fp")
     linked = known.join(roots, "fp")
