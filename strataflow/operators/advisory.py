@@ -26,17 +26,61 @@ def change_set_risk(entities: DataFrame, frequencies: DataFrame, expertise: Data
     return found.select("change_id", p.alias("probability"), F.when(p >= 0.4, "CRITICAL").when(p >= 0.2, "HIGH").when(p >= 0.1, "MEDIUM").otherwise("LOW").alias("severity"), (0.4 * 0.8 + 0.3 * 0.7 + 0.2 * 0.9 + 0.1 * (1 - F.col("penalty"))).alias("confidence"))
 
 
-def review_depth(risk: Column) -> Column:
-    return F.when(risk >= 75, "ARCHITECTURAL").when(risk >= 50, "DEEP").when(risk >= 25, "STANDARD").otherwise("LIGHT")
+def review_recommendations(changes: DataFrame, impacts: DataFrame, coupling: DataFrame, links: DataFrame, health: DataFrame, hotspots: DataFrame) -> DataFrame:
+    """Scope, risks, depth and number of reviewers of each change (change_id, path).
 
-
-def incident_rules(health: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Incidents by rule from drops between snapshots: health by 15 and more, coverage by 25 and more, with severity by size."""
-    from strataflow.operators.snapshots import changes
-
-    h = changes(health, ["entity_id"], "snapshot_date", "health_score", 15).select("entity_id", "snapshot_date", F.lit("HEALTH_COLLAPSE").alias("incident_type"), F.when(F.col("delta") >= 40, "CRITICAL").when(F.col("delta") >= 25, "HIGH").otherwise("MEDIUM").alias("severity"))
-    c = changes(coverage, ["entity_id"], "snapshot_date", "coverage_percent", 25).select("entity_id", "snapshot_date", F.lit("COVERAGE_COLLAPSE").alias("incident_type"), F.when(F.col("delta") >= 60, "CRITICAL").when(F.col("delta") >= 40, "HIGH").otherwise("MEDIUM").alias("severity"))
-    return h.unionByName(c)
+    impacts (root, node, governance_score), coupling (source_path, target_path, confidence, co_change_count; over .5 and 5 count),
+    links (adr_id, node_id), health (entity_id, health_score), hotspots (entity_id, hotspot_score, bus_factor, severity).
+    """
+    own = changes.select("change_id", "path").distinct()
+    strong = coupling.where("confidence > 0.5 AND co_change_count > 5")
+    ends = strong.select(F.col("source_path").alias("path"), F.col("target_path").alias("node")).union(strong.select("target_path", "source_path")).distinct()
+    hit = own.join(impacts.select(F.col("root").alias("path"), "node"), "path").select("change_id", F.col("node").alias("path")).distinct().join(own, ["change_id", "path"], "left_anti")
+    tied = own.join(ends, "path").select("change_id", F.col("node").alias("path")).distinct().join(own, ["change_id", "path"], "left_anti").join(hit, ["change_id", "path"], "left_anti")
+    adrs = own.join(links.select(F.col("node_id").alias("path"), "adr_id"), "path").select("change_id", "adr_id").distinct()
+    signals = adrs.join(health.select(F.col("entity_id").alias("adr_id"), "health_score"), "adr_id", "left").join(hotspots.select(F.col("entity_id").alias("adr_id"), "hotspot_score", "bus_factor", "severity"), "adr_id", "left")
+    by_adr = signals.groupBy("change_id").agg(F.count_distinct("adr_id").alias("n_adrs"), F.min("health_score").alias("min_health"), F.max("hotspot_score").alias("hotspot_risk"), F.max((F.col("severity") == "CRITICAL").cast("int")).alias("critical"))
+    by_root = own.join(impacts.select(F.col("root").alias("path"), "governance_score"), "path").groupBy("change_id").agg(F.least(F.lit(100.0), F.max("governance_score")).alias("blast_risk"))
+    rows = own.select("change_id").distinct()
+    for part in (by_adr, by_root, hit.groupBy("change_id").agg(F.count("*").alias("n_impacted")), tied.groupBy("change_id").agg(F.count("*").alias("n_coupled"))):
+        rows = rows.join(part, "change_id", "left")
+    rows = rows.fillna({"n_adrs": 0, "min_health": 100.0, "hotspot_risk": 0.0, "critical": 0, "blast_risk": 0.0, "n_impacted": 0, "n_coupled": 0})
+    rows = rows.withColumn("health_risk", F.greatest(F.lit(0.0), 100 - F.col("min_health"))).withColumn("coupling_risk", F.least(F.lit(100), (F.col("n_impacted") + F.col("n_coupled")) * 5))
+    rows = rows.withColumn("risk_score", (F.col("health_risk") + F.col("hotspot_risk") + F.col("blast_risk") + F.col("coupling_risk")) / 4)
+    score = F.col("risk_score")
+    rows = rows.withColumn("risk_level", F.when(score >= 75, "CRITICAL").when(score >= 50, "HIGH").when(score >= 25, "MEDIUM").otherwise("LOW"))
+    depth = F.when((F.col("critical") == 1) | (F.col("health_risk") > 80), "ARCHITECTURAL").when((F.col("n_adrs") > 2) | (F.col("hotspot_risk") > 60), "DEEP").when(F.col("blast_risk") > 30, "STANDARD").otherwise("LIGHT")
+    rows = rows.withColumn("depth", depth)
+    return rows.select("change_id", "n_impacted", "n_coupled", "n_adrs", "risk_score", "risk_level", "depth", F.when(F.col("depth").isin("ARCHITECTURAL", "DEEP"), 2).otherwise(1).alias("n_reviewers"))
+
+
+def incident_rules(coverage: DataFrame, hotspots: DataFrame, health: DataFrame, outcomes: DataFrame, validity: DataFrame) -> DataFrame:
+    """(entity_type, entity_id, incident_type, severity) by five families of rules on the newest snapshots; RESOLVED where a signal is good again.
+
+    coverage, health and validity (entity_id, snapshot_date, ...), hotspots (entity_id, snapshot_date, bus_factor, hotspot_score,
+    blast_radius_score, coupling_score), outcomes (entity_type, entity_id, outcome_type). What is emitted of these is up to the lock (snapshots.escalations).
+    """
+    from strataflow.operators.snapshots import as_of_before, latest_snapshot
+
+    def newest(history: DataFrame, value: str) -> DataFrame:
+        rows = latest_snapshot(as_of_before(history, ["entity_id"], "snapshot_date", value), "snapshot_date")
+        return rows.select("entity_id", F.col(value).alias("v"), F.coalesce(F.col(value) - F.col("prev_value"), F.lit(0.0)).alias("delta"))
+
+    def rated(rows: DataFrame, entity_type: str, kind: str, severity: Column) -> DataFrame:
+        return rows.select(F.lit(entity_type).alias("entity_type"), "entity_id", F.lit(kind).alias("incident_type"), severity.alias("severity")).where("severity IS NOT NULL")
+
+    v, delta = F.col("v"), F.col("delta")
+    c = rated(newest(coverage, "coverage_percent"), "FILE", "COVERAGE_INCIDENT", F.when(v < 30, "CRITICAL").when(v < 50, "HIGH").when(delta < -10, "MEDIUM").when(v > 55, "RESOLVED"))
+    weight = F.col("blast_radius_score") * 0.6 + F.col("coupling_score") * 0.4
+    alone = F.when(weight >= 80, "CRITICAL").when(weight >= 60, "HIGH").when(weight >= 30, "MEDIUM").otherwise("LOW")
+    score = F.col("hotspot_score")
+    shared = F.when(score > 90, "HIGH").when(score > 70, "MEDIUM").when(F.col("bus_factor") >= 2, "RESOLVED")
+    h = rated(latest_snapshot(hotspots, "snapshot_date"), "FILE", "HOTSPOT_INCIDENT", F.when(F.col("bus_factor") == 1, alone).otherwise(shared))
+    a = rated(newest(health, "health_score"), "MODULE", "HEALTH_INCIDENT", F.when(v < 40, "CRITICAL").when(delta < -25, "HIGH").when(delta < -15, "MEDIUM").when(v > 80, "RESOLVED"))
+    kind = F.col("outcome_type")
+    o = rated(outcomes.where("entity_type = 'ADR'"), "ADR", "OUTCOME_INCIDENT", F.when(kind == "FAILED", "CRITICAL").when(kind == "DEGRADED", "MEDIUM").when(kind == "SUCCESSFUL", "RESOLVED"))
+    t = rated(newest(validity, "validity_score"), "MODULE", "VALIDITY_INCIDENT", F.when(v < 40, "HIGH").when(v < 60, "MEDIUM").when(v > 80, "RESOLVED"))
+    return c.unionByName(h).unionByName(a).unionByName(o).unionByName(t)
 
 
 def communities(edges: DataFrame, folder: Callable[[Column], Column], hub_share: float = 0.05, cross: int = 3, largest: int = 20, least: int = 3, most_pairs: int = 200_000) -> DataFrame:

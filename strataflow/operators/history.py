@@ -143,7 +143,7 @@ def hotspots(links: DataFrame, experts: DataFrame, edges: DataFrame, health: Dat
     factor = F.when(F.coalesce("bus_factor", F.lit(0)) == 0, 2.0).when(F.col("bus_factor") == 1, 1.5).otherwise(1.0)
     raw = 0.4 * F.greatest(F.lit(0.0), 100 - F.coalesce("health_score", F.lit(100.0))) + 0.3 * F.coalesce("blast_score", F.lit(0.0)) + 0.3 * F.coalesce("coupling_score", F.lit(0.0))
     score = F.least(F.lit(100.0), raw * factor)
-    return base.select("adr_id", F.coalesce("expert_count", F.lit(0)).alias("expert_count"), F.coalesce("bus_factor", F.lit(0)).alias("bus_factor"), F.coalesce("concentration", F.lit(0.0)).alias("concentration"), F.coalesce("coupling_score", F.lit(0.0)).alias("coupling_score"), score.alias("hotspot_score")).withColumn("severity", F.when(F.col("hotspot_score") >= 76, "CRITICAL").when(F.col("hotspot_score") >= 51, "HIGH").when(F.col("hotspot_score") >= 26, "MEDIUM").otherwise("LOW"))
+    return base.select("adr_id", F.coalesce("expert_count", F.lit(0)).alias("expert_count"), F.coalesce("bus_factor", F.lit(0)).alias("bus_factor"), F.coalesce("concentration", F.lit(0.0)).alias("concentration"), F.coalesce("coupling_score", F.lit(0.0)).alias("coupling_score"), F.coalesce("blast_score", F.lit(0.0)).alias("blast_score"), score.alias("hotspot_score")).withColumn("severity", F.when(F.col("hotspot_score") >= 76, "CRITICAL").when(F.col("hotspot_score") >= 51, "HIGH").when(F.col("hotspot_score") >= 26, "MEDIUM").otherwise("LOW"))
 
 
 def intent_graph(evidence: DataFrame, least: int = 2) -> DataFrame:

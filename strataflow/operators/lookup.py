@@ -80,3 +80,21 @@ def coverage_status(percent: Column) -> Column:
 
 def coverage_risk(coverage: Column, hotspot: Column, blast: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 0.5 * (100 - coverage) + 0.25 * hotspot + 0.25 * blast))
+
+
+def expert_extremes(links: DataFrame, expertise: DataFrame) -> DataFrame:
+    """Strongest and weakest expert of each decision's files, their number, and the strongest's share."""
+    files = expertise.where("entity_type = 'FILE'").select(F.col("entity_id").alias("node_id"), "author_email", "expertise_score")
+    own = links.join(files, "node_id").groupBy("adr_id", "author_email").agg(F.sum("expertise_score").alias("total"))
+    return own.groupBy("adr_id").agg(F.max("total").alias("best"), F.min("total").alias("worst"), F.count("*").alias("experts"), (F.max("total") / F.sum("total")).alias("concentration"))
+
+
+def outcomes_by_version(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Predictions (id, version, p) that have an outcome (id, resolved): how many, how many resolved, their mean probability."""
+    return predictions.join(outcomes, "id").groupBy("version").agg(F.count("*").alias("n"), F.count_if("resolved").alias("resolved"), F.avg("p").alias("mean_p"))
+
+
+def runtime_state(mappings: DataFrame, health: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Entities by the components they run in: the worst newest health, components, and patterns seen there."""
+    newest = health.groupBy("component_id").agg(F.max_by("health_score", "computed_at").alias("health"))
+    return mappings.join(newest, "component_id").join(patterns, "component_id", "left").groupBy("entity_id").agg(F.min("health").alias("health"), F.count_distinct("component_id").alias("components"), F.count("pattern").alias("patterns"))

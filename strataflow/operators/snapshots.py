@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,19 +54,25 @@ def decision_outcomes(health: DataFrame, coverage: DataFrame, incidents: DataFra
     return rows.select("entity_id", "outcome_score", F.when(F.col("outcome_score") >= 85, "SUCCESSFUL").when(F.col("outcome_score") >= 70, "STABLE").when(F.col("outcome_score") >= 50, "DEGRADING").otherwise("FAILED").alias("outcome_type"), trend(F.col("hn"), F.col("h0"), F.col("h1")).alias("health_trend"), "incident_count", n.alias("evidence_count"), F.least(F.lit(100.0), F.log10(n + 1) * 40).alias("confidence"))
 
 
-def validity(links: DataFrame, experts: DataFrame, health: DataFrame, hotspots: DataFrame, findings: DataFrame) -> DataFrame:
-    """Validity of decisions: 100 less capped penalties for stale experts, health, drift and hotspots; confidence by signals."""
+def validity(links: DataFrame, experts: DataFrame, health: DataFrame, hotspots: DataFrame, findings: DataFrame, reviews: DataFrame, previous: DataFrame) -> DataFrame:
+    """Validity of decisions: 100 less capped penalties for stale experts, health, drift, hotspots and reviews; confidence by signals, trend against before.
+
+    reviews (entity_type, entity_id, post_merge_incidents, defects_found); previous (adr_id, validity_score).
+    """
     files = links.groupBy("adr_id").agg(F.count("*").alias("n_files"))
     people = experts.groupBy("adr_id").agg(F.count_distinct("author_email").alias("experts"), F.min("knowledge_age_days").alias("best_age"))
     drift = findings.where("adr_id IS NOT NULL").groupBy("adr_id").agg(F.count("*").alias("n_findings"), (F.count_if(F.col("severity") == "CRITICAL") * 20 + F.count_if(F.col("severity") == "HIGH") * 10).alias("drift_raw"))
     rows = files.join(people, "adr_id", "left").join(health.select("adr_id", "health_score"), "adr_id", "left").join(hotspots.select("adr_id", F.col("severity").alias("hot"), "bus_factor"), "adr_id", "left").join(drift, "adr_id", "left")
+    found = reviews.where("entity_type = 'ADR'").groupBy(F.col("entity_id").alias("adr_id")).agg(F.least(F.lit(30), F.sum("post_merge_incidents") * 15 + F.sum("defects_found") * 5).alias("review"))
+    rows = rows.join(found, "adr_id", "left").join(previous.select("adr_id", F.col("validity_score").alias("was")), "adr_id", "left")
     age = F.coalesce("best_age", F.lit(9999.0))
     stale = F.when(age > 365, 20).when(age > 90, 10).otherwise(0)
     stale = F.when(F.col("bus_factor") == 1, F.least(F.lit(30), stale + 10)).otherwise(stale)
     sick = F.coalesce(F.least(F.lit(30.0), (100 - F.col("health_score")) * 0.3), F.lit(0.0))
-    score = F.greatest(F.lit(0.0), 100 - (stale + sick + F.least(F.lit(40), F.coalesce("drift_raw", F.lit(0))) + F.when(F.col("hot") == "CRITICAL", 20).otherwise(0)))
+    score = F.greatest(F.lit(0.0), 100 - (stale + sick + F.least(F.lit(40), F.coalesce("drift_raw", F.lit(0))) + F.when(F.col("hot") == "CRITICAL", 20).otherwise(0) + F.coalesce("review", F.lit(0))))
     confidence = F.least(F.lit(100), F.when(F.col("experts") > 0, 25).otherwise(0) + F.when(F.col("health_score").isNotNull(), 25).otherwise(0) + F.when(F.col("hot").isNotNull(), 25).otherwise(0) + F.lit(25))
-    return rows.select("adr_id", score.alias("validity_score"), confidence.alias("confidence_score")).withColumn("tier", F.when(F.col("validity_score") >= 90, "VERY_HIGH").when(F.col("validity_score") >= 75, "HIGH").when(F.col("validity_score") >= 50, "MEDIUM").when(F.col("validity_score") >= 25, "LOW").otherwise("VERY_LOW"))
+    moved = F.when(score > F.col("was") + 5, "IMPROVING").when(score < F.col("was") - 5, "DEGRADING").otherwise("STABLE")
+    return rows.select("adr_id", score.alias("validity_score"), confidence.alias("confidence_score"), moved.alias("trend")).withColumn("tier", F.when(F.col("validity_score") >= 90, "VERY_HIGH").when(F.col("validity_score") >= 75, "HIGH").when(F.col("validity_score") >= 50, "MEDIUM").when(F.col("validity_score") >= 25, "LOW").otherwise("VERY_LOW"))
 
 
 def incident_factors(incidents: DataFrame, history: DataFrame, date: str, condition: Column, factor: str, contribution: int, days: int = 30) -> DataFrame:
@@ -84,15 +92,20 @@ def _graded(value: Column, low: float, high: float, scale: float) -> Column:
     return F.when(value < low, 1.0).when(value < high, (high - value) / scale).otherwise(0.0)
 
 
-def incident_predictions(entities: DataFrame, coverage: DataFrame, health: DataFrame, hotspots: DataFrame, outcomes: DataFrame, valid: DataFrame) -> DataFrame:
-    """Noisy-OR of five risks of each entity, with severity, confidence and the strongest driver (the first of equals)."""
-    rows = entities.join(coverage.select("entity_id", F.col("coverage_percent").alias("cov")), "entity_id", "left").join(health.select("entity_id", F.col("health_score").alias("health")), "entity_id", "left").join(hotspots.select(F.col("adr_id").alias("entity_id"), "hotspot_score", "bus_factor", "coupling_score"), "entity_id", "left").join(outcomes.select("entity_id", "outcome_type"), "entity_id", "left").join(valid.select(F.col("adr_id").alias("entity_id"), "validity_score"), "entity_id", "left")
+def incident_predictions(entities: DataFrame, coverage: DataFrame, health: DataFrame, hotspots: DataFrame, outcomes: DataFrame, valid: DataFrame, mappings: DataFrame, runtime_health: DataFrame) -> DataFrame:
+    """Noisy-OR of six risks of each entity, with severity, confidence and the strongest driver (the first of equals)."""
+    rows = entities.join(coverage.select("entity_id", F.col("coverage_percent").alias("cov")), "entity_id", "left").join(health.select("entity_id", F.col("health_score").alias("health")), "entity_id", "left").join(hotspots.select(F.col("adr_id").alias("entity_id"), "hotspot_score", "bus_factor", "coupling_score", "blast_score"), "entity_id", "left").join(outcomes.select("entity_id", "outcome_type"), "entity_id", "left").join(valid.select(F.col("adr_id").alias("entity_id"), "validity_score"), "entity_id", "left")
+    # the newest health of each component, then of an entity's components the last by name
+    newest = latest_by_key(runtime_health, ["component_id"], "computed_at", ["health_score"]).select("component_id", F.col("health_score").alias("runtime"))
+    live = mappings.join(newest, "component_id").groupBy("entity_id").agg(F.max_by("runtime", "component_id").alias("runtime"))
+    rows = rows.join(live, "entity_id", "left")
     cov = _graded(F.coalesce("cov", F.lit(100.0)), 30, 80, 50.0)
-    hot = F.when(F.coalesce("bus_factor", F.lit(10)) == 1, F.least(F.lit(1.0), F.coalesce("coupling_score", F.lit(0.0)) * 0.4 / 100)).otherwise(F.least(F.lit(1.0), F.coalesce("hotspot_score", F.lit(0.0)) / 100))
+    hot = F.when(F.coalesce("bus_factor", F.lit(10)) == 1, F.least(F.lit(1.0), (F.coalesce("blast_score", F.lit(0.0)) * 0.6 + F.coalesce("coupling_score", F.lit(0.0)) * 0.4) / 100)).otherwise(F.least(F.lit(1.0), F.coalesce("hotspot_score", F.lit(0.0)) / 100))
     sick = _graded(F.coalesce("health", F.lit(100.0)), 40, 90, 50.0)
-    out = F.when(F.col("outcome_type") == "FAILED", 1.0).when(F.col("outcome_type") == "DEGRADING", 0.5).otherwise(0.0)
+    out = F.when(F.col("outcome_type") == "FAILED", 1.0).when(F.col("outcome_type").isin("DEGRADED", "DEGRADING"), 0.5).otherwise(0.0)
     val = _graded(F.coalesce("validity_score", F.lit(100.0)), 40, 80, 40.0)
-    risks = {"COVERAGE": cov, "HOTSPOT": hot, "HEALTH": sick, "OUTCOME": out, "VALIDITY": val}
+    run = F.coalesce((100.0 - F.col("runtime")) / 100.0, F.lit(0.0))
+    risks = {"COVERAGE": cov, "HOTSPOT": hot, "HEALTH": sick, "OUTCOME": out, "VALIDITY": val, "RUNTIME": run}
     rows = rows.select("entity_id", *[r.alias(k) for k, r in risks.items()])
     rest = F.lit(1.0)
     for k in risks:
@@ -130,17 +143,44 @@ def causal_chain(events: DataFrame) -> DataFrame:
     return rows.select("entity_id", "step", "kind", "event_date", "amount", relation.alias("relation"), "share", confidence.alias("confidence"))
 
 
-def evolution(history: DataFrame, as_of: str) -> DataFrame:
-    """Evolution events of entities between snapshots of health, and velocity and status from their importance."""
+def evolution_events(snapshots: DataFrame) -> DataFrame:
+    """(entity_id, snapshot_date, event_type, importance) of what changed since the snapshot before.
+
+    snapshots: entity_id, snapshot_date, health_score, validity_score, bus_factor, node_count.
+    """
     w = Window.partitionBy("entity_id").orderBy("snapshot_date")
-    rows = history.withColumn("before", F.lag("health_score").over(w))
-    events = F.array_compact(F.array(F.when(F.col("before").isNull(), F.struct(F.lit("CREATED").alias("event_type"), F.lit(10).alias("importance"))), F.when(F.abs(F.col("health_score") - F.col("before")) > 5, F.struct(F.lit("HEALTH_CHANGED").alias("event_type"), F.lit(40).alias("importance"))), F.when((F.col("before") >= 80) & (F.col("health_score") < 80), F.struct(F.lit("EVOLUTION_MILESTONE").alias("event_type"), F.lit(90).alias("importance")))))
-    listed = rows.select("entity_id", "snapshot_date", F.explode(events).alias("e")).select("entity_id", "snapshot_date", "e.event_type", "e.importance")
-    totals = listed.groupBy("entity_id").agg(F.sum("importance").alias("total"), F.count("*").alias("change_count"), F.min("snapshot_date").alias("first_seen"))
-    latest = latest_by_key(history, ["entity_id"], "snapshot_date", ["health_score"]).select("entity_id", "health_score")
+    was = {c: F.lag(c).over(w) for c in ("health_score", "validity_score", "bus_factor", "node_count")}
+    rows = snapshots.withColumns({f"was_{c}": x for c, x in was.items()}).withColumn("first", F.row_number().over(w) == 1)
+    event = lambda when, kind, importance: F.when(when, F.struct(F.lit(kind).alias("event_type"), F.lit(importance).alias("importance")))
+    health, validity_, bus, nodes = (F.col(c) for c in was)
+    moved = lambda c: ~F.col("first") & (F.abs(F.col(c) - F.col(f"was_{c}")) > 5)
+    events = [
+        event(F.col("first"), "CREATED", 10),
+        event(moved("health_score"), "HEALTH_CHANGED", 40), event(moved("health_score") & (F.col("was_health_score") >= 80) & (health < 80), "EVOLUTION_MILESTONE", 90),
+        event(moved("validity_score"), "VALIDITY_CHANGED", 60), event(moved("validity_score") & (F.col("was_validity_score") >= 50) & (validity_ < 50), "EVOLUTION_MILESTONE", 90),
+        event(~F.col("first") & (bus != F.col("was_bus_factor")), "RISK_CHANGED", 50), event(~F.col("first") & (F.col("was_bus_factor") > 1) & (bus == 1), "EVOLUTION_MILESTONE", 90),
+        event(~F.col("first") & (nodes > F.col("was_node_count")), "EXPANDED", 10), event(~F.col("first") & (nodes < F.col("was_node_count")), "CONTRACTED", 10),
+    ]
+    return rows.select("entity_id", "snapshot_date", F.explode(F.array_compact(F.array(*events))).alias("e")).select("entity_id", "snapshot_date", "e.event_type", "e.importance")
+
+
+def evolution(snapshots: DataFrame, as_of: str) -> DataFrame:
+    """Velocity of each entity (importance of its events by day and size) and its status: EMERGING, OBSOLETE, STABLE, DECLINING or ACTIVE."""
+    totals = evolution_events(snapshots).groupBy("entity_id").agg(F.sum("importance").alias("total"), F.count("*").alias("change_count"), F.min("snapshot_date").alias("first_seen"))
+    latest = latest_by_key(snapshots, ["entity_id"], "snapshot_date", ["health_score", "validity_score", "bus_factor", "node_count"]).drop("snapshot_date")
+    trends = [first_last(snapshots, ["entity_id"], "snapshot_date", c).select("entity_id", trend(F.col("n"), F.col("earliest"), F.col("latest")).alias(f"trend_{c}")) for c in ("health_score", "validity_score")]
+    rows = totals.join(latest, "entity_id").join(trends[0], "entity_id").join(trends[1], "entity_id")
     days = F.greatest(F.lit(1), F.datediff(F.lit(as_of), "first_seen"))
-    velocity = F.col("total") / 100 / days
-    return totals.join(latest, "entity_id").select("entity_id", "change_count", velocity.alias("velocity"), F.when(days < 30, "EMERGING").when((velocity < 0.2) & (F.col("health_score") > 80), "STABLE").otherwise("ACTIVE").alias("status"))
+    velocity = F.col("total") / 100 / (days * F.log10(F.greatest(F.lit(10), F.col("node_count"))))
+    falling = (F.col("trend_health_score") == "DEGRADING") | (F.col("trend_validity_score") == "DEGRADING")
+    status = F.when(days < 30, "EMERGING").when((F.col("validity_score") < 25) | (F.col("bus_factor") == 0), "OBSOLETE").when((velocity < 0.2) & (F.col("health_score") > 80), "STABLE").when(falling, "DECLINING").otherwise("ACTIVE")
+    return rows.select("entity_id", "change_count", velocity.alias("velocity"), status.alias("status"))
+
+
+def active_entities(coverage: DataFrame, hotspots: DataFrame, health: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(entity_id, entity_type) of all that have a signal, each once by type."""
+    parts = [(coverage, "FILE"), (hotspots, "FILE"), (health, "MODULE"), (outcomes.where("entity_type = 'ADR'"), "ADR")]
+    return reduce(DataFrame.union, [t.select("entity_id", F.lit(k).alias("entity_type")) for t, k in parts]).distinct()
 
 
 def range_pairs(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, days: int) -> DataFrame:
@@ -157,10 +197,16 @@ def confusion(p: Column, y: Column, cut: float = 0.4) -> Column:
 
 
 def accountability(predictions: DataFrame) -> DataFrame:
-    """Brier score, false positive and negative rates by engine version (version, p, y)."""
+    """Brier score, false positive and negative rates, and precision of the predicted types, by engine version (version, p, y, match)."""
     state = predictions.withColumn("state", confusion(F.col("p"), F.col("y")))
     count = lambda k: F.count_if(F.col("state") == k)
-    return state.groupBy("version").agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), (count("FP") / F.greatest(F.lit(1), count("FP") + count("TN"))).alias("fpr"), (count("FN") / F.greatest(F.lit(1), count("FN") + count("TP"))).alias("fnr"), F.count("*").alias("n"))
+    return state.groupBy("version").agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), (count("FP") / F.greatest(F.lit(1), count("FP") + count("TN"))).alias("fpr"), (count("FN") / F.greatest(F.lit(1), count("FN") + count("TP"))).alias("fnr"), (F.count_if(F.col("match").isin("TYPE_MATCH", "PARTIAL_MATCH")) / F.greatest(F.lit(1), F.sum("y"))).alias("type_precision"), F.count("*").alias("n"))
+
+
+def engine_trust(metrics: DataFrame) -> DataFrame:
+    """Metrics (version, name, value) in one row a version; trustworthy under a Brier score of .15, .10 false positives and .05 false negatives."""
+    wide = metrics.groupBy("version").pivot("name", ["brier", "fpr", "fnr", "type_precision"]).agg(F.max("value"))
+    return wide.withColumn("trustworthy", (F.col("brier") < 0.15) & (F.col("fpr") < 0.10) & (F.col("fnr") < 0.05))
 
 
 def type_match(expected: Column, actual: Column) -> Column:

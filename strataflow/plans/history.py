@@ -183,7 +183,7 @@ _HOTSPOT = f"""{_DRIFT}, {_HEALTH}, {_AUTHORED}, {_ADR_EXPERTS},
     coupling AS (SELECT adr_id, least(100.0, count(DISTINCT path || '|' || other) * 5.0) AS coupling_score FROM outside GROUP BY adr_id),
     people AS (SELECT adr_id, count(*) AS expert_count, count(*) FILTER (coverage >= 0.2 AND knowledge_age_days < 365) AS bus_factor, max(expertise_score) / sum(expertise_score) AS concentration FROM adr_experts GROUP BY adr_id),
     blast AS (SELECT adr_id, least(100.0, count(*) * 1.0) AS blast_score FROM owners GROUP BY adr_id),
-    parts AS (SELECT adr_id, coalesce(expert_count, 0) AS expert_count, coalesce(bus_factor, 0) AS bus_factor, coalesce(concentration, 0.0) AS concentration, coalesce(coupling_score, 0.0) AS coupling_score,
+    parts AS (SELECT adr_id, coalesce(expert_count, 0) AS expert_count, coalesce(bus_factor, 0) AS bus_factor, coalesce(concentration, 0.0) AS concentration, coalesce(coupling_score, 0.0) AS coupling_score, coalesce(blast_score, 0.0) AS blast_score,
         least(100.0, (0.4 * greatest(0.0, 100 - coalesce(health_score, 100.0)) + 0.3 * coalesce(blast_score, 0.0) + 0.3 * coalesce(coupling_score, 0.0)) * CASE coalesce(bus_factor, 0) WHEN 0 THEN 2.0 WHEN 1 THEN 1.5 ELSE 1.0 END) AS hotspot_score
         FROM (SELECT DISTINCT adr_id FROM adr_links) LEFT JOIN people USING (adr_id) LEFT JOIN coupling USING (adr_id) LEFT JOIN health USING (adr_id) LEFT JOIN blast USING (adr_id))"""
 
@@ -219,10 +219,10 @@ def r5_hotspots(spark, d):
     return hotspot_table(spark, d).select("adr_id", "expert_count", "bus_factor", F.round("concentration", 6).alias("concentration"), F.round("coupling_score", 6).alias("coupling_score"), F.round("hotspot_score", 6).alias("hotspot_score"), "severity")
 
 
-@query("a7_bus_factor", role.with_("commits", "commit_files", "adr_links") + f", {_AUTHORED}, {_ADR_EXPERTS} SELECT adr_id, count(*) FILTER (coverage >= 0.02 AND knowledge_age_days < 900) AS bus_factor FROM adr_experts GROUP BY adr_id")
+@query("a7_bus_factor", role.with_("commits", "commit_files", "adr_links") + f", {_AUTHORED}, {_ADR_EXPERTS} SELECT adr_id, count(*) FILTER (coverage >= 0.2 AND knowledge_age_days < 365) AS bus_factor FROM adr_experts GROUP BY adr_id")
 def a7_bus_factor(spark, d):
     experts = op.adr_expertise(op.file_expertise(_authored(spark, d)), role.adr_links(spark, d))
-    return experts.groupBy("adr_id").agg(F.count_if((F.col("coverage") >= 0.02) & (F.col("knowledge_age_days") < 900)).alias("bus_factor"))
+    return experts.groupBy("adr_id").agg(F.count_if((F.col("coverage") >= 0.2) & (F.col("knowledge_age_days") < 365)).alias("bus_factor"))
 
 
 _INTENTS = "evidence AS (SELECT 'T' || (l_suppkey % 30) AS intent_id, CASE WHEN l_orderkey % 3 = 0 THEN 'ADR' WHEN l_orderkey % 3 = 1 THEN 'PR' ELSE 'COMMIT' END AS source_type, l_orderkey AS source_id FROM lineitem)"

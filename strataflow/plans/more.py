@@ -13,13 +13,14 @@ from strataflow.operators import retrieval as rop
 from strataflow.plans import graph, history, lookup, retrieval, runtime, snapshots
 from strataflow.plans.registry import ORACLE_SQL, QUERIES, query
 from strataflow.sources import adapters as role
+from strataflow.sources import roles
 from strataflow.sources.adapters import table
 
 #: Inventory ids whose operator is a whole query registered under another id.
 SAME = {
     "a3_jaccard_coupling": "r1_logical_coupling", "a4_file_expertise": "r2_file_expertise", "a5_directory_rollup": "r2_directory_expertise", "a6_adr_rollup": "r2_adr_expertise", "a15_laplace_frequency": "r13_change_risk", "a16_drift_score": "r4_drift_health",
     "a17_padded_baseline": "r18_runtime_baselines", "a18_entropy_calibration": "r21_runtime_calibration", "a21_coverage_risk": "r8_coverage_risk", "a22_intent_edge_weight": "r28_intent_graph", "a23_dependency_confidence": "r23_dependency_view", "a29_intent_aggregate": "r27_intent_extraction",
-    "w12_sequential_chain": "r10_causal_chains", "w15_score_normalization": "v21_rerank_normalization", "w16_greedy_budget": "v22_budget_packing", "u3_union_all_endpoints": "a30_coupling_centrality", "j25_mismatch_joins": "r29_diagnostics", "r25_runtime_static_reconcile": "j20_runtime_static_reconcile",
+    "w12_sequential_chain": "r10_causal_chains", "w15_score_normalization": "v21_rerank_normalization", "w16_greedy_budget": "v22_budget_packing", "u3_union_all_endpoints": "a30_coupling_centrality", "r25_runtime_static_reconcile": "j20_runtime_static_reconcile",
     "r26_decision_code_links": "j18_token_links", "g29_path_risk_union": "r24_runtime_blast_radius", "x2_reconcile": "j21_reconcile", "q4_get_dependents": "g5_dependents", "q5_get_dependencies": "g4_neighbours", "q6_get_facts": "p1_query_facts", "s5_incremental_sync": "x9_high_water_mark",
 }
 for _name, _of in SAME.items():
@@ -31,9 +32,9 @@ def a12_brier_score(spark, d):
     return snapshots.r15_prediction_accountability(spark, d).select("version", "brier")
 
 
-@query("a13_error_rates", f"{snapshots._RATES} SELECT version, round(fpr, 6) AS fpr, round(fnr, 6) AS fnr FROM m")
+@query("a13_error_rates", f"{snapshots._RATES} SELECT version, round(fpr, 6) AS fpr, round(fnr, 6) AS fnr, round(type_precision, 6) AS type_precision FROM m")
 def a13_error_rates(spark, d):
-    return snapshots.r15_prediction_accountability(spark, d).select("version", "fpr", "fnr")
+    return snapshots.r15_prediction_accountability(spark, d).select("version", "fpr", "fnr", "type_precision")
 
 
 @query("a25_primary_driver", "SELECT user_id, first(event_type ORDER BY n DESC, event_type) AS driver FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
@@ -42,12 +43,19 @@ def a25_primary_driver(spark, d):
     return counts.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("n"), "event_type")).alias("driver"))
 
 
-@query("r11_incident_rules", role.with_("health_history", "coverage_history") + """, h AS (SELECT entity_id, snapshot_date, lag(health_score) OVER (PARTITION BY entity_id ORDER BY snapshot_date) - health_score AS d FROM health_history),
-    c AS (SELECT entity_id, snapshot_date, lag(coverage_percent) OVER (PARTITION BY entity_id ORDER BY snapshot_date) - coverage_percent AS d FROM coverage_history)
-    SELECT entity_id, snapshot_date, 'HEALTH_COLLAPSE' AS incident_type, CASE WHEN d >= 40 THEN 'CRITICAL' WHEN d >= 25 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM h WHERE d >= 15
-    UNION ALL SELECT entity_id, snapshot_date, 'COVERAGE_COLLAPSE', CASE WHEN d >= 60 THEN 'CRITICAL' WHEN d >= 40 THEN 'HIGH' ELSE 'MEDIUM' END FROM c WHERE d >= 25""")
+_NEWEST = "{0} AS (SELECT * FROM (SELECT *, {1} AS v, coalesce({1} - lag({1}) OVER (PARTITION BY entity_id ORDER BY snapshot_date), 0.0) AS delta FROM {2}) WHERE snapshot_date = (SELECT max(snapshot_date) FROM {2}))"
+
+
+@query("r11_incident_rules", roles.with_("coverage_snapshots", "hotspot_history", "architectural_health_history", "decision_outcomes", "validity_history") + ", " + ", ".join(_NEWEST.format(*x) for x in (("c", "coverage_percent", "coverage_snapshots"), ("a", "health_score", "architectural_health_history"), ("t", "validity_score", "validity_history"))) + """,
+    x AS (SELECT 'FILE' AS entity_type, entity_id, 'COVERAGE_INCIDENT' AS incident_type, CASE WHEN v < 30 THEN 'CRITICAL' WHEN v < 50 THEN 'HIGH' WHEN delta < -10 THEN 'MEDIUM' WHEN v > 55 THEN 'RESOLVED' END AS severity FROM c
+    UNION ALL SELECT 'FILE', entity_id, 'HOTSPOT_INCIDENT', CASE WHEN bus_factor = 1 THEN CASE WHEN blast_radius_score * 0.6 + coupling_score * 0.4 >= 80 THEN 'CRITICAL' WHEN blast_radius_score * 0.6 + coupling_score * 0.4 >= 60 THEN 'HIGH' WHEN blast_radius_score * 0.6 + coupling_score * 0.4 >= 30 THEN 'MEDIUM' ELSE 'LOW' END
+        WHEN hotspot_score > 90 THEN 'HIGH' WHEN hotspot_score > 70 THEN 'MEDIUM' WHEN bus_factor >= 2 THEN 'RESOLVED' END FROM hotspot_history WHERE snapshot_date = (SELECT max(snapshot_date) FROM hotspot_history)
+    UNION ALL SELECT 'MODULE', entity_id, 'HEALTH_INCIDENT', CASE WHEN v < 40 THEN 'CRITICAL' WHEN delta < -25 THEN 'HIGH' WHEN delta < -15 THEN 'MEDIUM' WHEN v > 80 THEN 'RESOLVED' END FROM a
+    UNION ALL SELECT 'ADR', entity_id, 'OUTCOME_INCIDENT', CASE outcome_type WHEN 'FAILED' THEN 'CRITICAL' WHEN 'DEGRADED' THEN 'MEDIUM' WHEN 'SUCCESSFUL' THEN 'RESOLVED' END FROM decision_outcomes
+    UNION ALL SELECT 'MODULE', entity_id, 'VALIDITY_INCIDENT', CASE WHEN v < 40 THEN 'HIGH' WHEN v < 60 THEN 'MEDIUM' WHEN v > 80 THEN 'RESOLVED' END FROM t)
+    SELECT * FROM x WHERE severity IS NOT NULL""")
 def r11_incident_rules(spark, d):
-    return op.incident_rules(role.health_history(spark, d), role.coverage_history(spark, d))
+    return op.incident_rules(*[roles.role(spark, d, n) for n in ("coverage_snapshots", "hotspot_history", "architectural_health_history", "decision_outcomes", "validity_history")])
 
 
 _RISK_SETS = "ents AS (SELECT DISTINCT l_orderkey AS change_id, 'ADR-' || (l_partkey % 30) AS entity_id FROM lineitem)"
@@ -67,10 +75,20 @@ def r14_change_set_risk(spark, d):
     return found.withColumns({"probability": F.round("probability", 6), "confidence": F.round("confidence", 6)})
 
 
-@query("r17_review_depth", "SELECT o_orderkey, round((least(100, o_totalprice / 5000) + c_acctbal % 100) / 2, 6) AS risk, CASE WHEN (least(100, o_totalprice / 5000) + c_acctbal % 100) / 2 >= 75 THEN 'ARCHITECTURAL' WHEN (least(100, o_totalprice / 5000) + c_acctbal % 100) / 2 >= 50 THEN 'DEEP' WHEN (least(100, o_totalprice / 5000) + c_acctbal % 100) / 2 >= 25 THEN 'STANDARD' ELSE 'LIGHT' END AS depth FROM orders JOIN customer ON c_custkey = o_custkey")
-def r17_review_depth(spark, d):
-    risk = (F.least(F.lit(100.0), F.col("o_totalprice") / 5000) + F.col("c_acctbal") % 100) / 2
-    return table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", F.round(risk, 6).alias("risk"), op.review_depth(risk).alias("depth"))
+@query("r17_review_recommendations", roles.with_("change_sets", "impacts", "couplings", "links", "architectural_health", "knowledge_hotspots") + """, own AS (SELECT DISTINCT change_id, path FROM change_sets),
+    strong AS (SELECT * FROM couplings WHERE confidence > 0.5 AND co_change_count > 5), ends AS (SELECT source_path AS path, target_path AS node FROM strong UNION SELECT target_path, source_path FROM strong),
+    hit AS (SELECT DISTINCT change_id, node AS path FROM own JOIN impacts ON root = path EXCEPT SELECT * FROM own), tied AS (SELECT DISTINCT change_id, node AS path FROM own JOIN ends USING (path) EXCEPT SELECT * FROM own EXCEPT SELECT * FROM hit),
+    a AS (SELECT DISTINCT change_id, adr_id FROM own JOIN links ON node_id = path),
+    g AS (SELECT change_id, count(DISTINCT adr_id) AS n_adrs, min(health_score) AS mh, max(hotspot_score) AS hot, max(CAST(severity = 'CRITICAL' AS INT)) AS crit FROM a LEFT JOIN architectural_health h ON h.entity_id = adr_id LEFT JOIN knowledge_hotspots k ON k.entity_id = adr_id GROUP BY 1),
+    bl AS (SELECT change_id, least(100.0, max(governance_score)) AS blast FROM own JOIN impacts ON root = path GROUP BY 1),
+    r AS (SELECT c.change_id, coalesce(i.n, 0) AS n_impacted, coalesce(t.n, 0) AS n_coupled, coalesce(n_adrs, 0) AS n_adrs, greatest(0.0, 100 - coalesce(mh, 100.0)) AS hr, coalesce(hot, 0.0) AS hot, coalesce(crit, 0) AS crit, coalesce(blast, 0.0) AS blast
+        FROM (SELECT DISTINCT change_id FROM own) c LEFT JOIN g USING (change_id) LEFT JOIN bl USING (change_id) LEFT JOIN (SELECT change_id, count(*) AS n FROM hit GROUP BY 1) i USING (change_id) LEFT JOIN (SELECT change_id, count(*) AS n FROM tied GROUP BY 1) t USING (change_id)),
+    s AS (SELECT *, (hr + hot + blast + least(100, (n_impacted + n_coupled) * 5)) / 4 AS risk FROM r),
+    z AS (SELECT *, CASE WHEN crit = 1 OR hr > 80 THEN 'ARCHITECTURAL' WHEN n_adrs > 2 OR hot > 60 THEN 'DEEP' WHEN blast > 30 THEN 'STANDARD' ELSE 'LIGHT' END AS depth FROM s)
+    SELECT change_id, n_impacted, n_coupled, n_adrs, round(risk, 6) AS risk_score, CASE WHEN risk >= 75 THEN 'CRITICAL' WHEN risk >= 50 THEN 'HIGH' WHEN risk >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, depth, CASE WHEN depth IN ('ARCHITECTURAL', 'DEEP') THEN 2 ELSE 1 END AS n_reviewers FROM z""")
+def r17_review_recommendations(spark, d):
+    found = op.review_recommendations(*[roles.role(spark, d, n) for n in ("change_sets", "impacts", "couplings", "links", "architectural_health", "knowledge_hotspots")])
+    return found.withColumn("risk_score", F.round("risk_score", 6))
 
 
 @query("g1_program_graph", f"WITH {lookup._FACTS}, files AS (SELECT DISTINCT file_path, symbol FROM facts), defs AS (SELECT symbol, file_path FROM files QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY file_path) <= 3) SELECT 'file::' || file_path AS src, symbol AS dst, 'contains' AS type, 1.0 AS weight FROM files UNION SELECT 'file::' || f.file_path, 'file::' || defs.file_path, 'calls', 0.8 FROM (SELECT DISTINCT file_path, symbol FROM facts WHERE fact_type = 'call') f JOIN defs ON defs.symbol = f.symbol AND defs.file_path <> f.file_path")

@@ -8,10 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.session import cut
+from strataflow.operators import audit
 from strataflow.operators import snapshots as op
 from strataflow.plans import history as plans
 from strataflow.plans.registry import query
 from strataflow.sources import adapters as role
+from strataflow.sources import roles as more
 
 _H = role.with_("health_history")
 _C = role.with_("coverage_history")
@@ -109,21 +111,24 @@ def u7_signal_key_union(spark, d):
 
 _VALIDITY = plans._HOTSPOT + """, hot AS (SELECT *, CASE WHEN hotspot_score >= 76 THEN 'CRITICAL' WHEN hotspot_score >= 51 THEN 'HIGH' WHEN hotspot_score >= 26 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM parts),
     pe AS (SELECT adr_id, count(DISTINCT author_email) AS experts, min(knowledge_age_days) AS best_age FROM adr_experts GROUP BY adr_id),
+    """ + more.ctes("review_outcomes", "previous_validity") + """,
+    rv AS (SELECT entity_id AS adr_id, least(30, sum(post_merge_incidents) * 15 + sum(defects_found) * 5) AS review FROM review_outcomes WHERE entity_type = 'ADR' GROUP BY 1),
+    pv AS (SELECT adr_id, validity_score AS was FROM previous_validity),
     dr AS (SELECT adr_id, count(*) FILTER (severity = 'CRITICAL') * 20 + count(*) FILTER (severity = 'HIGH') * 10 AS drift_raw FROM findings WHERE adr_id IS NOT NULL GROUP BY adr_id),
-    st AS (SELECT f.adr_id, health_score, hot.severity AS hot, hot.bus_factor, drift_raw, pe.experts, CASE WHEN coalesce(best_age, 9999) > 365 THEN 20 WHEN coalesce(best_age, 9999) > 90 THEN 10 ELSE 0 END AS s0
-        FROM (SELECT DISTINCT adr_id FROM adr_links) f LEFT JOIN pe USING (adr_id) LEFT JOIN health USING (adr_id) LEFT JOIN hot USING (adr_id) LEFT JOIN dr USING (adr_id)),
-    validity AS (SELECT adr_id, greatest(0.0, 100 - (CASE WHEN bus_factor = 1 THEN least(30, s0 + 10) ELSE s0 END + coalesce(least(30.0, (100 - health_score) * 0.3), 0.0) + least(40, coalesce(drift_raw, 0)) + CASE WHEN hot = 'CRITICAL' THEN 20 ELSE 0 END)) AS validity_score,
+    st AS (SELECT f.adr_id, health_score, hot.severity AS hot, hot.bus_factor, drift_raw, pe.experts, rv.review, pv.was, CASE WHEN coalesce(best_age, 9999) > 365 THEN 20 WHEN coalesce(best_age, 9999) > 90 THEN 10 ELSE 0 END AS s0
+        FROM (SELECT DISTINCT adr_id FROM adr_links) f LEFT JOIN pe USING (adr_id) LEFT JOIN health USING (adr_id) LEFT JOIN hot USING (adr_id) LEFT JOIN dr USING (adr_id) LEFT JOIN rv USING (adr_id) LEFT JOIN pv USING (adr_id)),
+    validity AS (SELECT adr_id, greatest(0.0, 100 - (CASE WHEN bus_factor = 1 THEN least(30, s0 + 10) ELSE s0 END + coalesce(least(30.0, (100 - health_score) * 0.3), 0.0) + least(40, coalesce(drift_raw, 0)) + CASE WHEN hot = 'CRITICAL' THEN 20 ELSE 0 END + coalesce(review, 0))) AS validity_score, was,
         least(100, CASE WHEN experts > 0 THEN 25 ELSE 0 END + CASE WHEN health_score IS NOT NULL THEN 25 ELSE 0 END + CASE WHEN hot IS NOT NULL THEN 25 ELSE 0 END + 25) AS confidence_score FROM st)"""
 
 
-def _validity(p, hotspots):
-    return op.validity(p.links, p.experts, p.health, hotspots, p.findings)
+def _validity(spark, d, p, hotspots):
+    return op.validity(p.links, p.experts, p.health, hotspots, p.findings, more.role(spark, d, "review_outcomes"), more.role(spark, d, "previous_validity"))
 
 
-@query("r6_validity", f"{_VALIDITY} SELECT adr_id, round(validity_score, 6) AS validity_score, confidence_score, CASE WHEN validity_score >= 90 THEN 'VERY_HIGH' WHEN validity_score >= 75 THEN 'HIGH' WHEN validity_score >= 50 THEN 'MEDIUM' WHEN validity_score >= 25 THEN 'LOW' ELSE 'VERY_LOW' END AS tier FROM validity")
+@query("r6_validity", f"{_VALIDITY} SELECT adr_id, round(validity_score, 6) AS validity_score, confidence_score, CASE WHEN validity_score > was + 5 THEN 'IMPROVING' WHEN validity_score < was - 5 THEN 'DEGRADING' ELSE 'STABLE' END AS trend, CASE WHEN validity_score >= 90 THEN 'VERY_HIGH' WHEN validity_score >= 75 THEN 'HIGH' WHEN validity_score >= 50 THEN 'MEDIUM' WHEN validity_score >= 25 THEN 'LOW' ELSE 'VERY_LOW' END AS tier FROM validity")
 def r6_validity(spark, d):
     p = plans.parts(spark, d)
-    return _validity(p, plans.hotspot_table(spark, d, p)).withColumn("validity_score", F.round("validity_score", 6))
+    return _validity(spark, d, p, plans.hotspot_table(spark, d, p)).withColumn("validity_score", F.round("validity_score", 6))
 
 
 _FACTORS = """factors AS (SELECT DISTINCT i.id AS incident_id, i.incident_type, 'COVERAGE_DEGRADATION' AS factor_type, 80 AS contribution_score FROM incidents i JOIN coverage_history h ON h.entity_id = i.entity_id AND h.snapshot_date >= i.created_at - INTERVAL 30 DAYS AND h.snapshot_date <= i.created_at WHERE coverage_percent < 50 AND severity <> 'RESOLVED'
@@ -151,18 +156,19 @@ def a9_group_concat(spark, d):
     return _factors(spark, d).groupBy("incident_id").agg(F.array_join(F.sort_array(F.collect_list("factor_type")), ",").alias("factors"))
 
 
-_PREDICT = _VALIDITY.replace(role.CTE["commits"], ", ".join(role.CTE[k] for k in ("health_history", "coverage_history", "incidents")) + ", " + role.CTE["commits"], 1).replace("health AS (SELECT adr_id", "drift_health AS (SELECT adr_id").replace("LEFT JOIN health USING", "LEFT JOIN drift_health USING") + f""", {_OUTCOMES},
+_PREDICT = _VALIDITY.replace(role.CTE["commits"], ", ".join(role.CTE[k] for k in ("health_history", "coverage_history", "incidents")) + ", " + role.CTE["commits"], 1).replace("health AS (SELECT adr_id", "drift_health AS (SELECT adr_id").replace("LEFT JOIN health USING", "LEFT JOIN drift_health USING") + f""", {_OUTCOMES}, {more.ctes("runtime_mappings", "runtime_health_history")},
+    rh AS (SELECT component_id, max_by(health_score, computed_at) AS runtime FROM runtime_health_history GROUP BY 1), live AS (SELECT entity_id, max_by(runtime, component_id) AS runtime FROM runtime_mappings JOIN rh USING (component_id) GROUP BY 1),
     lc AS (SELECT entity_id, coverage_percent AS cov FROM coverage_history WHERE snapshot_date = (SELECT max(snapshot_date) FROM coverage_history)),
     lh AS (SELECT entity_id, health_score AS hs FROM health_history WHERE snapshot_date = (SELECT max(snapshot_date) FROM health_history)),
     risks AS (SELECT k.entity_id, CASE WHEN coalesce(cov, 100.0) < 30 THEN 1.0 WHEN coalesce(cov, 100.0) < 80 THEN (80 - cov) / 50.0 ELSE 0.0 END AS r1,
-        CASE WHEN coalesce(bus_factor, 10) = 1 THEN least(1.0, coalesce(coupling_score, 0.0) * 0.4 / 100) ELSE least(1.0, coalesce(hotspot_score, 0.0) / 100) END AS r2,
+        CASE WHEN coalesce(bus_factor, 10) = 1 THEN least(1.0, (coalesce(blast_score, 0.0) * 0.6 + coalesce(coupling_score, 0.0) * 0.4) / 100) ELSE least(1.0, coalesce(hotspot_score, 0.0) / 100) END AS r2,
         CASE WHEN coalesce(hs, 100.0) < 40 THEN 1.0 WHEN coalesce(hs, 100.0) < 90 THEN (90 - hs) / 50.0 ELSE 0.0 END AS r3,
-        CASE outcome_type WHEN 'FAILED' THEN 1.0 WHEN 'DEGRADING' THEN 0.5 ELSE 0.0 END AS r4,
-        CASE WHEN coalesce(validity_score, 100.0) < 40 THEN 1.0 WHEN coalesce(validity_score, 100.0) < 80 THEN (80 - validity_score) / 40.0 ELSE 0.0 END AS r5
-        FROM k LEFT JOIN lc USING (entity_id) LEFT JOIN lh USING (entity_id) LEFT JOIN hot ON hot.adr_id = k.entity_id LEFT JOIN outcomes USING (entity_id) LEFT JOIN validity v ON v.adr_id = k.entity_id),
-    tot AS (SELECT *, 1 - (1 - r1) * (1 - r2) * (1 - r3) * (1 - r4) * (1 - r5) AS total, greatest(r1, r2, r3, r4, r5) AS top FROM risks)
+        CASE outcome_type WHEN 'FAILED' THEN 1.0 WHEN 'DEGRADED' THEN 0.5 WHEN 'DEGRADING' THEN 0.5 ELSE 0.0 END AS r4,
+        CASE WHEN coalesce(validity_score, 100.0) < 40 THEN 1.0 WHEN coalesce(validity_score, 100.0) < 80 THEN (80 - validity_score) / 40.0 ELSE 0.0 END AS r5, coalesce((100 - runtime) / 100, 0.0) AS r6
+        FROM k LEFT JOIN lc USING (entity_id) LEFT JOIN lh USING (entity_id) LEFT JOIN hot ON hot.adr_id = k.entity_id LEFT JOIN outcomes USING (entity_id) LEFT JOIN validity v ON v.adr_id = k.entity_id LEFT JOIN live USING (entity_id)),
+    tot AS (SELECT *, 1 - (1 - r1) * (1 - r2) * (1 - r3) * (1 - r4) * (1 - r5) * (1 - r6) AS total, greatest(r1, r2, r3, r4, r5, r6) AS top FROM risks)
     SELECT entity_id, round(total * 100, 6) AS risk_score, CASE WHEN total * 100 >= 90 THEN 'CRITICAL' WHEN total * 100 >= 70 THEN 'HIGH' WHEN total * 100 >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-        CAST(least(100, floor((top + total / 2) * 50) + 30) AS BIGINT) AS confidence, CASE top WHEN r1 THEN 'COVERAGE' WHEN r2 THEN 'HOTSPOT' WHEN r3 THEN 'HEALTH' WHEN r4 THEN 'OUTCOME' ELSE 'VALIDITY' END AS primary_driver FROM tot WHERE total > 0"""
+        CAST(least(100, floor((top + total / 2) * 50) + 30) AS BIGINT) AS confidence, CASE top WHEN r1 THEN 'COVERAGE' WHEN r2 THEN 'HOTSPOT' WHEN r3 THEN 'HEALTH' WHEN r4 THEN 'OUTCOME' WHEN r5 THEN 'VALIDITY' ELSE 'RUNTIME' END AS primary_driver FROM tot WHERE total > 0"""
 
 
 @query("r12_incident_predictions", _PREDICT)
@@ -171,7 +177,7 @@ def r12_incident_predictions(spark, d):
     cov, health = op.latest_snapshot(role.coverage_history(spark, d), "snapshot_date"), op.latest_snapshot(role.health_history(spark, d), "snapshot_date")
     p = plans.parts(spark, d)
     hotspots = cut(plans.hotspot_table(spark, d, p))
-    return op.incident_predictions(entities, cov, health, hotspots, _outcomes(spark, d), _validity(p, hotspots)).withColumn("risk_score", F.round("risk_score", 6))
+    return op.incident_predictions(entities, cov, health, hotspots, _outcomes(spark, d), _validity(spark, d, p, hotspots), more.role(spark, d, "runtime_mappings"), more.role(spark, d, "runtime_health_history")).withColumn("risk_score", F.round("risk_score", 6))
 
 
 @query("x7_incident_escalations", role.with_("incidents") + """, s AS (SELECT entity_id, incident_type, id, epoch_us(created_at) AS t, CASE severity WHEN 'RESOLVED' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'HIGH' THEN 2 ELSE 3 END AS r,
@@ -202,29 +208,55 @@ def r10_causal_chains(spark, d):
     return op.causal_chain(health.unionByName(cov)).select("entity_id", "step", "kind", "event_date", "relation", F.round("share", 4).alias("share"), F.col("confidence").cast("long").alias("confidence"))
 
 
-@query("r7_evolution", f"""{_H}, b AS (SELECT *, lag(health_score) OVER (PARTITION BY entity_id ORDER BY snapshot_date) AS before FROM health_history),
-    e AS (SELECT entity_id, snapshot_date, 10 AS importance FROM b WHERE before IS NULL UNION ALL SELECT entity_id, snapshot_date, 40 FROM b WHERE abs(health_score - before) > 5 UNION ALL SELECT entity_id, snapshot_date, 90 FROM b WHERE before >= 80 AND health_score < 80),
-    t AS (SELECT entity_id, sum(importance) AS total, count(*) AS change_count, greatest(1, date_diff('day', min(snapshot_date), DATE '2024-01-31')) AS days FROM e GROUP BY entity_id),
-    l AS (SELECT entity_id, max_by(health_score, snapshot_date) AS hs FROM health_history GROUP BY entity_id)
-    SELECT entity_id, change_count, round(total / 100 / days, 6) AS velocity, CASE WHEN days < 30 THEN 'EMERGING' WHEN total / 100 / days < 0.2 AND hs > 80 THEN 'STABLE' ELSE 'ACTIVE' END AS status FROM t JOIN l USING (entity_id)""")
+_EVOLUTION = more.with_("evolution_snapshots") + """, b AS (SELECT *, lag(health_score) OVER w AS h0, lag(validity_score) OVER w AS v0, lag(bus_factor) OVER w AS b0, lag(node_count) OVER w AS n0, row_number() OVER w = 1 AS is_first FROM evolution_snapshots WINDOW w AS (PARTITION BY entity_id ORDER BY snapshot_date)),
+    e AS (SELECT entity_id, snapshot_date, 'CREATED' AS event_type, 10 AS importance FROM b WHERE is_first
+        UNION ALL SELECT entity_id, snapshot_date, 'HEALTH_CHANGED', 40 FROM b WHERE abs(health_score - h0) > 5 UNION ALL SELECT entity_id, snapshot_date, 'EVOLUTION_MILESTONE', 90 FROM b WHERE abs(health_score - h0) > 5 AND h0 >= 80 AND health_score < 80
+        UNION ALL SELECT entity_id, snapshot_date, 'VALIDITY_CHANGED', 60 FROM b WHERE abs(validity_score - v0) > 5 UNION ALL SELECT entity_id, snapshot_date, 'EVOLUTION_MILESTONE', 90 FROM b WHERE abs(validity_score - v0) > 5 AND v0 >= 50 AND validity_score < 50
+        UNION ALL SELECT entity_id, snapshot_date, 'RISK_CHANGED', 50 FROM b WHERE bus_factor <> b0 UNION ALL SELECT entity_id, snapshot_date, 'EVOLUTION_MILESTONE', 90 FROM b WHERE b0 > 1 AND bus_factor = 1
+        UNION ALL SELECT entity_id, snapshot_date, 'EXPANDED', 10 FROM b WHERE node_count > n0 UNION ALL SELECT entity_id, snapshot_date, 'CONTRACTED', 10 FROM b WHERE node_count < n0)"""
+
+
+@query("r7_evolution_events", f"{_EVOLUTION} SELECT * FROM e")
+def r7_evolution_events(spark, d):
+    return op.evolution_events(more.role(spark, d, "evolution_snapshots"))
+
+
+@query("r7_evolution", f"""{_EVOLUTION}, t AS (SELECT entity_id, sum(importance) AS total, count(*) AS change_count, greatest(1, date_diff('day', min(snapshot_date), DATE '2024-01-31')) AS days FROM e GROUP BY entity_id),
+    l AS (SELECT entity_id, max_by(health_score, snapshot_date) AS hs, min_by(health_score, snapshot_date) AS hs0, max_by(validity_score, snapshot_date) AS vs, min_by(validity_score, snapshot_date) AS vs0, max_by(bus_factor, snapshot_date) AS bf, max_by(node_count, snapshot_date) AS nodes, count(*) AS n FROM evolution_snapshots GROUP BY entity_id),
+    v AS (SELECT *, total / 100 / (days * log10(greatest(10, nodes))) AS velocity FROM t JOIN l USING (entity_id))
+    SELECT entity_id, change_count, round(velocity, 6) AS velocity, CASE WHEN days < 30 THEN 'EMERGING' WHEN vs < 25 OR bf = 0 THEN 'OBSOLETE' WHEN velocity < 0.2 AND hs > 80 THEN 'STABLE' WHEN n >= 2 AND (hs < hs0 - 5 OR vs < vs0 - 5) THEN 'DECLINING' ELSE 'ACTIVE' END AS status FROM v""")
 def r7_evolution(spark, d):
-    return op.evolution(role.health_history(spark, d), role.EVENTS_AS_OF[:10]).withColumn("velocity", F.round("velocity", 6))
+    return op.evolution(more.role(spark, d, "evolution_snapshots"), role.EVENTS_AS_OF[:10]).withColumn("velocity", F.round("velocity", 6))
 
 
-_PRED = "pred AS (SELECT event_id AS id, ts, 'v' || (event_id % 3) AS version, least(1.0, value / 100) AS p, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y FROM events)"
+_PRED = """pred AS (SELECT event_id AS id, ts, 'v' || (event_id % 3) AS version, least(1.0, value / 100) AS p, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y,
+    CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 2 = 0 THEN ['OOM'] ELSE ['CRASH', 'OOM'] END AS expected, CASE WHEN event_type <> 'error' THEN NULL WHEN user_id % 3 = 0 THEN ['OOM', 'CRASH'] WHEN user_id % 3 = 1 THEN ['OOM'] ELSE ['TIMEOUT'] END AS actual FROM events)"""
 
 
 def _predictions(spark, d):
-    return role.table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")).alias("version"), F.least(F.lit(1.0), F.col("value") / 100).alias("p"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("y"))
+    return role.table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")).alias("version"), F.least(F.lit(1.0), F.col("value") / 100).alias("p"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("y"), op.type_match(_expected(), _actual()).alias("match"))
+
+
+def _words(*names):
+    return F.array(*[F.lit(x) for x in names])
 
 
-_RATES = f"""WITH {_PRED}, st AS (SELECT *, CASE WHEN p >= 0.4 AND y = 1 THEN 'TP' WHEN p >= 0.4 AND y = 0 THEN 'FP' WHEN p < 0.4 AND y = 1 THEN 'FN' ELSE 'TN' END AS state FROM pred),
-    m AS (SELECT version, avg((p - y) ** 2) AS brier, count(*) FILTER (state = 'FP') / greatest(1, count(*) FILTER (state IN ('FP', 'TN'))) AS fpr, count(*) FILTER (state = 'FN') / greatest(1, count(*) FILTER (state IN ('FN', 'TP'))) AS fnr, count(*) AS n FROM st GROUP BY version)"""
+def _expected():
+    return F.when(F.col("event_id") % 5 == 0, None).when(F.col("event_id") % 2 == 0, _words("OOM")).otherwise(_words("CRASH", "OOM"))
 
 
-@query("r15_prediction_accountability", f"{_RATES} SELECT version, round(brier, 6) AS brier, round(fpr, 6) AS fpr, round(fnr, 6) AS fnr, n FROM m")
+def _actual():
+    types = F.when(F.col("user_id") % 3 == 0, _words("OOM", "CRASH")).when(F.col("user_id") % 3 == 1, _words("OOM")).otherwise(_words("TIMEOUT"))
+    return F.when(F.col("event_type") == "error", types)
+
+
+_RATES = f"""WITH {_PRED}, st AS (SELECT *, CASE WHEN p >= 0.4 AND y = 1 THEN 'TP' WHEN p >= 0.4 AND y = 0 THEN 'FP' WHEN p < 0.4 AND y = 1 THEN 'FN' ELSE 'TN' END AS state, CASE WHEN expected IS NULL OR actual IS NULL THEN NULL WHEN len(expected) = len(actual) AND list_has_all(actual, expected) THEN 'TYPE_MATCH' WHEN list_has_any(expected, actual) THEN 'PARTIAL_MATCH' ELSE 'TYPE_MISMATCH' END AS match FROM pred),
+    m AS (SELECT version, avg((p - y) ** 2) AS brier, count(*) FILTER (state = 'FP') / greatest(1, count(*) FILTER (state IN ('FP', 'TN'))) AS fpr, count(*) FILTER (state = 'FN') / greatest(1, count(*) FILTER (state IN ('FN', 'TP'))) AS fnr, count(*) FILTER (match IN ('TYPE_MATCH', 'PARTIAL_MATCH')) / greatest(1, sum(y)) AS type_precision, count(*) AS n FROM st GROUP BY version)"""
+
+
+@query("r15_prediction_accountability", f"{_RATES} SELECT version, round(brier, 6) AS brier, round(fpr, 6) AS fpr, round(fnr, 6) AS fnr, round(type_precision, 6) AS type_precision, n FROM m")
 def r15_prediction_accountability(spark, d):
-    return op.accountability(_predictions(spark, d)).select("version", F.round("brier", 6).alias("brier"), F.round("fpr", 6).alias("fpr"), F.round("fnr", 6).alias("fnr"), "n")
+    return op.accountability(_predictions(spark, d)).select("version", F.round("brier", 6).alias("brier"), F.round("fpr", 6).alias("fpr"), F.round("fnr", 6).alias("fnr"), F.round("type_precision", 6).alias("type_precision"), "n")
 
 
 @query("a14_confusion_states", f"{_RATES} SELECT version, state, count(*) AS n FROM st GROUP BY ALL")
@@ -232,12 +264,11 @@ def a14_confusion_states(spark, d):
     return _predictions(spark, d).withColumn("state", op.confusion(F.col("p"), F.col("y"))).groupBy("version", "state").agg(F.count("*").alias("n"))
 
 
-@query("r16_engine_trust", f"{_RATES}, metric AS (SELECT version, 'brier' AS name, brier AS value FROM m UNION ALL SELECT version, 'fpr', fpr FROM m UNION ALL SELECT version, 'fnr', fnr FROM m) SELECT version, round(max(CASE WHEN name = 'brier' THEN value END), 6) AS brier, round(max(CASE WHEN name = 'fpr' THEN value END), 6) AS fpr, round(max(CASE WHEN name = 'fnr' THEN value END), 6) AS fnr, max(CASE WHEN name = 'brier' THEN value END) < 0.15 AND max(CASE WHEN name = 'fpr' THEN value END) < 0.10 AND max(CASE WHEN name = 'fnr' THEN value END) < 0.05 AS trustworthy FROM metric GROUP BY version")
+@query("r16_engine_trust", f"{_RATES} SELECT version, round(brier, 6) AS brier, round(fpr, 6) AS fpr, round(fnr, 6) AS fnr, round(type_precision, 6) AS type_precision, brier < 0.15 AND fpr < 0.10 AND fnr < 0.05 AS trustworthy FROM m")
 def r16_engine_trust(spark, d):
     rates = op.accountability(_predictions(spark, d))
-    metric = rates.select("version", F.expr("stack(3, 'brier', brier, 'fpr', fpr, 'fnr', fnr) AS (name, value)"))
-    wide = metric.groupBy("version").pivot("name", ["brier", "fpr", "fnr"]).agg(F.max("value"))
-    return wide.select("version", *[F.round(c, 6).alias(c) for c in ("brier", "fpr", "fnr")], ((F.col("brier") < 0.15) & (F.col("fpr") < 0.10) & (F.col("fnr") < 0.05)).alias("trustworthy"))
+    metric = rates.select("version", F.expr("stack(4, 'brier', brier, 'fpr', fpr, 'fnr', fnr, 'type_precision', type_precision) AS (name, value)"))
+    return op.engine_trust(metric).withColumns({c: F.round(c, 6) for c in ("brier", "fpr", "fnr", "type_precision")})
 
 
 @query("j12_range_join", f"WITH {_PRED} SELECT a.id, count(b.event_id) AS n FROM pred a JOIN events b ON b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 DAYS WHERE a.p >= 1 AND b.event_type = 'error' GROUP BY a.id")
@@ -258,17 +289,18 @@ def udf_incident_type_match(spark, d):
     return rows.select("entity_id", op.type_match(F.from_json(F.lit('["OOM", "DEADLOCK"]'), "array<string>"), F.col("t")).alias("match"))
 
 
-@query("u1_active_entities", role.with_("health_history", "coverage_history", "incidents") + " SELECT entity_id, 'FILE' AS entity_type FROM coverage_history UNION SELECT entity_id, 'MODULE' FROM health_history UNION SELECT entity_id, 'ADR' FROM incidents")
+@query("u1_active_entities", more.with_("coverage_snapshots", "hotspot_history", "architectural_health_history", "decision_outcomes") + " SELECT entity_id, 'FILE' AS entity_type FROM coverage_snapshots UNION SELECT entity_id, 'FILE' FROM hotspot_history UNION SELECT entity_id, 'MODULE' FROM architectural_health_history UNION SELECT entity_id, 'ADR' FROM decision_outcomes WHERE entity_type = 'ADR'")
 def u1_active_entities(spark, d):
-    parts = [(role.coverage_history, "FILE"), (role.health_history, "MODULE"), (role.incidents, "ADR")]
-    return reduce(lambda a, b: a.union(b), [f(spark, d).select("entity_id", F.lit(k).alias("entity_type")) for f, k in parts]).distinct()
+    r = lambda name: more.role(spark, d, name)
+    return op.active_entities(r("coverage_snapshots"), r("hotspot_history"), r("architectural_health_history"), r("decision_outcomes"))
+
+
+_BAD = "SELECT '{0}' AS source, count(*) FILTER (snapshot_date IS NULL OR NOT regexp_full_match(CAST(snapshot_date AS VARCHAR), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) AS bad, count(*) AS n FROM {0}"
 
 
-@query("u4_date_audit", role.with_("health_history", "coverage_history") + " SELECT 'health' AS source, count(*) FILTER (snapshot_date IS NULL) AS bad, count(*) AS n FROM health_history UNION ALL SELECT 'coverage', count(*) FILTER (snapshot_date IS NULL), count(*) FROM coverage_history")
+@query("u4_date_audit", more.with_("validity_history", "hotspot_history", "architectural_health_history", "drift_history", "evolution_snapshots", "outcome_history", "coverage_snapshots") + " " + " UNION ALL ".join(_BAD.format(t) for t in ("validity_history", "hotspot_history", "architectural_health_history", "drift_history", "evolution_snapshots", "outcome_history", "coverage_snapshots")))
 def u4_date_audit(spark, d):
-    parts = {"health": role.health_history, "coverage": role.coverage_history}
-    audits = [f(spark, d).withColumn("text", F.col("snapshot_date").cast("string")).agg(F.count_if(F.col("text").isNull() | ~F.col("text").rlike(r"^\d{4}-\d{2}-\d{2}$")).alias("bad"), F.count("*").alias("n")).select(F.lit(k).alias("source"), "bad", "n") for k, f in parts.items()]
-    return reduce(lambda a, b: a.unionByName(b), audits)
+    return audit.bad_dates({k: more.role(spark, d, k) for k in audit.DATED})
 
 
 @query("j15_star_join", role.with_("health_history", "coverage_history", "incidents", "adrs") + ", lc AS (SELECT entity_id, max_by(coverage_percent, snapshot_date) AS cov FROM coverage_history GROUP BY 1), lh AS (SELECT entity_id, max_by(health_score, snapshot_date) AS health FROM health_history GROUP BY 1), i AS (SELECT entity_id, count(*) AS n FROM incidents GROUP BY 1) SELECT id, coalesce(cov, 100.0) AS cov, coalesce(health, 100.0) AS health, coalesce(n, 0) AS n FROM adrs LEFT JOIN lc ON lc.entity_id = id LEFT JOIN lh ON lh.entity_id = id LEFT JOIN i ON i.entity_id = id")

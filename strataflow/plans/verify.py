@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
-from strataflow.plans import retrieval
+from strataflow.operators import audit, lookup
+from strataflow.plans import retrieval, snapshots
 from strataflow.plans.registry import query
-from strataflow.sources import adapters as role
+from strataflow.sources import roles
 from strataflow.sources.adapters import table
 
 
@@ -88,20 +87,41 @@ def v34_retrieval_gap(spark, d):
     return hits.join(packet, (F.col("l_orderkey") == F.col("k")) & (F.col("ps") <= F.col("e")) & (F.col("pe") >= F.col("s")), "left_anti").agg(F.count("*").alias("gaps"))
 
 
-_CHECKS = {
-    "orphan_items": ("SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)", lambda t: t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")),
-    "unknown_parts": ("SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)", lambda t: t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"), "left_anti")),
-    "idle_customers": ("SELECT count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey = 0)", lambda t: t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").join(t("nation").where("n_regionkey = 0"), F.col("n_nationkey") == F.col("c_nationkey"), "left_anti")),
-    "bad_scores": ("SELECT count(*) FROM events WHERE value IS NULL OR value < 0 OR value > 500", lambda t: t("events").where("value IS NULL OR value < 0 OR value > 500")),
-    "duplicate_lines": ("SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1)", lambda t: t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")),
-    "late_shipments": ("SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate", lambda t: t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate < o_orderdate")),
-}
+_KB = ("knowledge_hotspots", "links", "author_expertise", "architectural_health", "drift_findings", "knowledge_validity", "validity_evidence", "evolution_entities", "review_recommendations", "review_scope", "review_outcomes", "decisions",
+       "validity_history", "hotspot_history", "architectural_health_history", "drift_history", "evolution_snapshots", "outcome_history", "coverage_snapshots", "coverage_entities", "outcome_evidence", "causal_explanations", "causal_factors", "causal_chains", "causal_evidence", "decision_outcomes")
+_DIAGNOSTICS = roles.with_(*_KB) + """, real AS (SELECT adr_id, count(DISTINCT author_email) AS n FROM links JOIN author_expertise e ON e.entity_id = node_id AND entity_type = 'FILE' GROUP BY adr_id),
+    dates AS (SELECT 'validity_history' AS t, snapshot_date FROM validity_history UNION ALL SELECT 'hotspot_history', snapshot_date FROM hotspot_history UNION ALL SELECT 'architectural_health_history', snapshot_date FROM architectural_health_history
+        UNION ALL SELECT 'drift_history', snapshot_date FROM drift_history UNION ALL SELECT 'evolution_snapshots', snapshot_date FROM evolution_snapshots UNION ALL SELECT 'outcome_history', snapshot_date FROM outcome_history UNION ALL SELECT 'coverage_snapshots', snapshot_date FROM coverage_snapshots),
+    found AS (SELECT 1 AS check_no, 'expert_count' AS check_name, entity_id AS entity FROM knowledge_hotspots h LEFT JOIN real ON adr_id = entity_id WHERE entity_type = 'ADR' AND expert_count <> coalesce(n, 0)
+    UNION ALL SELECT 2, 'health_without_drift', h.entity_id FROM architectural_health h LEFT JOIN drift_findings f ON f.entity_id = h.entity_id AND resolution_state = 'ACTIVE' WHERE health_score < 100 AND f.id IS NULL
+    UNION ALL SELECT 3, 'validity_without_evidence', v.id FROM knowledge_validity v LEFT JOIN validity_evidence e ON e.validity_id = v.id WHERE validity_score < 100 AND e.validity_id IS NULL
+    UNION ALL SELECT 4, 'evolution_missing', v.entity_id FROM knowledge_validity v LEFT JOIN evolution_entities e USING (entity_id) WHERE e.id IS NULL
+    UNION ALL SELECT 5, 'review_without_scope', CAST(id AS VARCHAR) FROM review_recommendations WHERE id NOT IN (SELECT recommendation_id FROM review_scope)
+    UNION ALL SELECT 6, 'bus_factor', entity_id FROM knowledge_hotspots WHERE bus_factor > expert_count OR bus_factor < 0
+    UNION ALL SELECT 7, 'review_of_missing_decision', CAST(review_id AS VARCHAR) FROM review_outcomes WHERE entity_type = 'ADR' AND entity_id NOT IN (SELECT id FROM decisions)
+    UNION ALL SELECT DISTINCT 8, 'bad_dates', t FROM dates WHERE snapshot_date IS NULL OR NOT regexp_full_match(CAST(snapshot_date AS VARCHAR), '[0-9]{4}-[0-9]{2}-[0-9]{2}')
+    UNION ALL SELECT DISTINCT 9, 'orphaned_history', entity_id FROM validity_history WHERE entity_id NOT IN (SELECT entity_id FROM knowledge_validity)
+    UNION ALL SELECT 10, 'isolated_coverage', entity_id FROM coverage_entities c WHERE entity_type = 'ADR' AND coverage_percent < 50
+        AND NOT EXISTS (SELECT 1 FROM outcome_evidence o WHERE o.entity_type = c.entity_type AND o.entity_id = c.entity_id AND evidence_type = 'COVERAGE')
+        AND NOT EXISTS (SELECT 1 FROM causal_factors JOIN causal_explanations x ON explanation_id = x.id WHERE target_entity_type = c.entity_type AND target_entity_id = c.entity_id AND factor_type = 'COVERAGE_DEGRADATION')
+    UNION ALL SELECT 11, 'outcome_without_history', entity_id FROM decision_outcomes WHERE entity_id NOT IN (SELECT entity_id FROM outcome_history)
+    UNION ALL SELECT 12, 'empty_explanation', id FROM causal_explanations WHERE id NOT IN (SELECT explanation_id FROM causal_factors)
+    UNION ALL SELECT 13, 'broken_chain', explanation_id FROM causal_chains WHERE prev_factor_id NOT IN (SELECT factor_id FROM causal_factors) OR next_factor_id NOT IN (SELECT factor_id FROM causal_factors)
+    UNION ALL SELECT 14, 'factor_without_evidence', factor_id FROM causal_factors WHERE factor_id NOT IN (SELECT factor_id FROM causal_evidence))"""
+
+
+def _diagnostics(spark, d):
+    return audit.diagnostics({n: roles.role(spark, d, n) for n in _KB})
+
+
+@query("r29_diagnostics", f"{_DIAGNOSTICS} SELECT check_no, check_name, count(*) AS bad FROM found GROUP BY ALL")
+def r29_diagnostics(spark, d):
+    return _diagnostics(spark, d).groupBy("check_no", "check_name").agg(F.count("*").alias("bad"))
 
 
-@query("r29_diagnostics", " UNION ALL ".join(f"SELECT '{k}' AS check_name, ({sql}) AS bad" for k, (sql, _) in _CHECKS.items()))
-def r29_diagnostics(spark, d):
-    t = lambda name: table(spark, d, name)
-    return reduce(lambda a, b: a.unionByName(b), [fn(t).agg(F.count("*").alias("bad")).select(F.lit(k).alias("check_name"), "bad") for k, (_, fn) in _CHECKS.items()])
+@query("j25_mismatch_joins", f"{_DIAGNOSTICS} SELECT check_no, check_name, entity FROM found")
+def j25_mismatch_joins(spark, d):
+    return _diagnostics(spark, d)
 
 
 @query("j20_runtime_static_reconcile", "WITH s AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b FROM lineitem WHERE l_linestatus = 'F'), r AS (SELECT l_suppkey AS a, l_partkey % 100 AS b, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL) SELECT r.a, r.b, n, CASE WHEN s.a IS NULL THEN 'dynamic' WHEN n > 3 THEN 'hot' ELSE 'verified' END AS state FROM r LEFT JOIN s ON s.a = r.a AND s.b = r.b")
@@ -118,16 +138,20 @@ def j3_shared_source_pairs(spark, d):
     return e.alias("a").join(e.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.i") < F.col("b.i"))).groupBy(F.col("a.i").alias("x"), F.col("b.i").alias("y")).agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query("j4_expert_extremes", role.with_("commits") + " SELECT n_nationkey, max(c_acctbal) AS best, min(c_acctbal) AS worst, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+@query("j4_expert_extremes", roles.with_("links", "author_expertise") + """, e AS (SELECT adr_id, author_email, sum(expertise_score) AS total FROM links JOIN author_expertise ON entity_id = node_id AND entity_type = 'FILE' GROUP BY ALL)
+    SELECT adr_id, max(total) AS best, min(total) AS worst, count(*) AS experts, max(total) / sum(total) AS concentration FROM e GROUP BY adr_id""")
 def j4_expert_extremes(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_nationkey").agg(F.max("c_acctbal").alias("best"), F.min("c_acctbal").alias("worst"), F.count("*").alias("n"))
+    return lookup.expert_extremes(roles.role(spark, d, "links"), roles.role(spark, d, "author_expertise"))
 
 
-@query("j22_prediction_outcome", "SELECT l.quality, count(*) AS n, CAST(sum(l.toxic) AS BIGINT) AS toxic FROM documents d JOIN labels l USING (doc_id) GROUP BY l.quality")
+@query("j22_prediction_outcome", snapshots._RATES.split(", st AS")[0] + ", o AS (SELECT event_id AS id, event_id % 3 = 0 AS resolved FROM events WHERE event_type = 'error') SELECT version, count(*) AS n, count(*) FILTER (resolved) AS resolved, round(avg(p), 9) AS mean_p FROM pred JOIN o USING (id) GROUP BY version")
 def j22_prediction_outcome(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    outcomes = table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"), (F.col("event_id") % 3 == 0).alias("resolved"))
+    return lookup.outcomes_by_version(snapshots._predictions(spark, d), outcomes).withColumn("mean_p", F.round("mean_p", 9))
 
 
-@query("j23_mapping_health_patterns", "SELECT DISTINCT r_name, n_name, c_mktsegment FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal > 9000")
+@query("j23_mapping_health_patterns", roles.with_("runtime_mappings", "runtime_health_history") + """, lh AS (SELECT component_id, max_by(health_score, computed_at) AS health FROM runtime_health_history GROUP BY 1), pt AS (SELECT 'svc' || (user_id % 10) AS component_id, event_type AS pattern FROM events WHERE event_type = 'error' GROUP BY ALL)
+    SELECT entity_id, min(health) AS health, count(DISTINCT component_id) AS components, count(pattern) AS patterns FROM runtime_mappings JOIN lh USING (component_id) LEFT JOIN pt USING (component_id) GROUP BY entity_id""")
 def j23_mapping_health_patterns(spark, d):
-    return table(spark, d, "customer").where("c_acctbal > 9000").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "n_name", "c_mktsegment").distinct()
+    patterns = table(spark, d, "events").where("event_type = 'error'").select(F.concat(F.lit("svc"), (F.col("user_id") % 10).cast("string")).alias("component_id"), F.col("event_type").alias("pattern")).distinct()
+    return lookup.runtime_state(roles.role(spark, d, "runtime_mappings"), roles.role(spark, d, "runtime_health_history"), patterns)
