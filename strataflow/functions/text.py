@@ -2,52 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed ordered rules of the question classifier: the first pattern that matches names the type.
-QUESTION_RULES: list[tuple[str, str]] = [
-    ("location", r"(?i)\bwhere (is|are|do|does)\b|\blocated\b|\bfind\b"),
-    ("flow", r"(?i)\bhow does\b|\bflow\b|\bstep"),
-    ("dependency", r"(?i)\bdepend|\bimport|\bcalls?\b"),
-    ("count", r"(?i)\bhow many\b|\bcount\b|\bnumber of\b"),
-    ("reason", r"(?i)\bwhy\b|\breason\b"),
-    ("definition", r"(?i)\bwhat (is|are)\b|\bdefine\b"),
-    ("debugging", r"(?i)\berror\b|\bfail|\bexception\b"),
-]
-
-#: Fixed path rules of the role classifier, in order.
-ROLE_RULES: list[tuple[str, str]] = [
-    ("generated", r"(?i)(^|/)(dist|build|generated|node_modules)/|\.min\.js$|\.g\.dart$"),
-    ("test", r"(?i)(^|/)(tests?|__tests__|spec)/|[._-](test|spec)\.[a-z]+$|(^|/)test_[^/]*$"),
-    ("config", r"(?i)\.(json|ya?ml|toml|ini|cfg|env)$|(^|/)(dockerfile|makefile)$"),
-    ("docs", r"(?i)(^|/)docs?/|\.(md|rst|txt)$"),
-    ("script", r"(?i)(^|/)scripts?/|\.(sh|ps1|bat)$"),
-    ("implementation", r"(?i)\.(py|ts|tsx|js|jsx|java|go|rs|cs|cpp|cc|c|h|hpp|rb|kt)$"),
-]
-
+#: Fixed values of the role classifier: folders, file names and extensions that tell what a file is for.
+GENERATED_FOLDERS = ("dist", "out", "build", "coverage", "generated", ".next", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache")
+GENERATED_FILES = ("package-lock.json", "yarn.lock", "poetry.lock", "pipfile.lock", "pnpm-lock.yaml", "bun.lockb")
+TEST_FOLDERS = ("tests", "test", "__tests__", "e2e", "fixtures", "mocks", "stubs", "fakes", "spec", "specs", "cypress")
+CONFIG_FILES = ("package.json", "tsconfig.json", "pyproject.toml", "setup.py", "setup.cfg", "vite.config.ts", "vite.config.js", "webpack.config.js", "webpack.config.ts", "jest.config.js", "jest.config.ts", "jest.config.cjs", ".eslintrc.js", ".eslintrc.json", ".eslintrc.yaml", ".prettierrc", ".prettierrc.json", "docker-compose.yml", "docker-compose.yaml", "dockerfile", ".env.example", ".env.sample", "requirements.txt", "requirements-dev.txt", "makefile")
+DOC_FOLDERS, DOC_FILES, DOC_EXTENSIONS = ("docs", "documentation", "wiki"), ("readme.md", "readme.rst", "changelog.md", "contributing.md", "license"), (".md", ".mdx", ".rst", ".txt")
+SOURCE_FOLDERS = ("src", "lib", "app", "packages", "pkg")
+SCRIPT_FOLDERS, SCRIPT_EXTENSIONS = ("scripts", "tools", "bin", "cli"), (".sh", ".bash", ".zsh", ".ps1", ".bat", ".cmd")
+SOURCE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", ".java", ".rb", ".php", ".cs", ".cpp", ".c", ".h", ".swift", ".kt", ".scala")
+TEST_OPENINGS = ("import pytest", "from pytest", "import unittest", "import { describe", "import { it,", "import { test,", "const describe =", "const it =", "describe(", "it(")
+#: A source file above this is a bundle.
+BUNDLE_CHARS = 500 * 1024
+
+#: Languages by extension.
 LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "java": "java", "go": "go", "rs": "rust", "cs": "csharp", "cpp": "cpp", "cc": "cpp", "rb": "ruby", "kt": "kotlin", "md": "markdown", "json": "json"}
 
 
-def first_rule(text: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
-    found = F.lit(otherwise)
-    for name, pattern in reversed(rules):
-        found = F.when(text.rlike(pattern), name).otherwise(found)
-    return found
-
-
-def question_type(text: Column) -> Column:
-    return first_rule(text, QUESTION_RULES, "general")
-
-
-def complexity(text: Column) -> Column:
-    """A point each for length, conjunctions, several questions and relation words; from 2 on a question is complex."""
-    score = (F.length(text) > 200).cast("int") + text.rlike(r"(?i)\b(and|then|also)\b").cast("int") + (F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit(""))) > 1).cast("int") + text.rlike(r"(?i)\b(between|across|compare|impact)\b").cast("int")
-    return score
-
-
-def file_role(path: Column) -> Column:
-    return first_rule(path, ROLE_RULES, "unknown")
+def file_role(path: Column, content: Column | None = None) -> Column:
+    """generated, test, config, docs, script, implementation or unknown, by folders, names, extensions and the first lines."""
+    low = F.lower(F.regexp_replace(F.regexp_replace(path, r"\\\\", "/"), r"^\./", ""))
+    parts, name = F.split(low, "/"), F.element_at(F.split(low, "/"), -1)
+    extension = F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
+    under = lambda names: F.exists(parts, lambda x: x.isin(*names))
+    generated = under(GENERATED_FOLDERS) | name.isin(*GENERATED_FILES) | name.rlike(r"(\.min\.js|\.min\.css|\.map|-lock\.json|\.lock)$")
+    test = under(TEST_FOLDERS) | name.rlike(r"\.(test|spec)\.(ts|js|tsx|jsx)$|^test_.*\.py$|^verify_.*\.py$|_test\.py$")
+    if content is not None:
+        generated = generated | (extension.isin(*SOURCE_EXTENSIONS) & (F.coalesce(F.length(content), F.lit(0)) > BUNDLE_CHARS))
+        opening = F.lower(F.array_join(F.slice(F.split(F.coalesce(content, F.lit("")), "\r?\n", -1), 1, 20), "\n"))
+        for words in TEST_OPENINGS:
+            test = test | opening.contains(words)
+    config = name.isin(*CONFIG_FILES) | (name == ".env") | name.startswith(".env.") | name.rlike(r"^tsconfig\..*\.json$") | low.rlike(r"^\.github/workflows/[^/]+\.ya?ml$")
+    docs = under(DOC_FOLDERS) | name.isin(*DOC_FILES) | (extension.isin(*DOC_EXTENSIONS) & ~under(SOURCE_FOLDERS))
+    script = under(SCRIPT_FOLDERS) | extension.isin(*SCRIPT_EXTENSIONS)
+    return F.when(generated, "generated").when(test, "test").when(config, "config").when(docs, "docs").when(script, "script").when(extension.isin(*SOURCE_EXTENSIONS), "implementation").otherwise("unknown")
 
 
 def language(path: Column) -> Column:
@@ -56,9 +49,49 @@ def language(path: Column) -> Column:
     return F.coalesce(F.element_at(table, ext), F.lit("unknown"))
 
 
-def ignored(path: Column, names: list[str]) -> Column:
-    """Whether any component of a path is one of the names."""
-    return F.exists(F.split(path, "/"), lambda x: x.isin(*names))
+def _glob(pattern: str) -> str:
+    """What a glob says of a path, without its end: alone it names any component, with a slash the path from the root; ** spans folders."""
+    body = pattern.strip("/")
+    anchored = "/" in body or pattern.startswith("/")
+    out, at = "", 0
+    while at < len(body):
+        if body.startswith("**/", at):
+            out, at = out + "(?:.*/)?", at + 3
+        elif body.startswith("**", at):
+            out, at = out + ".*", at + 2
+        elif body[at] in "*?":
+            out, at = out + ("[^/]*" if body[at] == "*" else "[^/]"), at + 1
+        else:
+            out, at = out + (body[at] if body[at].isalnum() or body[at] in "_/" else "\\" + body[at]), at + 1
+    return ("^" if anchored else "(?:^|/)") + out
+
+
+def ignored(path: Column, patterns: Sequence[str]) -> Column:
+    """Whether a path is one of the patterns, lies under one, has one inside or at its end (whole components), or meets a pattern with wildcards."""
+    plain = F.regexp_replace(path, r"\\\\", "/")
+    found = F.lit(False)
+    for pattern in patterns:
+        if "*" in pattern or "?" in pattern:
+            found = found | plain.rlike(_glob(pattern) + ("/" if pattern.endswith("/") else "(?:/|$)"))
+        else:
+            found = found | (plain == pattern) | plain.startswith(pattern + "/") | plain.contains("/" + pattern + "/") | plain.endswith("/" + pattern)
+    return found
+
+
+def gitignored(path: Column, lines: Sequence[str]) -> Column:
+    """Whether the lines of an ignore file leave a path out.
+
+    The last pattern that meets it decides, and one that begins with ! takes it back; what lies in a folder that is left out stays out.
+    """
+    folder = file = F.lit(False)
+    for line in (x.strip() for x in lines):
+        if not line or line.startswith("#"):
+            continue
+        out, pattern = F.lit(not line.startswith("!")), line.removeprefix("!")
+        folder = F.when(path.rlike(_glob(pattern) + "/"), out).otherwise(folder)
+        if not pattern.endswith("/"):
+            file = F.when(path.rlike(_glob(pattern) + "$"), out).otherwise(file)
+    return folder | file
 
 
 def snake(name: Column) -> Column:

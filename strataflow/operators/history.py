@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.functions.questions import SOURCE_CONFIDENCE, purposes
+
 #: Paths that are no source: lock files and vendored or built trees.
 NOISE = r"(?i)(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|cargo\.lock)$|(^|/)(node_modules|vendor|dist|build)/"
 BOT = r"(?i)\[bot\]|dependabot|renovate"
@@ -168,3 +170,18 @@ def change_risk(incident_count: Column, total: Column) -> Column:
 def noisy_or(risk: Column) -> Column:
     """1 - prod(1 - r) over a group."""
     return 1 - F.product(1 - risk)
+
+
+def intent_evidence(sources: DataFrame) -> DataFrame:
+    """(intent_id, type, topic, source_type, source_id, snippet, created_at) of texts (source_type, source_id, text, created_at); a topic's id is the hash of type:topic."""
+    found = sources.select("source_type", "source_id", "created_at", F.explode(purposes(F.col("text"))).alias("p"))
+    return found.select(F.sha2(F.concat_ws(":", "p.type", "p.topic"), 256).alias("intent_id"), "p.type", "p.topic", "source_type", "source_id", "p.snippet", "created_at")
+
+
+def intents(evidence: DataFrame) -> DataFrame:
+    """Topics with their evidence: confidence of the best source, counts by source, first and last time."""
+    trust = F.lit(0.0)
+    for kind, value in SOURCE_CONFIDENCE.items():
+        trust = F.when(F.col("source_type") == kind, value).otherwise(trust)
+    count = lambda kind: F.count_if(F.col("source_type") == kind)
+    return evidence.groupBy("intent_id", "type", "topic").agg(F.max(trust).alias("confidence"), F.count("*").alias("evidence_count"), count("ADR").alias("adr_count"), count("PR").alias("pr_count"), count("COMMIT").alias("commit_count"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))

@@ -8,19 +8,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions import text as fn
+from strataflow.functions import questions as fn
 from strataflow.operators import graph, lookup, retrieval
 
 
 @dataclass
 class Plan:
-    """What a question asks for: its type, whether it is complex, the identifiers in it, and the providers to use."""
+    """What a question asks for: its type, whether it is complex, the identifiers in it, the providers to use, and how many chunks its strategy reads at most."""
 
     question: str
     type: str
     complex: bool
     identifiers: list[str]
     providers: list[str]
+    strategy: str = "behavior_explanation"
+    most_chunks: int = 150
 
 
 @dataclass
@@ -33,9 +35,9 @@ class Engine:
 
     def plan(self, question: str) -> Plan:
         """Plans a question by rules alone."""
-        row = self.chunks.sparkSession.range(1).select(fn.question_type(F.lit(question)).alias("t"), fn.complexity(F.lit(question)).alias("c"), F.regexp_extract_all(F.lit(question), F.lit("[A-Za-z]+[_.][A-Za-z_.]+|[a-z]+[A-Z][A-Za-z]+|[A-Z][a-z]+[A-Z][A-Za-z]+"), F.lit(0)).alias("i")).first()
-        providers = ["text"] + (["facts"] if self.facts is not None and row["i"] else []) + (["graph"] if self.edges is not None and row["t"] == "dependency" else [])
-        return Plan(question, row["t"], row["c"] >= 2, list(row["i"]), providers)
+        row = self.chunks.sparkSession.range(1).select(fn.question_type(F.lit(question)).alias("t"), fn.complexity(F.lit(question)).alias("c"), fn.strategy(F.lit(question)).alias("s"), F.regexp_extract_all(F.lit(question), F.lit("[A-Za-z]+[_.][A-Za-z_.]+|[a-z]+[A-Z][A-Za-z]+|[A-Z][a-z]+[A-Z][A-Za-z]+"), F.lit(0)).alias("i")).first()
+        providers = ["text"] + (["facts"] if self.facts is not None and row["i"] else []) + (["graph"] if self.edges is not None and row["t"] in ("impact_analysis", "change_impact_prediction", "dependency_injection") else [])
+        return Plan(question, row["t"], row["c"] >= 2, list(row["i"]), providers, row["s"]["strategy"], row["s"]["most"])
 
     def search(self, question: str, top: int = 10) -> DataFrame:
         asked = self.chunks.sparkSession.range(1).select(F.lit(0).alias("q"), F.lit(question).alias("text"))

@@ -19,7 +19,7 @@ from strataflow.sources.adapters import table
 #: Inventory ids whose operator is a whole query registered under another id.
 SAME = {
     "a3_jaccard_coupling": "r1_logical_coupling", "a4_file_expertise": "r2_file_expertise", "a5_directory_rollup": "r2_directory_expertise", "a6_adr_rollup": "r2_adr_expertise", "a15_laplace_frequency": "r13_change_risk", "a16_drift_score": "r4_drift_health",
-    "a17_padded_baseline": "r18_runtime_baselines", "a18_entropy_calibration": "r21_runtime_calibration", "a21_coverage_risk": "r8_coverage_risk", "a22_intent_edge_weight": "r28_intent_graph", "a23_dependency_confidence": "r23_dependency_view", "a29_intent_aggregate": "r27_intent_extraction",
+    "a17_padded_baseline": "r18_runtime_baselines", "a18_entropy_calibration": "r21_runtime_calibration", "a21_coverage_risk": "r8_coverage_risk", "a22_intent_edge_weight": "r28_intent_graph", "a23_dependency_confidence": "r23_dependency_view",
     "w12_sequential_chain": "r10_causal_chains", "w15_score_normalization": "v21_rerank_normalization", "w16_greedy_budget": "v22_budget_packing", "u3_union_all_endpoints": "a30_coupling_centrality", "r25_runtime_static_reconcile": "j20_runtime_static_reconcile",
     "r26_decision_code_links": "j18_token_links", "g29_path_risk_union": "r24_runtime_blast_radius", "x2_reconcile": "j21_reconcile", "q4_get_dependents": "g5_dependents", "q5_get_dependencies": "g4_neighbours", "q6_get_facts": "p1_query_facts", "s5_incremental_sync": "x9_high_water_mark",
 }

@@ -6,17 +6,10 @@ from pyspark.sql import functions as F
 
 from strataflow.functions import text as fn
 from strataflow.plans.registry import query
+from strataflow.sources import readers, roles
 from strataflow.sources.adapters import table
 
 
-def _case(rules, column: str, otherwise: str) -> str:
-    whens = []
-    for name, pattern in rules:
-        quoted = pattern.replace("(?i)", "").replace("'", "''")
-        whens.append(f"WHEN regexp_matches({column}, '(?i){quoted}') THEN '{name}'")
-    return f"CASE {' '.join(whens)} ELSE '{otherwise}' END"
-
-
 _PATH = "lang || CASE doc_id % 6 WHEN 0 THEN '/src/' WHEN 1 THEN '/tests/' WHEN 2 THEN '/docs/' WHEN 3 THEN '/scripts/' WHEN 4 THEN '/dist/' ELSE '/lib/' END || 'f' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.md' WHEN 3 THEN '.json' ELSE '.bin' END"
 
 
@@ -24,19 +17,30 @@ def paths(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", "source", "text", "n_chars", F.expr(_PATH).alias("path"))
 
 
-@query("text_question_type", f"SELECT conv_id, turn, {_case(fn.QUESTION_RULES, 'text', 'general')} AS type FROM conversations WHERE role = 'user'")
-def text_question_type(spark, d):
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", fn.question_type(F.col("text")).alias("type"))
+@query("p12_file_roles", roles.with_("files") + r""", n AS (SELECT file_id, lower(path) AS p, string_split(lower(path), '/') AS c, string_split(lower(path), '/')[-1] AS f, content, lower(array_to_string(string_split(content, chr(10))[1:20], chr(10))) AS top FROM files),
+    e AS (SELECT *, regexp_extract(f, '^.+(\.[^.]*)$', 1) AS x, ['.ts', '.tsx', '.js', '.jsx', '.py', '.go', '.rs', '.java', '.rb', '.php', '.cs', '.cpp', '.c', '.h', '.swift', '.kt', '.scala'] AS src FROM n)
+    SELECT file_id, CASE WHEN list_has_any(c, ['dist', 'out', 'build', 'coverage', 'generated', '.next', 'node_modules', '__pycache__', '.mypy_cache', '.pytest_cache']) OR f IN ('package-lock.json', 'yarn.lock', 'poetry.lock', 'pipfile.lock', 'pnpm-lock.yaml', 'bun.lockb')
+            OR f LIKE '%.min.js' OR f LIKE '%.min.css' OR f LIKE '%.map' OR f LIKE '%-lock.json' OR f LIKE '%.lock' OR (list_contains(src, x) AND length(content) > 512000) THEN 'generated'
+        WHEN list_has_any(c, ['tests', 'test', '__tests__', 'e2e', 'fixtures', 'mocks', 'stubs', 'fakes', 'spec', 'specs', 'cypress']) OR regexp_matches(f, '\.(test|spec)\.(ts|js|tsx|jsx)$') OR (f LIKE 'test\_%.py' ESCAPE '\') OR (f LIKE 'verify\_%.py' ESCAPE '\') OR (f LIKE '%\_test.py' ESCAPE '\')
+            OR contains(top, 'import pytest') OR contains(top, 'from pytest') OR contains(top, 'import unittest') OR contains(top, 'import { describe') OR contains(top, 'import { it,') OR contains(top, 'import { test,') OR contains(top, 'const describe =') OR contains(top, 'const it =') OR contains(top, 'describe(') OR contains(top, 'it(') THEN 'test'
+        WHEN f IN ('package.json', 'tsconfig.json', 'pyproject.toml', 'setup.py', 'setup.cfg', 'dockerfile', 'makefile', 'requirements.txt', 'docker-compose.yml', '.env.example', '.env.sample', '.env') OR f LIKE '.env.%' OR f LIKE 'tsconfig.%.json' OR regexp_matches(p, '^\.github/workflows/[^/]+\.ya?ml$') THEN 'config'
+        WHEN list_has_any(c, ['docs', 'documentation', 'wiki']) OR f IN ('readme.md', 'readme.rst', 'changelog.md', 'contributing.md', 'license') OR (x IN ('.md', '.mdx', '.rst', '.txt') AND NOT list_has_any(c, ['src', 'lib', 'app', 'packages', 'pkg'])) THEN 'docs'
+        WHEN list_has_any(c, ['scripts', 'tools', 'bin', 'cli']) OR x IN ('.sh', '.bash', '.zsh', '.ps1', '.bat', '.cmd') THEN 'script' WHEN list_contains(src, x) THEN 'implementation' ELSE 'unknown' END AS role FROM e""")
+def p12_file_roles(spark, d):
+    return roles.role(spark, d, "files").select("file_id", fn.file_role(F.col("path"), F.col("content")).alias("role"))
 
 
-@query("text_complexity", "SELECT conv_id, turn, CAST(length(text) > 200 AS INT) + CAST(regexp_matches(text, '(?i)\\b(and|then|also)\\b') AS INT) + CAST(length(text) - length(replace(text, '?', '')) > 1 AS INT) + CAST(regexp_matches(text, '(?i)\\b(between|across|compare|impact)\\b') AS INT) AS score FROM conversations WHERE role = 'user'")
-def text_complexity(spark, d):
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", fn.complexity(F.col("text")).alias("score"))
+@query("s3_ignored_paths", roles.with_("files") + r""" SELECT file_id, path FROM files WHERE NOT (list_contains(string_split(path, '/'), 'node_modules') OR path = 'dist/js' OR path LIKE 'dist/js/%' OR path LIKE '%/dist/js/%' OR path LIKE '%/dist/js'
+    OR path LIKE '%.min.js' OR regexp_matches(path, '^src/[^/]*\.java$') OR regexp_matches(path, '^(.*/)?coverage/') OR path LIKE 'tes_s/%' OR path LIKE '%/tes_s/%')""")
+def s3_ignored_paths(spark, d):
+    patterns = ["node_modules", "dist/js", "*.min.js", "src/*.java", "**/coverage/", "tes?s/"]
+    return roles.role(spark, d, "files").where(~fn.ignored(F.col("path"), patterns)).select("file_id", "path")
 
 
-@query("p12_file_roles", f"SELECT doc_id, {_case(fn.ROLE_RULES, 'path', 'unknown')} AS role FROM (SELECT doc_id, {_PATH} AS path FROM documents)")
-def p12_file_roles(spark, d):
-    return paths(spark, d).select("doc_id", fn.file_role(F.col("path")).alias("role"))
+@query("s1_file_walk", roles.with_("files") + r""" SELECT path, max(size) AS size FROM files WHERE (regexp_matches(path, '\.(py|ts|md|go|java|yml|sh)$') OR regexp_matches(path, '(^|/)[^/]*\.env(\.[a-z]+)?$')) AND path NOT LIKE 'node_modules/%' AND NOT regexp_matches(path, '(^|/)(dist|tests)/') AND (path NOT LIKE '%.py' OR regexp_matches(path, '(^|/)main\.py$')) GROUP BY path""")
+def s1_file_walk(spark, d):
+    listing = roles.role(spark, d, "files").groupBy("path").agg(F.max("size").alias("size"))
+    return readers.walked(listing, ["py", "ts", "md", "go", "java", "yml", "sh"], ["node_modules"], ["# built", "dist/", "tests/", "*.py", "!main.py"])
 
 
 @query("p13_language", f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'markdown' WHEN 3 THEN 'json' ELSE 'unknown' END AS language FROM documents")
@@ -44,11 +48,6 @@ def p13_language(spark, d):
     return paths(spark, d).select("doc_id", fn.language(F.col("path")).alias("language"))
 
 
-@query("s3_ignored_paths", f"SELECT doc_id FROM (SELECT doc_id, {_PATH} AS path FROM documents) WHERE NOT (list_contains(string_split(path, '/'), 'dist') OR list_contains(string_split(path, '/'), 'lib'))")
-def s3_ignored_paths(spark, d):
-    return paths(spark, d).where(~fn.ignored(F.col("path"), ["dist", "lib"])).select("doc_id")
-
-
 @query("s2_budgeted_scan", f"SELECT doc_id, path FROM (SELECT doc_id, n_chars, {_PATH} AS path FROM documents) ORDER BY path LIKE '%.py' DESC, n_chars DESC, len(string_split(path, '/')), doc_id LIMIT 100")
 def s2_budgeted_scan(spark, d):
     return paths(spark, d).orderBy(F.col("path").endswith(".py").desc(), F.col("n_chars").desc(), F.size(F.split("path", "/")), "doc_id").limit(100).select("doc_id", "path")
@@ -152,13 +151,3 @@ def fact_assignments(spark, d):
 def n15_problem_signals(spark, d):
     rules = {"failure": "(?i)error|fail", "latency": "(?i)slow|timeout", "licence": "(?i)licen[cs]e", "secret": "(?i)token|secret"}
     return table(spark, d, "documents").select("doc_id", F.array_compact(F.array(*[F.when(F.col("text").rlike(p), k) for k, p in rules.items()])).alias("signals"))
-
-
-_INTENT = [("REFACTORING", "(?i)move|rename"), ("SECURITY", "(?i)token|secret|auth"), ("LICENSING", "(?i)licen[cs]e")]
-
-
-@query("r27_intent_extraction", "WITH m AS (" + " UNION ALL ".join(f"SELECT '{k}' AS type, lang AS topic, doc_id, source FROM documents WHERE regexp_matches(text, '{p}')" for k, p in _INTENT) + ") SELECT sha256(type || ':' || topic) AS intent_id, type, topic, count(*) AS evidence_count, count(DISTINCT source) AS sources, min(doc_id) AS first_doc FROM m GROUP BY ALL")
-def r27_intent_extraction(spark, d):
-    kinds = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), k) for k, p in _INTENT]))
-    found = table(spark, d, "documents").select("doc_id", "source", F.col("lang").alias("topic"), F.explode(kinds).alias("type"))
-    return found.groupBy("type", "topic").agg(F.count("*").alias("evidence_count"), F.count_distinct("source").alias("sources"), F.min("doc_id").alias("first_doc")).select(F.sha2(F.concat_ws(":", "type", "topic"), 256).alias("intent_id"), "type", "topic", "evidence_count", "sources", "first_doc")

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.functions.text import file_role, ignored, language, redact_dotenv
+from strataflow.functions.text import file_role, gitignored, ignored, language, redact_dotenv
 
 #: Fixed names of folders that a walk leaves out.
 IGNORED = ("node_modules", ".git", "dist", "build", "__pycache__", ".venv")
@@ -18,18 +18,39 @@ EVENT_SCHEMA = "event_id string, component_id string, event_type string, severit
 SEVERITIES = ("INFO", "WARNING", "ERROR", "CRITICAL")
 
 
-def walk(spark: SparkSession, root: str, extensions: Sequence[str], names: Sequence[str] = IGNORED, most: int | None = None) -> DataFrame:
+def walked(listing: DataFrame, extensions: Sequence[str], names: Sequence[str] = IGNORED, ignore_lines: Sequence[str] = ()) -> DataFrame:
+    """The files of a listing (path, ...) that a walk takes: with one of the extensions, or dotenv files, and left out neither by a pattern nor by an ignore file."""
+    path = F.col("path")
+    wanted = F.lower("path").rlike("(" + "|".join("\\." + e.lstrip(".") for e in extensions) + ")$") | path.rlike(r"(^|/)[^/]*\.env(\.[a-z]+)?$")
+    return listing.where(wanted & ~ignored(path, list(names)) & ~gitignored(path, ignore_lines))
+
+
+def ignore_file(spark: SparkSession, root: str, name: str = ".gitignore") -> list[str]:
+    """The lines of the ignore file of a root, from whatever store it is in; none if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root, name)
+    store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not store.exists(at):
+        return []
+    stream = store.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
+
+
+def walk(spark: SparkSession, root: str, extensions: Sequence[str], names: Sequence[str] = IGNORED, most: int | None = None, use_ignore_file: bool = True) -> DataFrame:
     """Files under a root: path (relative), language, role, size, modified, text (secrets of dotenv files redacted).
 
-    Names that begin with a dot or an underscore are hidden to Spark's readers and left out. With `most`, the files of the highest priority: shallow before deep, new before old.
+    The root's .gitignore holds. Names that begin with a dot or an underscore are hidden to Spark's readers and left out. With `most`, the files of
+    the highest priority: shallow before deep, new before old.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.regexp_replace(F.lit(root), "^file:/*", "/")
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(F.lit("^"), base, F.lit("/*")), "")
-    keep = F.lower("rel").rlike("(" + "|".join("\\." + e.lstrip(".") for e in extensions) + ")$") | F.col("rel").rlike(r"(^|/)[^/]*\.env(\.[a-z]+)?$")
     text = F.decode("content", "UTF-8")
-    files = raw.withColumn("rel", path).where(keep & ~ignored(F.col("rel"), list(names)))
-    found = files.select(F.col("rel").alias("path"), language(F.col("rel")).alias("language"), file_role(F.col("rel")).alias("role"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.when(F.col("rel").rlike(r"(^|/)[^/]*\.env(\.[a-z]+)?$"), redact_dotenv(text)).otherwise(text).alias("text"))
+    files = walked(raw.withColumn("path", path), extensions, names, ignore_file(spark, root) if use_ignore_file else ())
+    shown = F.when(F.col("path").rlike(r"(^|/)[^/]*\.env(\.[a-z]+)?$"), redact_dotenv(text)).otherwise(text)
+    found = files.select("path", language(F.col("path")).alias("language"), file_role(F.col("path"), text).alias("role"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), shown.alias("text"))
     if most is None:
         return found
     return found.orderBy(F.size(F.split("path", "/")), F.col("modified").desc(), "path").limit(most)

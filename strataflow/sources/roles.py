@@ -46,6 +46,12 @@ ROLES: dict[str, str] = {
     "change_sets": "SELECT l_orderkey AS change_id, 'm' || (l_partkey % 20) || '/p' || l_partkey AS path FROM {lineitem} WHERE l_orderkey % 50 = 1 GROUP BY 1, 2",
     "impacts": "SELECT 'm' || (ps % 20) || '/p' || ps AS root, 'm' || (pt % 20) || '/p' || pt AS node, CAST(g AS DOUBLE) AS governance_score FROM (SELECT p_partkey AS ps, p_partkey + 20 AS pt, p_size * 2 AS g FROM {part} UNION ALL SELECT p_partkey, p_partkey + 40, p_size * 2 FROM {part} WHERE p_size % 3 = 0)",
     "couplings": "SELECT 'm' || (p_partkey % 20) || '/p' || p_partkey AS source_path, 'm' || ((p_partkey + 7) % 20) || '/p' || (p_partkey + 7) AS target_path, CAST(p_size AS DOUBLE) / 50 AS confidence, CAST(p_size % 12 AS INT) AS co_change_count FROM {part}",
+    # questions of all kinds about the benchmark's texts
+    "questions": "SELECT item_id AS id, CASE item_id % 30 WHEN 0 THEN 'What is the max retry threshold of' WHEN 1 THEN 'How many files does it count in' WHEN 2 THEN 'Explain the fallback of' WHEN 3 THEN 'Where should I start as a new developer with' WHEN 4 THEN 'Where is the token cache module defined in' WHEN 5 THEN 'Which constructor takes' WHEN 6 THEN 'Show me the prompt for' WHEN 7 THEN 'Which env variable sets' WHEN 8 THEN 'What is the value of' WHEN 9 THEN 'Give an overview of the architecture and design of' WHEN 10 THEN 'How risky is changing' WHEN 11 THEN 'Refactor hotspots near' WHEN 12 THEN 'What depends on QueryPlanner in' WHEN 13 THEN 'How does the pipeline work end to end for' WHEN 14 THEN 'Which test covers' WHEN 15 THEN 'Can we trust the brier score of' WHEN 16 THEN 'Show unhealthy components near' WHEN 17 THEN 'Why is load_index failing, and why does it crash on' WHEN 18 THEN 'What breaks if i change' WHEN 19 THEN 'Find \"run_mission\" in' WHEN 20 THEN 'Trace what happens when the store and the planner connect to' WHEN 21 THEN 'Is it safe to rename or delete' WHEN 22 THEN 'Administrator minimum of' WHEN 23 THEN 'describe the components and how they communicate, while ranking' WHEN 24 THEN 'Which class is located in' WHEN 25 THEN 'tell me about' ELSE 'The' END || ' item ' || item_id AS text FROM {benchmark}",
+    # changes, requests and decisions as texts
+    "intent_sources": "SELECT 'COMMIT' AS source_type, 'c' || o_orderkey AS source_id, CASE o_orderkey % 12 WHEN 0 THEN 'Add JWT login and token refresh' WHEN 1 THEN 'cache results in redis' WHEN 2 THEN 'retry with backoff' WHEN 3 THEN 'refactor and cleanup' WHEN 4 THEN 'logging and metrics' WHEN 5 THEN 'migrate tables' WHEN 6 THEN 'fix typo' WHEN 7 THEN 'circuit-breaker for failover' WHEN 8 THEN 'shard and scale horizontally' WHEN 9 THEN 'encrypt with AES' ELSE 'update docs' END || ' ' || o_orderkey AS text, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM {orders} UNION ALL SELECT 'PR', 'p' || c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'RBAC permissions' WHEN 1 THEN 'Reduce latency and response time' WHEN 2 THEN 'event-driven message bus' WHEN 3 THEN 'deprecate old API' WHEN 4 THEN 'GDPR compliance' ELSE 'misc' END || ' and Caching', CAST('2000-01-02 00:00:00' AS TIMESTAMP) FROM {customer} UNION ALL SELECT 'ADR', 'ADR-' || n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'We use microservices, oauth2 and caching' WHEN 1 THEN 'Monitoring by prometheus' WHEN 2 THEN 'Optimize throughput' ELSE 'Nothing here' END, CAST('1999-03-04 00:00:00' AS TIMESTAMP) FROM {nation}",
+    # a listing of files with their first lines
+    "files": "SELECT 'f' || doc_id AS file_id, CASE doc_id % 24 WHEN 0 THEN 'src/app' WHEN 1 THEN 'tests/unit' WHEN 2 THEN 'docs' WHEN 3 THEN 'scripts' WHEN 4 THEN 'dist/js' WHEN 5 THEN 'lib/core' WHEN 6 THEN 'node_modules/x' WHEN 7 THEN 'pkg/E2E' WHEN 8 THEN '.github/workflows' WHEN 9 THEN 'vendor/lib' WHEN 10 THEN 'tools' WHEN 11 THEN 'a/b/coverage' ELSE 'src' END || '/' || CASE doc_id % 17 WHEN 0 THEN 'main.py' WHEN 1 THEN 'index.test.ts' WHEN 2 THEN 'README.md' WHEN 3 THEN 'package-lock.json' WHEN 4 THEN 'app.min.js' WHEN 5 THEN 'test_x.py' WHEN 6 THEN 'tsconfig.base.json' WHEN 7 THEN '.env.local' WHEN 8 THEN 'ci.yml' WHEN 9 THEN 'run.sh' WHEN 10 THEN 'notes.txt' WHEN 11 THEN 'Dockerfile' WHEN 12 THEN 'util.go' WHEN 13 THEN 'data.bin' WHEN 14 THEN 'verify_all.py' WHEN 15 THEN 'x.map' ELSE 'Service.java' END AS path, CASE WHEN doc_id % 7 = 0 THEN 'import pytest' ELSE '' END || text AS content, n_chars * 40 AS size FROM {documents}",
     "links": "SELECT DISTINCT 'ADR-' || (p_partkey % 25) AS adr_id, 'm' || (p_partkey % 20) || '/p' || p_partkey AS node_id FROM {part} WHERE p_size % 2 = 0",
     "decisions": "SELECT 'ADR-' || n_nationkey AS id FROM {nation} UNION ALL SELECT 'ADR-' || (25 + r_regionkey) FROM {region}",
 }

@@ -14,8 +14,8 @@ def engine(spark):
 
 
 def test_plan(engine):
-    plan = engine.plan("Which modules call parseFile and depend on my_loader?")
-    assert plan.type == "dependency" and plan.identifiers == ["parseFile", "my_loader"] and plan.providers == ["text", "facts", "graph"]
+    plan = engine.plan("What depends on parseFile and uses my_loader?")
+    assert plan.type == "impact_analysis" and plan.identifiers == ["parseFile", "my_loader"] and plan.providers == ["text", "facts", "graph"]
 
 
 def test_lookups(engine):

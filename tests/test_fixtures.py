@@ -163,3 +163,46 @@ def test_sources(spark, tmp_path):
 
     (tmp_path / "spans.json").write_text('{"traceId": "t", "spanId": "1", "service": "web"}\n{"traceId": "t", "spanId": "2", "parentSpanId": "1", "service": "db"}\n')
     assert [(r.source, r.target, r.observed) for r in readers.trace_edges(spark, str(tmp_path / "spans.json")).collect()] == [("web", "db", 1)]
+
+
+def test_question_types_of_typical_questions(spark):
+    from strataflow.functions import questions
+
+    asked = {
+        "What is the confidence threshold?": "threshold", "How many providers are there?": "list_count", "What is the fallback when the model fails?": "fallback_chain", "Where should I start as a new developer?": "onboarding_analysis", "Where is the parser defined?": "symbol_location",
+        "Which services does the constructor take?": "dependency_injection", "Show the system prompt": "prompt_template", "Which env is read?": "config_surface", "Give the value of TIMEOUT": "exact_constant", "Describe the folder layout": "architecture_analysis", "How risky is changing the store?": "change_impact_prediction",
+        "Any technical debt?": "refactoring_analysis", "What depends on the index?": "impact_analysis", "What is the blast radius of Store?": "impact_analysis", "Explain the router": "behavior_explanation", "Which mock covers it": "test_query", "Can I trust the scores": "prediction_accountability", "List degraded runtime parts": "runtime_intelligence", "Hello": "unknown",
+    }
+    df = spark.createDataFrame(list(asked.items()), "q string, t string")
+    assert [(r.q, r.k) for r in df.select("q", "t", questions.question_type(F.col("q")).alias("k")).collect() if r.k != r.t] == []
+    scores = {r.q: r.s for r in spark.createDataFrame([("where is main",), ("How does the retrieval pipeline interact with the memory store and why?",)], "q string").select("q", questions.complexity(F.col("q")).alias("s")).collect()}
+    assert scores["where is main"] < 2 <= scores["How does the retrieval pipeline interact with the memory store and why?"]
+
+
+def test_ignore_patterns(spark):
+    paths = ["a/node_modules/x.js", "node_modules", "src/x.min.js", "src/gen/a.py", "keep/gen.py", "build/keep.txt", "logs/a.log", "logs/keep.log", "docs/a/b/c.md"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = {r.p for r in df.where(fn.ignored(F.col("p"), ["node_modules", "*.min.js", "src/gen/**"])).collect()}
+    assert got == {"a/node_modules/x.js", "node_modules", "src/x.min.js", "src/gen/a.py"}
+    lines = ["# comment", "", "build/", "!build/keep.txt", "*.log", "!keep.log", "/docs/**/c.md"]
+    got = {r.p for r in df.where(fn.gitignored(F.col("p"), lines)).collect()}
+    assert got == {"build/keep.txt", "logs/a.log", "docs/a/b/c.md"}
+
+
+def test_diagnostics_name_every_contradiction(spark):
+    from strataflow.operators import audit
+
+    rows = lambda schema, *r: spark.createDataFrame(list(r), schema)
+    t = {
+        "knowledge_hotspots": rows("entity_id string, entity_type string, expert_count int, bus_factor int", ("A", "ADR", 2, 1), ("B", "ADR", 0, 1)),
+        "links": rows("adr_id string, node_id string", ("A", "f1"), ("A", "f2")), "author_expertise": rows("author_email string, entity_type string, entity_id string", ("x", "FILE", "f1"), ("y", "FILE", "f2")),
+        "architectural_health": rows("entity_id string, health_score double", ("A", 90.0), ("B", 50.0), ("C", 100.0)), "drift_findings": rows("id string, entity_id string, resolution_state string", ("1", "A", "ACTIVE"), ("2", "B", "RESOLVED")),
+        "knowledge_validity": rows("id string, entity_id string, validity_score double", ("V1", "A", 80.0), ("V2", "B", 100.0)), "validity_evidence": rows("validity_id string", ("V9",)), "evolution_entities": rows("id string, entity_id string", ("E", "A")),
+        "review_recommendations": rows("id long", (1,), (2,)), "review_scope": rows("recommendation_id long", (1,)), "review_outcomes": rows("review_id long, entity_type string, entity_id string", (7, "ADR", "Z"), (8, "ADR", "A"), (9, "PR", "Z")), "decisions": rows("id string", ("A",)),
+        "coverage_entities": rows("entity_type string, entity_id string, coverage_percent double", ("ADR", "A", 10.0), ("ADR", "B", 10.0), ("ADR", "C", 10.0), ("FILE", "D", 1.0)), "outcome_evidence": rows("entity_type string, entity_id string, evidence_type string", ("ADR", "A", "COVERAGE")),
+        "causal_explanations": rows("id string, target_entity_type string, target_entity_id string", ("X", "ADR", "B"), ("Y", "ADR", "Q")), "causal_factors": rows("factor_id string, explanation_id string, factor_type string", ("F1", "X", "COVERAGE_DEGRADATION"), ("F2", "X", "OTHER")),
+        "causal_chains": rows("explanation_id string, prev_factor_id string, next_factor_id string", ("X", "F1", "F2"), ("W", "F1", "F9")), "causal_evidence": rows("factor_id string", ("F1",)), "decision_outcomes": rows("entity_id string", ("A",), ("N",)),
+        **{k: rows("entity_id string, snapshot_date string", ("A", "2024-01-01"), *([("A", "soon")] if k == "drift_history" else [])) for k in audit.DATED},
+    }
+    got = {(r.check_no, r.entity) for r in audit.diagnostics(t).collect()}
+    assert got == {(2, "B"), (3, "V1"), (4, "B"), (5, "2"), (6, "B"), (7, "7"), (8, "drift_history"), (10, "C"), (11, "N"), (12, "Y"), (13, "W"), (14, "F2")}
