@@ -284,18 +284,6 @@ def m1_proposal_pipeline(spark, d):
     return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("c2_gap_check", "SELECT user_id, 5 - count(DISTINCT event_type) AS gaps FROM events GROUP BY user_id")
-def c2_gap_check(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg((5 - F.count_distinct("event_type")).alias("gaps"))
-
-
-@query("c7_technology_claims", "SELECT tech, count(*) AS claims, bool_or(known) AS supported FROM (SELECT unnest(['apache', 'gnu', 'redis']) AS tech, text FROM documents) JOIN (VALUES ('apache', true), ('gnu', true), ('redis', false)) k(tech, known) USING (tech) WHERE contains(lower(text), tech) GROUP BY tech")
-def c7_technology_claims(spark, d):
-    terms = {"apache": True, "gnu": True, "redis": False}
-    said = F.array_compact(F.array(*[F.when(F.lower("text").contains(t), F.struct(F.lit(t).alias("tech"), F.lit(k).alias("known"))) for t, k in terms.items()]))
-    return table(spark, d, "documents").select(F.explode(said).alias("s")).groupBy("s.tech").agg(F.count("*").alias("claims"), F.bool_or("s.known").alias("supported"))
-
-
 @query("s8_event_payloads", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props)")
 def s8_event_payloads(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long").alias("p")).where("p IS NOT NULL").select("event_id", "p.k")

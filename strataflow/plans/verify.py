@@ -11,13 +11,6 @@ from strataflow.sources import roles
 from strataflow.sources.adapters import table
 
 
-@query("c1_numeric_claims", "WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b\\d{2,6}\\b')) AS v FROM documents) SELECT doc_id, v, EXISTS (SELECT 1 FROM part WHERE p_partkey = CAST(v AS BIGINT)) AS supported FROM n")
-def c1_numeric_claims(spark, d):
-    claims = table(spark, d, "documents").select("doc_id", F.explode(F.expr(r"regexp_extract_all(text, '\\b\\d{2,6}\\b', 0)")).alias("v"))
-    known = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.lit(True).alias("supported"))
-    return claims.join(known, F.col("v").cast("long") == F.col("k"), "left").select("doc_id", "v", F.coalesce("supported", F.lit(False)).alias("supported"))
-
-
 @query("c3_quoted_strings", "WITH q AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '\"([^\"\n]{4,})\"', 1)) AS quote FROM documents) SELECT doc_id, quote, EXISTS (SELECT 1 FROM documents x WHERE x.source = q.source AND x.doc_id <> q.doc_id AND contains(x.text, quote)) AS found FROM q")
 def c3_quoted_strings(spark, d):
     docs = table(spark, d, "documents")
@@ -27,19 +20,6 @@ def c3_quoted_strings(spark, d):
     return every.join(met, ["doc_id", "quote"], "left").fillna({"found": False})
 
 
-@query("c5_mentioned_paths", "WITH m AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"(/[A-Za-z]+)\"', 1)) AS path FROM pages) SELECT page_id, path FROM m WHERE path NOT IN (SELECT '/' || string_split(p_name, ' ')[1] FROM part) AND path NOT IN ('/The', '/the')")
-def c5_mentioned_paths(spark, d):
-    said = table(spark, d, "pages").select("page_id", F.explode(F.expr("regexp_extract_all(html, 'href=\"(/[A-Za-z]+)\"', 1)")).alias("path")).distinct()
-    known = table(spark, d, "part").select(F.concat(F.lit("/"), F.split("p_name", " ")[0]).alias("path")).distinct()
-    return said.where(~F.col("path").isin("/The", "/the")).join(known, "path", "left_anti").select("page_id", "path")
-
-
-@query("c6_fallback_order", "SELECT user_id, list(event_type ORDER BY ts, event_id)[1:3] AS first_three, list(event_type ORDER BY ts, event_id)[1:3] = ['view', 'click', 'purchase'] AS in_order FROM events GROUP BY user_id")
-def c6_fallback_order(spark, d):
-    listed = table(spark, d, "events").groupBy("user_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]), 1, 3).alias("first_three"))
-    return listed.select("user_id", "first_three", (F.col("first_three") == F.array(F.lit("view"), F.lit("click"), F.lit("purchase"))).alias("in_order"))
-
-
 @query("c8_thin_grounding", "SELECT user_id, count(DISTINCT event_type) AS sources, CASE WHEN count(DISTINCT event_type) < 3 THEN 'revise' ELSE 'pass' END AS outcome FROM events GROUP BY user_id")
 def c8_thin_grounding(spark, d):
     n = F.count_distinct("event_type")
@@ -61,12 +41,6 @@ def c10_omitted_files(spark, d):
     return m.withColumn("rn", F.row_number().over(Window.partitionBy("answer").orderBy(F.col("n").desc(), "file"))).where("rn <= 3").select("answer", "file", "n")
 
 
-@query("c11_dead_files", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_name NOT LIKE 'red%'")
-def c11_dead_files(spark, d):
-    used = table(spark, d, "lineitem").where("l_quantity > 45").select("l_partkey")
-    return table(spark, d, "part").where(~F.col("p_name").startswith("red")).join(used, F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey")
-
-
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({}.text), '[^a-z0-9]+'), lambda x: length(x) > 3))"
 
 

@@ -69,3 +69,15 @@ def ctes(*names: str) -> str:
 
 def with_(*names: str) -> str:
     return "WITH " + ctes(*names)
+
+_NL = "chr(10)"
+ROLES |= {
+    # modules with their code, answers that speak of them, and what the answers were given as evidence
+    "code_files": f"SELECT 'src/a/m' || s_suppkey || '.py' AS path, CASE WHEN s_suppkey % 7 = 3 THEN 'router = APIRouter()' || {_NL} WHEN s_suppkey % 7 = 5 THEN 'if __name__ == \"__main__\":' || {_NL} ELSE '' END || 'import m' || (s_suppkey % 5) || {_NL} || 'def run_' || (s_suppkey % 10) || '(x):' || {_NL} || '    value = call_' || (s_suppkey % 4) || '(x)' || {_NL} || '    return value + ' || (s_suppkey % 3) AS content FROM {{supplier}} UNION ALL SELECT CASE r_regionkey WHEN 0 THEN 'src/a/main.py' WHEN 1 THEN 'src/a/__init__.py' WHEN 2 THEN 'src/b/index.ts' ELSE 'src/b/left' || r_regionkey || '.py' END, 'x = 1' FROM {{region}}",
+    "answers": f"SELECT p_partkey AS answer_id, CASE p_partkey % 13 WHEN 0 THEN '1. The retry_limit is ' || (p_size % 4) || ' here.' WHEN 1 THEN 'The project uses Redis for caching. It does not use Kafka. We have ' || p_size || ' steps.' WHEN 2 THEN 'In src/a/m' || (p_partkey % 11) || '.py it calls `run_' || (p_partkey % 10) || '` today. Later src/a/m2.py never uses `run_9`.' WHEN 3 THEN 'Both src/a/m' || (p_partkey % 9) || '.py and src/a/m' || (p_partkey % 21) || '.py are identical. See m1.py.' WHEN 4 THEN 'Code:' || {_NL} || '```py' || {_NL} || 'def run_' || (p_partkey % 10) || '(x):' || {_NL} || '    return value + ' || (p_size % 3) || {_NL} || '```' || {_NL} || 'done' WHEN 5 THEN 'It asks client_b first, then client_a and at last cache_c.' WHEN 6 THEN 'It asks client_a, client_b and cache_c.' WHEN 7 THEN 'I cannot determine the value of max_size, it may be 12.' WHEN 8 THEN 'The ratio is 0.55 and max_size equals ' || (p_size * 10) || '.' WHEN 9 THEN 'See src/a/m' || p_partkey || '.py and docs/x.md for the rest.' WHEN 10 THEN 'It depends on GraphQL and on call_1.' ELSE 'Nothing to say about ' || p_name END AS text FROM {{part}}",
+    "evidence": f"SELECT p_partkey AS answer_id, 'src/a/m' || (p_partkey % 11) || '.py' AS file, 'retry_limit = 3' || {_NL} || 'def run_' || (p_partkey % 10) || '(x):' || {_NL} || '    value = call_1(x)' || {_NL} || '    return value + ' || (p_partkey % 3) || {_NL} || 'see docs/x.md' AS content FROM {{part}}",
+    "answer_gaps": "SELECT p_partkey AS answer_id, CASE WHEN p_size % 2 = 0 THEN 'no source span' ELSE 'no definition' END AS gap FROM {part} WHERE p_size % 5 < 2",
+    "numeric_facts": "SELECT * FROM (SELECT 'retry_limit' AS symbol, CAST(3 AS DOUBLE) AS value, 7 AS line UNION ALL SELECT 'cfg.max_size', CAST(100 AS DOUBLE), 20 UNION ALL SELECT 'ratio', CAST(0.55 AS DOUBLE), 9) AS f WHERE (SELECT count(*) FROM {region}) > 0",
+    "fallback_facts": "SELECT * FROM (SELECT 'u1' AS unit, 1 AS place, 'client_a' AS symbol UNION ALL SELECT 'u1', 2, 'client_b' UNION ALL SELECT 'u1', 3, 'cache_c' UNION ALL SELECT 'u2', 1, 'other' UNION ALL SELECT 'u2', 2, 'client_a') AS f WHERE (SELECT count(*) FROM {region}) > 0",
+    "import_edges": "SELECT 'src/a/m' || s_suppkey || '.py' AS src, 'src/a/m' || (s_suppkey % 5) || '.py' AS dst, 'imports' AS type FROM {supplier}",
+}
