@@ -90,11 +90,6 @@ def t4_semantic_sort(spark, d):
     return table(spark, d, "orders").orderBy(rank, F.col("o_totalprice").desc(), "o_orderkey").limit(30).select("o_orderkey", "o_orderpriority")
 
 
-@query("t5_rounded_tie_sort", "SELECT s_suppkey, s_name FROM supplier ORDER BY floor(s_acctbal / 1000) DESC, s_name, s_suppkey LIMIT 20")
-def t5_rounded_tie_sort(spark, d):
-    return table(spark, d, "supplier").orderBy(F.floor(F.col("s_acctbal") / 1000).desc(), "s_name", "s_suppkey").limit(20).select("s_suppkey", "s_name")
-
-
 @query("t6_two_phase_ranking", "WITH c AS (SELECT l_partkey AS p, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, p LIMIT 50) SELECT p, n, CAST(sum(l_quantity) AS BIGINT) AS qty FROM c JOIN lineitem ON l_partkey = p GROUP BY p, n ORDER BY qty DESC, p LIMIT 10")
 def t6_two_phase_ranking(spark, d):
     items = table(spark, d, "lineitem")

@@ -20,7 +20,7 @@ from strataflow.sources.adapters import table
 SAME = {
     "a3_jaccard_coupling": "r1_logical_coupling", "a4_file_expertise": "r2_file_expertise", "a5_directory_rollup": "r2_directory_expertise", "a6_adr_rollup": "r2_adr_expertise", "a15_laplace_frequency": "r13_change_risk", "a16_drift_score": "r4_drift_health",
     "a17_padded_baseline": "r18_runtime_baselines", "a18_entropy_calibration": "r21_runtime_calibration", "a21_coverage_risk": "r8_coverage_risk", "a22_intent_edge_weight": "r28_intent_graph", "a23_dependency_confidence": "r23_dependency_view",
-    "w12_sequential_chain": "r10_causal_chains", "w15_score_normalization": "v21_rerank_normalization", "w16_greedy_budget": "v22_budget_packing", "u3_union_all_endpoints": "a30_coupling_centrality", "r25_runtime_static_reconcile": "j20_runtime_static_reconcile",
+    "w12_sequential_chain": "r10_causal_chains", "w16_greedy_budget": "v22_budget_packing", "u3_union_all_endpoints": "a30_coupling_centrality", "r25_runtime_static_reconcile": "j20_runtime_static_reconcile",
     "r26_decision_code_links": "j18_token_links", "g29_path_risk_union": "r24_runtime_blast_radius", "x2_reconcile": "j21_reconcile", "q4_get_dependents": "g5_dependents", "q5_get_dependencies": "g4_neighbours", "q6_get_facts": "p1_query_facts", "s5_incremental_sync": "x9_high_water_mark",
 }
 for _name, _of in SAME.items():
@@ -228,18 +228,6 @@ def q3_raw_evidence(spark, d):
     return rop.interleaved(a.unionByName(b), 50).select("id")
 
 
-@query("v25_threshold_relevance", "SELECT doc_id, CAST(3 * CAST(contains(lower(text), 'licens') AS INT) + 2 * CAST(source = 'src7' AS INT) + CAST(contains(text, 'the ') AS INT) AS INT) AS score FROM documents WHERE contains(lower(text), 'licens') OR source = 'src7' OR contains(text, 'the ') ORDER BY score DESC, doc_id LIMIT 5")
-def v25_threshold_relevance(spark, d):
-    score = 3 * F.lower("text").contains("licens").cast("int") + 2 * (F.col("source") == "src7").cast("int") + F.col("text").contains("the ").cast("int")
-    return table(spark, d, "documents").select("doc_id", score.alias("score")).where("score > 0").orderBy(F.col("score").desc(), "doc_id").limit(5)
-
-
-@query("v19_signal_prefilter", "SELECT source, 2 * len(list_intersect(list(DISTINCT lang), ['en', 'fr'])) + count(*) FILTER (contains(lower(text), 'licens')) AS score FROM documents GROUP BY source ORDER BY score DESC, source LIMIT 8")
-def v19_signal_prefilter(spark, d):
-    rows = table(spark, d, "documents").groupBy("source").agg(F.collect_set("lang").alias("s"), F.count_if(F.lower("text").contains("licens")).alias("n"))
-    return rows.select("source", (2 * F.size(F.array_intersect("s", F.array(F.lit("en"), F.lit("fr")))) + F.col("n")).alias("score")).orderBy(F.col("score").desc(), "source").limit(8)
-
-
 @query("v18_pagerank_channel", f"WITH RECURSIVE {graph._EDGES}, {graph._RANKS}, seed AS (SELECT DISTINCT dst AS node FROM edges WHERE src IN ('e100', 'e101')) SELECT node FROM ranks ORDER BY round(score * CASE WHEN node IN (SELECT node FROM seed) THEN 10 ELSE 1 END, 9) DESC, node LIMIT 10")
 def v18_pagerank_channel(spark, d):
     edges = graph.edges_of(spark, d)
@@ -249,17 +237,6 @@ def v18_pagerank_channel(spark, d):
     return boosted.orderBy(F.col("s").desc(), "node").limit(10).select("node")
 
 
-@query("v13_cache_quality", "SELECT vec_id, greatest(0.0, least(1.0, 0.5 + CASE WHEN label % 2 = 0 THEN 0.6 ELSE -0.3 END)) AS quality, greatest(0.0, least(1.0, 0.5 + CASE WHEN label % 2 = 0 THEN 0.6 ELSE -0.3 END)) <= 0.25 AS stale FROM embeddings")
-def v13_cache_quality(spark, d):
-    quality = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) + F.when(F.col("label") % 2 == 0, 0.6).otherwise(-0.3)))
-    return table(spark, d, "embeddings").select("vec_id", quality.cast("decimal(2,1)").alias("quality"), (quality <= 0.25).alias("stale"))
-
-
-@query("v20_degraded_channels", "SELECT name, weight >= 0.4 AS degraded FROM (VALUES ('bm25', 0.2), ('vector', 0.6), ('pagerank', 0.4)) t(name, weight)")
-def v20_degraded_channels(spark, d):
-    return spark.range(1).select(F.explode(F.create_map(F.lit("bm25"), F.lit(0.2), F.lit("vector"), F.lit(0.6), F.lit("pagerank"), F.lit(0.4))).alias("name", "weight")).select("name", (F.col("weight") >= 0.4).alias("degraded"))
-
-
 @query("v30_fact_expansion", f"WITH {lookup._FACTS}, s0 AS (SELECT DISTINCT symbol FROM facts WHERE file_path = 'M1/f1'), f1 AS (SELECT DISTINCT file_path FROM facts SEMI JOIN s0 USING (symbol)), s1 AS (SELECT DISTINCT symbol FROM facts SEMI JOIN f1 USING (file_path)) SELECT fact_id FROM facts SEMI JOIN s1 USING (symbol) ORDER BY CASE confidence WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, fact_id LIMIT 50")
 def v30_fact_expansion(spark, d):
     facts = lookup.facts(spark, d)

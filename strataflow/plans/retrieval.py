@@ -57,20 +57,6 @@ def v6_bm25_prefix_search(spark, d):
     return op.bm25(table(spark, d, "documents"), asked, "doc_id", "text", "q", "text", 5, prefix=True).withColumn("score", F.round("score", 6))
 
 
-@query("v7_filtered_search", f"WITH {_LISTS}, f AS (SELECT sc.* FROM sc JOIN documents ON doc_id = doc WHERE lang = 'en') SELECT query, doc, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) <= 5")
-def v7_filtered_search(spark, d):
-    rows = _bm25(spark, d, 1 << 30).join(table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc")), "doc", "left_semi").drop("rank")
-    return op.top_k(rows, "query", F.round("score", 9), "doc", 5).select("query", "doc", F.round("score", 6).alias("score"))
-
-
-@query("v8_segment_merge", f"WITH {_LISTS}, seg AS (SELECT query, doc, score FROM sc WHERE doc NOT IN (SELECT doc_id FROM documents WHERE lang = 'es')), m AS (SELECT query, doc, max(score) AS score FROM seg GROUP BY ALL) SELECT query, doc, round(score, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) <= 10")
-def v8_segment_merge(spark, d):
-    hits = _bm25(spark, d, 1 << 30).drop("rank")
-    dead = table(spark, d, "documents").where("lang = 'es'").select(F.col("doc_id").alias("doc"))
-    segments = hits.where("doc % 2 = 0").unionByName(hits.where("doc % 2 = 1")).join(dead, "doc", "left_anti")
-    return op.top_k(segments.groupBy("query", "doc").agg(F.max("score").alias("score")), "query", F.round("score", 9), "doc", 10).select("query", "doc", F.round("score", 6).alias("score"))
-
-
 _SIM = "sims AS (SELECT q.vec_id AS query, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0), nn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id) AS rank FROM sims)"
 
 
@@ -96,15 +82,6 @@ def v11_cache_lookup(spark, d):
     return _knn(spark, d, 1).where("similarity >= 0.3").select("query", "id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("v12_cache_lookup_weighted", f"WITH {_SIM}, m AS (SELECT query, id, similarity * CASE WHEN e.label = q.label THEN 1.1 ELSE 1.0 END AS s, (e.vec_id % 11) / 10.0 AS quality FROM sims JOIN embeddings e ON e.vec_id = id JOIN embeddings q ON q.vec_id = query) SELECT query, id, round(s * (0.85 + 0.15 * quality), 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(s * 0.925, 9) DESC, id) = 1")
-def v12_cache_lookup_weighted(spark, d):
-    vectors = table(spark, d, "embeddings")
-    label, own = vectors.select(F.col("vec_id").alias("id"), F.col("label").alias("l")), vectors.select(F.col("vec_id").alias("query"), F.col("label").alias("ql"))
-    boosted = _knn(spark, d, 1 << 20).drop("rank").join(label, "id").join(own, "query").withColumn("s", F.col("similarity") * F.when(F.col("l") == F.col("ql"), 1.1).otherwise(1.0))
-    best = op.top_k(boosted, "query", F.round(F.col("s") * 0.925, 9), "id", 1)
-    return best.select("query", "id", F.round(F.col("s") * (0.85 + 0.15 * (F.col("id") % 11) / 10.0), 6).alias("score"))
-
-
 _FUSED = f"{_LISTS}, b20 AS (SELECT query, doc, rank FROM bm WHERE rank <= 20), len20 AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, doc) AS rank FROM b20 JOIN documents ON doc_id = doc), fused AS (SELECT query, doc, sum(part) AS score FROM (SELECT query, doc, 0.6 / (60 + rank) AS part FROM b20 UNION ALL SELECT query, doc, 0.4 / (60 + rank) FROM len20) GROUP BY ALL)"
 
 
@@ -120,35 +97,11 @@ def v14_rank_fusion(spark, d):
     return _fused(spark, d).withColumn("score", F.round("score", 9))
 
 
-@query("v15_additive_boosts", f"WITH {_FUSED} SELECT query, doc, round(score + CASE WHEN lang = 'en' THEN 2.5 ELSE 0 END + CASE WHEN source = 'src3' THEN 5.0 ELSE 0 END, 9) AS score FROM fused JOIN documents ON doc_id = doc")
-def v15_additive_boosts(spark, d):
-    boost = F.when(F.col("lang") == "en", 2.5).otherwise(0) + F.when(F.col("source") == "src3", 5.0).otherwise(0)
-    return _fused(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "lang", "source"), "doc").select("query", "doc", F.round(F.col("score") + boost, 9).alias("score"))
-
-
-@query("v16_appended_channel", f"WITH {_LISTS}, a AS (SELECT query, doc, rank FROM bm WHERE rank <= 5), b AS (SELECT query, doc, rank FROM bm WHERE rank BETWEEN 3 AND 9) SELECT query, doc, rank FROM a UNION ALL SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY rank) + 5 FROM b ANTI JOIN a USING (query, doc)")
-def v16_appended_channel(spark, d):
-    rows = _bm25(spark, d, 9).select("query", "doc", "rank")
-    return op.appended(rows.where("rank <= 5"), rows.where("rank BETWEEN 3 AND 9"))
-
-
 @query("v17_vector_channel", f"WITH {_SIM} SELECT query, id, rank FROM nn WHERE rank <= 15")
 def v17_vector_channel(spark, d):
     return _knn(spark, d, 15).select("query", "id", "rank")
 
 
-@query("a26_best_chunk_per_file", f"WITH {_LISTS} SELECT query, source, doc, round(score, 6) AS score FROM sc JOIN documents ON doc_id = doc QUALIFY row_number() OVER (PARTITION BY query, source ORDER BY round(score, 9) DESC, doc) = 1")
-def a26_best_chunk_per_file(spark, d):
-    rows = _bm25(spark, d, 1 << 30).join(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source"), "doc")
-    rank = F.row_number().over(Window.partitionBy("query", "source").orderBy(F.round("score", 9).desc(), "doc"))
-    return rows.withColumn("rn", rank).where("rn = 1").select("query", "source", "doc", F.round("score", 6).alias("score"))
-
-
-@query("v21_rerank_normalization", f"WITH {_LISTS}, t AS (SELECT query, doc, score FROM bm WHERE rank <= 40), m AS (SELECT query, min(score) AS lo, max(score) AS hi FROM t GROUP BY query) SELECT query, doc, round(CASE WHEN hi = lo THEN 1.0 ELSE 0.3 + (score - lo) / (hi - lo) * 0.7 END, 6) AS normalized FROM t JOIN m USING (query)")
-def v21_rerank_normalization(spark, d):
-    return op.min_max(_bm25(spark, d, 40), "query", "score").select("query", "doc", F.round("normalized", 6).alias("normalized"))
-
-
 @query("v22_budget_packing", f"""WITH RECURSIVE {_LISTS}, c AS (SELECT query, doc, least(CAST(ceil(n_chars / 4) AS INTEGER), 1200) AS n, row_number() OVER (PARTITION BY query ORDER BY round(score, 4) DESC, doc) AS i FROM bm JOIN documents ON doc_id = doc WHERE rank <= 20 AND ceil(n_chars / 4) <= 3600),
     f AS (SELECT query, doc, i, CASE WHEN n <= 2500 THEN n ELSE 0 END AS used, n <= 2500 AS took FROM c WHERE i = 1 UNION ALL SELECT c.query, c.doc, c.i, CASE WHEN used + n <= 2500 THEN used + n ELSE used END, used + n <= 2500 FROM f JOIN c ON c.query = f.query AND c.i = f.i + 1)
     SELECT query, doc AS id FROM f WHERE took""")
@@ -162,13 +115,6 @@ def v23_score_buckets(spark, d):
     return _bm25(spark, d).groupBy(F.when(F.col("score") > 10, 0.9).when(F.col("score") > 0, 0.7).otherwise(0.5).cast("decimal(2,1)").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("v24_fact_relevance", "SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'licens', ''))) / 6 + (length(lower(text)) - length(replace(lower(text), 'version', ''))) / 7 AS INTEGER) AS score FROM documents ORDER BY score DESC, doc_id LIMIT 20")
-def v24_fact_relevance(spark, d):
-    text = F.lower("text")
-    score = op.occurrences(text, F.lit("licens")) + op.occurrences(text, F.lit("version"))
-    return table(spark, d, "documents").select("doc_id", score.alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(20)
-
-
 @query("v31_evidence_coverage", "WITH g AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS have FROM events GROUP BY user_id) SELECT user_id, len(list_intersect(have, ['click', 'error', 'refund'])) / 3 AS coverage, list_sort(list_filter(['click', 'error', 'refund'], lambda x: NOT list_contains(have, x))) AS gaps FROM g")
 def v31_evidence_coverage(spark, d):
     need = F.array(F.lit("click"), F.lit("error"), F.lit("refund"))
@@ -214,3 +160,8 @@ def t8_per_group_cap(spark, d):
 @query("u5_dedupe_keep_best", "SELECT doc_id % 100 AS id, max(n_chars) AS score FROM documents GROUP BY 1")
 def u5_dedupe_keep_best(spark, d):
     return table(spark, d, "documents").groupBy((F.col("doc_id") % 100).alias("id")).agg(F.max("n_chars").alias("score"))
+
+
+@query("w15_score_normalization", f"WITH {_LISTS}, t AS (SELECT query, doc, score FROM bm WHERE rank <= 40), m AS (SELECT query, min(score) AS lo, max(score) AS hi FROM t GROUP BY query) SELECT query, doc, round(CASE WHEN hi = lo THEN 1.0 ELSE 0.3 + (score - lo) / (hi - lo) * 0.7 END, 6) AS normalized FROM t JOIN m USING (query)")
+def w15_score_normalization(spark, d):
+    return op.min_max(_bm25(spark, d, 40), "query", "score").select("query", "doc", F.round("normalized", 6).alias("normalized"))

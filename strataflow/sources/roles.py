@@ -81,3 +81,19 @@ ROLES |= {
     "fallback_facts": "SELECT * FROM (SELECT 'u1' AS unit, 1 AS place, 'client_a' AS symbol UNION ALL SELECT 'u1', 2, 'client_b' UNION ALL SELECT 'u1', 3, 'cache_c' UNION ALL SELECT 'u2', 1, 'other' UNION ALL SELECT 'u2', 2, 'client_a') AS f WHERE (SELECT count(*) FROM {region}) > 0",
     "import_edges": "SELECT 'src/a/m' || s_suppkey || '.py' AS src, 'src/a/m' || (s_suppkey % 5) || '.py' AS dst, 'imports' AS type FROM {supplier}",
 }
+
+ROLES |= {
+    # symbols, annotations, facts and cached answers
+    "symbols": "SELECT p_partkey AS symbol_id, CASE p_partkey % 5 WHEN 0 THEN 'QueryPlanner' WHEN 1 THEN 'run_mission' WHEN 2 THEN 'load_index' WHEN 3 THEN 'Planner' ELSE 'helper_' || (p_partkey % 9) END AS name, CASE WHEN p_partkey % 5 IN (0, 3) THEN 'class' ELSE 'function' END AS kind, p_partkey % 200 AS doc FROM {part} WHERE p_partkey < 2000",
+    "annotations": "SELECT 'src/a/m' || s_suppkey || '.py' AS file, s_name || ' item ' || (s_suppkey % 30) AS what, CASE s_suppkey % 4 WHEN 0 THEN 'QueryPlanner' ELSE 'helper' END AS symbol, CASE s_suppkey % 3 WHEN 0 THEN 'store' WHEN 1 THEN 'route' ELSE 'model' END AS signal, CASE s_suppkey % 2 WHEN 0 THEN 'entry' ELSE 'store' END AS signal2 FROM {supplier}",
+    "file_chunks": "SELECT 'src/a/m' || ps AS file0, 'src/a/m' || ps || '.py' AS file, ps * 10 + n AS chunk, n * 40 AS start FROM (SELECT s_suppkey AS ps, 0 AS n FROM {supplier} UNION ALL SELECT s_suppkey, 1 FROM {supplier} UNION ALL SELECT s_suppkey, 2 FROM {supplier}) AS x",
+    "channel_errors": "SELECT o_orderkey AS query, CASE o_orderkey % 3 WHEN 0 THEN 'symbol_lookup' WHEN 1 THEN 'flow_tracing' ELSE 'architecture_analysis' END AS strategy, CASE o_custkey % 3 WHEN 0 THEN 'bm25' WHEN 1 THEN 'vector' ELSE 'pagerank' END AS channel, CASE o_custkey % 4 WHEN 0 THEN 'StoreError(IO): External error: Not found: x.part' ELSE 'timeout' END AS error FROM {orders} WHERE o_orderkey % 9 = 0",
+    "channel_weights": "SELECT * FROM (SELECT 'symbol_lookup' AS strategy, 'bm25' AS channel, CAST(0.6 AS DOUBLE) AS weight UNION ALL SELECT 'symbol_lookup', 'vector', CAST(0.3 AS DOUBLE) UNION ALL SELECT 'symbol_lookup', 'pagerank', CAST(0.1 AS DOUBLE) UNION ALL SELECT 'flow_tracing', 'bm25', CAST(0.4 AS DOUBLE) UNION ALL SELECT 'flow_tracing', 'vector', CAST(0.4 AS DOUBLE) UNION ALL SELECT 'flow_tracing', 'pagerank', CAST(0.2 AS DOUBLE) UNION ALL SELECT 'architecture_analysis', 'bm25', CAST(0.2 AS DOUBLE) UNION ALL SELECT 'architecture_analysis', 'vector', CAST(0.3 AS DOUBLE) UNION ALL SELECT 'architecture_analysis', 'pagerank', CAST(0.5 AS DOUBLE)) AS w WHERE (SELECT count(*) FROM {region}) > 0",
+    "unit_facts": "SELECT l_orderkey * 10 + l_linenumber AS fact_id, 'src/M' || (l_partkey % 12) || '.py' AS file_path, CASE WHEN l_partkey % 5 = 0 THEN 'MAX_' || (l_suppkey % 7) ELSE 'plan_limit' END AS symbol, CASE l_linenumber WHEN 1 THEN 'numeric_threshold' WHEN 2 THEN 'constant' WHEN 3 THEN 'call_site' ELSE 'import' END AS fact_type, 'number' AS value_kind, 'plan_limit = plan_' || l_suppkey AS source_text, CAST(l_partkey % 50 AS VARCHAR(9)) AS value, l_linenumber * 3 AS start_line, l_linenumber * 3 + 1 AS end_line FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM {lineitem} WHERE l_orderkey % 40 = 0 GROUP BY 1, 2) AS x",
+    "cache_pairs": "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(c_custkey % 10 AS DOUBLE) / 10 END AS quality, c_custkey % 3 AS hits FROM {customer}",
+    "cache_events": "SELECT o_custkey AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN CAST(0.25 AS DOUBLE) ELSE CAST(-0.5 AS DOUBLE) END AS delta, CAST(o_orderdate AS TIMESTAMP) AS seen_at FROM {orders}",
+    # knowledge: proposals, notes with vectors, validation requests
+    "proposals": "SELECT event_id AS id, CASE WHEN event_id % 9 = 0 THEN 'ext' || (event_id % 27) ELSE NULL END AS external_id, CASE event_id % 6 WHEN 0 THEN 'Use retries for ' WHEN 1 THEN 'use RETRIES, for ' WHEN 2 THEN 'Never use retries for ' WHEN 3 THEN '' ELSE 'Cache results of ' END || 'svc' || (user_id % 12) AS content, 'svc' || (user_id % 12) AS subject, CASE WHEN event_id % 11 = 0 THEN 'user' WHEN event_id % 7 = 0 THEN 'system' WHEN event_id % 2 = 0 THEN 'mentor' ELSE 'agent' END AS author, event_type AS tag FROM {events} WHERE event_id % 3 <> 1",
+    "notes": "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'r1' ELSE 'r2' END AS repository_id, CASE WHEN vec_id % 2 = 0 THEN 'repo' ELSE 'file' END AS scope, vec_id % 10 = 0 AS stale, CASE vec_id % 4 WHEN 0 THEN 'db' WHEN 1 THEN 'api' ELSE 'ui' END AS tag, CASE WHEN vec_id % 5 = 0 THEN 'dormant' WHEN vec_id % 5 = 1 THEN NULL ELSE 'active' END AS status, CASE WHEN vec_id % 11 = 0 THEN 'user' WHEN vec_id % 7 = 0 THEN 'system' ELSE 'agent' END AS author, vec_id % 40 AS age_days, CAST(vec_id % 10 AS DOUBLE) / 10 AS confidence, embedding FROM {embeddings}",
+    "knowledge_records": "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'observed' WHEN 1 THEN 'validated' WHEN 2 THEN 'promoted' ELSE 'invalidated' END AS state, value AS confidence, CASE user_id % 5 WHEN 0 THEN 'validate' WHEN 1 THEN 'promote' WHEN 2 THEN 'contradict' WHEN 3 THEN 'expire' ELSE 'retire' END AS request, event_id % 60 AS idle_days FROM {events}",
+}

@@ -206,3 +206,32 @@ def test_diagnostics_name_every_contradiction(spark):
     }
     got = {(r.check_no, r.entity) for r in audit.diagnostics(t).collect()}
     assert got == {(2, "B"), (3, "V1"), (4, "B"), (5, "2"), (6, "B"), (7, "7"), (8, "drift_history"), (10, "C"), (11, "N"), (12, "Y"), (13, "W"), (14, "F2")}
+
+
+def test_index_finds_what_exact_search_finds(spark):
+    from strataflow.operators import ivf
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = rows.where("vec_id % 20 = 0")
+    exact = {(r.query, r.id) for r in retrieval.knn(rows, asked, "vec_id", "embedding", 10).collect()}
+    index = ivf.build(rows, "vec_id", "embedding", tile_rows=50)
+    found = index.search(asked).collect()
+    assert len(exact & {(r.query, r.id) for r in found}) >= 0.9 * len(exact)
+    assert all(r.rank <= 10 and r.query != r.id for r in found)
+    assert index.lists.count() == rows.count() and index.stale(2500) and not index.stale(2100)
+
+
+def test_index_of_few_and_no_rows(spark):
+    from strataflow.operators import ivf
+
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 0.0])], "id long, v array<double>")
+    got = [(r.query, r.id) for r in ivf.build(few, "id", "v").search(few.where("id = 1"), k=1).collect()]
+    assert got == [(1, 2)]
+    assert ivf.build(few.limit(0), "id", "v").search(few).count() == 0
+
+
+def test_weighted_neighbours(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "a", 1.0), (2, [0.9, 0.1], "b", 0.0), (3, [0.8, 0.2], "a", 1.0)], "id long, v array<double>, l string, q double")
+    (plain,) = retrieval.knn(rows, rows.where("id = 1"), "id", "v", 1).collect()
+    (best,) = retrieval.knn(rows, rows.where("id = 1"), "id", "v", 1, label="l", quality="q").collect()
+    assert plain.id == 2 and best.id == 3
