@@ -92,3 +92,76 @@ def resolve_identity(rows: DataFrame, registry: DataFrame, aliases: DataFrame) -
     direct = rows.join(registry.select("signature", F.col("uuid").alias("u1")), "signature", "left")
     by_alias = aliases.join(registry.select(F.col("signature").alias("target"), F.col("uuid").alias("u2")), "target").select("signature", "u2")
     return direct.join(by_alias, "signature", "left").select("signature", F.coalesce("u1", "u2", F.sha2("signature", 256)).alias("uuid"), F.when(F.col("u1").isNotNull(), "known").when(F.col("u2").isNotNull(), "alias").otherwise("new").alias("origin"))
+
+
+#: Confidence from which a record can be validated and promoted, and what a contradiction or staleness leaves of it.
+VALIDATED, PROMOTED, CONTRADICTED, STALE, RETENTION_DAYS = 30.0, 60.0, 0.3, 0.7, 30
+
+
+def lifecycle_requests(records: DataFrame) -> DataFrame:
+    """Records (id, state, confidence, request, idle_days) after a request: (id, ok, state, confidence).
+
+    validate needs 30 and promote 60; contradict and expire invalidate and leave .3 and .7 of the confidence; retire takes what has
+    been idle for 30 days. A change also has to be a transition of the lifecycle, else nothing changes.
+    """
+    request, c = F.col("request"), F.col("confidence")
+    wanted = F.when(request == "validate", "validated").when(request == "promote", "promoted").when(request.isin("contradict", "expire"), "invalidated").when(request == "retire", "retired")
+    enough = F.when(request == "validate", c >= VALIDATED).when(request == "promote", c >= PROMOTED).when(request == "retire", F.col("idle_days") >= RETENTION_DAYS).otherwise(True)
+    rows = allowed(records.withColumn("wanted", wanted)).withColumn("ok", F.col("ok") & enough)
+    left = F.when(~F.col("ok"), c).when(request == "contradict", F.greatest(F.lit(0.0), c * CONTRADICTED)).when(request == "expire", F.greatest(F.lit(0.0), c * STALE)).otherwise(c)
+    return rows.select("id", "ok", F.when(F.col("ok"), F.col("wanted")).otherwise(F.col("state")).alias("state"), left.alias("confidence"))
+
+
+def ingest(proposals: DataFrame, least: int = 12, observations: int = 3) -> DataFrame:
+    """(id, state, affected_id): proposals (id, external_id, content, subject, author, tag) through validation, deduplication, conflict and promotion.
+
+    Too short content is rejected. Of one external id, or one normalised content, the first is kept and the others merge into it. Claims on a
+    subject that contradict each other (one denies) go by author; what loses is stale, two mentors escalate and stay ephemeral. What is
+    left is persistent if its author is trusted or it has been observed often enough, else ephemeral.
+    """
+    key = F.coalesce(F.concat(F.lit("ext:"), F.col("external_id")), F.concat(F.lit("text:"), normalized(F.col("content"))))
+    valid = F.length(F.trim("content")) >= least
+    rows = proposals.withColumn("k", key).withColumn("valid", valid)
+    own = rows.where("valid")
+    first = own.groupBy("k").agg(F.min("id").alias("head"))
+    heads = own.join(first.withColumnRenamed("head", "id"), ["k", "id"]).select("k", "id", "subject", "author", F.col("content").rlike(r"(?i)\b(never|not|no|avoid|don't)\b").alias("claim"))
+    verdicts = conflicts(heads.select("subject", "id", "author", F.col("claim").cast("string").alias("claim"))).select("id", "verdict")
+    trusted = promoted(own.select("k", "author"), observations).select("k", "promoted")
+    judged = heads.join(verdicts, "id").join(trusted, "k").select(F.col("k").alias("_k"), F.col("id").alias("head"), F.when(F.col("verdict") == "overruled", "stale").when(F.col("verdict") == "escalated", "ephemeral").when(F.col("promoted"), "persistent").otherwise("ephemeral").alias("head_state"))
+    out = rows.join(judged, (F.col("k") == F.col("_k")) & F.col("valid"), "left")
+    state = F.when(~F.col("valid"), "rejected").when(F.col("id") != F.col("head"), "merged").otherwise(F.col("head_state"))
+    return out.select("id", state.alias("state"), F.when(F.col("valid"), F.col("head")).alias("affected_id"))
+
+
+def search(notes: DataFrame, queries: DataFrame, vector: str, repositories: list[str] | None = None, scope: str | None = None, include_stale: bool = False, scope_keys: list[str] | None = None, tags: list[str] | None = None, limit: int = 10, fetch: int = 100) -> DataFrame:
+    """(query, id, similarity, rank): the nearest notes of each query among those of the repositories and scope, stale ones only if asked for.
+
+    `fetch` neighbours are looked at; of those the ones with any of the scope keys and tags stay (notes: scope_keys, tags arrays), `limit` in all.
+    """
+    from strataflow.operators.retrieval import knn
+
+    own = notes
+    if repositories:
+        own = own.where(F.col("repository_id").isin(*repositories))
+    if scope:
+        own = own.where(F.col("scope") == scope)
+    if not include_stale:
+        own = own.where("NOT stale")
+    found = knn(own, queries, "id", vector, fetch).drop("rank")
+    for column, wanted in (("scope_keys", scope_keys), ("tags", tags)):
+        if wanted:
+            found = found.join(own.where(F.arrays_overlap(column, F.array(*[F.lit(x) for x in wanted]))).select("id"), "id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("similarity", 9).desc(), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def lifecycle_search(found: DataFrame, metadata: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What a search over-fetched (query, id, similarity; three times the limit) without dormant notes, reranked; and the yield of each query.
+
+    metadata (id, status, author, age_days, confidence): a note without a status is active. The yield is (query, retrieved, active, yield, low),
+    low under a half.
+    """
+    rows = found.join(metadata, "id", "left").withColumn("active", F.coalesce(F.col("status"), F.lit("active")) == "active")
+    telemetry = rows.groupBy("query").agg(F.count("*").alias("retrieved"), F.count_if("active").alias("active")).withColumn("yield", F.col("active") / F.col("retrieved")).withColumn("low", F.col("yield") < 0.5)
+    live = rows.where("active").select("query", "id", "author", F.col("similarity").alias("score"), F.coalesce("age_days", F.lit(0)).alias("age_days"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    return rerank(live, limit), telemetry

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataflow.functions.text import normalized
 from strataflow.operators import memory as op
 from strataflow.plans.registry import query
+from strataflow.sources import roles
 from strataflow.sources.adapters import table
 
 _AUTHOR = "CASE WHEN event_id % 11 = 0 THEN 'user' WHEN event_id % 7 = 0 THEN 'system' WHEN event_id % 2 = 0 THEN 'mentor' ELSE 'agent' END"
@@ -109,6 +109,49 @@ def n16_subquestion_check(spark, d):
     return q.where("turn > 0").join(m, "conv_id").where((F.length("text") >= 12) & F.arrays_overlap("w", "master")).select("conv_id", "turn")
 
 
-@query("m5_filtered_note_search", "SELECT doc_id, length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS n FROM documents WHERE lang IN ('en', 'de') AND source <> 'src0' ORDER BY n DESC, doc_id LIMIT 20")
-def m5_filtered_note_search(spark, d):
-    return table(spark, d, "documents").where(F.col("lang").isin("en", "de") & (F.col("source") != "src0")).select("doc_id", F.length(normalized(F.col("text"))).cast("long").alias("n")).orderBy(F.col("n").desc(), "doc_id").limit(20)
+@query("m12_validation", roles.with_("knowledge_records") + """, t AS (SELECT *, CASE request WHEN 'validate' THEN 'validated' WHEN 'promote' THEN 'promoted' WHEN 'retire' THEN 'retired' ELSE 'invalidated' END AS wanted FROM knowledge_records),
+    j AS (SELECT *, (state, wanted) IN (('observed', 'validated'), ('observed', 'retired'), ('validated', 'promoted'), ('validated', 'invalidated'), ('promoted', 'invalidated'), ('promoted', 'retired'), ('invalidated', 'validated'), ('invalidated', 'retired'))
+        AND CASE request WHEN 'validate' THEN confidence >= 30 WHEN 'promote' THEN confidence >= 60 WHEN 'retire' THEN idle_days >= 30 ELSE true END AS ok FROM t)
+    SELECT id, ok, CASE WHEN ok THEN wanted ELSE state END AS state, round(CASE WHEN ok AND request = 'contradict' THEN confidence * 0.3 WHEN ok AND request = 'expire' THEN confidence * 0.7 ELSE confidence END, 6) AS confidence FROM j""")
+def m12_validation(spark, d):
+    return op.lifecycle_requests(roles.role(spark, d, "knowledge_records")).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("m1_proposal_pipeline", roles.with_("proposals") + r""", p AS (SELECT *, coalesce('ext:' || external_id, 'text:' || regexp_replace(lower(content), '[^a-z0-9]', '', 'g')) AS k, length(trim(content)) >= 12 AS valid FROM proposals),
+    f AS (SELECT k, min(id) AS head, count(*) AS n, bool_or(author IN ('user', 'system')) AS strong FROM p WHERE valid GROUP BY k), h AS (SELECT p.*, regexp_matches(content, '(?i)\b(never|not|no|avoid|don''t)\b') AS claim, n, strong FROM p JOIN f ON f.k = p.k AND head = p.id),
+    c AS (SELECT id, k, n, strong, count(DISTINCT claim) OVER s AS claims, min(CASE author WHEN 'user' THEN 0 WHEN 'system' THEN 1 WHEN 'mentor' THEN 2 ELSE 3 END) OVER s AS best, count(*) FILTER (author = 'mentor') OVER s AS mentors, row_number() OVER (PARTITION BY subject ORDER BY CASE author WHEN 'user' THEN 0 WHEN 'system' THEN 1 WHEN 'mentor' THEN 2 ELSE 3 END, id) AS rn FROM h WINDOW s AS (PARTITION BY subject)),
+    v AS (SELECT k, id AS head, CASE WHEN claims > 1 AND best = 2 AND mentors > 1 THEN 'ephemeral' WHEN claims > 1 AND rn > 1 THEN 'stale' WHEN strong OR n >= 3 THEN 'persistent' ELSE 'ephemeral' END AS state FROM c)
+    SELECT id, CASE WHEN NOT valid THEN 'rejected' WHEN id <> head THEN 'merged' ELSE state END AS state, CASE WHEN valid THEN head END AS affected_id FROM p LEFT JOIN v ON v.k = p.k AND valid""")
+def m1_proposal_pipeline(spark, d):
+    return op.ingest(roles.role(spark, d, "proposals"))
+
+
+_NOTE_SEARCH = roles.with_("notes") + """, s AS (SELECT q.id AS query, v.id, v.tag, v.scope, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity FROM notes q JOIN notes v ON q.id <> v.id WHERE q.id % 20 = 0 AND v.repository_id = 'r2' AND NOT v.stale),
+    f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id) <= 100), t AS (SELECT query, id, similarity, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id) AS rank FROM f WHERE tag IN ('db', 'api') QUALIFY rank <= 30)"""
+
+
+def _notes(spark, d):
+    return roles.role(spark, d, "notes").withColumns({"tags": F.array("tag"), "scope_keys": F.array("scope")})
+
+
+@query("m5_note_search", f"{_NOTE_SEARCH} SELECT query, id, round(similarity, 6) AS similarity, rank FROM t")
+def m5_note_search(spark, d):
+    notes = _notes(spark, d)
+    return op.search(notes, notes.where("id % 20 = 0"), "embedding", ["r2"], tags=["db", "api"], limit=30).withColumn("similarity", F.round("similarity", 6))
+
+
+def _lifecycle(spark, d):
+    notes = _notes(spark, d)
+    found = op.search(notes, notes.where("id % 20 = 0"), "embedding", ["r2"], tags=["db", "api"], limit=30)
+    return op.lifecycle_search(found.select("query", "id", "similarity"), notes.select("id", "status", "author", "age_days", "confidence"), 10)
+
+
+@query("m6_lifecycle_search", f"""{_NOTE_SEARCH}, b AS (SELECT query, id, author, similarity + CASE author WHEN 'user' THEN 0.05 WHEN 'system' THEN 0.03 ELSE 0.0 END + 0.03 * exp(-age_days / 30) + 0.02 * confidence AS s FROM t JOIN notes USING (id) WHERE coalesce(status, 'active') = 'active'),
+    f2 AS (SELECT *, s - greatest(0.0, (row_number() OVER (PARTITION BY query, author ORDER BY round(s, 9) DESC, id) - 2) * 0.02) AS final FROM b) SELECT query, id, round(final, 6) AS final, row_number() OVER (PARTITION BY query ORDER BY round(final, 9) DESC, id) AS rank FROM f2 QUALIFY rank <= 10""")
+def m6_lifecycle_search(spark, d):
+    return _lifecycle(spark, d)[0].select("query", "id", F.round("final", 6).alias("final"), "rank")
+
+
+@query("m6_retrieval_yield", f"{_NOTE_SEARCH} SELECT query, count(*) AS retrieved, count(*) FILTER (coalesce(status, 'active') = 'active') AS active, count(*) FILTER (coalesce(status, 'active') = 'active') / count(*) AS \"yield\", count(*) FILTER (coalesce(status, 'active') = 'active') / count(*) < 0.5 AS low FROM t JOIN notes USING (id) GROUP BY query")
+def m6_retrieval_yield(spark, d):
+    return _lifecycle(spark, d)[1]

@@ -246,21 +246,6 @@ def v30_fact_expansion(spark, d):
     return facts.join(second, "symbol", "left_semi").orderBy(lop.confidence_rank(F.col("confidence")), "fact_id").limit(50).select("fact_id")
 
 
-@query("m12_validation", "SELECT event_id, CASE WHEN value >= 60 THEN 'promoted' WHEN value >= 30 THEN 'validated' ELSE 'observed' END AS state, round(value * CASE WHEN event_type = 'error' THEN 0.3 ELSE 0.7 END, 6) AS invalidated FROM events")
-def m12_validation(spark, d):
-    return table(spark, d, "events").select("event_id", F.when(F.col("value") >= 60, "promoted").when(F.col("value") >= 30, "validated").otherwise("observed").alias("state"), F.round(F.col("value") * F.when(F.col("event_type") == "error", 0.3).otherwise(0.7), 6).alias("invalidated"))
-
-
-@query("m1_proposal_pipeline", "WITH n AS (SELECT *, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS k FROM documents), s AS (SELECT doc_id, CASE WHEN length(trim(text)) < 12 THEN 'rejected' WHEN row_number() OVER (PARTITION BY k ORDER BY doc_id) > 1 THEN 'merged' WHEN count(*) OVER (PARTITION BY k) >= 3 THEN 'promoted' ELSE 'observed' END AS status FROM n) SELECT status, count(*) AS n FROM s GROUP BY status")
-def m1_proposal_pipeline(spark, d):
-    from strataflow.functions.text import normalized
-
-    w = Window.partitionBy("k")
-    rows = table(spark, d, "documents").select("doc_id", "text", normalized(F.col("text")).alias("k")).withColumn("rn", F.row_number().over(w.orderBy("doc_id"))).withColumn("n", F.count("*").over(w))
-    status = F.when(F.length(F.trim("text")) < 12, "rejected").when(F.col("rn") > 1, "merged").when(F.col("n") >= 3, "promoted").otherwise("observed")
-    return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
-
-
 @query("s8_event_payloads", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props)")
 def s8_event_payloads(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long").alias("p")).where("p IS NOT NULL").select("event_id", "p.k")
