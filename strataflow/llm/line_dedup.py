@@ -42,12 +42,14 @@ def _marks(lines: DataFrame, gram: int, window: int, long_words: int | None) ->
     grams = F.transform(_starts(gram), lambda p: F.xxhash64(*[F.get("h", p + k) for k in range(gram)]))
     places = F.when(F.col("n") >= run, F.sequence(F.lit(0), F.size("g") - window)).otherwise(F.array().cast("array<int>"))
     least = F.transform(places, lambda j: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct(F.get("g", j + k).alias("f"), (-(j + k)).alias("p")))))
+    # a run whose lines are all long passages themselves adds nothing to what those delete
+    needed = lambda s, width: F.greatest(*[(F.get("words", s + k) < long_words).cast("int") for k in range(width)], F.lit(0)) == 1 if long_words else F.lit(True)
     # the runs that contain the gram at place p start at p - (window - 1) .. p
-    around = lambda p: F.transform(F.filter(F.sequence(p - (window - 1), p), lambda s: (s >= 0) & (s + run <= F.col("n"))), lambda s: _run(s, run))
-    found = [F.transform(F.array_distinct(least), lambda c: F.struct(c["f"].alias("f"), (-c["p"]).alias("p"), around(-c["p"]).alias("runs")))]
+    around = lambda p: F.transform(F.filter(F.sequence(p - (window - 1), p), lambda s: (s >= 0) & (s + run <= F.col("n")) & needed(s, run)), lambda s: _run(s, run))
+    found = [F.filter(F.transform(F.array_distinct(least), lambda c: F.struct(c["f"].alias("f"), (-c["p"]).alias("p"), around(-c["p"]).alias("runs"))), lambda m: F.size(m["runs"]) > 0)]
     for width in range(1, run) if long_words else ():
         words = lambda s: sum((F.get("words", s + k) for k in range(1, width)), F.get("words", s))  # noqa: B023, E731
-        long = F.transform(F.filter(_starts(width), lambda s: words(s) >= long_words), lambda s: _run(s, width, width))  # noqa: B023
+        long = F.transform(F.filter(_starts(width), lambda s: (words(s) >= long_words) & (needed(s, width) if width > 1 else F.lit(True))), lambda s: _run(s, width, width))  # noqa: B023
         found.append(F.transform(long, lambda x: F.struct(x["r"].alias("f"), x["s"].alias("p"), F.array(x).alias("runs"))))
     return lines.withColumn("g", grams).select("id", F.explode(F.concat(*[x.cast(f"array<{_RUN}>") for x in found])).alias("m")).select("id", "m.f", "m.p", "m.runs")
 
@@ -65,7 +67,7 @@ def line_matches(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str =
         columns.append(F.transform("lines", lambda s: F.size(F.regexp_extract_all(s["x"], F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).alias("words"))
     marks = materialize(_marks(texts.select("id", *columns), gram, window, long_words), "line-marks")
     shared = marks.groupBy("f").agg(F.min(F.struct("id", "p")).alias("a"), F.max(F.struct("id", "p")).alias("b")).where("a <> b").select("f")
-    runs = materialize(marks.join(shared, "f").select("id", F.explode("runs").alias("r")).select("id", "r.*"), "line-runs")
+    runs = materialize(marks.join(shared, "f").select("id", F.explode("runs").alias("r")).select("id", "r.*"), "line-runs", compact=True)
     heads = runs.groupBy("r").agg(F.min(F.struct("id", "s")).alias("head"), F.max(F.struct("id", "s")).alias("tail")).where("head <> tail").select("r", "head")
     later = runs.join(heads, "r").where(F.col("id").isNotNull() & (F.struct("id", "s") > F.col("head"))).select("id", "s", "e", "first", "last", F.col("head.id").alias("source_id"), F.col("head.s").alias("source_s"))
     # windows on one diagonal that overlap or follow each other are one match
