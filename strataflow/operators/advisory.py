@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,10 +181,3 @@ def rebuild(spark: SparkSession, steps: Sequence[tuple[str, Callable[[SparkSessi
         except Exception as error:  # a step must not end the rebuild
             rows.append((number, name, "SKIPPED" if name in optional else "FAILED", None, str(error).splitlines()[0][:200]))
     return spark.createDataFrame(rows, "step_no int, step string, status string, n_rows long, message string")
-
-
-def confidence_ladder(quality: Column, ladder: Mapping[str, float]) -> Column:
-    found = F.lit(0.2)
-    for name, value in ladder.items():
-        found = F.when(quality == name, value).otherwise(found)
-    return found

@@ -124,18 +124,6 @@ def _links(spark, d):
     return table(spark, d, "pages").select("page_id", "url", F.explode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("href"))
 
 
-@query("g3_import_graph", f"WITH {_PAGES} SELECT page_id, href, CASE WHEN starts_with(href, 'http') THEN 'external' WHEN starts_with(href, '/') THEN 'local' ELSE 'dynamic' END AS type, count(*) AS n FROM links GROUP BY ALL")
-def g3_import_graph(spark, d):
-    kind = F.when(F.col("href").startswith("http"), "external").when(F.col("href").startswith("/"), "local").otherwise("dynamic")
-    return _links(spark, d).groupBy("page_id", "href", kind.alias("type")).agg(F.count("*").alias("n"))
-
-
-@query("g2_link_resolution", f"WITH {_PAGES}, known AS (SELECT DISTINCT lower(regexp_extract(html, '<title>([^ <]*)', 1)) AS k, page_id AS target FROM pages) SELECT page_id, href, min(target) AS target FROM links JOIN known ON lower(regexp_replace(href, '[^A-Za-z]', '', 'g')) = k AND k <> '' GROUP BY ALL")
-def g2_link_resolution(spark, d):
-    known = table(spark, d, "pages").select(F.lower(F.regexp_extract("html", "<title>([^ <]*)", 1)).alias("k"), F.col("page_id").alias("target")).where("k <> ''").distinct()
-    return _links(spark, d).join(known, F.lower(F.regexp_replace("href", "[^A-Za-z]", "")) == F.col("k")).groupBy("page_id", "href").agg(F.min("target").alias("target"))
-
-
 @query("g22_importers", f"WITH {_PAGES} SELECT href, count(DISTINCT page_id) AS importers, list_sort(list(DISTINCT page_id)) AS pages FROM links GROUP BY href")
 def g22_importers(spark, d):
     return _links(spark, d).groupBy("href").agg(F.count_distinct("page_id").alias("importers"), F.sort_array(F.collect_set("page_id")).alias("pages"))

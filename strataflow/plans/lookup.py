@@ -186,13 +186,6 @@ def j7_external_edges(spark, d):
     return rows.agg(F.count_if(F.col("adr_id").isNull()).alias("ungoverned"), F.count_if(F.col("adr_id") != "ADR-3").alias("foreign_files"))
 
 
-@query("n11_mention_ranking", "SELECT part, count(*) AS mentions FROM (SELECT string_split(p_name, ' ')[1] AS part FROM part UNION ALL SELECT string_split(p_name, ' ')[2] FROM part) GROUP BY part ORDER BY mentions DESC, part LIMIT 5")
-def n11_mention_ranking(spark, d):
-    words = F.split("p_name", " ")
-    rows = table(spark, d, "part").select(words[0].alias("part")).union(table(spark, d, "part").select(words[1]))
-    return rows.groupBy("part").agg(F.count("*").alias("mentions")).orderBy(F.col("mentions").desc(), "part").limit(5)
-
-
 @query("n10_advisory_risk", "WITH f AS (SELECT l_suppkey AS unit, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL), s AS (SELECT unit, sum(n) AS dependents, max(n) AS top, count(*) AS files FROM f GROUP BY unit) SELECT unit, CAST(dependents * top * files AS BIGINT) AS score, CASE WHEN dependents * top * files >= 200 THEN 'CRITICAL' WHEN dependents * top * files >= 50 THEN 'HIGH' WHEN dependents * top * files >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM s")
 def n10_advisory_risk(spark, d):
     rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("unit"), "l_partkey").agg(F.count("*").alias("n")).groupBy("unit").agg((F.sum("n") * F.max("n") * F.count("*")).alias("score"))
@@ -210,13 +203,6 @@ def n7_confidence_report(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("artifact"), F.col("o_orderstatus").alias("field")).agg(F.round(F.avg(c), 6).alias("mean"), F.round(F.min(c), 6).alias("low"), F.round(F.max(c), 6).alias("high"), F.count_if(F.col("o_totalprice") < 250000).alias("weak"))
 
 
-@query("n9_blame_assignment", "WITH b AS (SELECT l_suppkey AS id, 'rule1' AS rule, l_discount AS score FROM lineitem UNION ALL SELECT l_suppkey, 'rule2', l_tax FROM lineitem) SELECT id, max(score) AS score, first(rule ORDER BY score DESC, rule) AS rule FROM b GROUP BY id")
-def n9_blame_assignment(spark, d):
-    items = table(spark, d, "lineitem")
-    rows = items.select(F.col("l_suppkey").alias("id"), F.lit("rule1").alias("rule"), F.col("l_discount").alias("score")).unionByName(items.select(F.col("l_suppkey").alias("id"), F.lit("rule2").alias("rule"), F.col("l_tax").alias("score")))
-    return rows.groupBy("id").agg(F.max("score").alias("score"), F.min_by("rule", F.struct(-F.col("score"), "rule")).alias("rule"))
-
-
 @query("n18_governing_decisions", role.with_("adr_links") + " SELECT adr_id, node_id, score FROM adr_links QUALIFY row_number() OVER (PARTITION BY adr_id ORDER BY score DESC, node_id) <= 5")
 def n18_governing_decisions(spark, d):
     rank = F.row_number().over(Window.partitionBy("adr_id").orderBy(F.col("score").desc(), "node_id"))

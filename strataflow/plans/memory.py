@@ -96,11 +96,6 @@ def m14_identity_registry(spark, d):
     return op.resolve_identity(part.select(sig(F.col("p_partkey")).alias("signature")), registry, aliases)
 
 
-@query("n8_recent_feedback", "SELECT event_id FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 72 HOURS")
-def n8_recent_feedback(spark, d):
-    return table(spark, d, "events").where((F.col("event_type") == "error") & (F.col("ts") >= F.lit("2024-01-31 00:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 72 HOURS"))).select("event_id")
-
-
 @query("n16_subquestion_check", "WITH q AS (SELECT conv_id, turn, text, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 3) AS w FROM conversations WHERE role = 'user'), m AS (SELECT conv_id, w AS master FROM q WHERE turn = 0) SELECT conv_id, turn FROM q JOIN m USING (conv_id) WHERE turn > 0 AND length(text) >= 12 AND list_has_any(q.w, master)")
 def n16_subquestion_check(spark, d):
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: F.length(x) > 3)

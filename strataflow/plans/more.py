@@ -91,19 +91,6 @@ def r17_review_recommendations(spark, d):
     return found.withColumn("risk_score", F.round("risk_score", 6))
 
 
-@query("g1_program_graph", f"WITH {lookup._FACTS}, files AS (SELECT DISTINCT file_path, symbol FROM facts), defs AS (SELECT symbol, file_path FROM files QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY file_path) <= 3) SELECT 'file::' || file_path AS src, symbol AS dst, 'contains' AS type, 1.0 AS weight FROM files UNION SELECT 'file::' || f.file_path, 'file::' || defs.file_path, 'calls', 0.8 FROM (SELECT DISTINCT file_path, symbol FROM facts WHERE fact_type = 'call') f JOIN defs ON defs.symbol = f.symbol AND defs.file_path <> f.file_path")
-def g1_program_graph(spark, d):
-    facts = lookup.facts(spark, d)
-    files = facts.select("file_path", "symbol").distinct()
-    rank = F.row_number().over(Window.partitionBy("symbol").orderBy("file_path"))
-    defs = files.withColumn("rn", rank).where("rn <= 3").select("symbol", F.col("file_path").alias("home"))
-    node = lambda c: F.concat(F.lit("file::"), F.col(c))
-    one = lambda w: F.lit(w).cast("decimal(2,1)").alias("weight")
-    contains = files.select(node("file_path").alias("src"), F.col("symbol").alias("dst"), F.lit("contains").alias("type"), one(1.0))
-    calls = facts.where("fact_type = 'call'").select("file_path", "symbol").distinct().join(defs, "symbol").where("home <> file_path").select(node("file_path").alias("src"), node("home").alias("dst"), F.lit("calls").alias("type"), one(0.8)).distinct()
-    return contains.unionByName(calls)
-
-
 _PATHS = f"WITH RECURSIVE {graph._EDGES}, step AS (SELECT DISTINCT src, dst FROM edges WHERE type <> 'assigns'), r AS (SELECT 'e900' AS node, ['e900'] AS path UNION ALL SELECT dst, list_append(path, dst) FROM r JOIN step ON src = node WHERE len(path) <= 12 AND node <> 'e1'), best AS (SELECT min(path) AS path FROM r WHERE node = 'e1')"
 
 
@@ -138,17 +125,6 @@ def g17_recompute_guard(spark, d):
     return op.needs_recompute(edges, edges.where("type <> 'fallback_to'"))
 
 
-@query("g20_bounded_traversal", f"WITH {graph._EDGES}, s(node) AS (VALUES ('e5')), {graph._reach('r', 's', 'edges', 'src', 'dst', 8)} SELECT node, depth FROM r WHERE depth > 0 ORDER BY depth, node LIMIT 20")
-def g20_bounded_traversal(spark, d):
-    return gop.bfs(graph.edges_of(spark, d), graph._seeds(spark, 5), 8).orderBy("depth", "node").limit(20).select("node", "depth")
-
-
-@query("g21_flow_entry", "SELECT p_partkey, CAST(contains(p_name, 'red') AS INT) * 2 + CAST(contains(p_type, 'ECON') AS INT) AS score FROM part ORDER BY score DESC, p_partkey LIMIT 1")
-def g21_flow_entry(spark, d):
-    score = F.col("p_name").contains("red").cast("int") * 2 + F.col("p_type").contains("ECON").cast("int")
-    return table(spark, d, "part").select("p_partkey", score.alias("score")).orderBy(F.col("score").desc(), "p_partkey").limit(1)
-
-
 @query("g24_impact_zone", f"WITH {graph._EDGES}, s(node) AS (VALUES ('e3')), {graph._reach('r', 's', 'edges', 'dst', 'src', 3)} SELECT node, depth FROM r WHERE depth > 0")
 def g24_impact_zone(spark, d):
     return gop.bfs(gop.reversed_(graph.edges_of(spark, d)), graph._seeds(spark, 3), 3).select("node", "depth")
@@ -183,15 +159,6 @@ def n5_artifact_health(spark, d):
     return op.artifact_health(artifacts, dependencies)
 
 
-_LADDER = {"full": 1.0, "graph": 0.9, "symbols": 0.85, "imports": 0.8, "text": 0.65, "name": 0.6, "partial": 0.5, "stale": 0.3}
-
-
-@query("n6_confidence_ladder", "SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 1.0 WHEN 'STANDARD' THEN 0.65 ELSE 0.2 END AS confidence FROM part")
-def n6_confidence_ladder(spark, d):
-    quality = F.when(F.col("p_type") == "ECONOMY", "full").when(F.col("p_type") == "STANDARD", "text").otherwise("none")
-    return table(spark, d, "part").select("p_partkey", op.confidence_ladder(quality, _LADDER).cast("decimal(3,2)").alias("confidence"))
-
-
 @query("n12_plan_gaps", f"WITH t AS (SELECT item_id AS task, list_distinct({retrieval._TOK}) AS words FROM benchmark), u AS (SELECT doc_id AS unit, list_distinct({retrieval._TOK}) AS words FROM documents), tw AS (SELECT task, len(words) AS n, unnest(words) AS w FROM t), uw AS (SELECT unit, len(words) AS m, unnest(words) AS w FROM u), s AS (SELECT task, unit, count(*) / (n + m - count(*)) AS sim FROM tw JOIN uw USING (w) GROUP BY task, unit, n, m), b AS (SELECT task, max(sim) AS sim FROM s GROUP BY task) SELECT task, round(coalesce(sim, 0), 6) AS similarity, CASE WHEN coalesce(sim, 0) >= 0.4 THEN 'done' WHEN coalesce(sim, 0) >= 0.15 THEN 'partial' ELSE 'missing' END AS status FROM t LEFT JOIN b USING (task)")
 def n12_plan_gaps(spark, d):
     words = F.array_distinct(rop.tokens(F.coalesce(F.col("text"), F.lit(""))))
@@ -199,12 +166,6 @@ def n12_plan_gaps(spark, d):
     return op.plan_gaps(tasks, units).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("n13_daily_brief", "SELECT CAST(o_orderdate AS DATE) AS day, count(DISTINCT o_orderkey) AS commits, count(DISTINCT l_partkey) AS files, count(DISTINCT o_custkey) AS authors FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '2001-07-01 00:00:00' GROUP BY 1")
-def n13_daily_brief(spark, d):
-    recent = table(spark, d, "orders").where(F.col("o_orderdate") >= F.lit("2001-07-01 00:00:00").cast("timestamp_ntz"))
-    return recent.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count_distinct("o_orderkey").alias("commits"), F.count_distinct("l_partkey").alias("files"), F.count_distinct("o_custkey").alias("authors"))
-
-
 @query("n17_majority_language", "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), m AS (SELECT source, max(n) AS top FROM c GROUP BY source), k AS (SELECT c.source, lang, count(*) OVER (PARTITION BY c.source) AS ties FROM c JOIN m ON m.source = c.source AND n = top) SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM k WHERE k.source = d.source AND (k.lang = d.lang OR ties > 1))")
 def n17_majority_language(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "lang")
@@ -213,13 +174,6 @@ def n17_majority_language(spark, d):
     return docs.join(keep, (F.col("source") == F.col("s")) & ((F.col("lang") == F.col("l")) | (F.col("ties") > 1)), "left_semi").select("doc_id")
 
 
-@query("n3_entry_points", "WITH e AS (SELECT doc_id, 'main' AS kind FROM documents WHERE regexp_matches(text, '(?m)^The ') UNION ALL SELECT doc_id, 'route' FROM documents WHERE contains(text, ' | ') UNION ALL SELECT doc_id, 'cli' FROM documents WHERE contains(text, '%%%')) SELECT kind, count(DISTINCT doc_id) AS n FROM e GROUP BY kind")
-def n3_entry_points(spark, d):
-    text = F.col("text")
-    kinds = F.array_compact(F.array(F.when(text.rlike("(?m)^The "), "main"), F.when(text.contains(" | "), "route"), F.when(text.contains("%%%"), "cli")))
-    return table(spark, d, "documents").select("doc_id", F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count_distinct("doc_id").alias("n"))
-
-
 @query("q3_raw_evidence", f"WITH {retrieval._LISTS}, a AS (SELECT doc AS id, rank AS pos, 0 AS p FROM bm WHERE query = 1 AND rank <= 40), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS pos, 1 AS p FROM documents QUALIFY pos <= 40), f AS (SELECT id, min((pos, p)) AS at_ FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id) SELECT id FROM f ORDER BY at_, id LIMIT 50")
 def q3_raw_evidence(spark, d):
     a = retrieval._bm25(spark, d, 40).where("query = 1").select(F.lit(0).alias("provider_no"), F.col("rank").alias("pos"), F.col("doc").alias("id"))

@@ -64,7 +64,8 @@ def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ctes(*names: str) -> str:
     """The named roles as common table expressions."""
-    return ", ".join(f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', ROLES[n])})" for n in names)
+    plain = lambda text: re.sub(r"[{](\w+)[}]", r"\1", text).replace("{{", "{").replace("}}", "}")
+    return ", ".join(f"{n} AS ({plain(ROLES[n])})" for n in names)
 
 
 def with_(*names: str) -> str:
@@ -97,3 +98,44 @@ ROLES |= {
     "notes": "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'r1' ELSE 'r2' END AS repository_id, CASE WHEN vec_id % 2 = 0 THEN 'repo' ELSE 'file' END AS scope, vec_id % 10 = 0 AS stale, CASE vec_id % 4 WHEN 0 THEN 'db' WHEN 1 THEN 'api' ELSE 'ui' END AS tag, CASE WHEN vec_id % 5 = 0 THEN 'dormant' WHEN vec_id % 5 = 1 THEN NULL ELSE 'active' END AS status, CASE WHEN vec_id % 11 = 0 THEN 'user' WHEN vec_id % 7 = 0 THEN 'system' ELSE 'agent' END AS author, vec_id % 40 AS age_days, CAST(vec_id % 10 AS DOUBLE) / 10 AS confidence, embedding FROM {embeddings}",
     "knowledge_records": "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'observed' WHEN 1 THEN 'validated' WHEN 2 THEN 'promoted' ELSE 'invalidated' END AS state, value AS confidence, CASE user_id % 5 WHEN 0 THEN 'validate' WHEN 1 THEN 'promote' WHEN 2 THEN 'contradict' WHEN 3 THEN 'expire' ELSE 'retire' END AS request, event_id % 60 AS idle_days FROM {events}",
 }
+
+_K = "CAST(k AS VARCHAR(9))"
+_PY = {
+    0: ["from fastapi import APIRouter", "router = APIRouter()", "@router.get(''/items'')", "async def list_items(limit: int, q: str) -> list:", "    return load(limit)"],
+    1: ["import celery", "@app.task", "def send_mail(to: str) -> None:", "    pass", "if __name__ == ''__main__'':", "    send_mail(1)"],
+    2: ["from src.a.p3 import Base3", "from . import p5, p6", "class Child{k}(Base3, Worker):", "    def run(self):", "        self.x = helper()", "    def other(self, n: int):", "        pass", "def run_child():", "    pass"],
+    3: ["import os", "class Base{k}:", "    def helper(self):", "        return 1"],
+    4: ["from ..b import q", "def test_one():", "    assert True", "class TestAll:", "    pass"],
+    5: ["@click.command()", "def cli():", "    run_all()", "@bus.on_event(''start'')", "def started(evt):", "    pass"],
+}
+_TS = ["import [ x ] from ''./v{m}''", "import react from ''react''", "export class View{k} extends Base3 implements Shape, Other [", "]", "app.post(''/save'', handler)", "element.addEventListener(''x'', f)", "function boot(a: string): void [", "]", "const y = require(''../a/p1'')", "process.argv"]
+
+
+def _code(lines: list[str]) -> str:
+    text = f" || {_NL} || ".join("'" + x.replace("[", "{{").replace("]", "}}") + "'" for x in lines)
+    return text.replace("{k}", f"' || {_K} || '").replace("{m}", "' || CAST(k % 13 AS VARCHAR(9)) || '")
+
+
+_PROJECT = "(SELECT s_suppkey AS k FROM {supplier}) AS s"
+ROLES |= {
+    # a repository of both languages
+    "project_files": "SELECT CASE WHEN k % 7 = 6 THEN 'src/b/v' || k || '.ts' ELSE 'src/a/p' || k || '.py' END AS path, CASE k % 7 " + " ".join(f"WHEN {n} THEN {_code(lines)}" for n, lines in _PY.items()) + f" ELSE {_code(_TS)} END AS content FROM {_PROJECT}",
+    "project_roles": f"SELECT 'src/a/p' || k || '.py' AS path, CASE WHEN k % 2 = 0 THEN 'service' ELSE 'model' END AS role FROM {_PROJECT}",
+    # units and their facts, functions, chat and feedback
+    "graph_units": "SELECT 'u' || p_partkey AS unit_id, 'src/f' || (p_partkey % 40) || '.py' AS file_path, 'Mod.name' || (p_partkey % 60) AS symbol, CASE WHEN p_partkey % 4 = 0 THEN 'u' || (p_partkey - 1) ELSE NULL END AS parent_id FROM {part} WHERE p_partkey <= 400",
+    "graph_facts": "SELECT 'u' || (l_partkey % 400) AS unit_id, CASE l_linenumber % 10 WHEN 1 THEN 'call_site' WHEN 2 THEN 'calls_method' WHEN 3 THEN 'assignment' WHEN 4 THEN 'import' WHEN 5 THEN 'instantiation' WHEN 6 THEN 'implements' WHEN 7 THEN 'fallback_chain' WHEN 0 THEN 'config_read' ELSE 'dict_literal' END AS fact_type, 'x.Name' || (l_suppkey % 60) AS symbol FROM {lineitem} WHERE l_orderkey % 3 = 0",
+    "functions": "SELECT 'n' || p_partkey AS node, 'load_' || (p_partkey % 30) AS name, 'src/' || CASE p_partkey % 3 WHEN 0 THEN 'store' WHEN 1 THEN 'planner' ELSE 'cache' END || '.py' AS path, p_name AS doc, 'return ' || p_size AS body, p_partkey % 17 = 0 AS entry, CAST(p_size % 8 AS INT) AS inbound, CAST(p_size AS DOUBLE) / 10 AS importance FROM {part} WHERE p_partkey <= 500",
+    "rebuild_requests": "SELECT CASE s_suppkey % 6 WHEN 0 THEN 'files.json' WHEN 1 THEN 'project.json' WHEN 2 THEN 'modules.json' WHEN 3 THEN 'lexical_map.json' WHEN 4 THEN 'call_graph_v2.json' ELSE 'validation_report.json' END AS artifact, s_suppkey AS seq, 'src/a/p' || (s_suppkey % 5) || '.py' AS file FROM {supplier}",
+    "chat_messages": "SELECT c_nationkey AS session, c_custkey * 2 + 1 AS at, CASE c_custkey % 5 WHEN 0 THEN 'Sorry, that''s wrong: see ' || c_name WHEN 1 THEN 'No, it is in the other module' WHEN 2 THEN 'You used the WRONG FILE' ELSE 'thanks ' || c_name END AS text FROM {customer}",
+    "chat_answers": "SELECT c_nationkey AS session, c_custkey * 2 AS at, c_custkey AS answer_id FROM {customer} WHERE c_custkey % 3 = 0",
+    "feedback_events": "SELECT o_orderkey AS event_id, CASE o_orderkey % 3 WHEN 0 THEN 'corrective_followup' WHEN 1 THEN 'cited_nonexistent_file' ELSE 'navigation_divergence' END AS event_type, CASE WHEN o_orderkey % 3 = 1 THEN 'src/gone' || (o_custkey % 9) || '.py' ELSE NULL END AS nonexistent_path, CASE WHEN o_orderkey % 3 = 2 THEN 'src/a/p' || (o_custkey % 20) || '.py' ELSE NULL END AS navigated_to, o_custkey % 2 = 0 AS flow FROM {orders} WHERE o_orderkey % 20 < 3",
+    "retrieved_artifacts": "SELECT l_orderkey AS event_id, CASE l_linenumber % 3 WHEN 0 THEN 'behavioral_path' WHEN 1 THEN 'file_understanding' ELSE 'concept_map' END AS artifact_type, CASE l_linenumber % 3 WHEN 0 THEN 'bp' || (l_partkey % 6) WHEN 1 THEN 'src/a/p' || (l_partkey % 20) || '.py' ELSE 'concept' || (l_partkey % 5) END AS artifact_id FROM {lineitem}",
+    "concept_places": "SELECT 'concept' || (p_partkey % 5) AS concept, 'src/gone' || (p_partkey % 12) || '.py' AS path FROM {part} WHERE p_partkey < 40",
+    "path_files": "SELECT 'bp' || (p_partkey % 6) AS path_id, 'src/a/p' || (p_partkey % 20) || '.py' AS file FROM {part} WHERE p_partkey < 30",
+    "module_files": "SELECT DISTINCT 'src/a/p' || (p_partkey % 20) || '.py' AS path, 'src/a' || (p_partkey % 4) AS module FROM {part} WHERE p_partkey % 20 < 15 AND p_partkey < 20",
+    "architecture_evidence": "SELECT l_suppkey % 12 AS query, CASE l_linenumber % 3 WHEN 0 THEN 'community' WHEN 1 THEN 'architecture' ELSE 'dependency' END AS source, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 'src/f' || (l_partkey % 9) || '.py' END AS file, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE 'Comp' || (l_partkey % 8) END AS symbol FROM {lineitem}",
+    "brief_changes": "SELECT 'src/m' || (l_partkey % 20) || '/p' || l_partkey AS file, CASE WHEN l_returnflag = 'R' THEN 'D' WHEN l_linenumber = 1 THEN 'A' ELSE 'M' END AS change_type, l_orderkey AS sha, CAST(o_orderdate AS TIMESTAMP) AS at FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey",
+    "community_members": "SELECT 'm' || (p_partkey % 20) || '/p' || p_partkey AS member, 'C' || (p_partkey % 6) AS community FROM {part} WHERE p_partkey % 3 <> 0",
+    "file_annotations": "SELECT 'src/m' || (p_partkey % 20) || '/p' || p_partkey AS file, CAST(CASE WHEN p_size % 2 = 0 THEN '2001-07-20 00:00:00' ELSE '2001-08-30 00:00:00' END AS TIMESTAMP) AS annotated_at FROM {part} WHERE p_partkey % 4 <> 0",
+    "file_notes": "SELECT ps AS note, 'src/m' || (f % 20) || '/p' || f AS file FROM (SELECT p_partkey AS ps, p_partkey % 50 AS f FROM {part}) AS x",
+}
