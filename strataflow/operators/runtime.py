@@ -135,3 +135,30 @@ def covered_lines(bits: Column) -> Column:
     byte = lambda i: F.conv(F.hex(F.substring(bits, i + 1, 1)), 16, 10).cast("int")
     places = F.when(n > 0, F.sequence(F.lit(0), n * 8 - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(F.filter(places, lambda p: F.pmod(F.floor(byte(F.floor(p / 8).cast("int")) / F.pow(F.lit(2.0), p % 8)), F.lit(2)) == 1), lambda p: p + 1)
+
+
+def debounced_changes(events: DataFrame, seconds: int = 2) -> DataFrame:
+    """(file, at, kind, n): the last change of each burst of a file; changes are one burst while the next comes within `seconds`."""
+    bursts = events.groupBy("file", F.session_window("at", f"{seconds} seconds").alias("w"))
+    return bursts.agg(F.max_by("kind", F.struct("at", "seq")).alias("kind"), F.max("at").alias("at"), F.count("*").alias("n")).select("file", "at", "kind", "n")
+
+
+def reconcile_runs(triggers: DataFrame, debounce: int = 1, duration: int = 5) -> DataFrame:
+    """(repository, start, n): when reconciliation runs: `debounce` seconds after the last trigger of a burst, never while a run of `duration` seconds is going on; bursts that end meanwhile are one run after it.
+
+    triggers: repository, at. An ordered fold over a repository's bursts.
+    """
+    bursts = triggers.groupBy("repository", F.session_window("at", f"{debounce} seconds").alias("w")).agg(F.max("at").alias("last"), F.count("*").alias("n"))
+    due = (F.unix_micros(F.col("last").cast("timestamp")) + debounce * 1_000_000).alias("due")
+    listed = bursts.groupBy("repository").agg(F.sort_array(F.collect_list(F.struct(due, "n"))).alias("bs"))
+    empty = F.array().cast("array<struct<start:bigint,n:bigint>>")
+
+    def step(runs, b):
+        prior = F.try_element_at(runs, F.lit(-1))
+        free = prior["start"] + duration * 1_000_000
+        waits = prior["start"].isNotNull() & (prior["start"] > b["due"])
+        more = F.struct(prior["start"].alias("start"), (prior["n"] + b["n"]).alias("n"))
+        begin = F.struct(F.greatest(b["due"], F.coalesce(free, b["due"])).alias("start"), b["n"].alias("n"))
+        return F.when(waits, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(more))).otherwise(F.concat(runs, F.array(begin)))
+
+    return listed.select("repository", F.explode(F.aggregate("bs", empty, step)).alias("r")).select("repository", F.timestamp_micros("r.start").alias("start"), "r.n")

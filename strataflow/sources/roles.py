@@ -139,3 +139,30 @@ ROLES |= {
     "file_annotations": "SELECT 'src/m' || (p_partkey % 20) || '/p' || p_partkey AS file, CAST(CASE WHEN p_size % 2 = 0 THEN '2001-07-20 00:00:00' ELSE '2001-08-30 00:00:00' END AS TIMESTAMP) AS annotated_at FROM {part} WHERE p_partkey % 4 <> 0",
     "file_notes": "SELECT ps AS note, 'src/m' || (f % 20) || '/p' || f AS file FROM (SELECT p_partkey AS ps, p_partkey % 50 AS f FROM {part}) AS x",
 }
+
+_J = {"{": "{{", "}": "}}"}
+
+
+def _json(text: str) -> str:
+    return "".join(_J.get(c, c) for c in text)
+
+
+ROLES |= {
+    # exports and traces as files
+    "manual_traces": "SELECT 'f' || s_suppkey AS file, CASE WHEN s_suppkey % 9 = 4 THEN 'no json' ELSE '" + _json('{"calls": [{"caller": "src/a.py:run_') + "' || (s_suppkey % 5) || '" + _json('", "callee": "./src/b.py:load"}, {"caller": "main", "callee": "src/a.py:go"}]}') + "' END AS content FROM {supplier}",
+    "test_reports": "SELECT 'r' || s_suppkey AS file, CASE WHEN s_suppkey % 7 = 3 THEN 'broken' ELSE '" + _json('{"tests": [{"nodeid": "tests/t') + "' || (s_suppkey % 4) || '" + _json('.py::test_x", "outcome": "failed", "call": {"traceback": [{"path": "src/a.py", "name": "go"}, {"file": "src/b.py", "function": "load"}], "crash": {"path": "src/b.py", "message": "ValueError: bad"}}}, {"nodeid": "tests/u.py::test_y", "outcome": "passed"}]}') + "' END AS content FROM {supplier}",
+    "test_outputs": f"SELECT 'o' || s_suppkey AS file, '  File \"tests/t' || (s_suppkey % 3) || '.py\", line 3, in test_a' || {_NL} || '  File \"src/a.py\", line 9, in go' || {_NL} || '  File \"src/b.py\", line 2, in load' || {_NL} || 'KeyError: x' AS content FROM {{supplier}}",
+    "coverage_reports": "SELECT 'c' || s_suppkey AS file, '" + _json('{"files": {"./src/m') + "' || (s_suppkey % 6) || '" + _json('.py": {"executed_lines": [1, 2, ') + "' || (s_suppkey % 40 + 3) || '" + _json(']}, "src/none.py": {"executed_lines": []}}}') + "' AS content FROM {supplier}",
+    "span_exports": "SELECT 's' || s_suppkey AS file, '" + _json('{"spans": [{"traceId": "t", "spanId": "1", "name": "root"}, {"traceId": "t", "spanId": "2", "parentSpanId": "1", "name": "n') + "' || (s_suppkey % 4) || '" + _json('", "attributes": [{"key": "code.filepath", "value": {"stringValue": "src/s.py"}}, {"key": "code.function", "value": {"stringValue": "serve"}}]}, {"traceId": "t", "spanId": "3", "parentSpanId": "2", "name": "db"}, {"traceId": "t", "spanId": "4", "parentSpanId": "9", "name": "lost"}]}') + "' AS content FROM {supplier}",
+    "app_logs": "SELECT 'l' || p_partkey AS file, 'INFO load_index took ' || p_size || ' ms in helper_' || (p_partkey % 9) AS content FROM {part} WHERE p_partkey < 300",
+    "pull_exports": "SELECT 'p' || o_orderkey AS file, '" + _json('{"id": "pr') + "' || (o_orderkey % 500) || '" + _json('", "title": "T') + "' || o_orderkey || '" + _json('", "author": "dev') + "' || (o_custkey % 9) || '" + _json('", "state": "merged", "updated_at": "') + "' || substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10) || '" + _json('T00:00:00Z", "comments": [{"author": "a", "body": "b"}], "files": ["src/x.py", "src/y.py"], "commits": ["c') + "' || (o_orderkey % 3) || '" + _json('"]}') + "' AS content FROM {orders} WHERE o_orderkey % 3 = 0",
+    "terminal_errors": "SELECT 'ws' || (user_id % 7) AS cwd, ts AS at, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'cmd' || event_id END AS command, CAST(user_id % 3 AS INT) AS exit_code, chr(27) || '[31mfailed ' || event_id || chr(27) || '[0m' AS output FROM {events} WHERE event_type = 'error'",
+    "decision_files": f"SELECT 'docs/adr-' || n_nationkey || '.md' AS file, '# Use ' || n_name || {_NL} || {_NL} || '## Status' || {_NL} || CASE WHEN n_nationkey % 2 = 0 THEN 'Accepted' ELSE 'proposed' END || {_NL} || {_NL} || '## Context' || {_NL} || 'We need ' || n_name || {_NL} || '## Decision' || {_NL} || 'Take it' || {_NL} || '## Consequences' || {_NL} || 'None' AS content FROM {{nation}}",
+    "decision_files_before": f"SELECT 'docs/adr-' || n_nationkey || '.md' AS file, '# Use ' || n_name || {_NL} || {_NL} || '## Status' || {_NL} || CASE WHEN n_nationkey % 2 = 0 THEN 'Accepted' ELSE 'draft' END || {_NL} || {_NL} || '## Context' || {_NL} || 'We need ' || n_name || {_NL} || '## Decision' || {_NL} || 'Take it' || {_NL} || '## Consequences' || {_NL} || 'None' AS content FROM {{nation}} WHERE n_nationkey < 20 UNION ALL SELECT 'docs/adr-' || (90 + r_regionkey) || '.md', 'gone' FROM {{region}}",
+    "runtime_log_lines": "SELECT 'log' || (user_id % 9) AS file, CAST(row_number() OVER (PARTITION BY user_id % 9 ORDER BY event_id) + 1 AS INT) AS line, CASE event_id % 6 WHEN 0 THEN 'not json' ELSE '" + _json('{"event_id": "e') + "' || event_id || '" + _json('", "component_id": "svc') + "' || (user_id % 5) || '" + _json('", "event_type": "x", "severity": "') + "' || CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'INFO' WHEN 2 THEN 'LOUD' ELSE 'CRITICAL' END || '" + _json('"}') + "' END AS value FROM {events} UNION ALL SELECT 'log' || r_regionkey, 1, CASE WHEN r_regionkey = 3 THEN '" + _json('{"other": 1}') + "' ELSE '" + _json('{"repository_commit_hash": "h') + "' || r_regionkey || '" + _json('"}') + "' END FROM {region}",
+    "sync_state": "SELECT 'commits' AS stream, CAST('2000-06-01 00:00:00' AS TIMESTAMP) AS mark FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT 'pulls', CAST('1999-01-01 00:00:00' AS TIMESTAMP) FROM {region} WHERE r_regionkey = 0",
+    "commit_times": "SELECT o_orderkey AS sha, CAST(o_orderdate AS TIMESTAMP) AS at FROM {orders}",
+    "segment_docs": "SELECT CAST(p_partkey % 700 AS BIGINT) AS id, CAST(p_partkey AS BIGINT) AS seq FROM {part}",
+    "segment_deletes": "SELECT CAST(s_suppkey * 5 AS BIGINT) AS id, CAST(s_suppkey * 9 AS BIGINT) AS seq FROM {supplier}",
+    "file_events": "SELECT 'f' || (user_id % 6) AS file, CAST(ts AS TIMESTAMP) AS at, event_id AS seq, event_type AS kind FROM {events}",
+}
