@@ -138,3 +138,24 @@ def covered(start: Column, end: Column, lines: Column) -> Column:
 
 def touched(start: Column, end: Column, lines: Column) -> Column:
     return F.exists(lines, lambda x: (x >= start) & (x <= end))
+
+
+def inflections(word: Column) -> Column:
+    """A word with its plain, plural, past and -ing forms, by the common rules of English spelling."""
+    y = word.rlike("[^aeiou]y$")
+    hiss, e = word.rlike("(s|x|z|ch|sh)$"), word.endswith("e")
+    cut = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
+    plural = F.when(y, F.concat(cut(1), F.lit("ies"))).when(hiss, F.concat(word, F.lit("es"))).otherwise(F.concat(word, F.lit("s")))
+    past = F.when(y, F.concat(cut(1), F.lit("ied"))).when(e, F.concat(word, F.lit("d"))).otherwise(F.concat(word, F.lit("ed")))
+    doing = F.when(e & ~word.endswith("ee"), F.concat(cut(1), F.lit("ing"))).otherwise(F.concat(word, F.lit("ing")))
+    return F.array_distinct(F.array(word, plural, past, doing))
+
+
+def like_any(text: Column, parts: Sequence[str], where: str = "anywhere") -> Column:
+    """Whether a text has one of the parts, taken literally and in any case: anywhere, at the start, at the end, or as the whole."""
+    low = F.lower(text)
+    test = {"anywhere": low.contains, "start": low.startswith, "end": low.endswith, "whole": lambda p: low == p}[where]
+    found = F.lit(False)
+    for part in parts:
+        found = found | test(F.lit(part.lower()))
+    return found

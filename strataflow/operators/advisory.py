@@ -158,16 +158,6 @@ def artifact_health(artifacts: DataFrame, dependencies: DataFrame) -> DataFrame:
     return rows.select("artifact", F.col("generated").isNotNull().alias("exists"), fresh.alias("fresh"), F.when(F.col("generated").isNull(), "incomplete").when(~fresh, "degraded").otherwise("healthy").alias("status"))
 
 
-def plan_gaps(tasks: DataFrame, units: DataFrame, low: float = 0.15, high: float = 0.4) -> DataFrame:
-    """Tasks (task, words) by the most similar unit (unit, words; Jaccard of word sets, meeting on shared words): done, partial or missing."""
-    t = tasks.select("task", F.size("words").alias("n"), F.explode("words").alias("w"))
-    u = units.select("unit", F.size("words").alias("m"), F.explode("words").alias("w"))
-    shared = t.join(u, "w").groupBy("task", "unit", "n", "m").agg(F.count("*").alias("both")).withColumn("similarity", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
-    best = shared.groupBy("task").agg(F.max("similarity").alias("similarity"))
-    rows = tasks.select("task").join(best, "task", "left").fillna({"similarity": 0.0})
-    return rows.withColumn("status", F.when(F.col("similarity") >= high, "done").when(F.col("similarity") >= low, "partial").otherwise("missing"))
-
-
 def rebuild(spark: SparkSession, steps: Sequence[tuple[str, Callable[[SparkSession], DataFrame]]], target: str | None = None, optional: Sequence[str] = ()) -> DataFrame:
     """Runs the steps in order, each on its own: a failure is recorded and the next step runs. (step_no, step, status, n_rows, message)."""
     rows = []

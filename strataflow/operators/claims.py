@@ -151,3 +151,10 @@ def dead_files(files: DataFrame, edges: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     imported = edges.where("type = 'imports'").where("src <> dst").select(F.col("dst").alias("path")).distinct()
     return files.where(~name.isin(*ENTRY_FILES) & ~F.col("content").rlike(WIRED)).join(imported, "path", "left_anti").select("path")
+
+
+def quoted_strings(answers: DataFrame, evidence: DataFrame, least: int = 4) -> DataFrame:
+    """(answer_id, quote, found): quotes of an answer, of `least` characters and more, and whether its own evidence (answer_id, content) has them."""
+    quotes = answers.select("answer_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf'"([^"\n]{{{least},}})"'), F.lit(1)))).alias("quote"))
+    met = quotes.join(evidence.select("answer_id", "content"), "answer_id", "left")
+    return met.groupBy("answer_id", "quote").agg(F.coalesce(F.bool_or(F.contains("content", "quote")), F.lit(False)).alias("found"))

@@ -327,9 +327,3 @@ def daily_brief(changes: DataFrame, communities: DataFrame, annotations: DataFra
     said = notes.groupBy("file").agg(F.count_distinct("note").alias("notes"))
     rows = new.join(own, "file", "left").join(old, "file", "left").join(said, "file", "left")
     return rows.select("file", "change_type", "commits", "community", F.coalesce(F.col("annotated_at") < F.col("at"), F.lit(False)).alias("stale"), F.coalesce("notes", F.lit(0)).alias("notes"))
-
-
-def investigation(paths: Sequence[tuple[str, DataFrame]], most: int = 10) -> DataFrame:
-    """(query, path, id, rank): evidence (query, id, rank) of several ways of asking, each under its name and cut to `most`; what several ways find stays under each, with `paths` counting them."""
-    every = reduce(DataFrame.unionByName, [rows.where(F.col("rank") <= most).select("query", F.lit(name).alias("path"), "id", "rank") for name, rows in paths])
-    return every.withColumn("paths", F.count("*").over(Window.partitionBy("query", "id")))

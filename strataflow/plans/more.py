@@ -148,13 +148,6 @@ def n5_artifact_health(spark, d):
     return op.artifact_health(artifacts, dependencies)
 
 
-@query("n12_plan_gaps", f"WITH t AS (SELECT item_id AS task, list_distinct({retrieval._TOK}) AS words FROM benchmark), u AS (SELECT doc_id AS unit, list_distinct({retrieval._TOK}) AS words FROM documents), tw AS (SELECT task, len(words) AS n, unnest(words) AS w FROM t), uw AS (SELECT unit, len(words) AS m, unnest(words) AS w FROM u), s AS (SELECT task, unit, count(*) / (n + m - count(*)) AS sim FROM tw JOIN uw USING (w) GROUP BY task, unit, n, m), b AS (SELECT task, max(sim) AS sim FROM s GROUP BY task) SELECT task, round(coalesce(sim, 0), 6) AS similarity, CASE WHEN coalesce(sim, 0) >= 0.4 THEN 'done' WHEN coalesce(sim, 0) >= 0.15 THEN 'partial' ELSE 'missing' END AS status FROM t LEFT JOIN b USING (task)")
-def n12_plan_gaps(spark, d):
-    words = F.array_distinct(rop.tokens(F.coalesce(F.col("text"), F.lit(""))))
-    tasks, units = table(spark, d, "benchmark").select(F.col("item_id").alias("task"), words.alias("words")), table(spark, d, "documents").select(F.col("doc_id").alias("unit"), words.alias("words"))
-    return op.plan_gaps(tasks, units).withColumn("similarity", F.round("similarity", 6))
-
-
 @query("n17_majority_language", "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), m AS (SELECT source, max(n) AS top FROM c GROUP BY source), k AS (SELECT c.source, lang, count(*) OVER (PARTITION BY c.source) AS ties FROM c JOIN m ON m.source = c.source AND n = top) SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM k WHERE k.source = d.source AND (k.lang = d.lang OR ties > 1))")
 def n17_majority_language(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "lang")
@@ -163,14 +156,6 @@ def n17_majority_language(spark, d):
     return docs.join(keep, (F.col("source") == F.col("s")) & ((F.col("lang") == F.col("l")) | (F.col("ties") > 1)), "left_semi").select("doc_id")
 
 
-@query("q3_raw_evidence", f"WITH {retrieval._LISTS}, a AS (SELECT doc AS id, rank AS pos, 0 AS p FROM bm WHERE query = 1 AND rank <= 40), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS pos, 1 AS p FROM documents QUALIFY pos <= 40), f AS (SELECT id, min((pos, p)) AS at_ FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id) SELECT id FROM f ORDER BY at_, id LIMIT 50")
-def q3_raw_evidence(spark, d):
-    a = retrieval._bm25(spark, d, 40).where("query = 1").select(F.lit(0).alias("provider_no"), F.col("rank").alias("pos"), F.col("doc").alias("id"))
-    top = table(spark, d, "documents").orderBy(F.col("n_chars").desc(), "doc_id").limit(40)
-    b = top.select(F.lit(1).alias("provider_no"), F.row_number().over(Window.orderBy(F.col("n_chars").desc(), "doc_id")).alias("pos"), F.col("doc_id").alias("id"))
-    return rop.interleaved(a.unionByName(b), 50).select("id")
-
-
 @query("v18_pagerank_channel", f"WITH RECURSIVE {graph._EDGES}, {graph._RANKS}, seed AS (SELECT DISTINCT dst AS node FROM edges WHERE src IN ('e100', 'e101')) SELECT node FROM ranks ORDER BY round(score * CASE WHEN node IN (SELECT node FROM seed) THEN 10 ELSE 1 END, 9) DESC, node LIMIT 10")
 def v18_pagerank_channel(spark, d):
     edges = graph.edges_of(spark, d)
@@ -189,15 +174,6 @@ def v30_fact_expansion(spark, d):
     return facts.join(second, "symbol", "left_semi").orderBy(lop.confidence_rank(F.col("confidence")), "fact_id").limit(50).select("fact_id")
 
 
-@query("r30_rebuild", "SELECT step_no, step, status FROM (VALUES (1, 'coupling', 'OK'), (2, 'expertise', 'OK'), (3, 'drift', 'OK'), (4, 'broken', 'SKIPPED'), (5, 'baselines', 'OK')) t(step_no, step, status)")
-def r30_rebuild(spark, d):
-    def broken(_):
-        raise RuntimeError("an optional step that is not available")
-
-    steps = [("coupling", lambda s: history.r1_logical_coupling(s, d)), ("expertise", lambda s: history.r2_file_expertise(s, d)), ("drift", lambda s: history.r4_drift_health(s, d)), ("broken", broken), ("baselines", lambda s: runtime.r18_runtime_baselines(s, d))]
-    return op.rebuild(spark, steps, optional=["broken"]).select("step_no", "step", "status")
-
-
 @query("q12_top_experts", f"{history._EXPERTISE} SELECT author_email, round(sum(expertise_score), 6) AS total FROM files GROUP BY author_email ORDER BY round(sum(expertise_score), 6) DESC, author_email LIMIT 10")
 def q12_top_experts(spark, d):
     files = hist.file_expertise(history._authored(spark, d))

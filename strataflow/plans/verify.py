@@ -11,15 +11,6 @@ from strataflow.sources import roles
 from strataflow.sources.adapters import table
 
 
-@query("c3_quoted_strings", "WITH q AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '\"([^\"\n]{4,})\"', 1)) AS quote FROM documents) SELECT doc_id, quote, EXISTS (SELECT 1 FROM documents x WHERE x.source = q.source AND x.doc_id <> q.doc_id AND contains(x.text, quote)) AS found FROM q")
-def c3_quoted_strings(spark, d):
-    docs = table(spark, d, "documents")
-    quotes = docs.select("doc_id", "source", F.explode(F.expr("regexp_extract_all(text, '\"([^\"\\n]{4,})\"', 1)")).alias("quote")).distinct()
-    met = quotes.join(docs.select("source", F.col("doc_id").alias("other"), "text"), "source").where((F.col("other") != F.col("doc_id")) & F.contains("text", "quote")).select("doc_id", "quote").distinct().withColumn("found", F.lit(True))
-    every = docs.select("doc_id", F.explode(F.expr("regexp_extract_all(text, '\"([^\"\\n]{4,})\"', 1)")).alias("quote"))
-    return every.join(met, ["doc_id", "quote"], "left").fillna({"found": False})
-
-
 @query("c8_thin_grounding", "SELECT user_id, count(DISTINCT event_type) AS sources, CASE WHEN count(DISTINCT event_type) < 3 THEN 'revise' ELSE 'pass' END AS outcome FROM events GROUP BY user_id")
 def c8_thin_grounding(spark, d):
     n = F.count_distinct("event_type")

@@ -166,3 +166,11 @@ ROLES |= {
     "segment_deletes": "SELECT CAST(s_suppkey * 5 AS BIGINT) AS id, CAST(s_suppkey * 9 AS BIGINT) AS seq FROM {supplier}",
     "file_events": "SELECT 'f' || (user_id % 6) AS file, CAST(ts AS TIMESTAMP) AS at, event_id AS seq, event_type AS kind FROM {events}",
 }
+
+ROLES |= {
+    "provider_hits": "SELECT item_id AS query, CASE n WHEN 0 THEN 'text' WHEN 1 THEN 'facts' WHEN 2 THEN 'graph' ELSE 'symbols' END AS provider, CAST(r AS INT) AS rank, (item_id * 7 + r * (n + 1)) % 90 AS id FROM {benchmark} CROSS JOIN (SELECT r_regionkey AS n FROM {region} WHERE r_regionkey < 4) AS a CROSS JOIN (SELECT n_nationkey + 1 AS r FROM {nation} WHERE n_nationkey < 20) AS b",
+    "evidence_texts": "SELECT doc_id AS id, text, n_chars AS chars FROM {documents} WHERE doc_id < 90",
+    "question_gaps": "SELECT item_id AS query, 'no test' AS gap FROM {benchmark} WHERE item_id % 4 = 1",
+    "plan_documents": f"SELECT p_partkey AS doc, '# Plan' || {_NL} || '- [x] add ' || p_name || ' to `src/f' || (p_partkey % 30) || '.py`' || {_NL} || '- [ ] test ' || p_name || {_NL} || '2. write docs for `docs/a.md` and `src/x.py`' || {_NL} || 'no task' AS text FROM {{part}} WHERE p_partkey <= 150",
+    "plan_units": "SELECT p_partkey AS unit, 'add ' || p_name || ' to the store' AS text, 'src/f' || (p_partkey % 45) || '.py' AS file FROM {part} WHERE p_partkey <= 400",
+}
