@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.questions import STOP_WORDS
+from strataflow.operators.ranks import running
 from strataflow.operators.retrieval import appended, bm25, occurrences, tokens, top_k
 
 #: What a channel adds before fusion.
@@ -139,6 +140,9 @@ def near_tie_order(rows: DataFrame, score: str, ties: Sequence[str], epsilon: fl
 
     Steps are runs of scores: a score starts one if it is more than `epsilon` under the one before.
     """
-    fall = Window.orderBy(F.col(score).desc())
-    rows = rows.withColumn("_gap", F.coalesce((F.lag(score).over(fall) - F.col(score) > epsilon).cast("int"), F.lit(0))).withColumn("_step", F.sum("_gap").over(fall.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("_step", *ties))).drop("_gap", "_step")
+    by_score = running(rows, [F.col(score).desc(), *[F.col(t) for t in ties]])
+    above = by_score.select((F.col("rank") + 1).alias("rank"), F.col(score).alias("_above"))
+    gaps = by_score.join(above, "rank", "left").withColumn("_gap", F.coalesce((F.col("_above") - F.col(score) > epsilon).cast("int"), F.lit(0))).withColumnRenamed("rank", "_rank")
+    steps = running(gaps, [F.col("_rank")], ["_gap"]).withColumn("_step", F.col("before__gap") + F.col("_gap")).drop("rank")
+    placed = running(steps, [F.col("_step"), *[F.col(t) for t in ties]])
+    return placed.select(*rows.columns, F.col("rank").alias("place"))

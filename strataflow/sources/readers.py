@@ -56,15 +56,36 @@ def walk(spark: SparkSession, root: str, extensions: Sequence[str], names: Seque
     return found.orderBy(F.size(F.split("path", "/")), F.col("modified").desc(), "path").limit(most)
 
 
-def change_log(spark: SparkSession, path: str, since: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Commits and their files from a log of records "commit<TAB>sha<TAB>email<TAB>time<TAB>parents" each followed by "A|M|D<TAB>path" lines and an empty line."""
-    blocks = spark.read.text(path, lineSep="\n\n").select(F.split("value", "\n").alias("l")).where(F.col("l")[0].startswith("commit\t"))
-    head = F.split(F.col("l")[0], "\t")
-    commits = blocks.select(head[1].alias("sha"), head[2].alias("author_email"), F.to_timestamp(head[3]).alias("ts"), F.size(F.filter(F.split(head[4], " "), lambda x: x != "")).alias("n_parents"), F.slice("l", 2, F.size("l")).alias("rows"))
+#: What git is to print for `git_log`: git log --format=GIT_FORMAT --raw --numstat --no-abbrev.
+GIT_FORMAT = "%x1e%H%x1f%ae%x1f%aI%x1f%P%x1f%s"
+
+
+def git_log(files: DataFrame, since: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Commits (sha, author_email, ts, n_parents, subject) and their files (sha, path, change_type, added, deleted) from logs (content) printed in GIT_FORMAT.
+
+    Names and statuses come from the --raw lines (or from --name-status), added and deleted lines from --numstat; a rename is a change of
+    its new path; binary files have no line counts. Only commits after `since` are kept.
+    """
+    records = files.select(F.explode(F.filter(F.split("content", "\u001e"), lambda x: F.trim(x) != "")).alias("r")).select(F.split("r", "\r?\n", -1).alias("l"))
+    head = F.split(F.col("l")[0], "\u001f", -1)
+    commits = records.select(head[0].alias("sha"), head[1].alias("author_email"), F.to_timestamp(head[2]).alias("ts"), F.size(F.filter(F.split(head[3], " "), lambda x: x != "")).alias("n_parents"), head[4].alias("subject"), F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))).alias("rows")).dropDuplicates(["sha"])
     if since is not None:
         commits = commits.where(F.col("ts") > F.lit(since).cast("timestamp"))
-    files = commits.select("sha", F.explode("rows").alias("r")).where(F.col("r").contains("\t")).select("sha", F.split("r", "\t")[1].alias("path"), F.when(F.col("r").startswith("D"), "DELETE").when(F.col("r").startswith("A"), "ADD").otherwise("MODIFY").alias("change_type"))
-    return commits.drop("rows"), files
+    lines = commits.select("sha", F.explode("rows").alias("r"))
+    raw = r"^(?::\d+ \d+ [0-9a-f.]+ [0-9a-f.]+ )?([ACDMRT])\d*\t(?:[^\t]+\t)?([^\t]+)$"
+    status = lines.where(F.col("r").rlike(raw)).select("sha", F.regexp_extract("r", raw, 2).alias("path"), F.regexp_extract("r", raw, 1).alias("s"))
+    number = r"^(\d+|-)\t(\d+|-)\t(.+)$"
+    # {old => new} and old => new are how counts name a rename
+    named = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract("r", number, 3), r"\{[^{}]* => ([^{}]*)\}", "$1"), r"^.* => ", ""), "//", "/")
+    counts = lines.where(F.col("r").rlike(number)).select("sha", named.alias("path"), F.regexp_extract("r", number, 1).try_cast("int").alias("added"), F.regexp_extract("r", number, 2).try_cast("int").alias("deleted"))
+    both = status.join(counts, ["sha", "path"], "full")
+    kind = F.when(F.col("s") == "D", "DELETE").when(F.col("s") == "A", "ADD").otherwise("MODIFY")
+    return commits.drop("rows"), both.select("sha", "path", kind.alias("change_type"), "added", "deleted")
+
+
+def change_log(spark: SparkSession, path: str, since: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """git_log of the files under a path."""
+    return git_log(spark.read.text(path, wholetext=True).select(F.col("value").alias("content")), since)
 
 
 def decision_records(spark: SparkSession, path: str) -> DataFrame:
@@ -103,6 +124,19 @@ def notes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, file string, text string, tags array<string>, created timestamp").json(path, multiLine=True)
 
 
+def annotations(files: DataFrame) -> DataFrame:
+    """Annotations (file, what, key_symbols, depends_on, signals, annotated_at) of files (content) that hold one, or a list of them, in JSON."""
+    one = "struct<file:string,what:string,key_symbols:array<string>,depends_on:array<string>,signals:array<string>,annotated_at:timestamp>"
+    rows = files.select(F.explode(F.coalesce(F.from_json("content", f"array<{one}>"), F.array(F.from_json("content", one)))).alias("a")).select("a.*")
+    return rows.where("file IS NOT NULL AND signals IS NOT NULL")
+
+
+def communities(files: DataFrame) -> DataFrame:
+    """(community, summary, member) of files (content) with {"communities": [{"id", "summary", "members"}]}."""
+    rows = files.select(F.explode(F.from_json("content", "communities array<struct<id:string,summary:string,members:array<string>>>")["communities"]).alias("c"))
+    return rows.select(F.col("c.id").alias("community"), "c.summary", F.explode("c.members").alias("member"))
+
+
 def new_since(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that an earlier run has not seen."""
     return rows.join(known.select(*keys).distinct(), list(keys), "left_anti")

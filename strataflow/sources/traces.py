@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.text import strip_ansi
+from strataflow.operators.ranks import running
 
 _FRAME = "struct<path:string,file:string,filename:string,name:string,function:string>"
 _CALL = f"struct<traceback:array<{_FRAME}>,crash:struct<path:string,message:string>>"
@@ -176,7 +177,7 @@ def synced(rows: DataFrame, state: DataFrame, stream: str, at: str) -> tuple[Dat
 
 def segments(docs: DataFrame, tombstones: DataFrame, size: int = 500) -> DataFrame:
     """(segment, sealed, docs, live): documents (id, seq) in segments of `size` in the order written; deleted ones (id, seq) are dead unless written again after."""
-    placed = docs.withColumn("segment", F.floor((F.row_number().over(Window.orderBy("seq", "id")) - 1) / size))
+    placed = running(docs, [F.col("seq"), F.col("id")]).withColumn("segment", F.floor((F.col("rank") - 1) / size)).drop("rank")
     last = F.max("seq").over(Window.partitionBy("id"))
     dead = tombstones.groupBy("id").agg(F.max("seq").alias("_dead"))
     rows = placed.withColumn("newest", F.col("seq") == last).join(dead, "id", "left")

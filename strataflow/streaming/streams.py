@@ -47,6 +47,13 @@ def idempotent(events: DataFrame, ts: str, key: str, late: str = "2 days") -> Da
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def debounced(events: DataFrame, gap: str = "2 seconds", late: str = "1 minute") -> DataFrame:
+    """The last change of each burst of a file (file, at, seq, kind), once no event can continue it."""
+    timed = events.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
+    bursts = timed.groupBy("file", F.session_window("at", gap).alias("w")).agg(F.max_by("kind", F.struct("at", "seq")).alias("kind"), F.max("at").alias("at"), F.count("*").alias("n"))
+    return bursts.select("file", "at", "kind", "n")
+
+
 def escalations(incidents: DataFrame, days: int = 14) -> DataFrame:
     """The lock of (entity, type) as keyed state: what batch gives by a fold over the whole history, in micro-batches.
 

@@ -143,10 +143,14 @@ def test_sources(spark, tmp_path):
     found = {r.path: (r.language, r.text) for r in readers.walk(spark, str(tmp_path / "repo"), ["py"]).collect()}
     assert found == {"src/a.py": ("python", "x = 1"), "app.env": ("unknown", "KEY=<redacted>")}
 
-    (tmp_path / "log.txt").write_text("commit\tc1\tann@x\t2023-01-01 10:00:00\tp0\nA\tsrc/a.py\nD\told.py\n\ncommit\tc2\tbob@x\t2023-01-02 10:00:00\tp1 p2\nM\tsrc/a.py\n\n")
+    # as git prints it with GIT_FORMAT, --raw, --numstat and --no-abbrev
+    log = "\x1ec2\x1fbob@x\x1f2023-01-02T10:00:00+00:00\x1fp1 p2\x1fsecond\n\n:100644 100644 aaa bbb M\tsrc/a.py\n:100644 100644 aaa bbb R090\told/n.py\tsrc/n.py\n5\t1\tsrc/a.py\n0\t0\t{old => src}/n.py\n"
+    log += "\x1ec1\x1fann@x\x1f2023-01-01T10:00:00+00:00\x1fp0\x1ffirst\n\n:000000 100644 000 bbb A\tsrc/a.py\n:100644 000000 aaa 000 D\told.py\n3\t0\tsrc/a.py\n-\t-\told.py\n"
+    (tmp_path / "log.txt").write_text(log)
     commits, files = readers.change_log(spark, str(tmp_path / "log.txt"))
     assert sorted((r.sha, r.n_parents) for r in commits.collect()) == [("c1", 1), ("c2", 2)]
-    assert sorted((r.sha, r.path, r.change_type) for r in files.collect()) == [("c1", "old.py", "DELETE"), ("c1", "src/a.py", "ADD"), ("c2", "src/a.py", "MODIFY")]
+    assert sorted((r.sha, r.path, r.change_type, r.added, r.deleted) for r in files.collect()) == [("c1", "old.py", "DELETE", None, None), ("c1", "src/a.py", "ADD", 3, 0), ("c2", "src/a.py", "MODIFY", 5, 1), ("c2", "src/n.py", "MODIFY", 0, 0)]
+    assert commits.where("sha = 'c1'").first().subject == "first"
     assert [r.sha for r in readers.change_log(spark, str(tmp_path / "log.txt"), since="2023-01-01 12:00:00")[0].collect()] == ["c2"]
 
     (tmp_path / "adr-007.md").write_text("# Use queues\nStatus: Accepted\nDate: 2023-04-05\nSee `src/a.py`.")
@@ -235,3 +239,117 @@ def test_weighted_neighbours(spark):
     (plain,) = retrieval.knn(rows, rows.where("id = 1"), "id", "v", 1).collect()
     (best,) = retrieval.knn(rows, rows.where("id = 1"), "id", "v", 1, label="l", quality="q").collect()
     assert plain.id == 2 and best.id == 3
+
+
+def test_walk_heeds_the_ignore_file(spark, tmp_path):
+    for name in ("src/a.py", "src/gen/b.py", "build/c.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / ".gitignore").write_text("# built\nbuild/\nsrc/gen/**\n")
+    assert {r.path for r in readers.walk(spark, str(tmp_path), ["py"], names=[]).collect()} == {"src/a.py"}
+    assert len(readers.walk(spark, str(tmp_path), ["py"], names=[], use_ignore_file=False).collect()) == 3
+
+
+def test_traces_of_databases_and_small_saves(spark, tmp_path):
+    import sqlite3
+
+    from strataflow.sources import traces
+
+    base = sqlite3.connect(tmp_path / "cov.db")
+    base.execute("CREATE TABLE file (id INTEGER, path TEXT)")
+    base.execute("CREATE TABLE line_bits (file_id INTEGER, numbits BLOB)")
+    base.execute("INSERT INTO file VALUES (1, '/work/src/a.py'), (2, 'src/b.py')")
+    base.execute("INSERT INTO line_bits VALUES (1, x'0a01'), (2, x'02')")
+    base.commit()
+    base.close()
+    got = {r.path: r.lines for r in traces.coverage_database(spark, str(tmp_path / "cov.db"), "/work").collect()}
+    assert got == {"src/a.py": [1, 3, 8], "src/b.py": [1]}
+    (tmp_path / "broken.db").write_bytes(b"no database")
+    assert traces.coverage_database(spark, str(tmp_path / "broken.db")).count() == 0
+
+    for text in ("one", "two: é"):
+        traces.atomic_save(spark, str(tmp_path / "state.json"), text)
+        assert (tmp_path / "state.json").read_text() == text
+    assert not (tmp_path / "state.json.part").exists()
+
+
+def test_annotations_and_communities(spark):
+    files = spark.createDataFrame([('{"file": "a.py", "what": "w", "signals": ["x"]}',), ('[{"file": "b.py", "signals": []}, {"what": "no file"}]',), ("broken",), ('{"communities": [{"id": "c", "summary": "s", "members": ["m", "n"]}]}',)], "content string")
+    assert {(r.file, tuple(r.signals)) for r in readers.annotations(files).collect()} == {("a.py", ("x",)), ("b.py", ())}
+    assert {(r.community, r.member) for r in readers.communities(files).collect()} == {("c", "m"), ("c", "n")}
+
+
+def test_streamed_bursts_are_those_of_a_table(spark, tmp_path):
+    from strataflow.streaming import streams
+
+    rows = [("a", at(1), 1, "x"), ("a", at(1) + dt.timedelta(seconds=1), 2, "y"), ("a", at(1) + dt.timedelta(seconds=9), 3, "z"), ("b", at(1), 4, "x"), ("b", at(20), 5, "end")]
+    spark.createDataFrame(rows, "file string, at timestamp, seq long, kind string").repartition(3).write.parquet(str(tmp_path / "e"))
+    whole = {(r.file, r.kind, r.n) for r in runtime.debounced_changes(spark.read.parquet(str(tmp_path / "e")), 2).collect()}
+    assert whole == {("a", "y", 2), ("a", "z", 1), ("b", "x", 1), ("b", "end", 1)}
+    got = {(r.file, r.kind, r.n) for r in streams.drained(streams.debounced(streams.event_stream(spark, str(tmp_path / "e"), 9), "2 seconds", "1 day")).collect()}
+    # the last bursts are still open: no event has come after them
+    assert {("a", "y", 2), ("a", "z", 1), ("b", "x", 1)} <= got <= whole
+
+
+def test_reconciliation_waits_for_its_own_run(spark):
+    t = lambda s: at(1) + dt.timedelta(seconds=s)
+    df = spark.createDataFrame([("r", t(0)), ("r", t(0.5)), ("r", t(3)), ("r", t(4.5)), ("r", t(30))], "repository string, at timestamp")
+    got = [((r.start - at(1)).total_seconds(), r.n) for r in runtime.reconcile_runs(df, 1, 5).orderBy("start").collect()]
+    assert got == [(1.5, 2), (6.5, 2), (31.0, 1)]
+
+
+def test_communities_against_brute_force(spark):
+    import random
+
+    from strataflow.operators import advisory
+
+    rng = random.Random(4)
+    files = [f"{d}/f{i}" for d in "abcdefg" for i in range(8)]
+    edges = {(x, y) for _ in range(400) for x, y in [rng.sample(files, 2)] if x[0] == y[0] or (x[0], y[0]) in (("a", "b"), ("c", "d"), ("e", "a")) or rng.random() < 0.03}
+    df = spark.createDataFrame(sorted(edges), "src string, dst string")
+    got = {r.node: r.community for r in advisory.communities(df, lambda c: F.split(c, "/")[0], largest=20).collect()}
+
+    ends = [*edges, *[(b, a) for a, b in edges]]
+    degree = {f: sum(a == f for a, _ in ends) for f in files if any(f in e for e in edges)}
+    ordered = sorted(degree.values())
+    place = 0.95 * (len(ordered) - 1)
+    limit = ordered[int(place)] + (place % 1) * (ordered[min(int(place) + 1, len(ordered) - 1)] - ordered[int(place)])
+    own = {f: f[0] for f in degree if degree[f] <= limit}
+    size = {d: sum(v == d for v in own.values()) for d in set(own.values())}
+    weight, into = {}, {d: d for d in size}
+    for a, b in edges:
+        if a in own and b in own and own[a] != own[b]:
+            k = tuple(sorted((own[a], own[b])))
+            weight[k] = weight.get(k, 0) + 1
+    while open_ := [k for k, n in weight.items() if n > 3 and size[k[0]] + size[k[1]] <= 20]:
+        x, y = min(open_, key=lambda k: (-weight[k], k))
+        size[x] += size.pop(y)
+        into = {f: x if c == y else c for f, c in into.items()}
+        merged = {}
+        for (p, q), n in weight.items():
+            k = tuple(sorted((x if p == y else p, x if q == y else q)))
+            if k[0] != k[1]:
+                merged[k] = merged.get(k, 0) + n
+        weight = merged
+    expected = {f: into[d] for f, d in own.items()}
+    for hub in set(degree) - set(own):
+        votes = {}
+        for a, b in ends:
+            if a == hub and b in own:
+                votes[expected[b]] = votes.get(expected[b], 0) + 1
+        if votes:
+            expected[hub] = min(votes, key=lambda c: (-votes[c], c))
+    kept = {c for c in expected.values() if sum(v == c for v in expected.values()) >= 3}
+    assert got == {f: c for f, c in expected.items() if c in kept}
+    with pytest.raises(ValueError):
+        advisory.communities(df, lambda c: F.split(c, "/")[0], most_pairs=1)
+
+
+def test_rebuild_goes_on_after_a_failure(spark):
+    from strataflow.operators import advisory
+
+    def broken(_):
+        raise RuntimeError("not here")
+
+    rows = advisory.rebuild(spark, [("a", lambda s: s.range(2)), ("b", broken), ("c", broken), ("d", lambda s: s.range(1))], optional=["c"]).collect()
+    assert [(r.step, r.status, r.n_rows) for r in rows] == [("a", "OK", 2), ("b", "FAILED", None), ("c", "SKIPPED", None), ("d", "OK", 1)]
