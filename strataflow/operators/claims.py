@@ -158,3 +158,12 @@ def quoted_strings(answers: DataFrame, evidence: DataFrame, least: int = 4) -> D
     quotes = answers.select("answer_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf'"([^"\n]{{{least},}})"'), F.lit(1)))).alias("quote"))
     met = quotes.join(evidence.select("answer_id", "content"), "answer_id", "left")
     return met.groupBy("answer_id", "quote").agg(F.coalesce(F.bool_or(F.contains("content", "quote")), F.lit(False)).alias("found"))
+
+
+def cited_symbols(answers: DataFrame, files: DataFrame) -> DataFrame:
+    """(answer_id, path, symbol, found): symbols in backticks that share a sentence with a file (path, content) that is cited, and whether the file has them."""
+    said = answers.select("answer_id", F.explode(sentences(F.col("text"))).alias("s"))
+    paths = F.array_distinct(F.regexp_extract_all("s", F.lit(CODE_PATH), F.lit(0)))
+    names = F.array_distinct(F.regexp_extract_all("s", F.lit(r"`([A-Za-z_]\w*)`"), F.lit(1)))
+    pairs = said.select("answer_id", F.explode(paths).alias("path"), names.alias("names")).select("answer_id", "path", F.explode("names").alias("symbol")).distinct()
+    return pairs.join(files.select("path", "content"), "path").select("answer_id", "path", "symbol", F.regexp_like("content", F.concat(F.lit(r"\b\Q"), F.col("symbol"), F.lit(r"\E\b"))).alias("found"))

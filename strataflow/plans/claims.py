@@ -83,3 +83,9 @@ def c7_relation_claims(spark, d):
     AND NOT regexp_matches(content, '\bAPIRouter\s*\(|\bclass\s+\w*Middleware\b|\bBlueprint\s*\(|\brouter\s*=\s*Router\s*\(') AND NOT contains(content, 'if __name__ == "__main__"')""")
 def c11_dead_files(spark, d):
     return op.dead_files(*_two(spark, d, "code_files", "import_edges"))
+
+
+@query("c9_cited_symbols", with_("answers", "code_files") + rf""", s AS (SELECT answer_id, unnest({_SENTENCES}) AS s FROM answers), p AS (SELECT answer_id, s, unnest(list_distinct(regexp_extract_all(s, '{_PATH}'))) AS path FROM s), n AS (SELECT DISTINCT answer_id, path, unnest(list_distinct(regexp_extract_all(s, '`([A-Za-z_]\w*)`', 1))) AS symbol FROM p)
+    SELECT answer_id, path, symbol, regexp_matches(content, '\b' || symbol || '\b') AS found FROM n JOIN code_files USING (path)""")
+def c9_cited_symbols(spark, d):
+    return op.cited_symbols(*_two(spark, d, "answers", "code_files"))

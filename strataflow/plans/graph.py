@@ -9,6 +9,7 @@ from strataflow.operators import history as hist
 from strataflow.plans import history as plans
 from strataflow.plans.registry import query
 from strataflow.sources import adapters as role
+from strataflow.sources import roles
 from strataflow.sources.adapters import table
 
 _EDGES = """edges AS (SELECT 'e' || event_id AS src, 'e' || (event_id // 2) AS dst, CASE event_type WHEN 'view' THEN 'calls' WHEN 'click' THEN 'reads' WHEN 'signup' THEN 'imports' WHEN 'purchase' THEN 'instantiates' ELSE 'fallback_to' END AS type FROM events WHERE event_id > 0
@@ -165,10 +166,13 @@ def t10_topological_levels(spark, d):
     return op.topological_levels(edges_of(spark, d).where("type <> 'assigns'"))
 
 
-@query("j19_symbol_resolution", "WITH defs AS (SELECT DISTINCT 'u' || doc_id AS unit, source AS file, doc_id AS line, lower(substr(text, 1, 4)) AS k FROM documents), uses AS (SELECT DISTINCT unit, k FROM defs) SELECT u.unit, u.k AS name, f.unit AS target, row_number() OVER (PARTITION BY u.unit, u.k ORDER BY file, line, f.unit) AS rn FROM uses u JOIN defs f ON f.k = u.k AND f.unit <> u.unit QUALIFY rn <= 3")
+@query("j19_symbol_resolution", roles.with_("graph_units", "graph_facts") + """, uses AS (SELECT DISTINCT unit_id AS unit, lower(string_split(symbol, '.')[-1]) AS k FROM graph_facts WHERE fact_type = 'call_site'), defs AS (SELECT lower(string_split(symbol, '.')[-1]) AS k, unit_id AS target, file_path AS file, CAST(substr(unit_id, 2) AS BIGINT) AS line FROM graph_units)
+    SELECT unit, uses.k AS name, target, row_number() OVER (PARTITION BY unit, uses.k ORDER BY file, line, target) AS rn FROM uses JOIN defs ON defs.k = uses.k WHERE unit <> target QUALIFY rn <= 3""")
 def j19_symbol_resolution(spark, d):
-    defs = table(spark, d, "documents").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("unit"), F.col("source").alias("file"), F.col("doc_id").alias("line"), F.substring("text", 1, 4).alias("name"))
-    return op.resolve_symbols(defs.select("unit", "name"), defs)
+    last = F.element_at(F.split("symbol", r"\."), -1)
+    uses = roles.role(spark, d, "graph_facts").where("fact_type = 'call_site'").select(F.col("unit_id").alias("unit"), last.alias("name"))
+    defs = roles.role(spark, d, "graph_units").select(last.alias("name"), F.col("unit_id").alias("unit"), F.col("file_path").alias("file"), F.substring("unit_id", 2, 20).cast("long").alias("line"))
+    return op.resolve_symbols(uses, defs)
 
 
 @query("g19_call_resolution", f"WITH {_EDGES}, calls AS (SELECT DISTINCT src AS caller, substr(dst, 2, 2) AS name FROM edges), t0 AS (SELECT DISTINCT src AS caller, substr(dst, 2, 2) AS name, dst AS target FROM edges WHERE type = 'calls'), t1 AS (SELECT DISTINCT src AS caller, substr(dst, 2, 2) AS name, dst AS target FROM edges), r0 AS (SELECT caller, name, min(target) AS target, 0 AS tier FROM calls JOIN t0 USING (caller, name) GROUP BY ALL HAVING count(DISTINCT target) = 1), r1 AS (SELECT caller, name, min(target) AS target, 1 AS tier FROM calls ANTI JOIN r0 USING (caller, name) JOIN t1 USING (caller, name) GROUP BY ALL HAVING count(DISTINCT target) = 1) SELECT * FROM r0 UNION ALL SELECT * FROM r1")

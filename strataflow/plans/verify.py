@@ -17,13 +17,6 @@ def c8_thin_grounding(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(n.alias("sources"), F.when(n < 3, "revise").otherwise("pass").alias("outcome"))
 
 
-@query("c9_cited_symbols", "WITH c AS (SELECT DISTINCT doc_id, lower(unnest(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '))) AS s FROM documents) SELECT doc_id, count(*) AS cited FROM c JOIN (SELECT DISTINCT lower(string_split(text, ' ')[1]) AS s FROM benchmark) k USING (s) GROUP BY doc_id")
-def c9_cited_symbols(spark, d):
-    cited = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " ")).alias("w")).select("doc_id", F.lower("w").alias("s")).distinct()
-    known = table(spark, d, "benchmark").select(F.lower(F.split("text", " ")[0]).alias("s")).distinct()
-    return cited.join(known, "s").groupBy("doc_id").agg(F.count("*").alias("cited"))
-
-
 @query("c10_omitted_files", "WITH m AS (SELECT l_orderkey % 100 AS answer, l_partkey AS file, count(*) AS n FROM lineitem GROUP BY ALL) SELECT answer, file, n FROM m WHERE n >= 2 AND file NOT IN (SELECT p_partkey FROM part WHERE p_name LIKE 'red%') QUALIFY row_number() OVER (PARTITION BY answer ORDER BY n DESC, file) <= 3")
 def c10_omitted_files(spark, d):
     from pyspark.sql import Window
