@@ -165,3 +165,8 @@ def u5_dedupe_keep_best(spark, d):
 @query("w15_score_normalization", f"WITH {_LISTS}, t AS (SELECT query, doc, score FROM bm WHERE rank <= 40), m AS (SELECT query, min(score) AS lo, max(score) AS hi FROM t GROUP BY query) SELECT query, doc, round(CASE WHEN hi = lo THEN 1.0 ELSE 0.3 + (score - lo) / (hi - lo) * 0.7 END, 6) AS normalized FROM t JOIN m USING (query)")
 def w15_score_normalization(spark, d):
     return op.min_max(_bm25(spark, d, 40), "query", "score").select("query", "doc", F.round("normalized", 6).alias("normalized"))
+
+
+@query("v6_indexed_search", f"WITH {_LISTS} SELECT query, doc, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
+def v6_indexed_search(spark, d):
+    return op.index(table(spark, d, "documents"), "doc_id", "text").search(table(spark, d, "benchmark"), "item_id", "text").withColumn("score", F.round("score", 6))
