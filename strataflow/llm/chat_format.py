@@ -86,7 +86,7 @@ class _Codec:
     """Tokens of strings, by a tokenizer file's content, or UTF-8 bytes without one."""
 
     def __init__(self, content: str | None) -> None:
-        self.tokenizer = None
+        self.tokenizer, self.fixed = None, {}
         if content is not None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
@@ -95,9 +95,15 @@ class _Codec:
             self.tokenizer.encode_special_tokens = True
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """Tokens of each text; short ones, control strings above all, are kept."""
         if self.tokenizer is None:
             return [list(x.encode()) for x in texts]
-        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if len(self.fixed) > 10_000:
+            self.fixed.clear()
+        fresh = [x for x in dict.fromkeys(texts) if x not in self.fixed]
+        own = dict(zip(fresh, (x.ids for x in self.tokenizer.encode_batch(fresh, add_special_tokens=False)), strict=True))
+        self.fixed |= {x: ids for x, ids in own.items() if len(x) <= 24}
+        return [self.fixed[x] if x in self.fixed else own[x] for x in texts]
 
     def decode(self, tokens: list[int]) -> str:
         return bytes(tokens).decode() if self.tokenizer is None else self.tokenizer.decode(tokens, skip_special_tokens=False)
@@ -243,14 +249,20 @@ def read_back(packs: DataFrame, tokenizer: str | None = TOKENIZER) -> DataFrame:
     def of(batches):
         codec = _Codec(content.value)
         for batch in batches:
-            for (pack,) in _slices([batch], 1):
+            for at in range(batch.num_rows):
                 rows, texts = [], {}
-                tokens, mask, nodes = pack["tokens"], pack["loss_mask"], pack["nodes"]
+                tokens = batch.column("tokens").slice(at, 1).flatten().to_numpy(zero_copy_only=False)
+                mask = np.frombuffer(batch.column("loss_mask")[at].as_py(), dtype=np.uint8)
+                pack = batch.select(["nodes", "conversations"]).slice(at, 1).to_pylist()[0]
+                nodes = pack["nodes"]
 
                 def text_of(k: int) -> tuple[str, str]:
+                    """The text of a node and what of it is under the loss mask; pieces were encoded one by one."""
                     if k not in texts:
                         a, b = nodes[k]["start"], nodes[k]["end"]
-                        texts[k] = codec.decode(tokens[a:b]), unescape(codec.decode([t for t, m in zip(tokens[a:b], mask[a:b], strict=True) if m]))
+                        cuts = [a, *(np.flatnonzero(np.diff(mask[a:b])) + a + 1).tolist(), b]
+                        pieces = [(codec.decode(tokens[x:y].tolist()), mask[x]) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
+                        texts[k] = "".join(p for p, _ in pieces), unescape("".join(p for p, loss in pieces if loss))
                     return texts[k]
 
                 for conv in pack["conversations"]:
