@@ -17,11 +17,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.llm._shared import bounded, materialize
 from strataflow.llm._text import Words, chunks
+from strataflow.operators.ranks import running
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -46,21 +47,6 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return own.mapInArrow(of, ", ".join([*kinds, "size long", "quality double"]))
 
 
-def _running(rows: DataFrame, order: Sequence[Column], sums: Sequence[str], part_rows: int = 100_000) -> DataFrame:
-    """Rows with `rank` from 1 in the order given, and before_c, the sum of c over the rows before; ranges, not one task, hold the rows."""
-    parts = rows.count() // part_rows + 1
-    dealt = materialize(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "mix-ranges")
-    totals = dealt.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{c}") for c in sums])
-    # a row for each range
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_part").alias("_of"), *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in ("n", *sums)])
-    inside = Window.partitionBy("_part").orderBy(*order)
-    found = dealt.join(offsets, F.col("_part") == F.col("_of")).withColumn("rank", F.col("_n") + F.row_number().over(inside))
-    for c in sums:
-        found = found.withColumn(f"before_{c}", F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return found.select(*rows.columns, "rank", *[f"before_{c}" for c in sums])
-
-
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, budget: float | None = None) -> DataFrame:
     """(source, rank, source_size, target) for sizes (source, size). Weights repeat over the sources by code point, null last.
 
@@ -69,8 +55,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), max_e
     """
     total = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = _running(total, [F.col("source").asc_nulls_last()], []).withColumn("w", weight).withColumn("cap", (F.col("source_size") * max_epochs).cast("double"))
-    filling = materialize(_running(ranked.withColumnRenamed("rank", "place"), [(F.col("cap") / F.col("w")).asc(), F.col("place").asc()], ["cap", "w"]), "mix-filling")
+    ranked = running(total, [F.col("source").asc_nulls_last()]).withColumn("w", weight).withColumn("cap", (F.col("source_size") * max_epochs).cast("double"))
+    filling = materialize(running(ranked.withColumnRenamed("rank", "place"), [(F.col("cap") / F.col("w")).asc(), F.col("place").asc()], ["cap", "w"]), "mix-filling")
     caps, shares, size = filling.agg(F.sum("cap"), F.sum("w"), F.sum("source_size")).first()
     goal = min(float(budget if budget is not None else size or 0), caps or 0.0)
     level = filling.agg(F.max((F.lit(goal) - F.col("before_cap")) / (F.lit(shares or 1.0) - F.col("before_w")))).first()[0]

@@ -620,7 +620,7 @@ def test_source_targets_over_many_ranges(spark, monkeypatch):
     sizes = [(f"s{k:03}" if k else None, 1 + k * k % 97) for k in range(150)]
     df = spark.createDataFrame(sizes, "source string, size long")
     whole = {r.source: (r["rank"], r.target) for r in mixing.source_targets(df).collect()}
-    monkeypatch.setattr(mixing._running, "__defaults__", (20,))
+    monkeypatch.setattr(mixing.running, "__defaults__", ((), 20))
     parts = {r.source: (r["rank"], r.target) for r in mixing.source_targets(df).collect()}
     assert whole == parts and sorted(r for r, _ in whole.values()) == list(range(1, 151)) and whole[None][0] == 150
 
