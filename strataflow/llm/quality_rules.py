@@ -22,7 +22,7 @@ from strataflow.llm._text import WHITESPACE, Words, chunks, mix64, rolling, wind
 #: of Zstandard has some ten bytes of its own, so under 64 bytes the ratio says nothing.
 #: Upper limits lie between prose and the base64 of random bytes (0.91 at 328 bytes, 0.81 at 812, 0.77 at 2,560, 0.76 beyond).
 DOCUMENT_BANDS: tuple[tuple[int, float, float], ...] = ((64, 0.0, 1e9), (128, 0.42, 1.25), (256, 0.42, 1.10), (400, 0.36, 0.86), (1024, 0.36, 0.79), (4096, 0.33, 0.74), (16384, 0.30, 0.72), (1 << 62, 0.25, 0.70))
-CHUNK_BANDS: tuple[tuple[int, float, float], ...] = ((256, 0.0, 2.0), (400, 0.30, 0.86), (1024, 0.30, 0.79), (1 << 62, 0.27, 0.74))
+CHUNK_BANDS: tuple[tuple[int, float, float], ...] = ((64, 0.0, 1e9), (256, 0.0, 2.0), (400, 0.30, 0.86), (1024, 0.30, 0.79), (1 << 62, 0.27, 0.74))
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
