@@ -211,3 +211,12 @@ def unique_matches(calls: DataFrame, tiers: list[DataFrame]) -> DataFrame:
         found = one if found is None else found.unionByName(one)
         left = left.join(one, ["caller", "name"], "left_anti")
     return found
+
+
+def resolve_calls(calls: DataFrame, units: DataFrame, imports: DataFrame) -> DataFrame:
+    """(caller, name, target, tier): calls (caller, name) to the one unit (unit_id, file_path, parent_id, name) of that name: in the caller's container (0), its file (1), a file it imports (2; src, dst), or anywhere (3)."""
+    own = units.select(F.col("unit_id").alias("caller"), F.col("file_path").alias("at"), F.col("parent_id").alias("inside"))
+    met = calls.distinct().join(own, "caller").join(units.select(F.col("unit_id").alias("target"), "file_path", "parent_id", "name"), "name").where("target <> caller")
+    near = met.join(imports.select(F.col("src").alias("at"), F.col("dst").alias("file_path")).distinct(), ["at", "file_path"], "left_semi")
+    tiers = [met.where("parent_id = inside"), met.where("file_path = at"), near, met]
+    return unique_matches(met.select("caller", "name"), [t.select("caller", "name", "target") for t in tiers])

@@ -17,7 +17,7 @@ def _two(spark, d, *names):
     return [role(spark, d, n) for n in names]
 
 
-@query("c1_numeric_claims", with_("answers", "evidence", "numeric_facts") + rf""", p AS (SELECT answer_id, unnest(regexp_extract_all(text, '(?s)\d+(?:\.\d+)?|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*|.')) AS piece, unnest(range(1000000)[1:len(regexp_extract_all(text, '(?s)\d+(?:\.\d+)?|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*|.'))]) AS place FROM answers),
+@query("c1_numeric_claims", with_("answers", "evidence", "numeric_facts") + rf""", p AS (SELECT answer_id, unnest(regexp_extract_all(text, '(?s)\d+(?:\.\d+)?|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*|.')) AS piece, unnest(range(len(regexp_extract_all(text, '(?s)\d+(?:\.\d+)?|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*|.')))) AS place FROM answers),
     a AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY answer_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_, lag(piece) OVER o AS b, lead(piece) OVER o AS n1, lead(piece, 2) OVER o AS n2 FROM p WINDOW o AS (PARTITION BY answer_id ORDER BY place)),
     hedged AS (SELECT DISTINCT answer_id, unnest(regexp_extract_all(s, '\b\d+(?:\.\d+)?')) AS piece FROM (SELECT answer_id, unnest({_SENTENCES}) AS s FROM answers) WHERE regexp_matches(s, '{_HEDGE}')),
     num AS (SELECT answer_id, piece AS number, at_, CAST(piece AS DOUBLE) AS v FROM a WHERE regexp_matches(piece, '^\d') AND NOT coalesce((b IS NULL OR b = chr(10)) AND n1 IN ('.', ')') AND n2 = ' ', false) AND NOT EXISTS (SELECT 1 FROM hedged h WHERE h.answer_id = a.answer_id AND h.piece = a.piece)),

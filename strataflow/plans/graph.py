@@ -175,10 +175,16 @@ def j19_symbol_resolution(spark, d):
     return op.resolve_symbols(uses, defs)
 
 
-@query("g19_call_resolution", f"WITH {_EDGES}, calls AS (SELECT DISTINCT src AS caller, substr(dst, 2, 2) AS name FROM edges), t0 AS (SELECT DISTINCT src AS caller, substr(dst, 2, 2) AS name, dst AS target FROM edges WHERE type = 'calls'), t1 AS (SELECT DISTINCT src AS caller, substr(dst, 2, 2) AS name, dst AS target FROM edges), r0 AS (SELECT caller, name, min(target) AS target, 0 AS tier FROM calls JOIN t0 USING (caller, name) GROUP BY ALL HAVING count(DISTINCT target) = 1), r1 AS (SELECT caller, name, min(target) AS target, 1 AS tier FROM calls ANTI JOIN r0 USING (caller, name) JOIN t1 USING (caller, name) GROUP BY ALL HAVING count(DISTINCT target) = 1) SELECT * FROM r0 UNION ALL SELECT * FROM r1")
+@query("g19_call_resolution", roles.with_("call_units", "call_sites", "unit_imports") + """, u AS (SELECT unit_id, file_path, parent_id, lower(string_split(symbol, '.')[-1]) AS name FROM call_units), c AS (SELECT DISTINCT unit_id AS caller, lower(string_split(symbol, '.')[-1]) AS name FROM call_sites),
+    m AS (SELECT caller, c.name, t.unit_id AS target, CASE WHEN t.parent_id = o.parent_id THEN 0 END AS t0, CASE WHEN t.file_path = o.file_path THEN 1 END AS t1, CASE WHEN EXISTS (SELECT 1 FROM unit_imports i WHERE i.src = o.file_path AND i.dst = t.file_path) THEN 2 END AS t2 FROM c JOIN u o ON o.unit_id = caller JOIN u t ON t.name = c.name AND t.unit_id <> caller),
+    x AS (SELECT caller, name, target, t0 AS tier FROM m WHERE t0 IS NOT NULL UNION ALL SELECT caller, name, target, 1 FROM m WHERE t1 IS NOT NULL UNION ALL SELECT caller, name, target, 2 FROM m WHERE t2 IS NOT NULL UNION ALL SELECT caller, name, target, 3 FROM m),
+    one AS (SELECT caller, name, tier, min(target) AS target FROM x GROUP BY ALL HAVING count(DISTINCT target) = 1) SELECT caller, name, target, tier FROM one QUALIFY row_number() OVER (PARTITION BY caller, name ORDER BY tier) = 1""")
 def g19_call_resolution(spark, d):
-    rows = edges_of(spark, d).select(F.col("src").alias("caller"), F.substring("dst", 2, 2).alias("name"), F.col("dst").alias("target"), "type")
-    return op.unique_matches(rows.select("caller", "name"), [rows.where("type = 'calls'").drop("type"), rows.drop("type")])
+    units, facts, imports = (roles.role(spark, d, n) for n in ("call_units", "call_sites", "unit_imports"))
+    last = lambda c: F.lower(F.element_at(F.split(c, r"\."), -1))
+    calls = facts.select(F.col("unit_id").alias("caller"), last("symbol").alias("name"))
+    return op.resolve_calls(calls, units.select("unit_id", "file_path", "parent_id", last("symbol").alias("name")), imports)
+
 
 
 @query("a31_document_frequency", "WITH t AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents), f AS (SELECT w, count(*) AS df FROM t WHERE length(w) >= 4 GROUP BY w) SELECT w, df FROM f WHERE df >= 5 AND df <= 0.3 * (SELECT count(*) FROM documents)")

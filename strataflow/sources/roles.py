@@ -174,3 +174,9 @@ ROLES |= {
     "plan_documents": f"SELECT p_partkey AS doc, '# Plan' || {_NL} || '- [x] add ' || p_name || ' to `src/f' || (p_partkey % 30) || '.py`' || {_NL} || '- [ ] test ' || p_name || {_NL} || '2. write docs for `docs/a.md` and `src/x.py`' || {_NL} || 'no task' AS text FROM {{part}} WHERE p_partkey <= 150",
     "plan_units": "SELECT p_partkey AS unit, 'add ' || p_name || ' to the store' AS text, 'src/f' || (p_partkey % 45) || '.py' AS file FROM {part} WHERE p_partkey <= 400",
 }
+
+ROLES |= {
+    "call_units": "SELECT 'u' || p_partkey AS unit_id, 'src/f' || (p_partkey % 40) || '.py' AS file_path, 'Mod.name' || ((p_partkey * 3) % 170) AS symbol, 'c' || (p_partkey % 70) AS parent_id FROM {part} WHERE p_partkey <= 400",
+    "call_sites": "SELECT 'u' || (l_partkey % 400) AS unit_id, 'x.Name' || ((l_suppkey * 7 + l_linenumber) % 170) AS symbol FROM {lineitem} WHERE l_orderkey % 3 = 0 AND l_linenumber < 3",
+    "unit_imports": "SELECT DISTINCT 'src/f' || (p_partkey % 40) || '.py' AS src, 'src/f' || ((p_partkey * 7 + 3) % 40) || '.py' AS dst FROM {part} WHERE p_partkey <= 60",
+}
