@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataflow.operators import graph as op
-from strataflow.operators import history as hist
 from strataflow.plans import history as plans
 from strataflow.plans.registry import query
 from strataflow.sources import adapters as role

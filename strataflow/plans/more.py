@@ -9,13 +9,13 @@ from strataflow.operators import advisory as op
 from strataflow.operators import graph as gop
 from strataflow.operators import history as hist
 from strataflow.operators import lookup as lop
-from strataflow.operators import retrieval as rop
-from strataflow.plans import graph, history, lookup, retrieval, runtime, snapshots
+from strataflow.plans import graph, history, lookup, runtime, snapshots
 from strataflow.plans.registry import query
 from strataflow.sources import adapters as role
 from strataflow.sources import roles
 from strataflow.sources.adapters import table
 
+
 @query("a12_brier_score", f"{snapshots._RATES} SELECT version, round(brier, 6) AS brier FROM m")
 def a12_brier_score(spark, d):
     return snapshots.r15_prediction_accountability(spark, d).select("version", "brier")
