@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm._shared import table
+from strataflow.llm._shared import shared_dir, table
+from strataflow.llm.batch_views import batch_views, join_lifetimes
 from strataflow.llm.chat_format import format_chats, read_back
 from strataflow.llm.decontaminate import decontaminate
+from strataflow.llm.filter_audit import audit_filters
 from strataflow.llm.license_scan import scan_licenses
 from strataflow.llm.line_dedup import dedup_lines
 from strataflow.llm.mixing import mix_sources
@@ -18,6 +21,7 @@ from strataflow.llm.quality_rules import quality_rules
 from strataflow.llm.simhash_dedup import near_duplicates
 from strataflow.llm.substring_dedup import substring_dedup
 from strataflow.llm.toxicity import learn, toxicity, training_rows
+from strataflow.llm.warc import originals, read_archives, write_archives
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +78,39 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted", "hits")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(table(spark, sf_dir, "pages"), path)
+    found = originals(read_archives(spark, path, payloads=False))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("original_id").alias("refers_to"))
+
+
+def _lived(rows: DataFrame, kind: str, *key: str) -> DataFrame:
+    """Rows with the batches [lo, hi) in which they are in their table."""
+    h = F.crc32(F.concat_ws("", F.lit(kind), F.concat_ws(":", *[F.col(c).cast("string") for c in key])).cast("binary"))
+    a, d = F.pmod(h, F.lit(3)).cast("int"), F.pmod(F.floor(h / 3), F.lit(3)).cast("int")
+    return rows.withColumn("lo", F.when(a < d, a).otherwise(0)).withColumn("hi", F.when(a < d, d).otherwise(3))
+
+
+def op13_batch_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation_id"), F.col("n_regionkey").alias("region")).dropna()
+    revenue = F.floor(100 * F.col("amount") + 0.5) * (100 - F.floor(100 * F.col("discount") + 0.5))
+    lines = _lived(table(spark, sf_dir, "sale_lines"), "l", "sale_id", "line_no").where("amount is not null")
+    lines = lines.select("sale_id", "item_id", "vendor_id", revenue.alias("revenue"), "lo", "hi").dropna(subset=["sale_id", "vendor_id"])
+    sales = _lived(table(spark, sf_dir, "sales"), "s", "sale_id").select("sale_id", "client_id", F.unix_date(F.to_date("sold_at")).cast("long").alias("part"), "lo", "hi").dropna(subset=["sale_id", "part"])
+    clients = _lived(table(spark, sf_dir, "clients"), "c", "client_id").select("client_id", "nation_id", "lo", "hi").join(regions, "nation_id").drop("nation_id")
+    vendors = table(spark, sf_dir, "vendors").select("vendor_id", "nation_id", F.lit(0).alias("lo"), F.lit(3).alias("hi")).join(regions, "nation_id").drop("nation_id")
+    sold = join_lifetimes(sales, clients, ["client_id"], counted=table(spark, sf_dir, "sales").select("client_id"))
+    offered = join_lifetimes(lines, vendors, ["vendor_id"], counted=table(spark, sf_dir, "sale_lines").select("vendor_id")).drop("vendor_id")
+    joined = join_lifetimes(offered, sold, ["sale_id", "region"], counted=table(spark, sf_dir, "sale_lines").select("sale_id"))
+    found = batch_views(joined, ["region", "part"], 3, sums=["revenue"], mins=["revenue"], distinct=["client_id", "item_id"])
+    return found.select("batch", "region", "part", F.col("n_rows").alias("n_lines"), F.col("sum_revenue").alias("revenue"), "min_revenue", F.col("distinct_client_id").alias("n_clients"), F.col("distinct_item_id").alias("n_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
@@ -85,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_warc_revisits": op12_warc_revisits,
+    "op13_batch_views": op13_batch_views,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -162,4 +202,49 @@ ORACLE_SQL: dict[str, str] = {
         b AS (SELECT *, target - epochs * source_size AS rest, sum(size) OVER (PARTITION BY rank ORDER BY key, doc_id, size) - size AS before FROM k),
         n AS (SELECT *, CASE WHEN source_size > 0 THEN epochs + CASE WHEN size > 0 AND epochs < 3 AND before * 2 + size <= rest * 2 THEN 1 ELSE 0 END ELSE 0 END AS copies FROM b)
         SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM n""",
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first_id FROM d),
+        g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                     [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+                      regexp_matches(text, '[#$%&*|]'), coalesce(first_id < w.doc_id, false)] AS fails FROM w LEFT JOIN g USING (doc_id)),
+        k AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+        l AS (SELECT unnest([1, 2, 3, 4, 5]) AS x),
+        o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT o, array_to_string(list_transform(o, lambda x: chr(64 + x)), '') AS filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+        r AS (SELECT part, filter_order, step, o[step] AS f,
+                     sum(n) FILTER (NOT list_bool_or(list_transform(o[1:step], lambda x: fails[x]))) AS kept,
+                     sum(CASE WHEN fails[o[step]] AND NOT coalesce(list_bool_or(list_transform(o[1:step - 1], lambda x: fails[x])), false) THEN n ELSE 0 END) AS removed,
+                     sum(CASE WHEN fails[o[step]] AND coalesce(list_bool_or(list_transform(o[1:step - 1], lambda x: fails[x])), false) THEN n ELSE 0 END) AS redundant,
+                     sum(CASE WHEN fails[o[step]] AND list_sum(list_transform(fails, lambda x: CAST(x AS INT))) = 1 THEN n ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN fails[o[step]] AND NOT coalesce(list_bool_or(list_transform(o[1:step - 1], lambda x: fails[x])), false) THEN good ELSE 0 END) AS good_lost,
+                     sum(CASE WHEN fails[o[step]] AND NOT coalesce(list_bool_or(list_transform(o[1:step - 1], lambda x: fails[x])), false) THEN toxic ELSE 0 END) AS toxic_lost
+              FROM k, s GROUP BY part, filter_order, step, f)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r""",
+    "op12_warc_revisits": r"""
+        WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM d),
+        v AS (SELECT *, list_transform(range(8), lambda k: CAST('0x' || substr(h, 5 * k + 1, 5) AS BIGINT)) AS v FROM f)
+        SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((x >> s) & 31) + 1]), '')), '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM v""",
+    "op13_batch_views": r"""
+        WITH k AS (SELECT 'l' AS t, concat('l', sale_id, ':', line_no) AS k FROM sale_lines UNION SELECT 's', concat('s', sale_id) FROM sales UNION SELECT 'c', concat('c', client_id) FROM clients),
+        h AS (SELECT k, xor(4294967295, list_reduce(list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                  lambda c, b: list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(c, b)), CAST(4294967295 AS BIGINT))) AS h FROM k),
+        b AS (SELECT unnest([0, 1, 2]) AS batch),
+        alive AS (SELECT k, batch FROM h, b WHERE CASE WHEN h % 3 < (h // 3) % 3 THEN h % 3 <= batch AND batch < (h // 3) % 3 ELSE true END),
+        l AS (SELECT a.batch, x.*, CAST(floor(100 * amount + 0.5) AS BIGINT) * (100 - CAST(floor(100 * discount + 0.5) AS BIGINT)) AS r
+              FROM sale_lines x JOIN alive a ON a.k = concat('l', sale_id, ':', line_no) WHERE amount IS NOT NULL),
+        s AS (SELECT a.batch, x.*, CAST(date_diff('day', DATE '1970-01-01', CAST(sold_at AS DATE)) AS BIGINT) AS part FROM sales x JOIN alive a ON a.k = concat('s', sale_id) WHERE sold_at IS NOT NULL),
+        c AS (SELECT a.batch, client_id, n_regionkey FROM clients x JOIN alive a ON a.k = concat('c', client_id) JOIN nation ON nation_id = n_nationkey),
+        v AS (SELECT vendor_id, n_regionkey FROM vendors JOIN nation ON nation_id = n_nationkey)
+        SELECT CAST(l.batch AS INTEGER) AS batch, CAST(c.n_regionkey AS INTEGER) AS region, part, count(*) AS n_lines, CAST(sum(r) AS BIGINT) AS revenue, CAST(min(r) AS BIGINT) AS min_revenue,
+               count(DISTINCT c.client_id) AS n_clients, count(DISTINCT item_id) AS n_items
+        FROM l JOIN s ON l.batch = s.batch AND l.sale_id = s.sale_id JOIN c ON c.batch = s.batch AND c.client_id = s.client_id
+        JOIN v ON v.vendor_id = l.vendor_id AND v.n_regionkey = c.n_regionkey GROUP BY ALL""",
 }
