@@ -68,7 +68,9 @@ def node_summaries(rows: DataFrame, groups: Sequence[str], n_batches: int, sums:
     Sums and counts add, minima take the least, and d_i counts the ids that no node above holds for the group.
     """
     columns = [*(F.col(c).alias(f"g{i}") for i, c in enumerate(groups)), *(F.col(c).alias(f"s{i}") for i, c in enumerate(sums)), *(F.col(c).alias(f"m{i}") for i, c in enumerate(mins)), *(F.col(c).alias(f"d{i}") for i, c in enumerate(distinct))]
-    own = materialize(rows.select(F.col(lo).alias("lo"), F.col(hi).alias("hi"), *columns).where((F.greatest("lo", F.lit(0)) < F.least("hi", F.lit(n_batches)))), "view-rows")
+    own = rows.select(F.col(lo).alias("lo"), F.col(hi).alias("hi"), *columns)
+    own = own.dropna(subset=["lo", "hi"]).where(F.greatest("lo", F.lit(0)) < F.least("hi", F.lit(n_batches)))
+    own = materialize(own, "view-rows")
     g, nodes = [f"g{i}" for i in range(len(groups))], canonical_nodes(F.col("lo"), F.col("hi"), n_batches)
     measures = [*(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(sums))), *(F.min(f"m{i}").alias(f"m{i}") for i in range(len(mins)))]
     found = own.withColumn("node", F.explode(nodes)).groupBy("node", *g).agg(F.count("*").alias("n"), *measures)
