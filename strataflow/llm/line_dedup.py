@@ -103,13 +103,15 @@ def dedup_lines(docs: DataFrame, gram: int = 2, window: int = 2, id_col: str = "
     """
     found = repeated_lines(docs, gram, window, id_col, text_col, long_words)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "gone")]
-    joined = docs.select(keep).join(found.withColumnRenamed("id", "_gone_id").withColumnRenamed("gone", "_gone"), F.col(id_col) == F.col("_gone_id"), "left")
-    text, gone = F.col(text_col), F.col("_gone")
+    # the columns of docs under names that clash with nothing
+    own = docs.select(*[F.col(f"`{c}`").alias(f"doc_{i}") for i, c in enumerate(keep)])
+    joined = own.join(found, F.col(f"doc_{keep.index(id_col)}") == F.col("id"), "left")
+    text, gone = F.col(f"doc_{keep.index(text_col)}"), F.col("gone")
     lines = F.split(text, "\n", -1)
     # what is kept lies between the deleted ranges
     starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda x: x["last"] + 1))
     stops = F.concat(F.transform(gone, lambda x: x["first"]), F.array(F.size(lines)))
     parts = F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(lines, a + 1, b - a)))
     removed = F.aggregate(gone, F.lit(0), lambda total, x: total + x["last"] - x["first"] + 1)
-    columns = [F.when(gone.isNull(), text).otherwise(F.array_join(parts, "\n")).alias(c) if c == text_col else F.col(c) for c in keep]
+    columns = [F.when(gone.isNull(), text).otherwise(F.array_join(parts, "\n")).alias(c) if c == text_col else F.col(f"doc_{i}").alias(c) for i, c in enumerate(keep)]
     return joined.select(*columns, F.when(text.isNotNull(), F.size(lines).cast("long")).alias("n_lines"), F.when(text.isNotNull(), F.coalesce(removed, F.lit(0)).cast("long")).alias("n_removed"), F.coalesce(gone, F.array().cast("array<struct<first:int,last:int>>")).alias("gone"))
