@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -112,20 +114,26 @@ class Lexicon:
             if weight:
                 found.append((start, end, weight))
         if spared:
-            found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b in spared)]
+            # the farthest end of the phrases that begin up to each place decides, so one pass over both will do
+            spared.sort()
+            starts, ends = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+            at = [bisect_right(starts, x[0]) for x in found]
+            found = [x for x, k in zip(found, at, strict=True) if not k or ends[k - 1] < x[1]]
         # of entries that begin at the same place the longest counts
         longest = {start: (start, end, weight) for start, end, weight in sorted(found)}
         return list(longest.values())
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
+    def judge(self, text: str | None) -> tuple[tuple[float, float, float], float, int]:
+        """The features of a text, its score, and how many entries count."""
         folded = fold(text or "")
-        total = sum(w for _, _, w in self.hits(folded))
-        words = len(folded.split())
-        return math.log1p(total), total / max(words, 1), math.log1p(words)
+        found = self.hits(folded)
+        total, words = sum(w for _, _, w in found), len(folded.split())
+        features = math.log1p(total), total / max(words, 1), math.log1p(words)
+        z = self.curve[0] + self.curve[1] * features[0] + self.curve[2] * features[1] + self.curve[3] * features[2]
+        return features, 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z)))), len(found)
 
     def score(self, text: str | None) -> float:
-        z = self.curve[0] + sum(a * b for a, b in zip(self.curve[1:], self.features(text), strict=True))
-        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
+        return self.judge(text)[1]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -224,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, lengths: S
 
     def measure(batches):
         for batch in batches:
-            found = [parts.features(x) for x in batch.column(0).to_pylist()]
+            found = [parts.judge(x)[0] for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array([f[k] for f in found], pa.float64()) for k in range(3)]], ["y", "a", "b", "c"])
 
     rows = sample.mapInArrow(measure, "y int, a double, b double, c double").collect()
@@ -247,12 +255,9 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id_col:
         for batch in batches:
             scores, hits = [], []
             for text in batch.column(n).to_pylist():
-                folded = fold(text or "")
-                found = lexicon.hits(folded)
-                total, words = sum(w for _, _, w in found), len(folded.split())
-                z = lexicon.curve[0] + lexicon.curve[1] * math.log1p(total) + lexicon.curve[2] * total / max(words, 1) + lexicon.curve[3] * math.log1p(words)
-                scores.append(1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z)))))
-                hits.append(len(found))
+                _, score, n_hits = lexicon.judge(text)
+                scores.append(score)
+                hits.append(n_hits)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(hits, pa.int64())], names)
 
     own = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("text"))
