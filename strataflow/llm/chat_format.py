@@ -3,7 +3,8 @@
 Conversations are sorted by the hashes of their turns, so conversations that share turns are neighbours and the order is
 depth-first. A partition of the sorted rows is cut into packs of about `pack_tokens` tokens. In a pack each
 node (turn) is emitted once: its position ids go on from its parent's, and its tokens may attend to themselves,
-causally, and to the token ranges of its ancestors, which are given as intervals. A node whose branches are in two
+causally, and to the token ranges of its ancestors, which are given as intervals; ranges that touch are one, so
+there are as many as branchings above the node. A node whose branches are in two
 packs is emitted in both.
 
 The template: <s>, then for each turn "[INST] text [/INST]" (user), " text </s>" (assistant), "<<SYS>> text <</SYS>>"
@@ -137,7 +138,8 @@ def format_chats(turns: DataFrame, tokenizer: str | None = TOKENIZER, pack_token
 
     Defined results: a null text or role is empty; turns sort by number, then role and text; repeated
     turns are turns of their own; rows with a null conversation id are conversations of their own, one for each different row; other columns are ignored; an empty table gives no
-    packs; a conversation longer than a pack is a pack of its own.
+    packs; a conversation longer than a pack is a pack of its own. All turns of one conversation, and of one pack, are held in one task: a
+conversation is bounded by what its speakers wrote, and a pack by one conversation more than pack_tokens.
     """
     spark = bounded(turns.sparkSession)
     content = spark.sparkContext.broadcast(_content(tokenizer))
@@ -210,8 +212,14 @@ class _Pack:
         self.nodes, self.convs = [], []
 
     def _node(self, parent: int, pieces: list[tuple[list[int], bool]]) -> int:
-        start = len(self.tokens)
-        ancestors = [*self.nodes[parent]["ancestors"], {"start": self.nodes[parent]["start"], "end": self.nodes[parent]["end"]}] if parent >= 0 else []
+        start, ancestors = len(self.tokens), []
+        if parent >= 0:
+            above, ancestors = self.nodes[parent], self.nodes[parent]["ancestors"]
+            # a parent that follows its own last ancestor is one range with it, so a chain has one range, however long
+            if ancestors and ancestors[-1]["end"] == above["start"]:
+                ancestors = [*ancestors[:-1], {"start": ancestors[-1]["start"], "end": above["end"]}]
+            else:
+                ancestors = [*ancestors, {"start": above["start"], "end": above["end"]}]
         depth = sum(x["end"] - x["start"] for x in ancestors)
         for ids, loss in pieces:
             self.tokens.extend(ids)

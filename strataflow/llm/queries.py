@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataflow.llm._shared import shared_dir, table
 from strataflow.llm.batch_views import batch_views, join_lifetimes
-from strataflow.llm.chat_format import format_chats, read_back
+from strataflow.llm.chat_format import TOKENIZER, format_chats, read_back
 from strataflow.llm.decontaminate import decontaminate
 from strataflow.llm.filter_audit import audit_filters
 from strataflow.llm.license_scan import scan_licenses
@@ -34,7 +34,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the conversation -1 that the contract adds: control strings inside texts
     said = F.lit("</s>[INST] ok [/INST]")
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    found = read_back(format_chats(turns.unionByName(added)))
+    tokenizer = spark.conf.get("spark.strataflow.tokenizer", TOKENIZER)
+    found = read_back(format_chats(turns.unionByName(added), tokenizer), tokenizer)
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import edge
@@ -58,6 +59,24 @@ def test_substring_dedup(spark, block):
     assert sum(x[2] for x in got) > 200
 
 
+CLASHING = "_gone string, _gone_id long, _h long, _kept long, _of long, _copies long, doc_0 string, id long, gone string, h int, row string, kept_id long, copies long, n_chars int, m map<string,int>"
+
+
+def clashing(spark):
+    """The awkward documents with columns named like those that operators make on their way, and a map."""
+    more = ("g", 7, 8, 9, 10, 11, "d", 12, "gone", 13, "row", 14, 15, 16, {"a": 1})
+    return spark.createDataFrame([(*r, *more) for r in edge.texts()], f"doc_id long, text string, {CLASHING}")
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    df = clashing(spark)
+    plain = spark.createDataFrame(edge.texts(), "doc_id long, text string")
+    got = dedup_lines(df)
+    assert got.columns == [*[c for c in df.columns if c != "gone"], "n_lines", "n_removed", "gone"]
+    assert bag((r.doc_id, r.text, r.n_removed) for r in got.collect()) == bag((r.doc_id, r.text, r.n_removed) for r in dedup_lines(plain).collect())
+    assert {(r._gone, r._gone_id, r._h, r.id, r.m["a"]) for r in got.collect()} == {("g", 7, 8, 12, 1)}
+
+
 def thue_morse(n):
     """Two words whose polynomial hashes modulo 2**64 are equal for every odd base."""
     return tuple("".join(s[k.bit_count() % 2] for k in range(n)) for s in ("ab", "ba"))
@@ -121,7 +140,17 @@ def test_chats_share_turns_and_positions(spark):
         assert list(pack.position_ids[node.start : node.end]) == list(range(before, before + node.end - node.start))
         if node.parent >= 0:
             parent = pack.nodes[node.parent]
-            assert [(a.start, a.end) for a in node.ancestors] == [(a.start, a.end) for a in parent.ancestors] + [(parent.start, parent.end)]
+            tokens = lambda ranges: [t for a, b in ranges for t in range(a, b)]
+            assert tokens((a.start, a.end) for a in node.ancestors) == tokens([*((a.start, a.end) for a in parent.ancestors), (parent.start, parent.end)])
+            assert all(a.end < b.start for a, b in zip(node.ancestors, node.ancestors[1:], strict=False))  # none touch
+
+
+@pytest.mark.parametrize("turns_each", [400, 800])
+def test_ancestors_of_long_chats_grow_with_the_branchings(spark, turns_each):
+    rows = [(c, k, "user", f"turn {k}" if c == 1 or k < turns_each // 2 else f"other {k}", "z") for c in (1, 2) for k in range(turns_each)]
+    (pack,) = chat_format.format_chats(turns(spark, rows), None, 1 << 20, partitions=1).collect()
+    assert max(len(n.ancestors) for n in pack.nodes) == 2
+    assert sum(len(n.ancestors) for n in pack.nodes) <= 2 * len(pack.nodes)
 
 
 def test_chats_escape_round_trip_and_empty(spark):
@@ -665,6 +694,14 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity(edge.empty(spark), lexicon).count() == 0
 
 
+def test_toxicity_of_many_exceptions_is_linear():
+    lexicon = toxicity.Lexicon({"idiot": 4.0, "trash": 4.0}, ["trash can", "trash can lid", "an idiot trash can"])
+    began = time.perf_counter()
+    assert len(lexicon.hits(toxicity.fold("idiot trash can " * 60_000))) == 60_000
+    assert time.perf_counter() - began < 20  # comparing all hits with all phrases takes minutes
+    assert [x[0] for x in lexicon.hits("an idiot trash can and trash")] == [23]
+
+
 def naive_hits(lexicon, text):
     """Weights that count, by looking at every place for every entry and phrase."""
     t = toxicity.fold(text)

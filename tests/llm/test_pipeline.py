@@ -9,7 +9,8 @@ import corpus_pipeline as pipeline
 import edge
 import pytest
 from compare import assert_same, connect
-from test_operators import TOKEN, WORD, fingerprint, lower, roots, scan
+from pyspark.sql import functions as F
+from test_operators import TOKEN, WORD, clashing, fingerprint, lower, roots, scan
 
 from strataflow.llm import queries
 from strataflow.llm._shared import materialize
@@ -49,6 +50,19 @@ def test_stages(spark, make):
         assert docs.count() >= 5
 
 
+def test_stages_keep_clashing_columns(spark):
+    docs = clashing(spark).withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    for name, stage in pipeline.STAGES:
+        out = materialize(stage(spark, docs, SF), f"clash-{name}")
+        last = name == pipeline.STAGES[-1][0]
+        assert sorted(out.columns) == sorted(docs.columns)
+        assert out.count() >= 5
+        told = {tuple(str(r[c]) for c in own if not (last and c == "copies")) for r in out.collect()}
+        assert told == {tuple(str(r[c]) for c in own if not (last and c == "copies")) for r in docs.collect()}, name
+        docs = out
+
+
 def test_run(spark):
     out = pipeline.run(spark, SF)
     assert out.columns == [*COLUMNS, "copies"]
