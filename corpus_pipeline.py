@@ -63,14 +63,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the least id stays (ids before null); of its rows that share the id, one."""
+    own, id_col, text, _ = _plain(docs)
     # the text's hash tells rows that share an id apart; rows that share both are copies
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
-    found = materialize(near_duplicates(docs.select(key.alias("doc_id"), "text")), "near-duplicates", compact=True)
+    own = own.withColumn("near_id", F.col(id_col).cast("long")).withColumn("near_text", F.xxhash64(text))
+    key = F.struct(F.col("near_id").isNull().alias("none"), F.col("near_id").alias("id"), F.col("near_text").alias("h"))
+    found = materialize(near_duplicates(own.select(key.alias("doc_id"), F.col(text).alias("text"))), "near-duplicates", compact=True)
     n, keys = found.select(F.count("*"), F.count_distinct("doc_id")).first()
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.id").alias("_kept"), F.col("doc_id.h").alias("_of")).distinct()
-    left = docs.withColumn("_h", F.xxhash64("text")).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_h") == F.col("_of")), "left_semi")
-    # of rows with one id and one text the greatest in all columns stays, so that reruns agree
-    return left.drop("_h") if n == keys else left.groupBy("doc_id", "_h").agg(F.max(F.struct(*docs.columns)).alias("row")).select("row.*")
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.id").alias("kept_id"), F.col("doc_id.h").alias("kept_text")).distinct()
+    left = own.join(kept, F.col("near_id").eqNullSafe(F.col("kept_id")) & (F.col("near_text") == F.col("kept_text")), "left_semi")
+    if n != keys:
+        # of rows with one id and one text that with the greatest hash of all columns stays, so that reruns agree
+        row = F.struct(*[c for c in own.columns if not c.startswith("near_")])
+        left = left.groupBy("near_id", "near_text").agg(F.max_by(row, F.struct(F.xxhash64(F.to_json(row)), F.to_json(row))).alias("near_row")).select("near_row.*")
+    return _renamed(left, docs)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
