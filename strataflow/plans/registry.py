@@ -29,5 +29,5 @@ def load() -> None:
     """Imports the modules that register queries."""
     import importlib
 
-    for name in ("history", "snapshots", "runtime", "retrieval", "graph", "text", "questions", "lookup", "memory", "verify", "claims", "fusion", "comprehension", "exports", "evidence", "streams", "more"):
+    for name in ("history", "snapshots", "runtime", "retrieval", "graph", "text", "questions", "lookup", "memory", "verify", "claims", "fusion", "comprehension", "exports", "evidence", "streams", "more", "ingest"):
         importlib.import_module(f"strataflow.plans.{name}")

@@ -187,15 +187,14 @@ def segments(docs: DataFrame, tombstones: DataFrame, size: int = 500) -> DataFra
 
 def atomic_save(spark: SparkSession, path: str, text: str) -> None:
     """Writes a small text under another name in the same folder and renames it: readers see the old one or the new one, whole."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
     target, part = hadoop.Path(path), hadoop.Path(path + ".part")
-    store = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    stream = store.create(part, True)
+    stream = target.getFileSystem(conf).create(part, True)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if store.exists(target):
-        store.delete(target, False)
-    if not store.rename(part, target):
-        raise OSError(f"could not rename {path}.part")
+    # this rename takes the old file's place in one step, where deleting it first would leave a moment without any
+    options = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri(), conf).rename(part, target, options)
