@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.text import normalized
+from strataflow.operators.folds import sorted_fold
 
 #: Fixed precedence of author types, the strongest first.
 PRECEDENCE = ("user", "system", "mentor", "agent")
@@ -45,20 +46,19 @@ def promoted(observations: DataFrame, least: int = 3) -> DataFrame:
 def reinforced(observations: DataFrame) -> DataFrame:
     """Confidence of a claim from its observations in order: a new source adds a fifth of what is missing, a contradiction leaves three tenths.
 
-    observations: (subject, seq, source, agrees boolean). An ordered fold over a subject's observations.
+    observations: (subject, seq, source, agrees boolean). A source is new where it agrees for the first time; a row without a source
+    adds nothing unless it contradicts. An ordered fold that holds one number.
     """
-    listed = observations.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("seq", "source", "agrees"))).alias("os"))
-    start = F.struct(F.lit(30.0).alias("c"), F.array().cast("array<string>").alias("seen"))
-
-    def step(s, o):
-        fresh = ~F.array_contains(s["seen"], o["source"])
-        up = F.struct((s["c"] + (100 - s["c"]) * 0.2).alias("c"), F.concat(s["seen"], F.array(o["source"])).alias("seen"))
-        down = F.struct((s["c"] * 0.3).alias("c"), s["seen"].alias("seen"))
-        return F.when(~o["agrees"], down).when(fresh, up).otherwise(s)
-
-    state = F.aggregate("os", start, step)
-    c = F.col("s.c")
-    return listed.select("subject", state.alias("s")).select("subject", c.alias("confidence"), F.when(c >= 60, "promoted").when(c >= 30, "validated").otherwise("observed").alias("state"))
+    agrees = F.coalesce("agrees", F.lit(True))
+    nth = F.row_number().over(Window.partitionBy("subject", "source", agrees).orderBy("seq"))
+    own = observations.select("subject", "seq", F.col("source").alias("by"), agrees.alias("agrees"), (F.col("source").isNotNull() & (nth == 1)).alias("new"))
+
+    def step(c, agrees, new):
+        c = 30.0 if c is None else c
+        return (c + (100 - c) * 0.2 if new else c) if agrees else c * 0.3, None
+
+    found = sorted_fold(own, ["subject"], ["seq", "by", "agrees"], ["agrees", "new"], step, "confidence double", lambda c: (c,))
+    return found.withColumn("state", F.when(F.col("confidence") >= 60, "promoted").when(F.col("confidence") >= 30, "validated").otherwise("observed"))
 
 
 def value_score(confidence: Column, usage: Column, impact: Column, recency: Column, helpful: Column) -> Column:

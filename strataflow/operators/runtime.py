@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.operators.folds import sorted_fold
+
 #: Fixed prior weights of event types.
 PRIORS = {"OOM": 0.8, "TIMEOUT": 0.5, "DEADLOCK": 0.7, "CRASH": 0.9, "DEFAULT": 0.1}
 
@@ -65,16 +67,17 @@ def debounced(events: DataFrame, seconds: int = 60) -> DataFrame:
     """Events of a component more than `seconds` after the last one kept.
 
     An event further than that from the event before it is always kept, so the series falls into sessions that
-    are folded on their own: what is held at once is a session, not a component.
+    are folded on their own, row by row.
     """
     gap = seconds * 1_000_000
     w = Window.partitionBy("component_id").orderBy("t", "event_id")
     own = events.select("component_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
     opened = own.withColumn("new", (F.coalesce(F.col("t") - F.lag("t").over(w), F.lit(gap + 1)) > gap).cast("int")).withColumn("session", F.sum("new").over(w))
-    listed = opened.groupBy("component_id", "session").agg(F.sort_array(F.collect_list(F.struct("t", "event_id"))).alias("es"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<t:bigint,event_id:bigint>>").alias("out"))
-    step = lambda s, e: F.when(s["last"].isNull() | (e["t"] - s["last"] > gap), F.struct(e["t"].alias("last"), F.concat(s["out"], F.array(e)).alias("out"))).otherwise(s)
-    return listed.select("component_id", F.explode(F.aggregate("es", start, step, lambda s: s["out"])).alias("e")).select("component_id", "e.t", "e.event_id")
+
+    def step(last, t, event_id):
+        return (t, (t, event_id)) if last is None or t - last > gap else (last, None)
+
+    return sorted_fold(opened, ["component_id", "session"], ["t", "event_id"], ["t", "event_id"], step, f"t long, event_id {opened.schema['event_id'].dataType.simpleString()}").drop("session")
 
 
 def temporal_pairs(kept: DataFrame, lag_s: int = 60, macro_s: int = 5, macro_components: int = 3, least: int = 3, confidence: float = 0.6) -> DataFrame:

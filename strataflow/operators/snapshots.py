@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.operators.folds import sorted_fold
+
 
 def changes(history: DataFrame, keys: list[str], date: str, value: str, least: float, drop: bool = True) -> DataFrame:
     """Snapshots whose value fell (or rose) by `least` or more since the one before."""
@@ -120,17 +122,15 @@ def incident_predictions(entities: DataFrame, coverage: DataFrame, health: DataF
 def escalations(incidents: DataFrame, days: int = 14) -> DataFrame:
     """The lock of (entity, type) as an ordered fold: an incident is emitted if none is locked, its lock is over `days` old, or it is more severe; RESOLVED clears the lock."""
     rank = F.when(F.col("severity") == "RESOLVED", 0).when(F.col("severity") == "MEDIUM", 1).when(F.col("severity") == "HIGH", 2).otherwise(3)
-    own = incidents.select("entity_id", "incident_type", F.struct(F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"), "id", rank.alias("r")).alias("e"))
-    listed = own.groupBy("entity_id", "incident_type").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    start = F.struct(F.lit(None).cast("bigint").alias("t"), F.lit(0).alias("r"), F.array().cast("array<bigint>").alias("out"))
+    own = incidents.select("entity_id", "incident_type", F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"), "id", rank.alias("r"))
     span = days * 86_400_000_000
 
-    def step(state, e):
-        free = state["t"].isNull() | (e["t"] - state["t"] > span) | (e["r"] > state["r"])
-        emit = (e["r"] > 0) & free
-        return F.when(e["r"] == 0, F.struct(F.lit(None).cast("bigint").alias("t"), F.lit(0).alias("r"), state["out"].alias("out"))).when(emit, F.struct(e["t"].alias("t"), e["r"].alias("r"), F.concat(state["out"], F.array(e["id"])).alias("out"))).otherwise(state)
+    def step(lock, t, i, r):
+        if r == 0:
+            return None, None
+        return ((t, r), (i,)) if lock is None or t - lock[0] > span or r > lock[1] else (lock, None)
 
-    return listed.select("entity_id", "incident_type", F.explode(F.aggregate("es", start, step, lambda s: s["out"])).alias("id"))
+    return sorted_fold(own, ["entity_id", "incident_type"], ["t", "id"], ["t", "id", "r"], step, f"id {own.schema['id'].dataType.simpleString()}")
 
 
 def causal_chain(events: DataFrame) -> DataFrame:

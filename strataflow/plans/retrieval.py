@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strataflow.operators import blockmax
 from strataflow.operators import retrieval as op
 from strataflow.plans.registry import query
 from strataflow.sources.adapters import table
@@ -170,3 +171,10 @@ def w15_score_normalization(spark, d):
 @query("v6_indexed_search", f"WITH {_LISTS} SELECT query, doc, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
 def v6_indexed_search(spark, d):
     return op.index(table(spark, d, "documents"), "doc_id", "text").search(table(spark, d, "benchmark"), "item_id", "text").withColumn("score", F.round("score", 6))
+
+
+@query("v6_block_search", f"WITH {_LISTS} SELECT query, doc, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
+def v6_block_search(spark, d):
+    """The search of v6_bm25_search by lists in blocks with bounds."""
+    index = blockmax.block_index(table(spark, d, "documents"), "doc_id", "text")
+    return index.search(table(spark, d, "benchmark"), "item_id", "text").withColumn("score", F.round("score", 6))
