@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataflow.functions.session import cut
 from strataflow.operators import fusion as op
-from strataflow.operators import ivf
+from strataflow.operators import ivf, rerank
 from strataflow.operators import retrieval as rop
 from strataflow.plans import retrieval
 from strataflow.plans.registry import query
@@ -131,3 +132,17 @@ def v25_threshold_relevance(spark, d):
 @query("t5_epsilon_tie_sort", "WITH g AS (SELECT s_suppkey, s_name, s_acctbal, CASE WHEN lag(s_acctbal) OVER (ORDER BY s_acctbal DESC) - s_acctbal > 20 THEN 1 ELSE 0 END AS gap FROM supplier), r AS (SELECT *, sum(gap) OVER (ORDER BY s_acctbal DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS step FROM g) SELECT s_suppkey, row_number() OVER (ORDER BY step, s_name, s_suppkey) AS place FROM r QUALIFY place <= 50")
 def t5_epsilon_tie_sort(spark, d):
     return op.near_tie_order(table(spark, d, "supplier"), "s_acctbal", ["s_name", "s_suppkey"], 20).where("place <= 50").select("s_suppkey", "place")
+
+
+@query("v21_trained_rerank")
+def v21_trained_rerank(spark, d):
+    """One document in twenty gives a question; two thirds of the questions train the reranker, which ranks the candidates of the others."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content"))
+    passages = cut(rerank.judged_passages(docs, "doc", "content", 20))
+    found = cut(retrieval.op.bm25(docs, passages, "doc", "content", "query", "question", 40).join(docs, "doc"))
+    judged = cut(rerank.judged_candidates(found, passages))
+    asked = cut(rerank.questions(passages, "query", "question", cut(rerank.rarity_of(docs, "content"))))
+    held = F.pmod(F.xxhash64(F.lit("held"), "query"), F.lit(3)) == 0
+    model = rerank.train(judged.where(~held), asked)
+    ranked = rerank.rerank(judged.where(held), asked, model)
+    return ranked.join(judged.select("query", "doc", F.col("rank").alias("rank_before"), "relevant"), ["query", "doc"]).select("query", "doc", F.round("score", 6).alias("score"), "rank", "rank_before", "relevant")
