@@ -2,7 +2,8 @@
 
 Texts are cut into paragraphs (blank lines, comment marks alone on a line, and sentence ends at the end of a line; a notice wrapped over
 lines stays whole). In a paragraph, the words that the model knows and that stand close together make a notice candidate:
-at least two of them, with gaps of a few words at most. No pattern decides what the classifier sees but its own vocabulary.
+at least two of them, with gaps of a few words at most, or one that is a licence's initials. No pattern decides what the classifier sees but its
+own vocabulary.
 
 A sparse logistic regression over the word uni- and bigrams of a candidate tells licence families, licences of no known family
 ("unknown") and other text ("none") apart. It is trained here, on the driver, on the notices below and on licence names in common
@@ -11,7 +12,8 @@ held back whole, not on variants of those trained on.
 
 A predicted family has to be confirmed by the templates: the weighted share of 1- to 3-grams that candidate and template have in common (grams
 that many families have weigh little) has to be large, larger than with any template of another family or of a licence outside all
-families, and some gram that only this family and its kin have is among them. What is not confirmed or too improbable is unknown.
+families, and some gram that only this family and its kin have is among them. A notice that denies ("not", "never") more often than the template
+is not confirmed by it. What is not confirmed or too improbable is unknown.
 
 Equal candidates are judged once, however many documents have them. Scoring is one scan, an explode of the candidates, and
 joins with the model's tables, whose size is that of the templates.
@@ -96,12 +98,17 @@ KIN = {"GPL": "gpl", "GPL-2.0": "gpl", "GPL-3.0": "gpl", "LGPL": "gpl", "AGPL-3.
 #: Phrases around the name of a licence.
 FRAMES = ["{}", "License: {}", "Released under the {}.", "Released under {}.", "Licensed under the {}.", "Licensed under {}", "Distributed under the {}.", "Distributed under {} terms.", "Available under {}.", "Available under the terms of the {}.", "This project is licensed under the terms of the {}.", "This work is licensed under the {}.", "SPDX-License-Identifier: {}", "see the {} for details", "This file is subject to the {}.", "covered by the {}", "{} applies.", "Code under {}", "dual licensed under the {}", "Copyright 2019 the authors. {}"]
 #: Licence language of no family, with a place for an invented name.
-UNKNOWN = ["Copyright {} All rights reserved.", "All rights reserved.", "Use is subject to license terms.", "Confidential and proprietary; no license is granted.", "This file is subject to the {} proprietary license agreement.", "You may not copy, modify or distribute this software without written permission of {}.", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Licensed Materials - Property of {}.", "This license agreement governs your use of the {} software.", "Each contributor hereby grants recipient a non-exclusive, worldwide, royalty-free license under the {} Public License.", "the {} license version 1.3", "For commercial licensing contact {}."]
+UNKNOWN = ["Copyright {} All rights reserved.", "All rights reserved.", "Use is subject to license terms.", "Confidential and proprietary; no license is granted.", "This file is subject to the {} proprietary license agreement.", "You may not copy, modify or distribute this software without written permission of {}.", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Licensed Materials - Property of {}.", "This license agreement governs your use of the {} software.", "Each contributor hereby grants recipient a non-exclusive, worldwide, royalty-free license under the {} Public License.", "the {} license version 1.3", "For commercial licensing contact {}.", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND', 'THE SOFTWARE IS PROVIDED "AS IS" AND WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED', "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY DAMAGES"]
 #: Words of licences in other text.
 NONE = ["The driver's license of {} was taken away.", "Their license plate was stolen in {}.", "A fishing license costs {} a year.", "The restaurant in {} lost its liquor license.", "She is a licensed nurse from {}.", "The court spoke of copyright in {}.", "He copied the copyright page of {}.", "The Apache helicopter landed in {}.", "The people of {} study at MIT.", "MIT researchers found {}.", "students at MIT and Stanford", "The GPL was written about in {}.", "Poetic license is common in {}.", "The public domain of {} is a park.", "Berkeley and MIT are universities.", "das Haus mit der Software von {}", "wir gehen mit {} und mit ihm", "the general public of {} was told in version two of the story", "the software of the project is in use by the public", "copy the files to the folder and use the new version of the program", "the author and the contributors of the paper thank {}", "in no event was the notice of the meeting provided to the public", "the terms of the contract with {} are not known", "the foundation of the house in {} is old", "a permission notice hung on the door of the source of the river", "version 2.0 of the software was released in May", "the free concert was open to the public without charge", "to any person in {} the conditions were hard", "the library is open to the general public", "creative people in the commons", "the zero hour and the attribution of the painting", "the project was released under pressure", "the work was distributed to all authors under the table", "the code is available for the project and the terms of use", "mozilla developers met in {}", "the eclipse was seen in {}", "the clause in the contract about the 3 rooms", "version 3 of the affero report"]
 #: Words too common to make a candidate, and features only within bigrams with others.
 COMMON = frozenset("a all an and any are as at be by can copy do for from if in is it its may no not of on or out s so that the their they this to use used was were will with you your we he she new or more v 1 2 3 4 0".split())
 
+#: Words that deny what stands beside them; full notices have them too, so a template may hold as many as what it confirms.
+DENIALS = frozenset("not no never nor isn aren don doesn didn won cannot neither instead".split())
+#: Initials that are a licence's name by themselves, among the words of names: no vowels, or ending in those of "public licence".
+_INITIALS = re.compile(r"cc0?|[^aeiou0-9]{3,}\d*|[a-z]*pl(v?\d+)?|unlicense")
+
 _WORD = re.compile("[a-z0-9\x80-\U0010ffff]+")
 #: What cuts paragraphs: a blank line (comment marks may stand on it), or the end of a line after the end of a sentence.
 BREAK = r"\n[\s#*/;%>-]*\n|(?<=[.!?])[ \t\r]*\n"
@@ -127,10 +134,14 @@ class Model:
     weights: np.ndarray  # features by classes
     bias: np.ndarray
     temperature: float
-    #: words that make a candidate
+    #: words that make a candidate, two of them together
     known: list[str]
+    #: of these, words that make one alone
+    signs: list[str]
     #: (gram, family, number of the template, weight of the gram, weight of the template, of this family and its kin alone)
     grams: list[tuple[str, str, int, float, float, bool]]
+    #: denials in each template
+    denials: dict[int, int]
     #: weight of a gram that no template has
     strange: float
 
@@ -144,11 +155,13 @@ def _examples(rng: random.Random, variants: int, phrases: int) -> list[tuple[lis
     """(words, class, the name or notice they come from)."""
     found: list[tuple[list[str], str, str]] = []
     prose = [w for text in NONE for w in _split(text.replace("{}", ""))]
-    around = lambda words: (rng.choices([rng.choice(prose), _invented(rng).lower()], k=rng.randint(0, 3)) + words + rng.choices([rng.choice(prose), _invented(rng).lower()], k=rng.randint(0, 3)))
+    around = lambda words: (rng.choices([rng.choice(prose), _invented(rng).lower()], k=rng.randint(0, 4)) + words + rng.choices([rng.choice(prose), _invented(rng).lower()], k=rng.randint(0, 4)))
 
     def add(text: str, label: str, origin: str, n: int) -> None:
         words = _split(text)
         found.append((words, label, origin))
+        # a notice may break off where its line or page does
+        found.extend((words[:k], label, origin) for k in (12, 18, 26, 40) if label in NAMES and len(words) > k + 4)
         for _ in range(n):
             cut = words
             if len(words) > 16:
@@ -164,7 +177,7 @@ def _examples(rng: random.Random, variants: int, phrases: int) -> list[tuple[lis
             add(notice, family, notice, variants)
     for name in [*OTHERS, *(f"{_invented(rng)} {kind}" for kind in ("License", "Public License", "Software License 2.0", "Open License v1.1") for _ in range(6))]:
         for frame in ["{}", *rng.sample(FRAMES[1:], phrases // 2)]:
-            add(frame.format(name), "unknown", name, 1)
+            add(frame.format(name), "unknown", name, 3 if _INITIALS.fullmatch(name.lower()) else 1)
     for label, texts in (("unknown", UNKNOWN), ("none", NONE)):
         for text in texts:
             for _ in range(variants):
@@ -180,8 +193,12 @@ def _templates() -> list[tuple[str, list[str]]]:
     return own + [("unknown", _split(name)) for name in OTHERS] + [("unknown", _split(text.format(""))) for text in UNKNOWN]
 
 
-def _weighted(templates: list[tuple[str, list[str]]]) -> tuple[list[tuple[str, str, int, float, float, bool]], float]:
-    """The grams of all templates; a gram weighs the logarithm of how few families have it."""
+def _denied(words: Sequence[str]) -> int:
+    return sum(w in DENIALS for w in words)
+
+
+def _weighted(templates: list[tuple[str, list[str]]]) -> tuple[list[tuple[str, str, int, float, float, bool]], float, dict[int, int]]:
+    """The grams of all templates, and how often each denies; a gram weighs the logarithm of how few families have it."""
     families: dict[str, set[str]] = {}
     for family, words in templates:
         for gram in _grams(words, (1, 2, 3)):
@@ -196,7 +213,7 @@ def _weighted(templates: list[tuple[str, list[str]]]) -> tuple[list[tuple[str, s
         seen.add((family, tuple(grams)))
         total = sum(weight[g] for g in grams)
         rows += [(g, family, i, weight[g], total, len({KIN.get(f, f) for f in families[g]}) == 1) for g in grams if weight[g] > 0]
-    return rows, strange
+    return rows, strange, {i: _denied(words) for i, (_, words) in enumerate(templates)}
 
 
 @lru_cache(maxsize=4)
@@ -243,9 +260,10 @@ def train(seed: int = 7, variants: int = 10, phrases: int = 9, rounds: int = 120
     losses = {t: -np.log(softmax(scores / t)[np.arange(held.sum()), y[held]] + 1e-12).mean() for t in np.linspace(0.4, 3.0, 27)}
     w, b = fit(x, y)
     templates = _templates()
-    grams, strange = _weighted(templates)
+    grams, strange, denials = _weighted(templates)
     words = sorted({w for _, own in templates for w in own if w not in COMMON})
-    return Model(classes, features, w, b, float(min(losses, key=losses.get)), words, grams, strange)
+    signs = sorted({x for name in [*OTHERS, *(n for names in NAMES.values() for n in names)] for x in _split(name) if x not in COMMON and _INITIALS.fullmatch(x)})
+    return Model(classes, features, w, b, float(min(losses, key=losses.get)), words, signs, grams, denials, strange)
 
 
 def _local(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -259,18 +277,19 @@ def _ngrams(words, n: int):
     return F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(words, i + 1, n), " ")))
 
 
-def candidates(docs: DataFrame, known: Sequence[str], gap: int = 4, context: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph, place, notice): runs of words that have two known words or more with at most `gap` others between them.
+def candidates(docs: DataFrame, known: Sequence[str], gap: int = 4, context: int = 2, signs: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, paragraph, place, notice): runs of words that have two known words or more with at most `gap` others between them, or one of the `signs`.
 
     A run begins `context` words before its first known word and ends as many after its last; notice is its words, joined by one space.
     """
     paragraphs = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.lower(F.col(text_col)), BREAK, -1)).alias("paragraph", "text"))
     of = lambda words: F.filter(F.transform(words, lambda w, i: F.when(w.isin(list(known)), i)), lambda i: i.isNotNull())
     split = F.transform(F.array(F.split("text", _NOT_WORD, -1)), lambda words: F.struct(words.alias("words"), of(words).alias("hits")))
-    found = paragraphs.select("id", "paragraph", F.explode(F.filter(split, lambda x: F.size(x["hits"]) >= 2)).alias("x")).select("id", "paragraph", "x.words", "x.hits")
+    alone = lambda words, at: F.coalesce(F.get(words, at).isin(list(signs)), F.lit(False)) if signs else F.lit(False)
+    found = paragraphs.select("id", "paragraph", F.explode(F.filter(split, lambda x: (F.size(x["hits"]) >= 2) | ((F.size(x["hits"]) == 1) & alone(x["words"], F.get(x["hits"], F.lit(0)))))).alias("x")).select("id", "paragraph", "x.words", "x.hits")
     begins = F.filter(F.sequence(F.lit(0), F.size("hits") - 1), lambda j: (j == 0) | (F.get("hits", j) - F.get("hits", j - 1) > gap + 1))
     found = found.withColumn("begins", begins).withColumn("ends", F.concat(F.slice("begins", 2, F.greatest(F.size("begins") - 1, F.lit(0))), F.array(F.size("hits"))))
-    runs = F.filter(F.zip_with("begins", "ends", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["b"] - x["a"] >= 2)
+    runs = F.filter(F.zip_with("begins", "ends", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: (x["b"] - x["a"] >= 2) | alone(F.col("words"), F.get("hits", x["a"])))
     found = found.select("id", "paragraph", "words", "hits", F.explode(runs).alias("run"))
     first, last = F.greatest(F.get("hits", F.col("run.a")) - context, F.lit(0)), F.get("hits", F.col("run.b") - 1) + context
     return found.select("id", "paragraph", F.get("hits", F.col("run.a")).alias("place"), F.trim(F.array_join(F.slice("words", first + 1, last - first + 1), " ")).alias("notice"))
@@ -284,7 +303,7 @@ def classify(notices: DataFrame, least: float = 0.5, overlap: float = 0.6, model
     spark, model = notices.sparkSession, model or train()
     k = len(model.classes)
     weights = _local(spark, [{"feature": f, "w": [round(float(x), 6) for x in row]} for f, row in zip(model.features, model.weights, strict=True)], "feature:string,w:array<double>")
-    grams = _local(spark, [{"gram": g, "family": f, "template": i, "weight": round(x, 9), "total": round(t, 9), "alone": own} for g, f, i, x, t, own in model.grams], "gram:string,family:string,template:int,weight:double,total:double,alone:boolean")
+    grams = _local(spark, [{"gram": g, "family": f, "template": i, "weight": round(x, 9), "total": round(t, 9), "alone": own, "denials": model.denials[i]} for g, f, i, x, t, own in model.grams], "gram:string,family:string,template:int,weight:double,total:double,alone:boolean,denials:int")
     worth = _local(spark, [{"gram": g, "own": round(x, 9)} for g, x in {g: x for g, _, _, x, _, _ in model.grams}.items()] + [{"gram": g, "own": 0.0} for g in sorted(COMMON)], "gram:string,own:double")
     words = F.split("notice", " ", -1)
     features = notices.select("notice", F.explode(F.array_distinct(F.concat(words, _ngrams(words, 2)))).alias("feature"))
@@ -296,16 +315,17 @@ def classify(notices: DataFrame, least: float = 0.5, overlap: float = 0.6, model
     guess = scored.withColumn("top", top).select("notice", chosen.alias("guess"), (1 / total).alias("probability"))
     own = notices.select("notice", F.explode(F.concat(F.array_distinct(words), _ngrams(words, 2), _ngrams(words, 3))).alias("gram"))
     size = own.join(F.broadcast(worth), "gram", "left").groupBy("notice").agg(F.sum(F.coalesce("own", F.lit(model.strange))).alias("size"))
-    met = own.join(F.broadcast(grams), "gram").groupBy("notice", "family", "template").agg(F.sum("weight").alias("common"), F.first("total").alias("total"), F.max("alone").alias("alone"))
-    near = met.join(size, "notice").select("notice", "family", "alone", (F.col("common") / F.greatest(F.least("total", "size"), F.lit(1e-9))).alias("like"), (F.col("common") / F.greatest(F.greatest("total", "size"), F.lit(1e-9))).alias("tight"))
-    best = near.groupBy("notice", "family").agg(F.max("like").alias("like"), F.max("tight").alias("tight"), F.max(F.col("alone")).alias("alone"))
+    met = own.join(F.broadcast(grams), "gram").groupBy("notice", "family", "template").agg(F.sum("weight").alias("common"), F.first("total").alias("total"), F.max("alone").alias("alone"), F.first("denials").alias("denials"))
+    denied = F.size(F.filter(words, lambda w: w.isin(list(DENIALS))))
+    near = met.join(size, "notice").select("notice", "family", "alone", (F.col("denials") >= denied).alias("says"), (F.col("common") / F.greatest(F.least("total", "size"), F.lit(1e-9))).alias("like"), (F.col("common") / F.greatest(F.greatest("total", "size"), F.lit(1e-9))).alias("tight"))
+    best = near.groupBy("notice", "family").agg(F.max("like").alias("like"), F.max("tight").alias("tight"), F.max(F.col("alone")).alias("alone"), F.max(F.when(F.col("says"), F.col("like"))).alias("said"))
     joined = guess.join(best, "notice", "left")
     mine = F.col("family") == F.col("guess")
     # of templates that a notice holds whole, the one that explains more of it wins
     rank = lambda ok: F.max(F.when(ok, F.struct(F.least(F.round("like", 6), F.lit(1.0)).alias("like"), F.round("tight", 6).alias("tight"))))
-    judged = joined.groupBy("notice", "guess", "probability").agg(rank(mine).alias("m"), rank(~mine).alias("o"), F.max(F.when(mine, F.col("alone"))).alias("alone"))
+    judged = joined.groupBy("notice", "guess", "probability").agg(rank(mine).alias("m"), rank(~mine).alias("o"), F.max(F.when(mine, F.col("alone"))).alias("alone"), F.max(F.when(mine, F.col("said"))).alias("said"))
     named = ~F.col("guess").isin("unknown", "none")
-    confirmed = named & (F.col("probability") >= least) & (F.coalesce(F.col("m.like"), F.lit(0.0)) >= overlap) & F.coalesce("alone", F.lit(False)) & (F.col("o").isNull() | (F.col("m.tight") >= F.col("o.tight")))
+    confirmed = named & (F.col("probability") >= least) & (F.coalesce(F.col("m.like"), F.lit(0.0)) >= overlap) & (F.coalesce("said", F.lit(0.0)) >= overlap) & F.coalesce("alone", F.lit(False)) & (F.col("o").isNull() | (F.col("m.tight") >= F.col("o.tight")))
     sure = F.coalesce(confirmed, F.lit(False))
     return judged.select("notice", F.when(sure | ~named, F.col("guess")).otherwise(F.lit("unknown")).alias("family"), "probability", F.coalesce(F.col("m.like"), F.lit(0.0)).alias("similarity"), F.coalesce(F.col("o.like"), F.lit(0.0)).alias("rival"), sure.alias("confirmed"))
 
@@ -313,7 +333,7 @@ def classify(notices: DataFrame, least: float = 0.5, overlap: float = 0.6, model
 def paragraphs(docs: DataFrame, least: float = 0.5, overlap: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every notice candidate: id, paragraph, place, notice, family, probability, similarity, confirmed."""
     model = train()
-    found = materialize(candidates(docs, model.known, id_col=id_col, text_col=text_col), "licence-notices", compact=True)
+    found = materialize(candidates(docs, model.known, context=4, signs=model.signs, id_col=id_col, text_col=text_col), "licence-notices", compact=True)
     judged = classify(found.select("notice").distinct(), least, overlap, model)
     return found.join(judged, "notice").select("id", "paragraph", "place", "notice", "family", "probability", "similarity", "confirmed")
 

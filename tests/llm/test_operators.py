@@ -779,3 +779,16 @@ def test_toxicity_learns_from_all_different_texts(spark):
     df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     lexicon = toxicity.learn(df, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     assert any(e.startswith("zorg") for e in lexicon.weights)
+
+
+NAMED = [("MPL-2.0", "MPL-2.0"), ("GPL-2.0", "GPL-2.0"), ("LGPL-2.1", "LGPL"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC BY 4.0", "CC-BY-4.0"), ("GPLv3", "GPL-3.0"), ("AGPLv3", "AGPL-3.0"), ("The Unlicense", "Unlicense"), ("WTFPL", "unknown"), ("license: GPL-2.0-only", "GPL-2.0")]
+DENIED = ["We do not use the Apache License 2.0 here", "the mit license is not what we use, we are proprietary", "no longer under the GPL v3", "This is never licensed under the MIT License"]
+CUT = "Permission is hereby granted, free of charge, to any person{}obtaining a copy of this software and associated documentation files"
+
+
+def test_licences_by_name_denied_and_cut_short(spark):
+    rows = [t for t, _ in NAMED] + DENIED + ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND', CUT.format(" "), CUT.format("\n")]
+    got = {r.doc_id: (r.family, r.confirmed) for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(f"{t}\n\nother words" for t in rows)), "doc_id long, text string")).collect()}
+    assert [got[k][0] for k in range(len(NAMED))] == [f for _, f in NAMED]
+    assert not any(got[len(NAMED) + k][1] for k in range(len(DENIED) + 1))  # nor is a disclaimer that many licences have
+    assert [got[len(rows) - k] for k in (2, 1)] == [("MIT", True)] * 2
