@@ -2,21 +2,21 @@
 
 A vector belongs to the list of its nearest centroid and is kept as one byte for each group of dimensions (the nearest of 256 codewords of
 what the centroid leaves). A query looks at the lists of its nearest centroids, ranks their rows by the distances of codes, and compares
-the best of them exactly. Similarities are cosines; vectors are scaled to length 1, and zero vectors have similarity 0.
+the best of them exactly. Rows come and go without a new build: only they are coded, and lists that have grown are split. Similarities are cosines; vectors are scaled to length 1, and zero vectors have similarity 0.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.session import cut
-from strataflow.operators.retrieval import cosine, top_k
+from strataflow.operators.retrieval import cosine, knn, top_k
 
 
 def _units(rows: np.ndarray) -> np.ndarray:
@@ -25,6 +25,8 @@ def _units(rows: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, 1))
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return _units(flat.reshape(len(column), -1))
 
@@ -49,6 +51,33 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.nda
     return centres
 
 
+def _coded(rows: DataFrame, centres: np.ndarray, books: np.ndarray) -> DataFrame:
+    """(id, cell, code) of rows (id, v): the nearest centre, and the nearest codewords of what it leaves."""
+    groups, _, width = books.shape
+
+    def of(batches):
+        for batch in batches:
+            own = _matrix(batch.column(1))
+            cell = _distances(own, centres).argmin(1)
+            left = own - centres[cell]
+            codes = np.stack([_distances(left[:, g * width : (g + 1) * width], books[g]).argmin(1).astype(np.uint8) for g in range(groups)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array([x.tobytes() for x in codes], pa.binary())], ["id", "cell", "code"])
+
+    return rows.mapInArrow(of, "id long, cell int, code binary")
+
+
+def _tiled(rows: DataFrame, everything: DataFrame, tile_rows: int) -> DataFrame:
+    """Rows with the tile of their list, as many as the list's rows in `everything` need."""
+    sizes = everything.groupBy("cell").agg(F.count("*").alias("_n"))
+    return rows.join(sizes, "cell").select("id", "cell", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / tile_rows)).cast("int").alias("tile"), "code")
+
+
+def _sampled(rows: DataFrame, sample: int) -> np.ndarray:
+    """Unit vectors of up to `sample` rows (id, v), chosen by a hash."""
+    some = rows.orderBy(F.xxhash64("id")).limit(sample).collect()
+    return _units(np.array([r["v"] for r in some], dtype=np.float64).reshape(len(some), -1)) if some else np.zeros((0, 1))
+
+
 @dataclass
 class IvfIndex:
     """The lists (id, cell, tile, code) of an index, its centres and codebooks, and the rows it was built from."""
@@ -63,6 +92,66 @@ class IvfIndex:
     #: lists to look at and candidates to compare, as the sample needs them for the target recall
     probes: int
     candidates: int
+    tile_rows: int = 50_000
+    sample: int = 20_000
+    target: float = 0.97
+
+    def _own(self, vectors: DataFrame) -> DataFrame:
+        return vectors.select(F.col(self.key).cast("long").alias("id"), F.col(self.vector).alias("v"))
+
+    def without(self, ids: DataFrame) -> IvfIndex:
+        """The index without the rows whose ids are in the first column of `ids`; nothing else is written again."""
+        gone = cut(ids.select(F.col(ids.columns[0]).cast("long").alias("id")).distinct())
+        vectors = self.vectors.join(gone.withColumnRenamed("id", self.key), self.key, "left_anti")
+        return replace(self, lists=self.lists.join(gone, "id", "left_anti"), vectors=vectors, n=self.n - self.lists.join(gone, "id", "left_semi").count())
+
+    def with_rows(self, vectors: DataFrame) -> IvfIndex:
+        """The index with these rows as well, in place of rows of the same ids: only they are coded, with the centres and codewords that are there."""
+        rows = vectors.select(self.key, self.vector)
+        base = self.without(rows)
+        new = cut(_coded(self._own(rows), self.centres, self.books))
+        lists = base.lists.unionByName(_tiled(new, base.lists.select("cell").unionByName(new.select("cell")), self.tile_rows))
+        return replace(base, lists=lists, vectors=base.vectors.unionByName(rows), n=base.n + new.count())
+
+    def split(self, most: float = 2.0) -> IvfIndex:
+        """The index with each list of more than `most` times the mean length in two: their rows alone are coded again.
+
+        A list's two centres are fitted on a bounded sample of its rows; rows go to the nearer. The lists, and so the centres that the
+        driver holds, are as many as the build allows and one more for each split.
+        """
+        sizes = {r["cell"]: r["count"] for r in self.lists.groupBy("cell").count().collect()}
+        mean = sum(sizes.values()) / max(len(self.centres), 1)
+        large = sorted(c for c, size in sizes.items() if size > max(most * mean, 2))
+        if not large:
+            return self
+        rows = cut(self._own(self.vectors).join(self.lists.where(F.col("cell").isin(large)).select("id", "cell"), "id"))
+        place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id")))
+        each = max(32, self.sample // len(large))
+        some = rows.withColumn("place", place).where(F.col("place") <= each).select("cell", "v").collect()
+        centres, into = self.centres.copy(), {}
+        for cell in large:
+            pair = k_means(_units(np.array([r["v"] for r in some if r["cell"] == cell], dtype=np.float64)), 2)
+            centres[cell], into[cell] = pair[0], len(centres)
+            centres = np.vstack([centres, pair[-1:]])
+        # a row of a list that was split may now be nearest to any centre
+        coded = cut(_coded(rows.select("id", "v"), centres, self.books))
+        rest = self.lists.where(~F.col("cell").isin(large))
+        tiled = _tiled(coded, rest.select("cell").unionByName(coded.select("cell")), self.tile_rows)
+        return replace(self, lists=rest.unionByName(tiled), centres=centres)
+
+    def compacted(self) -> IvfIndex:
+        """The same index with its lists and rows written anew, so that plans do not grow with the changes; searches set for what it holds now."""
+        vectors = cut(self.vectors)
+        matrix = _sampled(self._own(vectors), self.sample)
+        n = vectors.count()
+        needs = _needs(matrix, self.centres, self.books, n, self.target) if len(matrix) else (self.probes, self.candidates)
+        return replace(self, lists=cut(self.lists), vectors=vectors, n=n, probes=needs[0], candidates=needs[1])
+
+    def recall(self, queries: DataFrame, k: int = 10) -> float:
+        """The share of the true k nearest neighbours of the queries that a search finds."""
+        exact = knn(self.vectors, queries, self.key, self.vector, k).select("query", "id")
+        found = self.search(queries, k).select("query", "id").withColumn("hit", F.lit(1.0))
+        return float(exact.join(found, ["query", "id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0.0)))).first()[0] or 0.0)
 
     def stale(self, rows: int, share: float = 0.2) -> bool:
         """Whether so many rows differ from what was indexed by more than `share`: then build anew."""
@@ -135,8 +224,7 @@ def build(vectors: DataFrame, key: str, vector: str, cells: int | None = None, g
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     n = rows.count()
-    some = rows.orderBy(F.xxhash64("id")).limit(sample).collect()
-    matrix = _units(np.array([r["v"] for r in some], dtype=np.float64).reshape(len(some), -1)) if some else np.zeros((1, groups))
+    matrix = _sampled(rows, sample) if n else np.zeros((1, groups))
     groups = max(g for g in range(1, groups + 1) if matrix.shape[1] % g == 0)
     centres = k_means(matrix, cells or max(1, min(4096, int(math.sqrt(n)))))
     rest = matrix - centres[_distances(matrix, centres).argmin(1)]
@@ -146,15 +234,5 @@ def build(vectors: DataFrame, key: str, vector: str, cells: int | None = None, g
         found = k_means(rest[:, g * width : (g + 1) * width], 256, 8, g)
         books[g] = np.vstack([found, np.full((256 - len(found), width), 1e6)])
 
-    def coded(batches):
-        for batch in batches:
-            own = _matrix(batch.column(1))
-            cell = _distances(own, centres).argmin(1)
-            left = own - centres[cell]
-            codes = np.stack([_distances(left[:, g * width : (g + 1) * width], books[g]).argmin(1).astype(np.uint8) for g in range(groups)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array([x.tobytes() for x in codes], pa.binary())], ["id", "cell", "code"])
-
-    lists = cut(rows.mapInArrow(coded, "id long, cell int, code binary"))
-    sizes = lists.groupBy("cell").agg(F.count("*").alias("_n"))
-    tiled = lists.join(sizes, "cell").select("id", "cell", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / tile_rows)).cast("int").alias("tile"), "code")
-    return IvfIndex(tiled, vectors, key, vector, centres, books, n, *_needs(matrix, centres, books, n, target))
+    lists = cut(_coded(rows, centres, books))
+    return IvfIndex(_tiled(lists, lists, tile_rows), vectors.select(key, vector), key, vector, centres, books, n, *_needs(matrix, centres, books, n, target), tile_rows, sample, target)
