@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.session import cut
-from strataflow.operators.ranks import running
 from strataflow.operators.retrieval import K1, B, tokens, top_k
 
 #: Scores are compared after rounding to nine digits; a bound must not lose a document to that.
@@ -79,14 +78,20 @@ def block_index(docs: DataFrame, key: str, text: str, block_docs: int = 32, toke
 
     Null and empty texts are documents without postings; a row is a document of its own, so keys should not repeat.
     """
-    own = docs.select(F.col(key).alias("doc"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("t")).select("doc", F.size("t").alias("dl"), F.explode_outer("t").alias("token"))
-    counts = cut(own.groupBy("doc", "dl", "token").agg(F.count("token").alias("tf")))
-    frequent = counts.groupBy("doc", "dl").agg(*[F.max(F.struct("tf", "token"))["token"].alias("first"), F.max_by("token", F.struct(F.col("tf") * F.length("token"), "token")).alias("second")])
-    n, avg = frequent.agg(F.count("*"), F.avg("dl")).first()
+    own = docs.select(F.col(key).alias("doc"), F.array_sort(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("t")).withColumn("dl", F.size("t"))
+    # a document's tokens are counted in its own row: in sorted order each token is one run
+    begins = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    runs = own.withColumn("b", F.when(F.col("dl") > 0, begins).otherwise(F.array().cast("array<int>")))
+    counts = runs.select("doc", "dl", F.transform("b", lambda i, j: F.struct(F.get("t", i).alias("token"), (F.coalesce(F.get("b", j + 1), F.col("dl")) - i).alias("tf"))).alias("p"))
+    n, avg = own.agg(F.count("*"), F.avg("dl")).first()
     avgdl = float(avg or 0) or 1.0
-    placed = cut(running(frequent, [F.col("first"), F.col("second"), F.col("dl"), F.col("doc")]).select("doc", F.floor((F.col("rank") - 1) / block_docs).alias("block")))
-    counts = counts.where("token is not null")
-    posting = F.struct("doc", F.col("dl").cast("int").alias("dl"), F.col("tf").cast("int").alias("tf"))
-    lists = counts.join(placed, "doc").groupBy("token", "block").agg(F.max(_weight(F.col("tf"), F.col("dl"), avgdl)).alias("most"), F.count("*").alias("n"), F.collect_list(posting).alias("postings"))
-    stored = cut(lists.repartitionByRange("token", "block").sortWithinPartitions("token", "block"))
+    most = lambda weight: F.array_max(F.transform("p", lambda x: F.struct(weight(x).alias("w"), x["token"].alias("token"))))["token"]
+    named = counts.withColumn("first", most(lambda x: x["tf"])).withColumn("second", most(lambda x: x["tf"] * F.length(x["token"])))
+    order = ["first", "second", "dl", "doc"]
+    ranged = named.repartitionByRange(*order).sortWithinPartitions(*order)
+    # numbers run on within a partition, so a block ends with its partition at the latest
+    placed = ranged.withColumn("block", F.floor(F.monotonically_increasing_id() / block_docs))
+    one = placed.select("block", "doc", F.col("dl").cast("int").alias("dl"), F.inline("p"))
+    lists = one.groupBy("token", "block").agg(F.max(_weight(F.col("tf"), F.col("dl"), avgdl)).alias("most"), F.count("*").alias("n"), F.collect_list(F.struct("doc", "dl", "tf")).alias("postings"))
+    stored = cut(lists.sortWithinPartitions("token", "block"))
     return BlockIndex(stored, cut(stored.groupBy("token").agg(F.sum("n").alias("df"))), n, avgdl)
