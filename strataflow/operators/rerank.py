@@ -43,17 +43,32 @@ def _share(hay: Column, asked: Column, n: int) -> Column:
 
 
 def features(candidates: DataFrame, asked: DataFrame) -> DataFrame:
-    """Candidates (query, doc, score, rank, content, ..) with one column for each of FEATURES; null content is empty."""
-    rows = candidates.join(asked, "query")
+    """Candidates (query, doc, score, rank, content, ..) with one column for each of FEATURES, without the content; null content is empty.
+
+    best, a question's highest score, is taken from a column of that name if there is one (`placed`): else candidates are shuffled to find it.
+    """
+    rows = (candidates if "best" in candidates.columns else candidates.withColumn("best", F.max("score").over(Window.partitionBy("query")))).join(asked, "query")
     own = tokens(F.coalesce(F.col("content"), F.lit("")))
     rows = rows.withColumn("rerank_hay", F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")))
     hay, q = F.col("rerank_hay"), F.col("asked")
     total = F.aggregate(q, F.lit(0.0), lambda s, x: s + x["idf"])
     met = F.aggregate(F.filter(q, lambda x: F.contains(hay, F.concat(F.lit(" "), x["token"], F.lit(" ")))), F.lit(0.0), lambda s, x: s + x["idf"])
-    best = F.max("score").over(Window.partitionBy("query"))
+    best = F.col("best")
     of = {"words": _share(hay, q, 1), "rarity": F.when(total == 0, 0.0).otherwise(met / total), "pairs": _share(hay, q, 2), "triples": _share(hay, q, 3), "score": F.when(best > 0, F.col("score") / best).otherwise(0.0), "rank": 1.0 / F.col("rank"), "length": F.log1p(F.length(hay)) / 10}
     found = rows.select("*", *[c.cast("double").alias(f"rerank_{k}") for k, c in of.items()])
-    return found.drop("rerank_hay", "asked")
+    return found.drop("rerank_hay", "asked", "best", "content")
+
+
+def placed(found: DataFrame, docs: DataFrame, asked: DataFrame, passages: DataFrame | None = None) -> DataFrame:
+    """Features of a search's results (query, doc, score, rank) over docs (doc, content); with passages also `relevant`.
+
+    Results meet the texts once and leave with numbers in their place, so a text is never shuffled or written for each question it was found by.
+    """
+    short = found.withColumn("best", F.max("score").over(Window.partitionBy("query")))
+    if passages is not None:
+        short = short.join(passages.select("query", "passage"), "query")
+    rows = short.join(docs.select("doc", "content"), "doc")
+    return features(_judged(rows).drop("passage") if passages is not None else rows, asked)
 
 
 @dataclass
@@ -75,7 +90,12 @@ def train(judged: DataFrame, asked: DataFrame, ridge: float = 1e-3, rounds: int
 
     The pairs stay in Spark; the driver gets the weights. Without pairs of both kinds the reranker is the share of words.
     """
-    rows = features(judged.where("relevant is not null"), asked).select("relevant", *[f"rerank_{k}" for k in FEATURES])
+    return train_on(features(judged.where("relevant is not null"), asked), ridge, rounds)
+
+
+def train_on(featured: DataFrame, ridge: float = 1e-3, rounds: int = 60) -> Reranker:
+    """train from rows that have their features already."""
+    rows = featured.where("relevant is not null").select("relevant", *[f"rerank_{k}" for k in FEATURES])
     counts = {r["relevant"]: r["count"] for r in rows.groupBy("relevant").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return Reranker({"words": 4.0}, -2.0)
@@ -87,7 +107,12 @@ def train(judged: DataFrame, asked: DataFrame, ridge: float = 1e-3, rounds: int
 
 def rerank(candidates: DataFrame, asked: DataFrame, model: Reranker, top: int = 40) -> DataFrame:
     """(query, doc, score, rank): each question's `top` candidates by the model's probability; ties by document."""
-    scored = features(candidates.where(F.col("rank") <= top), asked).select("query", "doc", model.probability().alias("score"))
+    return ranked(features(candidates.where(F.col("rank") <= top), asked), model, top)
+
+
+def ranked(featured: DataFrame, model: Reranker, top: int = 40) -> DataFrame:
+    """rerank from rows that have their features already."""
+    scored = featured.select("query", "doc", model.probability().alias("score"))
     return top_k(scored, "query", F.round("score", 9), "doc", top)
 
 
@@ -105,8 +130,12 @@ def judged_passages(docs: DataFrame, key: str, text: str, every: int, length: in
 
 def judged_candidates(candidates: DataFrame, passages: DataFrame) -> DataFrame:
     """Candidates with relevant: 1 if the candidate has the whole passage that the question was made of."""
+    return _judged(candidates.join(passages.select("query", "passage"), "query")).drop("passage")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
     hay = F.concat(F.lit(" "), F.array_join(tokens(F.coalesce(F.col("content"), F.lit(""))), " "), F.lit(" "))
-    return candidates.join(passages.select("query", "passage"), "query").withColumn("relevant", F.contains(hay, F.col("passage")).cast("int")).drop("passage")
+    return rows.withColumn("relevant", F.contains(hay, F.col("passage")).cast("int"))
 
 
 def mean_reciprocal_rank(ranked: DataFrame, judged: DataFrame) -> float:

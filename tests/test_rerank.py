@@ -21,6 +21,10 @@ def test_reranker_beats_overlap_on_held_out_questions(spark):
     trained = rerank.mean_reciprocal_rank(rerank.rerank(unseen, asked, model), unseen)
     assert trained > rerank.mean_reciprocal_rank(words, unseen) + 0.03
     assert trained > rerank.mean_reciprocal_rank(unseen, unseen)
+    # texts met once give the same features
+    short = rerank.placed(found.drop("content"), docs, asked, passages)
+    names = ["query", "doc", "relevant", *(f"rerank_{k}" for k in rerank.FEATURES)]
+    assert sorted(map(tuple, short.select(names).collect())) == sorted(map(tuple, rerank.features(judged, asked).select(names).collect()))
 
 
 def test_features_by_hand(spark):
