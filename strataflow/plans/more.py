@@ -80,17 +80,17 @@ def r17_review_recommendations(spark, d):
     return found.withColumn("risk_score", F.round("risk_score", 6))
 
 
-_PATHS = f"WITH RECURSIVE {graph._EDGES}, step AS (SELECT DISTINCT src, dst FROM edges WHERE type <> 'assigns'), r AS (SELECT 'e900' AS node, ['e900'] AS path UNION ALL SELECT dst, list_append(path, dst) FROM r JOIN step ON src = node WHERE len(path) <= 12 AND node <> 'e1'), best AS (SELECT min(path) AS path FROM r WHERE node = 'e1')"
+_PATHS = f"WITH RECURSIVE {graph._EDGES}, step AS (SELECT DISTINCT src, dst FROM edges WHERE type <> 'assigns'), r AS (SELECT 'e900' AS node, ['e900'] AS path UNION ALL SELECT dst, list_append(path, dst) FROM r JOIN step ON src = node WHERE len(path) <= 15 AND node <> 'e1'), best AS (SELECT min(path) AS path FROM r WHERE node = 'e1')"
 
 
 @query("g9_explain_dependency", f"{_PATHS} SELECT unnest(path) AS node, unnest(range(len(path))) AS step FROM best WHERE path IS NOT NULL")
 def g9_explain_dependency(spark, d):
-    return gop.shortest_path(graph.edges_of(spark, d).where("type <> 'assigns'"), "e900", "e1", 12).select(F.posexplode("path").alias("step", "node")).select("node", F.col("step").cast("long").alias("step"))
+    return gop.shortest_path(graph.edges_of(spark, d).where("type <> 'assigns'"), "e900", "e1", 15).select(F.posexplode("path").alias("step", "node")).select("node", F.col("step").cast("long").alias("step"))
 
 
-@query("g13_actionable_impact", f"WITH {graph._EDGES}, act AS (SELECT DISTINCT src, dst FROM edges WHERE type <> 'imports'), {graph._S}, {graph._reach('r', 'seeds', 'act', 'dst', 'src', 4)}, a AS (SELECT seed, node, depth FROM r WHERE depth > 0) SELECT *, 'Actionable' AS verdict FROM a UNION ALL SELECT DISTINCT dst, src, 1, 'Safe' FROM edges e JOIN seeds ON dst = seeds.node WHERE type = 'imports' AND NOT EXISTS (SELECT 1 FROM a WHERE a.seed = e.dst AND a.node = e.src)")
+@query("g13_actionable_impact", f"WITH {graph._EDGES}, act AS (SELECT DISTINCT src, dst FROM edges WHERE type <> 'imports'), {graph._S}, {graph._reach('r', 'seeds', 'act', 'dst', 'src', 5)}, a AS (SELECT seed, node, depth FROM r WHERE depth > 0) SELECT *, 'Actionable' AS verdict FROM a UNION ALL SELECT DISTINCT dst, src, 1, 'Safe' FROM edges e JOIN seeds ON dst = seeds.node WHERE type = 'imports' AND NOT EXISTS (SELECT 1 FROM a WHERE a.seed = e.dst AND a.node = e.src)")
 def g13_actionable_impact(spark, d):
-    return op.actionable_impact(graph.edges_of(spark, d), graph._seeds(spark, 1, 2, 5, 8), 4)
+    return op.actionable_impact(graph.edges_of(spark, d), graph._seeds(spark, 1, 2, 5, 8), 5)
 
 
 @query("g15_identifier_edges", "WITH t AS (SELECT DISTINCT source, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents), f AS (SELECT w, min(source) AS home, count(*) AS n FROM t WHERE length(w) >= 4 GROUP BY w HAVING count(*) <= 0.3 * (SELECT count(DISTINCT source) FROM documents)) SELECT source AS src, home AS dst, count(*) AS weight FROM t JOIN f USING (w) WHERE source <> home GROUP BY ALL")
@@ -114,9 +114,9 @@ def g17_recompute_guard(spark, d):
     return op.needs_recompute(edges, edges.where("type <> 'fallback_to'"))
 
 
-@query("g24_impact_zone", f"WITH {graph._EDGES}, s(node) AS (VALUES ('e3')), {graph._reach('r', 's', 'edges', 'dst', 'src', 3)} SELECT node, depth FROM r WHERE depth > 0")
+@query("g24_impact_zone", f"WITH {graph._EDGES}, s(node) AS (VALUES ('e3')), {graph._reach('r', 's', 'edges', 'dst', 'src', 10)} SELECT node, depth FROM r WHERE depth > 0")
 def g24_impact_zone(spark, d):
-    return gop.bfs(gop.reversed_(graph.edges_of(spark, d)), graph._seeds(spark, 3), 3).select("node", "depth")
+    return gop.bfs(gop.reversed_(graph.edges_of(spark, d)), graph._seeds(spark, 3), 10).select("node", "depth")
 
 
 @query("g28_runtime_dependents", f"WITH {runtime._EV}, {runtime._VIEW}, s(node) AS (VALUES ('svc1'), ('svc4')), {graph._reach('r', 's', 'dep', 'target', 'source', 5)} SELECT seed, node, depth FROM r WHERE depth > 0")
@@ -128,9 +128,9 @@ def g28_runtime_dependents(spark, d):
     return gop.bfs(edges, seeds, 5)
 
 
-@query("x3_staleness_propagation", f"WITH {graph._EDGES}, s(node) AS (VALUES ('e2'), ('e7')), {graph._reach('r', 's', 'edges', 'dst', 'src', 3)} SELECT node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY node")
+@query("x3_staleness_propagation", f"WITH {graph._EDGES}, s(node) AS (VALUES ('e2'), ('e7')), {graph._reach('r', 's', 'edges', 'dst', 'src', 10)} SELECT node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY node")
 def x3_staleness_propagation(spark, d):
-    return op.stale_closure(graph.edges_of(spark, d), graph._seeds(spark, 2, 7), 3)
+    return op.stale_closure(graph.edges_of(spark, d), graph._seeds(spark, 2, 7), 10)
 
 
 @query("x5_incremental_chunks", "SELECT DISTINCT sha256(text) AS chunk FROM documents WHERE lang <> 'en' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
