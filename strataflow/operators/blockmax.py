@@ -9,12 +9,16 @@ hold a document of the result, so the rows are those of a search through everyth
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.functions.session import cut
+from strataflow.functions.session import cut, ship
 from strataflow.operators.retrieval import K1, B, tokens, top_k
 
 #: Scores are compared after rounding to nine digits; a bound must not lose a document to that.
@@ -73,11 +77,46 @@ class BlockIndex:
         return result, bounds.groupBy("query").agg(F.sum("n").alias("postings")).join(read, "query")
 
 
+def _inverted(avgdl: float):
+    """Lists of the blocks of a partition (block, doc, dl, p), whose rows stand together: nothing has to be shuffled for them."""
+
+    def out(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.take(pc.sort_indices(rows, [("token", "ascending"), ("block", "ascending")])).combine_chunks()
+        token, block, doc, dl, tf = (rows.column(c).combine_chunks() for c in ("token", "block", "doc", "dl", "tf"))
+        n = len(token)
+        new = pc.or_(pc.not_equal(token.slice(1), token.slice(0, n - 1)), pc.not_equal(block.slice(1), block.slice(0, n - 1)))
+        starts = np.concatenate(([0], np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1))
+        f, d = tf.to_numpy().astype(np.float64), dl.to_numpy().astype(np.float64)
+        most = np.maximum.reduceat(f * (K1 + 1) / (f + K1 * (1 - B + B * d / avgdl)), starts)
+        ends = np.concatenate((starts[1:], [n]))
+        postings = pa.ListArray.from_arrays(pa.array(np.concatenate((starts, [n])), pa.int32()), pa.StructArray.from_arrays([doc, dl, tf], ["doc", "dl", "tf"]))
+        return pa.RecordBatch.from_arrays([token.take(pa.array(starts)), block.take(pa.array(starts)), pa.array(most), pa.array(ends - starts, pa.int64()), postings], ["token", "block", "most", "n", "postings"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = batch.column("p")
+            flat, row = runs.flatten(), pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(runs).to_numpy(zero_copy_only=False)))
+            own = pa.table({"block": batch.column("block").take(row), "doc": batch.column("doc").take(row), "dl": batch.column("dl").take(row), "token": flat.field("token"), "tf": flat.field("tf")})
+            rows = own if held is None else pa.concat_tables([held, own])
+            last = pc.equal(rows.column("block"), batch.column("block")[-1])  # more of this block may follow
+            done, held = rows.filter(pc.invert(last)), rows.filter(last)
+            if done.num_rows:
+                yield out(done)
+        if held is not None and held.num_rows:
+            yield out(held)
+
+    return of
+
+
 def block_index(docs: DataFrame, key: str, text: str, block_docs: int = 32, tokenize=tokens) -> BlockIndex:
     """The lists of a corpus in the shared folder. A list's block has at most block_docs postings, so no row grows with the corpus.
 
     Null and empty texts are documents without postings; a row is a document of its own, so keys should not repeat.
     """
+    ship(docs.sparkSession)
     own = docs.select(F.col(key).alias("doc"), F.array_sort(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("t")).withColumn("dl", F.size("t"))
     # a document's tokens are counted in its own row: in sorted order each token is one run
     begins = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
@@ -91,7 +130,7 @@ def block_index(docs: DataFrame, key: str, text: str, block_docs: int = 32, toke
     ranged = named.repartitionByRange(*order).sortWithinPartitions(*order)
     # numbers run on within a partition, so a block ends with its partition at the latest
     placed = ranged.withColumn("block", F.floor(F.monotonically_increasing_id() / block_docs))
-    one = placed.select("block", "doc", F.col("dl").cast("int").alias("dl"), F.inline("p"))
-    lists = one.groupBy("token", "block").agg(F.max(_weight(F.col("tf"), F.col("dl"), avgdl)).alias("most"), F.count("*").alias("n"), F.collect_list(F.struct("doc", "dl", "tf")).alias("postings"))
+    kind = own.schema["doc"].dataType.simpleString()
+    lists = placed.select("block", "doc", F.col("dl").cast("int").alias("dl"), "p").mapInArrow(_inverted(avgdl), f"token string, block long, most double, n long, postings array<struct<doc:{kind},dl:int,tf:int>>")
     stored = cut(lists.sortWithinPartitions("token", "block"))
     return BlockIndex(stored, cut(stored.groupBy("token").agg(F.sum("n").alias("df"))), n, avgdl)
