@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.functions.session import shared_dir
+from strataflow.operators import sketches
 from strataflow.plans.registry import query
 from strataflow.sources import readers
 from strataflow.sources.adapters import table
@@ -158,3 +159,19 @@ def k5_generations(spark: SparkSession, d: str) -> DataFrame:
         kept.begin(part)
         kept.commit() if keep else kept.abort()
     return kept.live()
+
+
+@query("a8_daily_sketches", "SELECT event_type, count(*) AS n, CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS days, true AS different_is_near, true AS median_is_near FROM events GROUP BY event_type")
+def a8_daily_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Days are summarised as they come, the last ones later; what the summaries say over all days is held against the events themselves."""
+    events = table(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
+    kept = sketches.kept(spark, _folder(spark, "sketches"))
+    last = events.agg(F.max("day")).first()[0]
+    for part in (events.where(F.col("day") < F.date_sub(F.lit(last), 5)), events.where(F.col("day") >= F.date_sub(F.lit(last), 6))):
+        kept.replace_groups(sketches.daily(part, "day", "event_type", "user_id", "value"))
+    told = sketches.merged(kept.rows(), [0.4, 0.6])
+    exact = events.groupBy("event_type").agg(F.count_distinct("day").alias("days"), F.count_distinct("user_id").alias("different"), F.percentile("value", 0.5).alias("median"))
+    rows = exact.join(told.withColumnsRenamed({"key": "event_type", "different": "estimate"}), "event_type")
+    near = F.abs(F.col("estimate") - F.col("different")) <= F.greatest(F.lit(1.0), F.col("different") * 0.08)
+    between = (F.get("quantiles", F.lit(0)) <= F.col("median")) & (F.col("median") <= F.get("quantiles", F.lit(1)))
+    return rows.select("event_type", "n", "days", near.alias("different_is_near"), between.alias("median_is_near"))
