@@ -1,4 +1,4 @@
-"""Advisory analytics: change-set risk, review recommendations, incident rules, communities, gap analysis, artifact health, rebuilds."""
+"""Advisory analytics: change-set risk, review recommendations, incident rules, gap analysis, artifact health, rebuilds."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.functions.session import cut
 from strataflow.operators.graph import bfs, reversed_
 
 
@@ -83,52 +82,6 @@ def incident_rules(coverage: DataFrame, hotspots: DataFrame, health: DataFrame,
     return c.unionByName(h).unionByName(a).unionByName(o).unionByName(t)
 
 
-def communities(edges: DataFrame, folder: Callable[[Column], Column], hub_share: float = 0.05, cross: int = 3, largest: int = 20, least: int = 3, most_pairs: int = 200_000) -> DataFrame:
-    """Greedy communities of a file graph: (node, community).
-
-    The best-connected `hub_share` of nodes are set aside; the others start as their folders; folders are merged, the most
-    connected pair first, while more than `cross` edges join them and the result has no more than `largest` members; hubs join the
-    community that most of their edges lead to; communities under `least` members are dropped. Folders, not files, are merged
-    on the driver, so what is collected has the size of the folder graph; a graph of more than `most_pairs` pairs of folders
-    is refused: give a coarser `folder`.
-    """
-    pairs = edges.select("src", "dst").where("src <> dst").distinct()
-    ends = pairs.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(pairs.select(F.col("dst").alias("node"), F.col("src").alias("other")))
-    degree = ends.groupBy("node").agg(F.count("*").alias("n"))
-    limit = degree.agg(F.expr(f"percentile(n, {1 - hub_share})").alias("cut"))
-    hubs = degree.join(F.broadcast(limit)).where("n > cut").select("node")
-    own = degree.select("node").join(hubs, "node", "left_anti").withColumn("folder", folder(F.col("node")))
-    a, b = own.select(F.col("node").alias("src"), F.col("folder").alias("fa")), own.select(F.col("node").alias("dst"), F.col("folder").alias("fb"))
-    links = pairs.join(a, "src").join(b, "dst").where("fa <> fb").groupBy(F.least("fa", "fb").alias("x"), F.greatest("fa", "fb").alias("y")).agg(F.count("*").alias("n"))
-    links, folders = cut(links), cut(own.groupBy("folder").agg(F.count("*").alias("n")))
-    if links.count() > most_pairs or folders.count() > most_pairs:
-        raise ValueError(f"more than {most_pairs} folders or pairs of folders: give a coarser folder")
-    links, sizes = links.collect(), {r["folder"]: r["n"] for r in folders.collect()}
-    weight = {(r["x"], r["y"]): r["n"] for r in links}
-    into = {f: f for f in sizes}
-    while True:
-        open_ = [(n, x, y) for (x, y), n in weight.items() if n > cross and sizes[x] + sizes[y] <= largest]
-        if not open_:
-            break
-        _, x, y = max(open_, key=lambda t: (t[0], [-ord(c) for c in t[1] + "|" + t[2]]))
-        sizes[x] += sizes.pop(y)
-        into = {f: x if c == y else c for f, c in into.items()}
-        merged: dict[tuple[str, str], int] = {}
-        for (p, q), n in weight.items():
-            p, q = sorted((x if p == y else p, x if q == y else q))
-            if p != q:
-                merged[p, q] = merged.get((p, q), 0) + n
-        weight = merged
-    spark = edges.sparkSession
-    table = spark.createDataFrame(sorted(into.items()), "folder string, community string")
-    members = own.join(F.broadcast(table), "folder").select("node", "community")
-    votes = ends.join(hubs, "node", "left_semi").join(members.withColumnRenamed("node", "other"), "other").groupBy("node", "community").agg(F.count("*").alias("n"))
-    joined = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community"))
-    every = members.unionByName(joined)
-    kept = every.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("community")
-    return every.join(kept, "community", "left_semi").select("node", "community")
-
-
 def needs_recompute(before: DataFrame, after: DataFrame, share: float = 0.1) -> DataFrame:
     """Whether more than `share` of the edges (src, dst) changed: changed, total, recompute."""
     a, b = before.select("src", "dst").distinct(), after.select("src", "dst").distinct()

@@ -9,6 +9,7 @@ from strataflow.operators import advisory as op
 from strataflow.operators import graph as gop
 from strataflow.operators import history as hist
 from strataflow.operators import lookup as lop
+from strataflow.operators.communities import communities
 from strataflow.plans import graph, history, lookup, runtime, snapshots
 from strataflow.plans.registry import query
 from strataflow.sources import adapters as role
@@ -102,10 +103,28 @@ def g15_identifier_edges(spark, d):
     return t.join(f, "w").where("source <> home").groupBy(F.col("source").alias("src"), F.col("home").alias("dst")).agg(F.count("*").alias("weight"))
 
 
-@query("g16_communities")
+#: Labels of folders take the least label that more than 3 edges join to theirs until nothing moves; hubs are seated one after the other.
+_COMMUNITIES = history._COUPLING.replace("WITH ", "WITH RECURSIVE ", 1) + """, pr AS (SELECT DISTINCT least(source_path, target_path) AS a, greatest(source_path, target_path) AS b FROM coupled WHERE source_path <> target_path),
+    nb AS (SELECT a AS node, b AS other FROM pr UNION ALL SELECT b, a FROM pr), deg AS (SELECT node, row_number() OVER (ORDER BY count(*) DESC, node) AS place FROM nb GROUP BY node),
+    hubs AS (SELECT * FROM deg WHERE place <= (SELECT count(*) // 20 FROM deg)), own AS (SELECT node, string_split(node, '/')[1] AS folder FROM deg WHERE node NOT IN (SELECT node FROM hubs)),
+    fl AS (SELECT p.folder AS x, q.folder AS y, count(*) AS n FROM nb JOIN own p ON p.node = nb.node JOIN own q ON q.node = nb.other WHERE p.folder <> q.folder GROUP BY ALL),
+    lab AS (SELECT DISTINCT 0 AS i, folder, folder AS label FROM own UNION ALL SELECT i + 1, folder, least(label, coalesce(up, label)) FROM (SELECT i, folder, label, up, count(up) OVER () AS c
+        FROM lab LEFT JOIN (SELECT la, min(lb) AS up FROM (SELECT a.label AS la, b.label AS lb FROM fl JOIN lab a ON a.folder = x JOIN lab b ON b.folder = y WHERE a.label <> b.label GROUP BY 1, 2 HAVING sum(n) > 3) GROUP BY la) ON la = label) WHERE c > 0),
+    mem AS (SELECT node, own.folder, label, count(*) OVER (PARTITION BY label) > 20 AS large, (row_number() OVER (PARTITION BY own.folder ORDER BY node) - 1) // 20 AS run FROM own JOIN (SELECT folder, label FROM lab WHERE i = (SELECT max(i) FROM lab)) USING (folder)),
+    base AS (SELECT node, min(node) OVER (PARTITION BY label, CASE WHEN large THEN folder END, CASE WHEN large THEN run END) AS community FROM mem), size AS (SELECT community, count(*) AS n FROM base GROUP BY 1),
+    wish AS (SELECT place, community, count(*) AS k, any_value(n) AS n FROM hubs JOIN nb USING (node) JOIN base ON base.node = other JOIN size USING (community) GROUP BY ALL),
+    seat AS (SELECT CAST(0 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS taken UNION ALL SELECT s.place + 1, list_append(any_value(taken), arg_min(community, (-k, community)) FILTER (n + len(list_filter(taken, lambda x: x = community)) < 20))
+        FROM seat s LEFT JOIN wish w ON w.place = s.place + 1 WHERE s.place < (SELECT count(*) FROM hubs) GROUP BY s.place),
+    sat AS (SELECT unnest(range(1, len(taken) + 1)) AS place, unnest(taken) AS community FROM seat WHERE place = (SELECT max(place) FROM seat)),
+    room AS (SELECT community, row_number() OVER (ORDER BY community, k) AS j FROM (SELECT community, unnest(range(20 - n - (SELECT count(*) FROM sat WHERE sat.community = size.community))) AS k FROM size)),
+    late AS (SELECT place, row_number() OVER (ORDER BY place) AS j FROM sat WHERE community IS NULL),
+    grown AS (SELECT * FROM base UNION ALL SELECT node, coalesce(sat.community, room.community, node) FROM hubs JOIN sat USING (place) LEFT JOIN late USING (place) LEFT JOIN room USING (j))"""
+
+
+@query("g16_communities", f"{_COMMUNITIES} SELECT node, community FROM grown QUALIFY count(*) OVER (PARTITION BY community) >= 3")
 def g16_communities(spark, d):
     edges = history._coupled(spark, d).select(F.col("source_path").alias("src"), F.col("target_path").alias("dst"))
-    return op.communities(edges, lambda c: F.split(c, "/")[0], largest=200)
+    return communities(edges, lambda c: F.split(c, "/")[0])
 
 
 @query("g17_recompute_guard", f"WITH {graph._EDGES}, b AS (SELECT DISTINCT src, dst FROM edges WHERE type <> 'fallback_to'), a AS (SELECT DISTINCT src, dst FROM edges), c AS (SELECT count(*) AS changed FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a))) SELECT changed, (SELECT count(*) FROM a) AS total, changed > (SELECT count(*) FROM a) * 0.1 AS recompute FROM c")

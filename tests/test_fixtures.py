@@ -298,53 +298,6 @@ def test_reconciliation_waits_for_its_own_run(spark):
     assert got == [(1.5, 2), (6.5, 2), (31.0, 1)]
 
 
-def test_communities_against_brute_force(spark):
-    import random
-
-    from strataflow.operators import advisory
-
-    rng = random.Random(4)
-    files = [f"{d}/f{i}" for d in "abcdefg" for i in range(8)]
-    edges = {(x, y) for _ in range(400) for x, y in [rng.sample(files, 2)] if x[0] == y[0] or (x[0], y[0]) in (("a", "b"), ("c", "d"), ("e", "a")) or rng.random() < 0.03}
-    df = spark.createDataFrame(sorted(edges), "src string, dst string")
-    got = {r.node: r.community for r in advisory.communities(df, lambda c: F.split(c, "/")[0], largest=20).collect()}
-
-    ends = [*edges, *[(b, a) for a, b in edges]]
-    degree = {f: sum(a == f for a, _ in ends) for f in files if any(f in e for e in edges)}
-    ordered = sorted(degree.values())
-    place = 0.95 * (len(ordered) - 1)
-    limit = ordered[int(place)] + (place % 1) * (ordered[min(int(place) + 1, len(ordered) - 1)] - ordered[int(place)])
-    own = {f: f[0] for f in degree if degree[f] <= limit}
-    size = {d: sum(v == d for v in own.values()) for d in set(own.values())}
-    weight, into = {}, {d: d for d in size}
-    for a, b in edges:
-        if a in own and b in own and own[a] != own[b]:
-            k = tuple(sorted((own[a], own[b])))
-            weight[k] = weight.get(k, 0) + 1
-    while open_ := [k for k, n in weight.items() if n > 3 and size[k[0]] + size[k[1]] <= 20]:
-        x, y = min(open_, key=lambda k: (-weight[k], k))
-        size[x] += size.pop(y)
-        into = {f: x if c == y else c for f, c in into.items()}
-        merged = {}
-        for (p, q), n in weight.items():
-            k = tuple(sorted((x if p == y else p, x if q == y else q)))
-            if k[0] != k[1]:
-                merged[k] = merged.get(k, 0) + n
-        weight = merged
-    expected = {f: into[d] for f, d in own.items()}
-    for hub in set(degree) - set(own):
-        votes = {}
-        for a, b in ends:
-            if a == hub and b in own:
-                votes[expected[b]] = votes.get(expected[b], 0) + 1
-        if votes:
-            expected[hub] = min(votes, key=lambda c: (-votes[c], c))
-    kept = {c for c in expected.values() if sum(v == c for v in expected.values()) >= 3}
-    assert got == {f: c for f, c in expected.items() if c in kept}
-    with pytest.raises(ValueError):
-        advisory.communities(df, lambda c: F.split(c, "/")[0], most_pairs=1)
-
-
 def test_rebuild_goes_on_after_a_failure(spark):
     from strataflow.operators import advisory
 
