@@ -6,6 +6,7 @@ one table.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,20 +43,55 @@ def lines_of(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("content", "\r?\n", -1)).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """(path, line, kind, name, container, declaration): classes, functions and methods by their declarations; a method's container is the class it is indented under."""
+#: Functions of script files by their first line: declared, or a name that an arrow function or a function expression is bound to.
+FUNCTIONS = (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]*)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)[^=;]*=>|\w+\s*=>)")
+_MODIFIERS = r"(?:public|private|protected|static|readonly|async|override|abstract|get|set)\s+"
+#: Members of script classes: with a body, bound to an arrow function, with a modifier or as constructor over several lines.
+MEMBERS = (
+    rf"^\s+(?:{_MODIFIERS})*[*#]?(\w+)\s*(?:<[^>]*>)?\s*\([^;]*\)\s*(?::[^;=]*)?\{{", rf"^\s+(?:{_MODIFIERS})*#?(\w+)\s*(?::[^=]*)?=\s*(?:async\s*)?(?:\([^)]*\)[^=;]*=>|\w+\s*=>)",
+    rf"^\s+(?:{_MODIFIERS})+[*#]?(\w+)\s*(?:<[^>]*>)?\s*\([^;)]*$", r"^\s+(constructor)\s*\([^;)]*$",
+)
+#: Words that stand before parentheses and a brace without being a member.
+KEYWORDS = ("if", "for", "while", "switch", "catch", "with", "return", "function", "await", "new", "typeof", "do", "else")
+#: How many lines a signature may take.
+SIGNATURE_LINES = 16
+
+
+def _first(text: Column, patterns: Sequence[str]) -> Column:
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns], F.lit(""))
+
+
+def declared(files: DataFrame) -> DataFrame:
+    """symbols(), with `ahead`: the declaration and the lines after it as one line without their comments."""
     text = F.col("text")
     py, ts = F.col("path").rlike(PYTHON), F.col("path").rlike(SCRIPT)
     cls = F.when(py | ts, F.regexp_extract(text, r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", 1))
-    fun = F.when(py, F.regexp_extract(text, r"^\s*(?:async\s+)?def\s+(\w+)", 1)).when(ts, F.regexp_extract(text, r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)", 1))
-    rows = lines_of(files).withColumn("cls", cls).withColumn("fun", fun).where("cls <> '' OR fun <> ''").withColumn("indent", F.length(F.regexp_extract(text, r"^(\s*)", 1)))
+    fun = F.when(py, F.regexp_extract(text, r"^\s*(?:async\s+)?def\s+(\w+)", 1)).when(ts, _first(text, FUNCTIONS))
+    member = F.when(ts & (F.col("cls") == "") & (F.col("fun") == ""), _first(text, MEMBERS)).otherwise("")
+    lines = files.select("path", F.split("content", "\r?\n", -1).alias("lines")).select("path", "lines", F.posexplode("lines").alias("line", "text")).withColumn("line", F.col("line") + 1)
+    rows = lines.withColumn("cls", cls).withColumn("fun", fun).withColumn("member", member).withColumn("member", F.when(F.col("member").isin(*KEYWORDS), "").otherwise(F.col("member"))).where("cls <> '' OR fun <> '' OR member <> ''").withColumn("indent", F.length(F.regexp_extract(text, r"^(\s*)", 1)))
+    ahead = F.array_join(F.transform(F.slice("lines", F.col("line"), SIGNATURE_LINES), lambda x: F.regexp_replace(x, r"(?:^|\s)(?:#|//)\s.*$", "")), " ")
+    rows = rows.withColumn("ahead", ahead).drop("lines")
     above = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     # the last class that starts further left, if no other declaration at its level came since
     outer = F.last(F.when(F.col("cls") != "", F.struct("cls", "indent", "line")), ignorenulls=True).over(above)
     level = F.last(F.when(F.col("indent") == 0, F.col("line")), ignorenulls=True).over(above)
-    inside = (F.col("indent") > outer["indent"]) & (outer["line"] >= F.coalesce(level, F.lit(0)))
-    rows = rows.withColumn("container", F.when((F.col("indent") > 0) & inside, outer["cls"]))
-    return rows.select("path", "line", F.when(F.col("cls") != "", "class").when(F.col("container").isNotNull(), "method").otherwise("function").alias("kind"), F.when(F.col("cls") != "", F.col("cls")).otherwise(F.col("fun")).alias("name"), "container", F.trim("text").alias("declaration"))
+    rows = rows.withColumn("outer", outer).withColumn("level", level)
+    inside = (F.col("indent") > 0) & (F.col("indent") > F.col("outer.indent")) & (F.col("outer.line") >= F.coalesce("level", F.lit(0)))
+    rows = rows.withColumn("container", F.when(inside, F.col("outer.cls")))
+    # members stand at the least indent of what their class holds: deeper lines are statements in their bodies
+    least = F.min("indent").over(Window.partitionBy("path", "outer.line", "container"))
+    rows = rows.withColumn("least", least).where("member = '' OR (container IS NOT NULL AND indent = least)")
+    kind = F.when(F.col("cls") != "", "class").when(F.col("container").isNotNull(), "method").otherwise("function")
+    return rows.select("path", "line", kind.alias("kind"), F.concat("cls", F.when(F.col("cls") == "", F.concat("fun", "member")).otherwise("")).alias("name"), "container", F.trim("text").alias("declaration"), "ahead")
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """(path, line, kind, name, container, declaration): classes, functions and methods by their declarations; a method's container is the class it is indented under.
+
+    In script files names bound to arrow functions are functions, and members with a body, or bound to one, are methods.
+    """
+    return declared(files).drop("ahead")
 
 
 def decorators(files: DataFrame) -> DataFrame:
@@ -69,13 +105,35 @@ def decorators(files: DataFrame) -> DataFrame:
     return own.select("path", "line", F.col("next.name").alias("symbol"), F.col("next.line").alias("symbol_line"), "decorator", "argument", role.alias("role"))
 
 
+def _nested(levels: int) -> str:
+    """Text in brackets of any kind that holds brackets up to so many levels deep."""
+    plain, group = r"[^()\[\]{}<>=]*", ""
+    for _ in range(levels):
+        group = rf"[(\[{{<]{plain}(?:(?:=>|={group and '|' + group}){plain})*[)\]}}>]"
+    return group
+
+
+_GROUP, _ROUND = _nested(3), r"[^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*"
+_RESULT = rf"[^:{{}}()\[\]<>=;]*(?:{_GROUP}[^:{{}}()\[\]<>=;]*)*?"
+#: Signatures: what is in the parentheses, and the result's type.
+PYTHON_SIGNATURE = rf"^[^(]*\(({_ROUND})\)\s*(?:->\s*({_RESULT}))?\s*:"
+SCRIPT_SIGNATURE = rf"^[^(]*\(({_ROUND})\)\s*(?::\s*({_RESULT}))?\s*(?:=>|\{{|;|$)"
+#: One parameter: up to a comma that is in no brackets.
+PARAMETER = rf"(?:[^,()\[\]{{}}<>=]|=>|=|{_GROUP})[^,()\[\]{{}}<>=]*(?:(?:=>|=|{_GROUP})[^,()\[\]{{}}<>=]*)*"
+ANNOTATED = r"^(?:(?:public|private|protected|readonly|override)\s+)*[.*]*(\w+)\??\s*:\s*((?:[^=]|=>)+)"
+
+
 def annotations(files: DataFrame) -> DataFrame:
-    """(path, line, symbol, parameter, type) of annotated parameters of declarations on one line; the result's type is under "return"."""
-    own = symbols(files).where("kind <> 'class'")
-    inner = F.regexp_extract("declaration", r"\(([^)]*)\)", 1)
-    parts = F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda p: p.rlike(r"^\w+\??\s*:"))
-    given = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(\w+)", 1).alias("parameter"), F.trim(F.regexp_extract(p, r"^\w+\??\s*:\s*([^=]+)", 1)).alias("type")))
-    back = F.trim(F.regexp_extract("declaration", r"\)\s*(?:->|:)\s*([\w\[\]., |<>]+?)\s*[:{]\s*$", 1))
+    """(path, line, symbol, parameter, type) of annotated parameters, over several lines too; the result's type is under "return".
+
+    Commas in brackets, three deep, do not part parameters. Signatures of more than SIGNATURE_LINES lines, and results that are object
+    literals, are left out.
+    """
+    own = declared(files).where("kind <> 'class'")
+    part = lambda k: F.when(F.col("path").rlike(PYTHON), F.regexp_extract("ahead", PYTHON_SIGNATURE, k)).otherwise(F.regexp_extract("ahead", SCRIPT_SIGNATURE, k))
+    parts = F.filter(F.transform(F.regexp_extract_all(part(1), F.lit(PARAMETER), 0), lambda x: F.trim(x)), lambda p: p.rlike(ANNOTATED))
+    given = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, ANNOTATED, 1).alias("parameter"), F.trim(F.regexp_extract(p, ANNOTATED, 2)).alias("type")))
+    back = F.trim(part(2))
     every = F.when(back != "", F.concat(given, F.array(F.struct(F.lit("return").alias("parameter"), back.alias("type"))))).otherwise(given)
     return own.select("path", "line", F.col("name").alias("symbol"), F.explode(every).alias("a")).select("path", "line", "symbol", "a.parameter", "a.type")
 

@@ -15,11 +15,13 @@ def _r(spark, d, *names):
 
 
 _LINES = "ln AS (SELECT path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line, unnest(string_split(content, chr(10))) AS text FROM project_files)"
+_FIRST = lambda patterns: "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in patterns) + ", '')"
 _SYMBOLS = _LINES + r""", d0 AS (SELECT path, line, text, length(regexp_extract(text, '^(\s*)', 1)) AS indent, regexp_extract(text, '^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)', 1) AS cls,
-        CASE WHEN path LIKE '%.py' THEN regexp_extract(text, '^\s*(?:async\s+)?def\s+(\w+)', 1) ELSE regexp_extract(text, '^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)', 1) END AS fun FROM ln),
-    d1 AS (SELECT * FROM d0 WHERE cls <> '' OR fun <> ''), top AS (SELECT d1.*, (SELECT max(o.line) FROM d1 o WHERE o.path = d1.path AND o.line < d1.line AND o.indent = 0) AS above FROM d1),
-    sym AS (SELECT t.path, t.line, CASE WHEN t.cls <> '' THEN 'class' WHEN t.indent > 0 AND o.cls <> '' THEN 'method' ELSE 'function' END AS kind, CASE WHEN t.cls <> '' THEN t.cls ELSE t.fun END AS name, CASE WHEN t.indent > 0 AND o.cls <> '' THEN o.cls END AS container, trim(t.text) AS declaration
-        FROM top t LEFT JOIN d1 o ON o.path = t.path AND o.line = t.above)"""
+        CASE WHEN path LIKE '%.py' THEN regexp_extract(text, '^\s*(?:async\s+)?def\s+(\w+)', 1) ELSE """ + _FIRST(op.FUNCTIONS) + f""" END AS fun, CASE WHEN path LIKE '%.py' THEN '' ELSE {_FIRST(op.MEMBERS)} END AS member FROM ln),
+    d1 AS (SELECT * REPLACE (CASE WHEN cls <> '' OR fun <> '' OR member IN {op.KEYWORDS} THEN '' ELSE member END AS member) FROM d0), d2 AS (SELECT * FROM d1 WHERE cls <> '' OR fun <> '' OR member <> ''),
+    top AS (SELECT d2.*, (SELECT max(o.line) FROM d2 o WHERE o.path = d2.path AND o.line < d2.line AND o.indent = 0) AS above FROM d2),
+    held AS (SELECT t.*, CASE WHEN t.indent > 0 AND o.cls <> '' THEN o.cls END AS container, min(t.indent) OVER (PARTITION BY t.path, t.above, t.indent > 0 AND o.cls <> '') AS least FROM top t LEFT JOIN d2 o ON o.path = t.path AND o.line = t.above),
+    sym AS (SELECT path, line, CASE WHEN cls <> '' THEN 'class' WHEN container IS NOT NULL THEN 'method' ELSE 'function' END AS kind, CASE WHEN cls <> '' THEN cls ELSE fun || member END AS name, container, trim(text) AS declaration FROM held WHERE member = '' OR (container IS NOT NULL AND indent = least))"""
 _MARKS = r"""dm AS (SELECT path, line, regexp_extract(text, '^\s*@([\w.]+)', 1) AS decorator, regexp_extract(text, '^\s*@[\w.]+\s*\(\s*[''"]?([^''",)]*)', 1) AS argument FROM ln),
     marks AS (SELECT m.path, m.line, s.name AS symbol, s.line AS symbol_line, decorator, argument, CASE WHEN regexp_matches(decorator, '\.(get|post|put|delete|patch|options|head)$') THEN 'route' WHEN decorator LIKE '%.command' THEN 'command' WHEN decorator LIKE '%on_event%' OR decorator LIKE '%.on' THEN 'event_handler' WHEN decorator LIKE '%task%' THEN 'task' ELSE 'other' END AS role
         FROM dm m JOIN sym s ON s.path = m.path AND s.line = (SELECT min(x.line) FROM sym x WHERE x.path = m.path AND x.line > m.line) WHERE decorator <> '')"""
@@ -72,8 +74,13 @@ def n2_decorators(spark, d):
     return op.decorators(role(spark, d, "project_files"))
 
 
-@query("n2_annotations", f"{with_('project_files')}, {_SYMBOLS}" + r""", f AS (SELECT path, line, name AS symbol, declaration, regexp_extract(declaration, '\(([^)]*)\)', 1) AS inside FROM sym WHERE kind <> 'class'), p AS (SELECT path, line, symbol, unnest(list_filter(list_transform(string_split(inside, ','), lambda x: trim(x)), lambda x: regexp_matches(x, '^\w+\??\s*:'))) AS p FROM f)
-    SELECT path, line, symbol, regexp_extract(p, '^(\w+)', 1) AS parameter, trim(regexp_extract(p, '^\w+\??\s*:\s*([^=]+)', 1)) AS type FROM p UNION ALL SELECT path, line, symbol, 'return', trim(regexp_extract(declaration, '\)\s*(?:->|:)\s*([\w\[\]., |<>]+?)\s*[:{]\s*$', 1)) FROM f WHERE regexp_matches(declaration, '\)\s*(?:->|:)\s*([\w\[\]., |<>]+?)\s*[:{]\s*$')""")
+_AHEAD = f"""ahead AS (SELECT sym.path, sym.line, name AS symbol, string_agg(regexp_replace(text, '(?:^|\\s)(?:#|//)\\s.*$', ''), ' ' ORDER BY ln.line) AS t FROM sym JOIN ln ON ln.path = sym.path AND ln.line BETWEEN sym.line AND sym.line + {op.SIGNATURE_LINES - 1} WHERE kind <> 'class' GROUP BY ALL),
+    sig AS (SELECT path, line, symbol, CASE WHEN path LIKE '%.py' THEN regexp_extract(t, '{op.PYTHON_SIGNATURE}', ['p', 'r']) ELSE regexp_extract(t, '{op.SCRIPT_SIGNATURE}', ['p', 'r']) END AS s FROM ahead),
+    par AS (SELECT path, line, symbol, trim(unnest(regexp_extract_all(s.p, '{op.PARAMETER}'))) AS p FROM sig)"""
+
+
+@query("n2_annotations", f"""{with_('project_files')}, {_SYMBOLS}, {_AHEAD} SELECT path, line, symbol, regexp_extract(p, '{op.ANNOTATED}', 1) AS parameter, trim(regexp_extract(p, '{op.ANNOTATED}', 2)) AS type FROM par WHERE regexp_matches(p, '{op.ANNOTATED}')
+    UNION ALL SELECT path, line, symbol, 'return', trim(s.r) FROM sig WHERE trim(s.r) <> ''""")
 def n2_annotations(spark, d):
     return op.annotations(role(spark, d, "project_files"))
 

@@ -104,15 +104,15 @@ _PY = {
     0: ["from fastapi import APIRouter", "router = APIRouter()", "@router.get(''/items'')", "async def list_items(limit: int, q: str) -> list:", "    return load(limit)"],
     1: ["import celery", "@app.task", "def send_mail(to: str) -> None:", "    pass", "if __name__ == ''__main__'':", "    send_mail(1)"],
     2: ["from src.a.p3 import Base3", "from . import p5, p6", "class Child{k}(Base3, Worker):", "    def run(self):", "        self.x = helper()", "    def other(self, n: int):", "        pass", "def run_child():", "    pass"],
-    3: ["import os", "class Base{k}:", "    def helper(self):", "        return 1"],
+    3: ["import os", "class Base{k}:", "    def helper(self):", "        return 1", "def typed(a: Dict«str, int», b: Callable««int, str», None» = None,  # more", "          *rest: int) -> Dict«str, List«int»»:", "    pass"],
     4: ["from ..b import q", "def test_one():", "    assert True", "class TestAll:", "    pass"],
     5: ["@click.command()", "def cli():", "    run_all()", "@bus.on_event(''start'')", "def started(evt):", "    pass"],
 }
-_TS = ["import [ x ] from ''./v{m}''", "import react from ''react''", "export class View{k} extends Base3 implements Shape, Other [", "]", "app.post(''/save'', handler)", "element.addEventListener(''x'', f)", "function boot(a: string): void [", "]", "const y = require(''../a/p1'')", "process.argv"]
+_TS = ["import [ x ] from ''./v{m}''", "import react from ''react''", "export class View{k} extends Base3 implements Shape, Other [", "]", "app.post(''/save'', handler)", "element.addEventListener(''x'', f)", "function boot(a: string): void [", "]", "const y = require(''../a/p1'')", "process.argv", "export class Job{k} extends Worker [", "    constructor(private readonly a: Map<string, number>, b = 1) [", "        if (a) [", "        ]", "    ]", "    async run(n: number): Promise<void> [", "        this.go()", "    ]", "    process = async (x: string) => [", "    ]", "    private multi(", "        a: string,", "        b?: number", "    ): Record<string, number> [", "    ]", "]", "export const arrow = (a: string, cb: (x: number) => void): void => [", "]"]
 
 
 def _code(lines: list[str]) -> str:
-    text = f" || {_NL} || ".join("'" + x.replace("[", "{{").replace("]", "}}") + "'" for x in lines)
+    text = f" || {_NL} || ".join("'" + x.replace("[", "{{").replace("]", "}}").replace("«", "[").replace("»", "]") + "'" for x in lines)
     return text.replace("{k}", f"' || {_K} || '").replace("{m}", "' || CAST(k % 13 AS VARCHAR(9)) || '")
 
 
