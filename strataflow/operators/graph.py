@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.session import cut
+from strataflow.operators.ranks import running
 
 #: Edge types that a transitive walk follows.
 WALKED = ("calls", "reads", "imports", "references", "instantiates", "assigns")
@@ -40,6 +41,42 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = 10) -> DataFrame
     return visited.where("depth > 0")
 
 
+def spread(edges: DataFrame, seeds: DataFrame, depth: int | None = 10) -> tuple[DataFrame, DataFrame]:
+    """bfs() from many seeds at once: levels (node, word, depth, bits) and the seeds' places (seed, word, bit).
+
+    A seed is one bit of a word of 64; a node holds the words of the seeds that reach it, so up to 64 seeds that go the same way
+    are one row of the frontier. Rounds are those of the farthest seed, whatever the number of seeds.
+    """
+    step = cut(edges.select("src", "dst").distinct())
+    named = running(seeds.select(F.col("node").alias("seed")).where("seed IS NOT NULL").distinct(), [F.col("seed")])
+    places = cut(named.select("seed", F.expr("(rank - 1) div 64").alias("word"), F.expr("CAST((rank - 1) % 64 AS INT)").alias("bit")))
+    state = cut(places.groupBy(F.col("seed").alias("node"), "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("fresh")).select("node", "word", F.col("fresh").alias("seen"), "fresh"))
+    levels = state.select("node", "word", F.lit(0).alias("depth"), F.col("fresh").alias("bits")).where("false")
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
+        frontier = state.where("fresh <> 0")
+        got = frontier.join(step, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("fresh").alias("got"))
+        state = cut(state.drop("fresh").join(got, ["node", "word"], "full").select("node", "word", F.expr("coalesce(seen, 0L) | coalesce(got, 0L)").alias("seen"), F.expr("coalesce(got, 0L) & ~coalesce(seen, 0L)").alias("fresh")))
+        level = state.where("fresh <> 0")
+        if level.isEmpty():
+            break
+        levels = levels.unionByName(level.select("node", "word", F.lit(d).alias("depth"), F.col("fresh").alias("bits")))
+    return levels, places
+
+
+def bfs_of_many(edges: DataFrame, seeds: DataFrame, depth: int | None = 10) -> DataFrame:
+    """bfs() by bit sets: the same rows (seed, node, depth), made only at the end."""
+    levels, places = spread(edges, seeds, depth)
+    bits = levels.withColumn("bit", F.explode(F.expr("filter(sequence(0, 63), i -> shiftrightunsigned(bits, i) & 1L = 1L)")))
+    return bits.join(places, ["word", "bit"]).select("seed", "node", "depth")
+
+
+def reach_sizes(edges: DataFrame, seeds: DataFrame, depth: int | None = 10) -> DataFrame:
+    """(seed, depth, nodes): how many nodes each seed reaches at each distance, counted bit by bit: no row for a pair of seed and node is made."""
+    levels, places = spread(edges, seeds, depth)
+    counts = levels.groupBy("word", "depth").agg(F.array(*[F.sum(F.expr(f"shiftrightunsigned(bits, {i}) & 1L")) for i in range(64)]).alias("counts"))
+    return counts.select("word", "depth", F.posexplode("counts").alias("bit", "nodes")).where("nodes > 0").join(places, ["word", "bit"]).select("seed", "depth", "nodes")
+
+
 def shortest_path(edges: DataFrame, source: str, target: str, depth: int = 15) -> DataFrame:
     """The shortest path (hops, path), the least in the order of its nodes among equals; no row if there is none."""
     spark, step = edges.sparkSession, edges.select("src", "dst").distinct()
@@ -196,10 +233,17 @@ def governance_band(score: Column) -> Column:
 
 
 def resolve_symbols(uses: DataFrame, definitions: DataFrame, most: int = 3) -> DataFrame:
-    """Uses (unit, name) to their first `most` definitions (name, unit, file, line), by file and line, the using unit's own excluded."""
+    """Uses (unit, name) to their first `most` definitions (name, unit, file, line), by file and line, the using unit's own excluded.
+
+    Of a name defined ever so often only the first 2 * `most` definitions are joined, a unit's own first `most` at most: no use needs another.
+    """
     own = uses.select("unit", F.lower("name").alias("k")).distinct()
-    met = own.join(definitions.select(F.lower("name").alias("k"), F.col("unit").alias("target"), "file", "line"), "k").where("unit <> target")
-    rank = F.row_number().over(Window.partitionBy("unit", "k").orderBy("file", "line", "target"))
+    places = definitions.select(F.lower("name").alias("k"), F.col("unit").alias("target"), "file", "line")
+    order = ["file", "line", "target"]
+    near = places.withColumn("rn", F.row_number().over(Window.partitionBy("k", "target").orderBy(*order))).where(F.col("rn") <= most)
+    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*order))).where(F.col("rn") <= 2 * most).drop("rn")
+    met = own.join(near, "k").where("unit <> target")
+    rank = F.row_number().over(Window.partitionBy("unit", "k").orderBy(*order))
     return met.withColumn("rn", rank).where(F.col("rn") <= most).select("unit", F.col("k").alias("name"), "target", "rn")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.text import pascal, snake
+from strataflow.operators.skew import salted_join
 
 
 def confidence_rank(c: Column) -> Column:
@@ -98,3 +99,13 @@ def runtime_state(mappings: DataFrame, health: DataFrame, patterns: DataFrame) -
     """Entities by the components they run in: the worst newest health, components, and patterns seen there."""
     newest = health.groupBy("component_id").agg(F.max_by("health_score", "computed_at").alias("health"))
     return mappings.join(newest, "component_id").join(patterns, "component_id", "left").groupBy("entity_id").agg(F.min("health").alias("health"), F.count_distinct("component_id").alias("components"), F.count("pattern").alias("patterns"))
+
+
+def token_links(decisions: DataFrame, nodes: DataFrame, each: int = 5, least: int = 5) -> DataFrame:
+    """(adr, node, score, confidence): decisions (adr, token) and nodes (node, token) by the tokens they share, `each` a token; full confidence from 20 on.
+
+    A token that stands in every text is dealt over many tasks; no pair is lost by it. Repeated rows count once, null tokens meet nothing.
+    """
+    met = salted_join(nodes.select("node", "token").distinct(), decisions.select("adr", "token").distinct(), "token")
+    found = met.groupBy("adr", "node").agg((F.count("*") * each).alias("score")).where(F.col("score") >= least)
+    return found.withColumn("confidence", F.least(F.lit(1.0), F.col("score") / 20))

@@ -60,6 +60,16 @@ def g6_transitive_dependencies(spark, d):
     return op.bfs(op.of_types(edges_of(spark, d), op.WALKED), _seeds(spark, 1, 2, 5, 8))
 
 
+#: Every twentieth event is asked for.
+_ASKED = "asked(node) AS (SELECT 'e' || event_id FROM events WHERE event_id % 20 = 0)"
+
+
+@query("g6_reach_of_many", f"WITH {_EDGES}, {_WALK}, {_ASKED}, {_reach('r', 'asked', 'walk', 'dst', 'src', 10)} SELECT seed, depth, count(*) AS nodes FROM r WHERE depth > 0 GROUP BY ALL")
+def g6_reach_of_many(spark, d):
+    asked = table(spark, d, "events").where("event_id % 20 = 0").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("node"))
+    return op.reach_sizes(op.reversed_(op.of_types(edges_of(spark, d), op.WALKED)), asked)
+
+
 @query("g7_shortest_path", f"WITH {_EDGES}, s(node) AS (VALUES ('e900')), {_reach('r', 's', 'edges', 'src', 'dst', 15)} SELECT depth AS hops FROM r WHERE node = 'e1' AND depth > 0")
 def g7_shortest_path(spark, d):
     return op.shortest_path(edges_of(spark, d), "e900", "e1").select("hops")

@@ -217,7 +217,5 @@ def n19_commits_for_file(spark, d):
 @query("j18_token_links", "WITH a AS (SELECT p_brand AS adr, lower(w) AS token FROM (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part)), n AS (SELECT p_partkey AS node, lower(unnest(string_split(p_name, ' '))) AS token FROM part), s AS (SELECT adr, node, count(DISTINCT a.token) * 5 AS score FROM a JOIN n ON a.token = n.token GROUP BY ALL) SELECT adr, node, score, least(1.0, score / 20) AS confidence FROM s WHERE score >= 5")
 def j18_token_links(spark, d):
     part = table(spark, d, "part")
-    a = part.select(F.col("p_brand").alias("adr"), F.explode(F.split("p_name", " ")).alias("w")).select("adr", F.lower("w").alias("token")).distinct()
-    n = part.select(F.col("p_partkey").alias("node"), F.explode(F.split("p_name", " ")).alias("w")).select("node", F.lower("w").alias("token"))
-    found = a.join(n, "token").groupBy("adr", "node").agg((F.count_distinct("token") * 5).alias("score")).where("score >= 5")
-    return found.withColumn("confidence", F.least(F.lit(1.0), F.col("score") / 20))
+    tokens = lambda c, name: part.select(F.col(c).alias(name), F.explode(F.split("p_name", " ")).alias("w")).select(name, F.lower("w").alias("token"))
+    return op.token_links(tokens("p_brand", "adr"), tokens("p_partkey", "node"))
