@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.session import cut
@@ -147,8 +147,8 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, subsystem: DataFrame, depth
 def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, seeds: DataFrame | None = None) -> DataFrame:
     """(node, score): weighted PageRank; what dangling nodes hold goes to the personalisation vector (uniform without seeds).
 
-    A round is one join of the scores with the edges and one sum by target, written once; how far scores moved and what dangling
-    nodes hold are sums over what was written. Rounds end when scores move by less than `tolerance` in all.
+    A round is one job: a join of the scores with the edges and one sum by target, written once; how far scores moved and what dangling
+    nodes hold is observed while it is written. Rounds end when scores move by less than `tolerance` in all.
     """
     weighted = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     out = weighted.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -159,14 +159,19 @@ def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, tol
     size = n if seeds is None else start.count()
     person = nodes.join(start.withColumn("p", F.lit(1.0 / max(size, 1))), "node", "left").fillna({"p": 0.0})
     person = person.join(share.select(F.col("src").alias("node")).distinct().withColumn("follows", F.lit(True)), "node", "left").fillna({"follows": False})
-    rank = cut(person.select("node", "p", "follows", F.lit(1.0 / max(n, 1)).alias("score"), F.lit(1.0).alias("moved")))
+
+    def written(scores: DataFrame) -> tuple[DataFrame, float, float]:
+        seen = Observation()
+        kept = cut(scores.observe(seen, F.sum(F.when(~F.col("follows"), F.col("score"))).alias("held"), F.sum("moved").alias("moved")))
+        return kept, seen.get.get("held") or 0.0, seen.get.get("moved") or 0.0
+
+    rank, held, moved = written(person.select("node", "p", "follows", F.lit(1.0 / max(n, 1)).alias("score"), F.lit(1.0).alias("moved")))
     for _ in range(iterations):
-        held, moved = rank.agg(F.coalesce(F.sum(F.when(~F.col("follows"), F.col("score"))), F.lit(0.0)), F.coalesce(F.sum("moved"), F.lit(0.0))).first()
         if tolerance is not None and moved < tolerance:
             break
         gained = rank.join(share, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("gain"))
         fresh = (1 - damping) * F.col("p") + damping * (F.coalesce("gain", F.lit(0.0)) + held * F.col("p"))
-        rank = cut(rank.join(gained, "node", "left").select("node", "p", "follows", fresh.alias("score"), F.abs(fresh - F.col("score")).alias("moved")))
+        rank, held, moved = written(rank.join(gained, "node", "left").select("node", "p", "follows", fresh.alias("score"), F.abs(fresh - F.col("score")).alias("moved")))
     return rank.select("node", "score")
 
 

@@ -56,3 +56,11 @@ def test_a_name_defined_everywhere(spark):
         for k, p in enumerate([p for p in sorted(places, key=lambda p: (p[2], p[3])) if p[0] != u][:3]):
             expected[u, k + 1] = p[0]
     assert got == expected
+
+
+def test_pagerank_of_nothing_and_of_dangling_nodes(spark):
+    edges = spark.createDataFrame([("a", "b", 2.0), ("a", "c", 1.0)], "src string, dst string, weight double")
+    assert graph.pagerank(edges.limit(0)).count() == 0
+    got = {r.node: r.score for r in graph.pagerank(edges, tolerance=1e-9).collect()}
+    a = 1 / (3 + 0.85)
+    assert abs(sum(got.values()) - 1) < 1e-8 and abs(got["a"] - a) < 1e-6 and abs(got["b"] - a * (1 + 0.85 * 2 / 3)) < 1e-6
