@@ -43,17 +43,23 @@ def x1_latest_change_by_key(spark, d):
     return op.drained(op.latest_by_key(_events(spark, d), "user_id", "ts", ["event_type"]), "complete")
 
 
-def _arriving(spark, d, parts=4):
-    """The events in files that arrive one after the other, each a stretch of time in no order, and one far later event for every user: time goes on."""
+def _arriving(spark, d, part_rows=500_000):
+    """The events in files that arrive one after the other, each a stretch of time in no order, and one far later event for every user: time goes on.
+
+    A stretch is one file, of about `part_rows` rows: the watermark moves between triggers, and what is left of a stretch for a later one would be late.
+    """
     rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}"
-    first, last = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
-    place = F.least(F.lit(parts - 1), F.floor((F.unix_micros("ts") - first) * parts / F.lit(max(last - first, 1))))
-    for k in range(parts):
-        rows.where(place == k).orderBy(F.xxhash64("event_id")).write.mode("append").parquet(f"{path}/part={k}")
+    parts = max(4, -(-rows.count() // part_rows))
+    # events of one time are one stretch's; stretches are as full as each other, however time is
+    cuts = rows.where("ts IS NOT NULL").repartitionByRange(parts, "ts").withColumn("stretch", F.spark_partition_id())
+    cuts.write.partitionBy("stretch").parquet(f"{path}/stretches")
+    for k in sorted(int(r[0]) for r in spark.read.parquet(f"{path}/stretches").select("stretch").distinct().collect()):
+        own = spark.read.schema(rows.schema).parquet(f"{path}/stretches/stretch={k}")
+        own.repartition(1).sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(f"{path}/in/part={k}")
     for k, days in ((parts, 400), (parts + 1, 500)):
-        rows.groupBy("user_id").agg(F.lit(-1).cast(rows.schema["event_id"].dataType).alias("event_id"), F.lit("error").alias("event_type"), F.lit(200.0).alias("value"), F.date_add(F.max("ts"), days).cast("timestamp").alias("ts")).write.mode("append").parquet(f"{path}/part={k}")
-    return op.event_stream(spark, f"{path}/part=*", 8)
+        rows.groupBy("user_id").agg(F.lit(-1).cast(rows.schema["event_id"].dataType).alias("event_id"), F.lit("error").alias("event_type"), F.lit(200.0).alias("value"), F.date_add(F.max("ts"), days).cast("timestamp").alias("ts")).write.mode("append").parquet(f"{path}/in/part={k}")
+    return op.event_stream(spark, f"{path}/in/part=*", 8)
 
 
 @query("w11_timed_debounce", ORACLE_SQL["w11_debounce"])

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +20,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from strataflow.functions.session import ship
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_EVENTS = pa.schema([("t", pa.int64()), ("id", pa.int64()), ("kind", pa.string())])
+#: rows of a chunk that is made of what was left of others
+_CHUNK_ROWS = 10_000
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,6 +42,7 @@ class OrderedFold(StatefulProcessor):
 
     step(state, t, id, kind) gives the next state and whether the event is put out; state is a pair of integers, or None at the
     beginning. keep is how long a state matters after its last event, in microseconds (None: for ever); a state older than that is dropped.
+    Events wait in chunks, one row of state for each batch of Arrow that brought them, so that an event costs no call of the store.
     """
 
     def __init__(self, step: Callable, keep: int | None) -> None:
@@ -45,20 +51,30 @@ class OrderedFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "a long, b long, t long")
-        self.waiting = handle.getMapState("waiting", "t long, id long", "kind string, n int")
+        self.waiting = handle.getMapState("waiting", "chunk long", "first long, events binary")
+        self.next = handle.getValueState("next", "chunk long")
         self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
         for part in rows:
-            for t, i, kind in zip(part["t"].tolist(), part["id"].tolist(), part["kind"].tolist(), strict=True):
-                had = self.waiting.getValue((t, i)) if self.waiting.containsKey((t, i)) else None
-                self.waiting.updateValue((t, i), (kind, 1 + (had[1] if had else 0)))
-                earliest = t if earliest is None else min(earliest, t)
+            if len(part):
+                first = self._wait(pa.Table.from_pandas(part[["t", "id", "kind"]], _EVENTS, preserve_index=False))
+                earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
             self._wake(earliest // 1000 + 1)
         yield pd.DataFrame()
 
+    def _wait(self, events: pa.Table) -> int:
+        """Keeps events as a chunk; gives the time of the earliest."""
+        chunk = self.next.get()[0] if self.next.exists() else 0
+        self.next.update((chunk + 1,))
+        first, sink = pc.min(events.column("t")).as_py(), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _EVENTS) as out:
+            out.write_table(events)
+        self.waiting.updateValue((chunk,), (first, sink.getvalue().to_pybytes()))
+        return first
+
     def _wake(self, at: int) -> None:
         """Sees to it that a timer fires at `at` (milliseconds) or before."""
         held = self.timer.get()[0] if self.timer.exists() else None
@@ -68,32 +84,46 @@ class OrderedFold(StatefulProcessor):
             self.handle.registerTimer(at)
             self.timer.update((at,))
 
+    def _due(self, passed: int) -> tuple[pa.Table, int | None]:
+        """The events before the watermark in their order, which no longer wait, and the time of the earliest that does."""
+        due, rest, later, read = [], [], None, []
+        for (chunk,), (first, events) in self.waiting.iterator():
+            if first // 1000 >= passed:
+                later = first if later is None else min(later, first)
+                continue
+            own = pa.ipc.open_stream(bytes(events)).read_all()
+            ready = pc.less(own.column("t"), passed * 1000)
+            due.append(own.filter(ready))
+            rest.append(own.filter(pc.invert(ready)))
+            read.append(chunk)
+        for chunk in read:
+            self.waiting.removeKey((chunk,))
+        # what is left of the chunks becomes chunks again, as few as there are rows for
+        left = pa.concat_tables([_EVENTS.empty_table(), *rest])
+        for at in range(0, left.num_rows, _CHUNK_ROWS):
+            first = self._wait(left.slice(at, _CHUNK_ROWS))
+            later = first if later is None else min(later, first)
+        return pa.concat_tables([_EVENTS.empty_table(), *due]).sort_by([("t", "ascending"), ("id", "ascending")]), later
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         self.timer.clear()
-        due, later = [], None
-        for (t, i), (kind, n) in self.waiting.iterator():
-            if t // 1000 < passed:
-                due += [(t, i, kind)] * n
-            else:
-                later = t if later is None else min(later, t)
-        due.sort(key=lambda x: x[:2])
+        due, later = self._due(passed)
         held, last = (self.state.get()[:2], self.state.get()[2]) if self.state.exists() else (None, None)
         out = []
-        for t, i, kind in due:
-            if held is not None and self.keep is not None and t - last > self.keep:
-                held = None
-            held, put = self.step(held, t, i, kind)
-            last = t
-            if put:
-                out.append((t, i))
-            if self.waiting.containsKey((t, i)):
-                self.waiting.removeKey((t, i))
+        for batch in due.to_batches(_CHUNK_ROWS):
+            for t, i, kind in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held is not None and self.keep is not None and t - last > self.keep:
+                    held = None
+                held, put = self.step(held, t, i, kind)
+                last = t
+                if put:
+                    out.append((t, i))
         if held is None:
             self.state.clear()
         elif self.keep is not None and last + self.keep < passed * 1000 and later is None:
             self.state.clear()  # no later event can depend on it
-        elif due:
+        elif due.num_rows:
             self.state.update((int(held[0]), int(held[1]), int(last)))
         if later is not None:
             self._wake(later // 1000 + 1)

@@ -2,12 +2,17 @@
 
 import random
 
+import pandas as pd
+from compare import assert_same, connect
+from conftest import SF
 from pyspark.sql import functions as F
 
 from strataflow.operators import runtime
+from strataflow.plans import registry
 from strataflow.streaming import folds
 from strataflow.streaming.streams import drained, event_stream
 
+registry.load()
 START = 1_700_000_000_000_000
 
 
@@ -52,3 +57,103 @@ def test_debounce_of_a_busy_component(spark, tmp_path):
     assert {r.event_id for r in got.collect()} - {10**6} == set(range(0, 30_000, 2))
     batch = runtime.debounced(spark.createDataFrame(rows, "component_id string, t long, event_id long").select("component_id", F.timestamp_micros("t").alias("ts"), "event_id"))
     assert {r.event_id for r in batch.collect()} == set(range(0, 30_000, 2))
+
+
+class Store:
+    """State of one key that counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.held, self.map, self.timers = 0, {}, {}, []
+
+    def getValueState(self, name, schema):
+        return Value(self, name)
+
+    def getMapState(self, name, keys, values):
+        return Entries(self)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return (START + 10**13) // 1000
+
+
+class Value:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def exists(self):
+        self.store.calls += 1
+        return self.name in self.store.held
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.held[self.name]
+
+    def update(self, value):
+        self.store.calls += 1
+        self.store.held[self.name] = value
+
+    def clear(self):
+        self.store.calls += 1
+        self.store.held.pop(self.name, None)
+
+
+class Entries:
+    def __init__(self, store):
+        self.store = store
+
+    def containsKey(self, key):
+        self.store.calls += 1
+        return key in self.store.map
+
+    def getValue(self, key):
+        self.store.calls += 1
+        return self.store.map[key]
+
+    def updateValue(self, key, value):
+        self.store.calls += 1
+        self.store.map[key] = value
+
+    def removeKey(self, key):
+        self.store.calls += 1
+        del self.store.map[key]
+
+    def iterator(self):
+        yield from list(self.store.map.items())
+
+
+def test_events_wait_without_a_call_of_the_store_for_each():
+    """Ten thousand events, twice the same id among them: a few calls for each batch, and the same events in the same order."""
+    rng = random.Random(5)
+    rows = [(START + rng.randint(0, 10**12), i, "x") for i in range(10_000)] + [(START, 0, "x"), (START, 0, "x")]
+    rng.shuffle(rows)
+    store, seen = Store(), []
+
+    def step(held, t, i, kind):
+        seen.append((t, i, kind))
+        return (t, 0), True
+
+    fold = folds.OrderedFold(step, None)
+    fold.init(store)
+    batches = [pd.DataFrame(rows[k : k + 5000], columns=["t", "id", "kind"]) for k in range(0, len(rows), 5000)]
+    list(fold.handleInputRows(("k",), iter(batches), store))
+    put = [x for x in fold.handleExpiredTimer(("k",), store, None) if len(x)]
+    assert seen == sorted(rows) and sum(len(x) for x in put) == len(rows)
+    assert store.calls < 60 and not store.map
+
+
+def test_arrivals_in_more_files_than_a_trigger_takes(spark):
+    """Where a stretch of time is in more files than a trigger, the watermark must not pass what is left of it."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        for name in ("w11_timed_debounce", "x7_timed_escalations"):
+            assert_same(registry.QUERIES[name](spark, SF), connect(SF), registry.ORACLE_SQL[name])
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
