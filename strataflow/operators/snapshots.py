@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.operators.folds import sorted_fold
+from strataflow.operators.ranks import running
 
 
 def changes(history: DataFrame, keys: list[str], date: str, value: str, least: float, drop: bool = True) -> DataFrame:
@@ -192,6 +193,23 @@ def range_pairs(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str,
     return met.where((gap >= 0) & (gap <= days * 86_400_000_000)).drop("_b")
 
 
+def range_counts(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, days: int) -> DataFrame:
+    """(key, n): how many rows of right lie within `days` after the rows of left of a key, without a row for each pair.
+
+    A window is the difference of two running counts: both its ends and the rows of right are put in one order of time, dealt in
+    ranges. Keys without any are left out, as in a join.
+    """
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    own = left.where(F.col(left_ts).isNotNull()).select(F.col(key).alias("_k"), at(left_ts).alias("_t"))
+    # at one time the beginnings of windows come before the rows, the ends after them
+    ends = F.array(F.struct(F.lit(0).alias("place"), F.col("_t").alias("t"), F.lit(-1).alias("sign")), F.struct(F.lit(2).alias("place"), (F.col("_t") + days * 86_400_000_000).alias("t"), F.lit(1).alias("sign")))
+    points = own.select("_k", F.inline(ends)).withColumn("one", F.lit(0).cast("long"))
+    # rows of one time are one, so that no time is too much for its range
+    rows = right.where(F.col(right_ts).isNotNull()).groupBy(at(right_ts).alias("t")).agg(F.count("*").alias("one")).select(F.lit(None).cast(own.schema["_k"].dataType).alias("_k"), F.lit(1).alias("place"), "t", F.lit(0).alias("sign"), "one")
+    counted = running(points.unionByName(rows), [F.col("t"), F.col("place"), F.col("_k")], ["one"])
+    return counted.where("place <> 1").groupBy(F.col("_k").alias(key)).agg(F.sum(F.col("sign") * F.col("before_one")).cast("long").alias("n")).where("n > 0")
+
+
 def confusion(p: Column, y: Column, cut: float = 0.4) -> Column:
     return F.when((p >= cut) & (y == 1), "TP").when((p >= cut) & (y == 0), "FP").when((p < cut) & (y == 1), "FN").otherwise("TN")
 

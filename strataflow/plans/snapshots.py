@@ -273,7 +273,7 @@ def r16_engine_trust(spark, d):
 def j12_range_join(spark, d):
     left = _predictions(spark, d).where("p >= 1").select("id", "ts")
     right = role.table(spark, d, "events").where("event_type = 'error'").select("event_id", F.col("ts").alias("at"))
-    return op.range_pairs(left, right, "ts", "at", 2).groupBy("id").agg(F.count("event_id").alias("n"))
+    return op.range_counts(left, right, "id", "ts", "at", 2)
 
 
 @query("a11_outcome_types", role.with_("incidents") + " SELECT entity_id, CAST(to_json(list_sort(list(DISTINCT incident_type))) AS VARCHAR) AS types FROM incidents GROUP BY entity_id")

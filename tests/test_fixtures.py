@@ -122,6 +122,17 @@ def test_range_join_needs_no_cartesian_product(spark):
     assert joined.count() == expected
 
 
+def test_range_counts_make_no_pairs(spark):
+    """Days at the edge count, several rows of a key and of a time count each, null times do not; 4,000 rows of one time meet 300 windows without 1,200,000 pairs."""
+    left = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-02 00:00:00"), (2, "2024-01-05 00:00:01"), (3, None), (4, "2020-01-01 00:00:00")], "id long, s string").withColumn("t", F.col("s").cast("timestamp"))
+    right = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-03 00:00:00",), ("2024-01-03 00:00:00",), ("2024-01-04 00:00:00",), ("2024-01-05 00:00:00",), (None,)], "s string").select(F.col("s").cast("timestamp").alias("u"))
+    assert {(r.id, r.n) for r in snapshots.range_counts(left, right, "id", "t", "u", 2).collect()} == {(1, 3 + 3)}
+    many = spark.range(4000).select(F.timestamp_seconds(F.lit(10**9)).alias("u"))
+    asked = spark.range(300).select("id", F.timestamp_seconds(F.lit(10**9) - F.col("id")).alias("t"))
+    found = snapshots.range_counts(asked, many, "id", "t", "u", 2)
+    assert {(r.id, r.n) for r in found.collect()} == {(i, 4000) for i in range(300)}
+
+
 def test_notes_that_say_the_same(spark):
     notes = spark.createDataFrame([(2, "Use Retries!", ["a"]), (1, "use-retries", ["b"]), (3, "other", [])], "id int, content string, tags array<string>")
     assert sorted((r.id, r.tags, r.n) for r in memory.dedupe(notes).collect()) == [(1, ["a", "b"], 2), (3, [], 1)]
