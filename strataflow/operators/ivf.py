@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.session import cut
-from strataflow.operators.retrieval import cosine, knn, top_k
+from strataflow.operators.retrieval import knn, top_k
 
 
 def _units(rows: np.ndarray) -> np.ndarray:
@@ -157,42 +157,76 @@ class IvfIndex:
         """Whether so many rows differ from what was indexed by more than `share`: then build anew."""
         return abs(rows - self.n) > share * max(self.n, 1)
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, candidates: int | None = None) -> DataFrame:
-        """(query, id, similarity, rank): the k nearest of `candidates` from `probes` lists, by default as many as the index found it needs."""
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, candidates: int | None = None, block_rows: int = 4096) -> DataFrame:
+        """(query, id, similarity, rank): the k nearest of `candidates` from `probes` lists, by default as many as the index found it needs.
+
+        A task holds lists of about `tile_rows` rows and up to `block_rows` queries; it takes a query's candidates by the codes, compares them exactly
+        and gives only its k nearest, so what is shuffled does not grow with candidates or lists looked at.
+        """
         centres, books, take = self.centres, self.books, max(candidates or self.candidates, 2 * k)
         near = min(probes or self.probes, len(centres))
-        width = books.shape[2]
+        # lists, or tiles of long ones, share a task up to about `tile_rows` rows
+        sizes, units, total = self.lists.groupBy("cell", "tile").count().collect(), [], 0
+        for cell, tile, n in sorted(tuple(r) for r in sizes):
+            units.append((cell, tile, total // self.tile_rows))
+            total += n
+        of_cell: dict[int, set[int]] = {}
+        for cell, _, unit in units:
+            of_cell.setdefault(cell, set()).add(unit)
 
         def asked(batches):
             for batch in batches:
                 rows = _matrix(batch.column(1))
-                cells = np.argsort(_distances(rows, centres), axis=1, kind="stable")[:, :near]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), near)), pa.array(cells.reshape(-1), pa.int32()), pa.array([x.tobytes() for x in np.repeat(rows, near, axis=0)], pa.binary())], ["query", "cell", "v"])
+                names, found = batch.column(0).to_pylist(), []
+                for row, cells in enumerate(np.argsort(_distances(rows, centres), axis=1, kind="stable")[:, :near].tolist()):
+                    met: dict[int, list[int]] = {}
+                    for cell in cells:
+                        for unit in of_cell.get(cell, ()):
+                            met.setdefault(unit, []).append(cell)
+                    found += [(names[row], unit, own, rows[row].tobytes()) for unit, own in met.items()]
+                columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()), strict=True)], ["query", "unit", "cells", "v"])
 
         def scan(own: pa.Table, wanted: pa.Table) -> pa.Table:
-            out = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("gap", pa.float64())])
+            out = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
             if not own.num_rows or not wanted.num_rows:
                 return out.empty_table()
-            ids = own.column("id").to_numpy()
-            codes = np.frombuffer(b"".join(own.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-            centre = centres[own.column("cell")[0].as_py()]
-            parts = []
-            for name, raw in zip(wanted.column("query").to_pylist(), wanted.column("v").to_pylist(), strict=True):
-                rest = np.frombuffer(raw, dtype=np.float64) - centre
-                table = ((books - rest.reshape(len(books), 1, width)) ** 2).sum(2)
-                gaps = table[np.arange(len(books))[None, :], codes].sum(1)
-                best = np.argsort(gaps, kind="stable")[: take + 1]
-                parts.append(pa.table({"query": pa.array([name] * len(best), pa.int64()), "id": pa.array(ids[best], pa.int64()), "gap": pa.array(gaps[best])}, schema=out))
-            return pa.concat_tables(parts)
-
-        wanted = queries.select(F.col(self.key).cast("long").alias("id"), F.col(self.vector).alias("v"))
-        tiles = self.lists.groupBy("cell").agg((F.max("tile") + 1).alias("tiles"))
-        spread = wanted.mapInArrow(asked, "query long, cell int, v binary").join(tiles, "cell").select("query", "cell", "v", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-        found = self.lists.groupBy("cell", "tile").cogroup(spread.groupBy("cell", "tile")).applyInArrow(scan, "query long, id long, gap double").where("query <> id")
-        close = top_k(found.withColumn("near", -F.col("gap")), "query", F.round("near", 12), "id", take).select("query", "id")
-        rows = self.vectors.select(F.col(self.key).cast("long").alias("id"), F.col(self.vector).alias("_b"))
-        exact = close.join(rows, "id").join(wanted.select(F.col("id").alias("query"), F.col("v").alias("_a")), "query").select("query", "id", cosine(F.col("_a"), F.col("_b")).alias("similarity"))
-        return top_k(exact, "query", F.round("similarity", 9), "id", k)
+            ids, cell, rows = own.column("id").to_numpy(), own.column("cell").to_numpy(), _matrix(own.column("v").combine_chunks())
+            names, asking = wanted.column("query").to_numpy(), np.frombuffer(b"".join(wanted.column("v").to_pylist()), dtype=np.float64).reshape(wanted.num_rows, -1)
+            lists, ranked = wanted.column("cells").to_pylist(), len(ids) > take
+            if ranked:
+                codes = np.frombuffer(b"".join(own.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+                # what codes stand for: distances to it are those of the codes
+                coded = centres[cell] + np.concatenate([books[g][codes[:, g]] for g in range(len(books))], axis=1)
+                square = (coded**2).sum(1)
+            found = [], [], []
+            step = max(1, 2_000_000 // len(ids))
+            for at in range(0, len(names), step):
+                q = asking[at : at + step]
+                sims = q @ rows.T
+                gaps = square[None, :] - 2.0 * q @ coded.T if ranked else None
+                for n, name in enumerate(names[at : at + step]):
+                    looked = np.zeros(len(centres), dtype=bool)
+                    looked[lists[at + n]] = True
+                    pick = np.flatnonzero(looked[cell] & (ids != name))
+                    if len(pick) > take:
+                        pick = pick[np.argpartition(gaps[n, pick], take)[: take + 1]]
+                    if len(pick) > k:
+                        edge = np.partition(sims[n, pick], len(pick) - k)[len(pick) - k]
+                        pick = pick[sims[n, pick] >= edge - 2e-9]  # ties at the edge are settled by id
+                    best = pick[np.lexsort((ids[pick], -np.round(sims[n, pick], 9)))][:k]
+                    for column, values in zip(found, (np.full(len(best), name), ids[best], sims[n, best]), strict=True):
+                        column.append(values)
+            return pa.table({f.name: pa.array(np.concatenate(c), f.type) for f, c in zip(out, found, strict=True)}, schema=out)
+
+        wanted = self._own(queries)
+        spark = self.lists.sparkSession
+        placed = spark.createDataFrame(units, "cell int, tile int, unit int")
+        blocks = max(1, math.ceil(wanted.count() / block_rows))
+        rows = self.lists.join(F.broadcast(placed), ["cell", "tile"]).join(self._own(self.vectors), "id").select("id", "cell", "code", "v", "unit", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        spread = wanted.mapInArrow(asked, "query long, unit int, cells array<int>, v binary").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+        close = rows.groupBy("unit", "block").cogroup(spread.groupBy("unit", "block")).applyInArrow(scan, "query long, id long, similarity double")
+        return top_k(close, "query", F.round("similarity", 9), "id", k)
 
 
 def _needs(rows: np.ndarray, centres: np.ndarray, books: np.ndarray, n: int, target: float, k: int = 10, most: int = 128) -> tuple[int, int]:

@@ -56,3 +56,18 @@ def test_an_index_may_become_empty(spark):
     assert index.n == 0 and index.search(frame(spark, data[:2])).count() == 0
     again = index.with_rows(frame(spark, data[:5]))
     assert again.n == 5 and again.recall(frame(spark, data[:2]), 3) == pytest.approx(1.0)
+
+
+def test_a_search_shuffles_no_candidates(spark, monkeypatch):
+    """Through all lists with every row a candidate, only the k nearest of a task and query leave it; the rows are those of the exact search."""
+    data = rows(7, 1200) + [(5000 + k, [0.0] * 16) for k in range(3)] + [(6000 + k, rows(7, 1)[0][1]) for k in range(15)]
+    index = ivf.build(frame(spark, data), "vec", "e", tile_rows=400)
+    seen = []
+    top = ivf.top_k
+    monkeypatch.setattr(ivf, "top_k", lambda found, *a: (seen.append(found.count()), top(found, *a))[1])
+    asked = frame(spark, [*data[::60], data[-1], data[1201]])
+    found = index.search(asked, 5, probes=len(index.centres), candidates=index.n, block_rows=7)
+    got = {(r.query, r["rank"]): r.id for r in found.collect()}
+    units = -(-len(data) // 400)
+    assert sum(seen) <= asked.count() * (units + 1) * 5
+    assert got == {(r.query, r["rank"]): r.id for r in ivf.knn(index.vectors, asked, "vec", "e", 5).collect()}
