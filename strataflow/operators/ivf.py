@@ -175,7 +175,7 @@ class IvfIndex:
             of_cell.setdefault(cell, set()).add(unit)
 
         def asked(batches):
-            for batch in batches:
+            for batch in batches if of_cell else ():
                 rows = _matrix(batch.column(1))
                 names, found = batch.column(0).to_pylist(), []
                 for row, cells in enumerate(np.argsort(_distances(rows, centres), axis=1, kind="stable")[:, :near].tolist()):
