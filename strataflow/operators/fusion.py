@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.questions import STOP_WORDS
+from strataflow.functions.session import cut
 from strataflow.operators.ranks import running
 from strataflow.operators.retrieval import appended, bm25, occurrences, tokens, top_k
+from strataflow.operators.scan import scanned
 
 #: What a channel adds before fusion.
 EXPLICIT_PATH, SEED_FILE, CONCEPT, DEPENDENT = 5.0, 4.0, 2.0, 1.5
@@ -37,24 +39,24 @@ def keywords(text: Column) -> Column:
 
 def raw_and_keywords(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, top: int = 50) -> DataFrame:
     """(query, doc, rank): the best for the question as it is, then, behind them, what its keywords alone find."""
-    raw = bm25(docs, queries, key, text, query_key, query_text, top).select("query", "doc", "rank")
-    short = queries.select(query_key, F.array_join(keywords(F.col(query_text)), " ").alias(query_text))
-    return appended(raw, bm25(docs, short, key, text, query_key, query_text, top).select("query", "doc", "rank"))
+    # both are questions of one search: the texts are read for them once
+    name = F.col(query_key).cast("string")
+    both = queries.select(F.concat(F.lit("r"), name).alias("query"), F.col(query_text).alias("text")).unionByName(queries.select(F.concat(F.lit("k"), name).alias("query"), F.array_join(keywords(F.col(query_text)), " ").alias("text")))
+    found = cut(bm25(docs, both, key, text, "query", "text", top).select(F.left("query", F.lit(1)).alias("channel"), F.substr("query", F.lit(2)).cast(queries.schema[query_key].dataType).alias("query"), "doc", "rank"))
+    raw, short = (found.where(F.col("channel") == c).drop("channel") for c in "rk")
+    return appended(raw, short)
 
 
 def segmented_bm25(docs: DataFrame, segment: str, tombstones: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, top: int = 10) -> DataFrame:
     """(query, doc, score, rank) over segments that are searched each with its own statistics, deleted documents (doc) left out, the best score of each document.
 
-    One pass for all segments: the segment is part of the keys of postings, document frequencies and lengths.
+    One pass for all segments: a document is scored where it stands, by the statistics of its segment (`scan`).
     """
-    asked = queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct(tokens(F.coalesce(F.col(query_text), F.lit(""))))).alias("token"))
-    own = docs.select(F.col(segment).alias("seg"), F.col(key).alias("doc"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).withColumn("dl", F.size("t"))
-    stats = own.groupBy("seg").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    lists = own.select("seg", "doc", "dl", F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("seg", "doc", "dl", "token").agg(F.count("*").alias("tf"))
-    df = lists.groupBy("seg", "token").agg(F.count("*").alias("df"))
-    rows = lists.join(df, ["seg", "token"]).join(stats, "seg").join(tombstones.select("doc").distinct(), "doc", "left_anti")
-    part = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    scored = rows.withColumn("part", part).join(asked, "token").groupBy("query", "seg", "doc").agg(F.sum("part").alias("score")).groupBy("query", "doc").agg(F.max("score").alias("score"))
+    asked = queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct(tokens(F.coalesce(F.col(query_text), F.lit(""))))).alias("term"))
+    cut_up = lambda df: df.where(F.col(segment).isNotNull()).select(F.col(key).alias("doc"), F.col(segment).alias("seg"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    alive = docs.join(tombstones.select(F.col("doc").alias(key)).distinct(), key, "left_anti")
+    # a document that has moved to another segment is found once, by its better score
+    scored = scanned(cut_up(docs), asked.distinct(), top, cut_up(alive)).groupBy("query", "doc").agg(F.max("score").alias("score"))
     return top_k(scored, "query", F.round("score", 9), "doc", top)
 
 
