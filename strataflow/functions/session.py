@@ -49,3 +49,19 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_by(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
+    """cut, with rows kept in buckets of a key: joins on it read them without a shuffle. Also the folder, for readers that need no buckets.
+
+    Buckets are known to the session's catalog alone: whoever is done with the rows takes them out of it (`forget`).
+    """
+    name = f"cut_{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Takes what cut_by wrote out of the catalog; the files stay in the shared folder."""
+    spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[1]}")

@@ -7,12 +7,13 @@ to the shared folder, so a lost executor costs a round and not the whole run.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from strataflow.functions.session import cut
+from strataflow.functions.session import cut, cut_by, forget
 from strataflow.operators.ranks import running
 
 #: Edge types that a transitive walk follows.
@@ -147,32 +148,55 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, subsystem: DataFrame, depth
 def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, seeds: DataFrame | None = None) -> DataFrame:
     """(node, score): weighted PageRank; what dangling nodes hold goes to the personalisation vector (uniform without seeds).
 
-    A round is one job: a join of the scores with the edges and one sum by target, written once; how far scores moved and what dangling
-    nodes hold is observed while it is written. Rounds end when scores move by less than `tolerance` in all.
+    Nodes are numbered, and edges and scores lie in the same buckets of those numbers, so a round is one job that shuffles nothing but what edges bring to
+    their targets, summed where it starts; how far scores moved and what dangling nodes hold is observed while it is written. Rounds
+    end when scores move by less than `tolerance` in all.
     """
-    weighted = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    spark = edges.sparkSession
+    weighted = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    nodes = cut(weighted.select(F.col("src").alias("node")).union(weighted.select("dst")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    n, parts = nodes.count(), max(4, math.ceil(weighted.count() / 100_000))
     out = weighted.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = cut(weighted.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    nodes = share.select(F.col("src").alias("node")).union(share.select("dst")).distinct()
-    n = nodes.count()
+    number = lambda end: nodes.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
+    share = weighted.join(out, "src").join(number("src"), "src").join(number("dst"), "dst").select("src_id", "dst_id", (F.col("weight") / F.col("total")).alias("share"))
     start = nodes if seeds is None else seeds.select("node").distinct()
     size = n if seeds is None else start.count()
-    person = nodes.join(start.withColumn("p", F.lit(1.0 / max(size, 1))), "node", "left").fillna({"p": 0.0})
-    person = person.join(share.select(F.col("src").alias("node")).distinct().withColumn("follows", F.lit(True)), "node", "left").fillna({"follows": False})
+    person = nodes.join(start.select("node").withColumn("p", F.lit(1.0 / max(size, 1))), "node", "left").fillna({"p": 0.0})
+    person = person.join(weighted.select(F.col("src").alias("node")).distinct().withColumn("follows", F.lit(True)), "node", "left").fillna({"follows": False})
+    folders = []
+
+    def kept(rows: DataFrame, key: str) -> DataFrame:
+        found, path = cut_by(rows, key, parts)
+        folders.append(path)
+        return found
 
     def written(scores: DataFrame) -> tuple[DataFrame, float, float]:
         seen = Observation()
-        kept = cut(scores.observe(seen, F.sum(F.when(~F.col("follows"), F.col("score"))).alias("held"), F.sum("moved").alias("moved")))
-        return kept, seen.get.get("held") or 0.0, seen.get.get("moved") or 0.0
-
-    rank, held, moved = written(person.select("node", "p", "follows", F.lit(1.0 / max(n, 1)).alias("score"), F.lit(1.0).alias("moved")))
-    for _ in range(iterations):
-        if tolerance is not None and moved < tolerance:
-            break
-        gained = rank.join(share, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("gain"))
-        fresh = (1 - damping) * F.col("p") + damping * (F.coalesce("gain", F.lit(0.0)) + held * F.col("p"))
-        rank, held, moved = written(rank.join(gained, "node", "left").select("node", "p", "follows", fresh.alias("score"), F.abs(fresh - F.col("score")).alias("moved")))
-    return rank.select("node", "score")
+        rows = kept(scores.observe(seen, F.sum(F.when(~F.col("follows"), F.col("score"))).alias("held"), F.sum("moved").alias("moved")), "id")
+        return rows, seen.get.get("held") or 0.0, seen.get.get("moved") or 0.0
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        # what reaches the targets is shuffled into the buckets' number of partitions, so it meets the scores where they lie
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        share = kept(share.repartition(parts, "src_id"), "src_id")
+        rank, held, moved = written(person.select("id", "p", "follows", F.lit(1.0 / max(n, 1)).alias("score"), F.lit(1.0).alias("moved")).repartition(parts, "id"))
+        for _ in range(iterations):
+            if tolerance is not None and moved < tolerance:
+                break
+            gained = _gained(rank, share)
+            fresh = (1 - damping) * F.col("p") + damping * (F.coalesce("gain", F.lit(0.0)) + held * F.col("p"))
+            rank, held, moved = written(rank.join(gained, "id", "left").select("id", "p", "follows", fresh.alias("score"), F.abs(fresh - F.col("score")).alias("moved")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for path in folders:
+            forget(spark, path)
+    return spark.read.schema(rank.schema).parquet(folders[-1]).join(nodes, "id").select("node", "score")
+
+
+def _gained(rank: DataFrame, share: DataFrame) -> DataFrame:
+    """(id, gain): what edges bring to their targets."""
+    return rank.select(F.col("id").alias("src_id"), "score").join(share, "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("gain"))
 
 
 def entry_distance(edges: DataFrame, depth: int | None = None) -> DataFrame:
