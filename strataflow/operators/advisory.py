@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.operators.communities import communities as communities
 from strataflow.operators.graph import bfs, reversed_
 
 
