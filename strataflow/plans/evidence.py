@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -180,11 +182,30 @@ def q12_pulls_by_author(spark, d):
 
 # the whole rebuild
 
+class Rebuilt:
+    """What several steps of a rebuild go on from: the first that needs a table writes it; one that failed is tried again by the next."""
+
+    def __init__(self, spark, d) -> None:
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def files(self):
+        return history.files_table(self.spark, self.d)
+
+    @cached_property
+    def coupled(self):
+        return history.coupled_table(self.spark, self.d)
+
+    @cached_property
+    def parts(self):
+        return history.parts(self.spark, self.d, self.coupled, self.files)
+
+
 STEPS = [
-    ("AuthorExpertise", lambda s, d: history.r2_file_expertise(s, d)), ("LogicalCoupling", lambda s, d: history.r1_logical_coupling(s, d)), ("ArchitecturalDrift", lambda s, d: history.r3_drift_findings(s, d)), ("KnowledgeHotspots", lambda s, d: history.r5_hotspots(s, d)),
-    ("KnowledgeValidity", lambda s, d: snapshots.r6_validity(s, d)), ("ArchitecturalEvolution", lambda s, d: snapshots.r7_evolution(s, d)), ("TestCoverage", lambda s, d: lookup.r8_coverage_risk(s, d)), ("DecisionOutcomes", lambda s, d: snapshots.r9_decision_outcomes(s, d)), ("CausalReasoning", lambda s, d: snapshots.r10_causal_chains(s, d)),
-    ("IncidentEvents", lambda s, d: snapshots.x7_incident_escalations(s, d)), ("RuntimeIntelligence", lambda s, d: runtime.r19_runtime_health(s, d)), ("RuntimeDependencies", lambda s, d: runtime.r23_dependency_view(s, d)), ("RuntimeBlastRadius", lambda s, d: runtime.r24_runtime_blast_radius(s, d)),
-    ("IncidentIntelligence", lambda s, d: snapshots.r12_incident_predictions(s, d)), ("ChangeImpact", lambda s, d: history.r13_change_risk(s, d)), ("PredictionAccountability", lambda s, d: snapshots.r15_prediction_accountability(s, d)),
+    ("AuthorExpertise", lambda s, d, t: history.r2_file_expertise(s, d, t.files)), ("LogicalCoupling", lambda s, d, t: history.r1_logical_coupling(s, d, t.coupled)), ("ArchitecturalDrift", lambda s, d, t: history.r3_drift_findings(s, d, t.parts)), ("KnowledgeHotspots", lambda s, d, t: history.r5_hotspots(s, d, t.parts)),
+    ("KnowledgeValidity", lambda s, d, t: snapshots.r6_validity(s, d, t.parts)), ("ArchitecturalEvolution", lambda s, d, t: snapshots.r7_evolution(s, d)), ("TestCoverage", lambda s, d, t: lookup.r8_coverage_risk(s, d)), ("DecisionOutcomes", lambda s, d, t: snapshots.r9_decision_outcomes(s, d)), ("CausalReasoning", lambda s, d, t: snapshots.r10_causal_chains(s, d)),
+    ("IncidentEvents", lambda s, d, t: snapshots.x7_incident_escalations(s, d)), ("RuntimeIntelligence", lambda s, d, t: runtime.r19_runtime_health(s, d)), ("RuntimeDependencies", lambda s, d, t: runtime.r23_dependency_view(s, d)), ("RuntimeBlastRadius", lambda s, d, t: runtime.r24_runtime_blast_radius(s, d)),
+    ("IncidentIntelligence", lambda s, d, t: snapshots.r12_incident_predictions(s, d, t.parts)), ("ChangeImpact", lambda s, d, t: history.r13_change_risk(s, d)), ("PredictionAccountability", lambda s, d, t: snapshots.r15_prediction_accountability(s, d)),
 ]
 OPTIONAL = ("RuntimeIntelligence", "RuntimeDependencies", "RuntimeBlastRadius")
 
@@ -192,5 +213,6 @@ OPTIONAL = ("RuntimeIntelligence", "RuntimeDependencies", "RuntimeBlastRadius")
 @query("r30_rebuild", "SELECT unnest(range(1, 17)) AS step_no, unnest(['AuthorExpertise', 'LogicalCoupling', 'ArchitecturalDrift', 'KnowledgeHotspots', 'KnowledgeValidity', 'ArchitecturalEvolution', 'TestCoverage', 'DecisionOutcomes', 'CausalReasoning', 'IncidentEvents', 'RuntimeIntelligence', 'RuntimeDependencies', 'RuntimeBlastRadius', 'IncidentIntelligence', 'ChangeImpact', 'PredictionAccountability']) AS step, 'OK' AS status")
 def r30_rebuild(spark, d):
     """All sixteen builders in order, the three of runtime optional; a failure would be recorded and the others run."""
-    done = advisory.rebuild(spark, [(name, lambda s, f=f: f(s, d)) for name, f in STEPS], optional=OPTIONAL)
+    tables = Rebuilt(spark, d)
+    done = advisory.rebuild(spark, [(name, lambda s, f=f: f(s, d, tables)) for name, f in STEPS], optional=OPTIONAL)
     return done.select(F.col("step_no").cast("long").alias("step_no"), "step", "status")

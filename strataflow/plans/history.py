@@ -66,8 +66,8 @@ def _authored(spark, d):
 
 
 @query("r1_logical_coupling", f"{_COUPLING} SELECT source_path, target_path, co_change_count, round(confidence, 6) AS confidence FROM coupled")
-def r1_logical_coupling(spark, d):
-    return _coupled(spark, d).select("source_path", "target_path", "co_change_count", F.round("confidence", 6).alias("confidence"))
+def r1_logical_coupling(spark, d, coupled: DataFrame | None = None):
+    return (_coupled(spark, d) if coupled is None else coupled).select("source_path", "target_path", "co_change_count", F.round("confidence", 6).alias("confidence"))
 
 
 @query("a1_file_change_stats", f"{_COUPLING} SELECT path, change_count, CAST(first_seen_at AS DATE) AS first_seen, CAST(last_seen_at AS DATE) AS last_seen FROM stats")
@@ -117,8 +117,8 @@ def u6_scope_difference(spark, d):
 
 
 @query("r2_file_expertise", f"{_EXPERTISE} SELECT author_email, entity_id, round(expertise_score, 6) AS expertise_score, contribution_count, round(knowledge_age_days, 6) AS age FROM files")
-def r2_file_expertise(spark, d):
-    return op.file_expertise(_authored(spark, d)).select("author_email", "entity_id", F.round("expertise_score", 6).alias("expertise_score"), "contribution_count", F.round("knowledge_age_days", 6).alias("age"))
+def r2_file_expertise(spark, d, files: DataFrame | None = None):
+    return (op.file_expertise(_authored(spark, d)) if files is None else files).select("author_email", "entity_id", F.round("expertise_score", 6).alias("expertise_score"), "contribution_count", F.round("knowledge_age_days", 6).alias("age"))
 
 
 @query("r2_directory_expertise", f"{_EXPERTISE} SELECT author_email, regexp_extract(entity_id, '^(.*)/[^/]*$', 1) AS directory, round(sum(least(expertise_score, 1.0)), 6) AS expertise_score, CAST(sum(contribution_count) AS BIGINT) AS contribution_count FROM files GROUP BY 1, 2")
@@ -153,8 +153,8 @@ def _findings(spark, d):
 
 
 @query("r3_drift_findings", f"{_DRIFT} SELECT drift_type, adr_id, entity_id, severity, round(confidence, 6) AS confidence FROM findings")
-def r3_drift_findings(spark, d):
-    return _findings(spark, d).withColumn("confidence", F.round("confidence", 6))
+def r3_drift_findings(spark, d, p: Parts | None = None):
+    return (p.findings if p else _findings(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
 _HEALTH = "health AS (SELECT adr_id, sum(confidence) * count(*) AS drift_score, count(*) AS active_findings, count(*) FILTER (severity = 'CRITICAL') AS critical_findings, greatest(0.0, 100 - sum(confidence) * count(*)) AS health_score FROM findings WHERE adr_id IS NOT NULL GROUP BY adr_id)"
@@ -199,12 +199,23 @@ class Parts:
     health: DataFrame
 
 
-def parts(spark, d) -> Parts:
-    links, commits, files = role.adr_links(spark, d), role.commits(spark, d), role.commit_files(spark, d)
-    small = cut(_small(spark, d))
-    coupled = cut(_coupled(spark, d))
-    experts = cut(op.adr_expertise(op.file_expertise(op.authored(files, commits, role.AS_OF)), links))
-    findings = cut(op.drift_findings(role.adrs(spark, d), links, op.file_change_stats(small, commits), coupled, role.AS_OF[:10]))
+def coupled_table(spark, d) -> DataFrame:
+    """The coupling that analytics go on from, written."""
+    return cut(_coupled(spark, d).select("source_path", "target_path", "co_change_count", "confidence"))
+
+
+def files_table(spark, d) -> DataFrame:
+    """The authors' expertise in files, written."""
+    return cut(op.file_expertise(_authored(spark, d)).select("author_email", "entity_id", "expertise_score", "contribution_count", "knowledge_age_days"))
+
+
+def parts(spark, d, coupled: DataFrame | None = None, files: DataFrame | None = None) -> Parts:
+    """coupled, files: coupled_table and files_table where they have been made."""
+    links = role.adr_links(spark, d)
+    stats = cut(op.file_change_stats(_small(spark, d), role.commits(spark, d)).select("path", "change_count"))
+    coupled = coupled_table(spark, d) if coupled is None else coupled
+    experts = cut(op.adr_expertise(op.file_expertise(_authored(spark, d)) if files is None else files, links))
+    findings = cut(op.drift_findings(role.adrs(spark, d), links, stats, coupled, role.AS_OF[:10]))
     return Parts(links, coupled, experts, findings, op.drift_health(findings))
 
 
@@ -215,8 +226,8 @@ def hotspot_table(spark, d, p: Parts | None = None):
 
 
 @query("r5_hotspots", f"{_HOTSPOT} SELECT adr_id, expert_count, bus_factor, round(concentration, 6) AS concentration, round(CAST(coupling_score AS DOUBLE), 6) AS coupling_score, round(hotspot_score, 6) AS hotspot_score, CASE WHEN hotspot_score >= 76 THEN 'CRITICAL' WHEN hotspot_score >= 51 THEN 'HIGH' WHEN hotspot_score >= 26 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM parts")
-def r5_hotspots(spark, d):
-    return hotspot_table(spark, d).select("adr_id", "expert_count", "bus_factor", F.round("concentration", 6).alias("concentration"), F.round("coupling_score", 6).alias("coupling_score"), F.round("hotspot_score", 6).alias("hotspot_score"), "severity")
+def r5_hotspots(spark, d, p: Parts | None = None):
+    return hotspot_table(spark, d, p).select("adr_id", "expert_count", "bus_factor", F.round("concentration", 6).alias("concentration"), F.round("coupling_score", 6).alias("coupling_score"), F.round("hotspot_score", 6).alias("hotspot_score"), "severity")
 
 
 @query("a7_bus_factor", role.with_("commits", "commit_files", "adr_links") + f", {_AUTHORED}, {_ADR_EXPERTS} SELECT adr_id, count(*) FILTER (coverage >= 0.2 AND knowledge_age_days < 365) AS bus_factor FROM adr_experts GROUP BY adr_id")

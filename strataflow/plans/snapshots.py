@@ -124,8 +124,8 @@ def _validity(spark, d, p, hotspots):
 
 
 @query("r6_validity", f"{_VALIDITY} SELECT adr_id, round(validity_score, 6) AS validity_score, confidence_score, CASE WHEN validity_score > was + 5 THEN 'IMPROVING' WHEN validity_score < was - 5 THEN 'DEGRADING' ELSE 'STABLE' END AS trend, CASE WHEN validity_score >= 90 THEN 'VERY_HIGH' WHEN validity_score >= 75 THEN 'HIGH' WHEN validity_score >= 50 THEN 'MEDIUM' WHEN validity_score >= 25 THEN 'LOW' ELSE 'VERY_LOW' END AS tier FROM validity")
-def r6_validity(spark, d):
-    p = plans.parts(spark, d)
+def r6_validity(spark, d, p: plans.Parts | None = None):
+    p = p or plans.parts(spark, d)
     return _validity(spark, d, p, plans.hotspot_table(spark, d, p)).withColumn("validity_score", F.round("validity_score", 6))
 
 
@@ -170,10 +170,10 @@ _PREDICT = _VALIDITY.replace(role.CTE["commits"], ", ".join(role.CTE[k] for k in
 
 
 @query("r12_incident_predictions", _PREDICT)
-def r12_incident_predictions(spark, d):
+def r12_incident_predictions(spark, d, p: plans.Parts | None = None):
     entities = u7_signal_key_union(spark, d)
     cov, health = op.latest_snapshot(role.coverage_history(spark, d), "snapshot_date"), op.latest_snapshot(role.health_history(spark, d), "snapshot_date")
-    p = plans.parts(spark, d)
+    p = p or plans.parts(spark, d)
     hotspots = cut(plans.hotspot_table(spark, d, p))
     return op.incident_predictions(entities, cov, health, hotspots, _outcomes(spark, d), _validity(spark, d, p, hotspots), more.role(spark, d, "runtime_mappings"), more.role(spark, d, "runtime_health_history")).withColumn("risk_score", F.round("risk_score", 6))
 
