@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.functions.session import shared_dir
+from strataflow.functions.session import cut, shared_dir
 from strataflow.operators import sketches
 from strataflow.plans.registry import query
 from strataflow.sources import readers
@@ -71,7 +71,8 @@ _SPANS = "SELECT 't' || l_orderkey AS \"traceId\", l_orderkey || '.' || l_linenu
 @query("s9_span_source", f'WITH s AS ({_SPANS.format("lineitem")}) SELECT p.service AS source, c.service AS target, count(*) AS observed FROM s c JOIN s p ON p."traceId" = c."traceId" AND p."spanId" = c."parentSpanId" WHERE p.service <> c.service GROUP BY ALL')
 def s9_span_source(spark: SparkSession, d: str) -> DataFrame:
     spark.sql(_SPANS.format("{lineitem}").replace('"', "`"), lineitem=table(spark, d, "lineitem")).select(F.to_json(F.struct("*")).alias("value")).write.text(path := _folder(spark, "spans"))
-    spans = register(spark).read.format("spans").load(path)
+    # both sides of the join come from one reading of the files
+    spans = cut(register(spark).read.format("spans").load(path).select("trace_id", "span_id", "parent_span_id", "service"))
     parents = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("service").alias("source"))
     met = spans.join(parents, ["trace_id", "parent_span_id"]).where("source <> service")
     return met.groupBy("source", F.col("service").alias("target")).agg(F.count("*").alias("observed"))

@@ -36,8 +36,10 @@ class Split(InputPartition):
 
 def _moment(text: str | None) -> datetime | None:
     """A time as ISO 8601 gives it; without a zone it is UTC's."""
+    if not text:
+        return None
     try:
-        found = datetime.fromisoformat(text or "")
+        found = datetime.fromisoformat(text)
     except ValueError:
         return None
     return found if found.tzinfo else found.replace(tzinfo=timezone.utc)
@@ -60,18 +62,19 @@ def records(file, start: int, end: int | None, mark: bytes, piece: int = 1 << 20
             more = bool(held)
         else:
             return
-    while end is None or at < end:
-        found, seen = held.find(mark, len(mark)), len(held)
+    pos = 0  # what is held is cut where more is read, not at each record
+    while end is None or at + pos < end:
+        found = held.find(mark, pos + len(mark))
         while found < 0 and more:
             read = file.read(piece)
-            more = bool(read)
-            held += read
-            found, seen = held.find(mark, max(seen - len(mark), 1)), len(held)
+            more, seen = bool(read), len(held) - pos
+            held, at, pos = held[pos:] + read, at + pos, 0
+            found = held.find(mark, max(seen - len(mark), 1))
         if found < 0:
-            yield held[len(mark) :]
+            yield held[pos + len(mark) :]
             return
-        yield held[len(mark) : found]
-        held, at = held[found:], at + found
+        yield held[pos + len(mark) : found]
+        pos = found
 
 
 class _Format:

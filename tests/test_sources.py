@@ -183,3 +183,36 @@ def test_two_writers_of_one_version(spark, tmp_path):
     t.upsert(change(spark, [("a", 1, 0, "x")]))
     with pytest.raises(RuntimeError, match="another writer"):
         t._commit(1, [(1, -1, 1, None, 0, None, None, None)])
+
+
+class _Counted(bytes):
+    """Bytes that count how much their slices copy."""
+
+    copied = 0
+
+    def __getitem__(self, key):
+        found = bytes.__getitem__(self, key)
+        _Counted.copied += len(found)
+        return _Counted(found) if isinstance(key, slice) else found
+
+    def __add__(self, other):
+        return _Counted(bytes.__add__(self, other))
+
+    def __radd__(self, other):
+        return _Counted(bytes.__add__(other, self))
+
+
+class _CountedFile(io.BytesIO):
+    def read(self, n=-1):
+        return _Counted(super().read(n))
+
+
+@pytest.mark.parametrize("mark, data", [(b"\n", b"".join(b"%d\n" % k for k in range(5000))), (b"\x1e", b"".join(b"\x1e%d" % k for k in range(5000)))])
+def test_records_are_not_copied_with_all_that_follows(mark, data):
+    _Counted.copied = 0
+    found = list(records(_CountedFile(data), 0, None, mark, piece=1 << 14))
+    assert [int(r) for r in found if r] == list(range(5000))
+    assert _Counted.copied < 4 * len(data)
+    for most in (1, 7, 100):
+        split = [r for at in range(0, len(data), most * 50) for r in records(io.BytesIO(data), at, at + most * 50, mark, piece=64)]
+        assert [int(r) for r in split if r] == list(range(5000))
