@@ -27,29 +27,37 @@ _COMMITS = "commits AS (SELECT o_orderkey AS sha, 'Dev' || (o_custkey % 40) AS a
 _FILES = "files AS (SELECT l_orderkey AS sha, 'm' || (l_partkey % 20) || '/p' || l_partkey AS path, CASE WHEN max(l_returnflag) = 'R' THEN 'DELETE' ELSE 'MODIFY' END AS change_type, CAST(sum(l_quantity) AS BIGINT) AS added FROM lineitem GROUP BY ALL)"
 
 
-def write_logs(spark: SparkSession, sf_dir: str, path: str, years: str = "true") -> str:
-    """Change logs as git prints them, a folder for each year: an order is a commit, its parts are the files."""
+#: Files that a year's commits are dealt over, at most.
+_PER_YEAR = 16
+
+
+def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(y, value): commits as git prints them, with their year: an order is a commit, its parts are the files."""
     path_of = F.concat(F.lit("m"), (F.col("l_partkey") % 20).cast("string"), F.lit("/p"), F.col("l_partkey").cast("string"))
     files = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sha"), path_of.alias("path")).agg(F.max("l_returnflag").alias("flag"), F.sum("l_quantity").cast("long").alias("added"))
     line = F.concat(F.lit(":100644 100644 1 2 "), F.when(F.col("flag") == "R", "D").otherwise("M"), F.lit("\t"), F.col("path"), F.lit("\n"), F.col("added").cast("string"), F.lit("\t0\t"), F.col("path"))
     lines = files.groupBy("sha").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("lines"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.concat(F.lit("Dev"), (F.col("o_custkey") % 40).cast("string")).alias("author"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.when(F.col("o_orderkey") % 17 == 0, "p q").otherwise("p").alias("parents"))
     head = F.concat_ws("\u001f", F.concat(F.lit("\u001e"), F.col("sha").cast("string")), "author", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "parents", F.concat(F.lit("change "), F.col("sha").cast("string")))
-    records = orders.join(lines, "sha", "left").select(F.year("ts").alias("y"), F.concat(head, F.lit("\n\n"), F.coalesce("lines", F.lit(""))).alias("value"))
-    records.where(years).repartition("y").write.mode("append").partitionBy("y").text(path)
+    return orders.join(lines, "sha", "left").select(F.year("ts").alias("y"), F.concat(head, F.lit("\n\n"), F.coalesce("lines", F.lit(""))).alias("value"))
+
+
+def write_logs(records: DataFrame, path: str) -> str:
+    """Change logs in files, a folder for each year; a year is no single task's."""
+    records.repartition(F.col("y"), F.pmod(F.xxhash64("value"), F.lit(_PER_YEAR))).write.mode("append").partitionBy("y").text(path)
     return path
 
 
 @query("s4_gitlog_source", f"WITH {_COMMITS}, {_FILES} SELECT author_email, count(DISTINCT c.sha) AS commits, count(path) AS files, count(*) FILTER (change_type = 'DELETE') AS deleted, CAST(sum(added) AS BIGINT) AS added FROM commits c LEFT JOIN files USING (sha) WHERE ts >= TIMESTAMP '1997-01-01 00:00:00' GROUP BY author_email")
 def s4_gitlog_source(spark: SparkSession, d: str) -> DataFrame:
-    log = register(spark).read.format("gitlog").load(write_logs(spark, d, _folder(spark, "logs"))).where(F.col("ts") >= F.lit("1997-01-01").cast("timestamp"))
+    log = register(spark).read.format("gitlog").load(write_logs(log_records(spark, d), _folder(spark, "logs"))).where(F.col("ts") >= F.lit("1997-01-01").cast("timestamp"))
     kinds = F.filter("files", lambda f: f["change_type"] == "DELETE")
     return log.groupBy("author_email").agg(F.count("*").alias("commits"), F.sum(F.size("files")).alias("files"), F.sum(F.size(kinds)).alias("deleted"), F.sum(F.aggregate("files", F.lit(0).cast("long"), lambda s, f: s + f["added"])).alias("added"))
 
 
 @query("s4_gitlog_stream", f"WITH {_COMMITS}, {_FILES} SELECT c.sha, author_email, n_parents, count(path) AS files FROM commits c LEFT JOIN files USING (sha) GROUP BY ALL")
 def s4_gitlog_stream(spark: SparkSession, d: str) -> DataFrame:
-    stream = register(spark).readStream.format("gitlog").load(write_logs(spark, d, _folder(spark, "logs")))
+    stream = register(spark).readStream.format("gitlog").load(write_logs(log_records(spark, d), _folder(spark, "logs")))
     return drained(stream.select(F.col("sha").cast("long").alias("sha"), "author_email", "n_parents", F.size("files").cast("long").alias("files")))
 
 
@@ -103,8 +111,9 @@ def _synced(spark: SparkSession, d: str) -> KeyedTable:
     logs, checkpoint = _folder(spark, "logs"), _folder(spark, "checkpoint")
     kept = KeyedTable(spark, _folder(spark, "keyed"), "sha long, author_email string, ts timestamp, n_parents int, files int", ["sha"], ["ts"], buckets=16)
     shape = lambda batch: batch.select(F.col("sha").cast("long").alias("sha"), "author_email", "ts", "n_parents", F.size("files").alias("files"))
+    records = cut(log_records(spark, d))
     for years in ("y < 1995", "y >= 1995"):
-        write_logs(spark, d, logs, years)
+        write_logs(records.where(years), logs)
         synchronise(register(spark).readStream.format("gitlog").load(logs), kept, checkpoint, "commits", "ts", shape)
     return kept
 

@@ -11,7 +11,7 @@ One writer at a time: two that begin on one version would both write the next; t
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,7 +79,7 @@ class KeyedTable:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(self.buckets)).cast("int")
 
-    def _change(self, changes: DataFrame, merge, stream: str | None, batch: int | None, mark: str | None) -> Written:
+    def _change(self, changes: DataFrame, merge, stream: str | None, batch: int | None, mark: str | Callable[[DataFrame], str | None] | None) -> Written:
         version, streams = self.state()
         if stream is not None and batch is not None and stream in streams and streams[stream][0] >= batch:
             return Written(version, [], 0, True)
@@ -89,6 +89,7 @@ class KeyedTable:
         staged = f"{self.folder}/data/{folder}/changes"
         changes.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema]).write.parquet(staged)
         new = self.spark.read.schema(self.schema).parquet(staged)
+        mark = mark(new) if callable(mark) else mark
         touched = sorted(r[0] for r in new.select(self._bucket().alias("b")).distinct().collect())
         before = self._read([r for r in manifest if r["bucket"] in set(touched)])
         merged = merge(before, new).withColumn("bucket", self._bucket())
@@ -126,8 +127,11 @@ class KeyedTable:
         names = [F.col(f"`{k}`").alias(f"upsert_{i}") for i, k in enumerate(self.keys)]
         return rows.groupBy(*names).agg(F.max_by(row, by).alias("upsert_row")).select("upsert_row.*")
 
-    def upsert(self, changes: DataFrame, stream: str | None = None, batch: int | None = None, mark: str | None = None) -> Written:
-        """Inserts the changes or replaces rows of their keys (last wins). A batch of a stream that has been committed is not applied again."""
+    def upsert(self, changes: DataFrame, stream: str | None = None, batch: int | None = None, mark: str | Callable[[DataFrame], str | None] | None = None) -> Written:
+        """Inserts the changes or replaces rows of their keys (last wins). A batch of a stream that has been committed is not applied again.
+
+        mark may be a function of the changes, which gets them as they have been written.
+        """
         turn = lambda df, n: df.withColumn("upsert_turn", F.lit(n))
         return self._change(changes, lambda old, new: self._latest(turn(old, 0).unionByName(turn(new, 1))), stream, batch, mark)
 

@@ -22,10 +22,14 @@ def synchronise(stream: DataFrame, table: KeyedTable, checkpoint: str, name: str
     def apply(batch: DataFrame, number: int) -> None:
         rows = shape(batch)
         latest = table.state()[1].get(name, (None, None))[1]
-        if mark is not None:
-            found = rows.agg(F.max(F.col(mark)).cast("string")).first()[0]
-            latest = max((x for x in (latest, found) if x is not None), default=None)
-        written = table.upsert(rows, name, number, latest)
+
+        def marked(written: DataFrame) -> str | None:
+            # of the rows as they have been written, so the source is read once; a mark that the table does not keep is looked up in the batch
+            own = None if mark is None else written if mark in written.columns else rows
+            found = None if own is None else own.agg(F.max(F.col(mark)).cast("string")).first()[0]
+            return max((x for x in (latest, found) if x is not None), default=None)
+
+        written = table.upsert(rows, name, number, marked)
         if done is not None:
             done.append(written)
 

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strataflow.plans.ingest import write_logs
 from strataflow.sources import keyed
 from strataflow.sources.datasource import records, register
 from strataflow.sources.keyed import KeyedTable
@@ -216,3 +217,33 @@ def test_records_are_not_copied_with_all_that_follows(mark, data):
     for most in (1, 7, 100):
         split = [r for at in range(0, len(data), most * 50) for r in records(io.BytesIO(data), at, at + most * 50, mark, piece=64)]
         assert [int(r) for r in split if r] == list(range(5000))
+
+
+def test_synchronisation_reads_its_source_once(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/a.log").write_text("".join(commit(f"s{k}", 1 + k % 28) for k in range(50)))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("timestamp")
+    def seen(ts):
+        read.add(1)
+        return ts
+
+    table = KeyedTable(spark, str(tmp_path / "kept"), "sha string, ts timestamp", ["sha"], ["ts"], buckets=2)
+    stream = register(spark).readStream.format("gitlog").load(str(tmp_path / "logs"))
+    synchronise(stream, table, str(tmp_path / "cp"), "commits", "ts", lambda df: df.select("sha", seen("ts").alias("ts")))
+    assert read.value == 50
+    assert table.rows().count() == 50
+    assert [(r.stream, r.mark) for r in watermarks(table).collect()] == [("commits", "2024-01-28 08:00:00")]
+
+
+def test_a_year_of_logs_is_not_one_file(spark, tmp_path):
+    rows = spark.range(2000).select(F.lit(1995).alias("y"), F.concat(F.lit("\x1e"), F.col("id").cast("string")).alias("value"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_logs(rows, str(tmp_path / "logs"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = list((tmp_path / "logs/y=1995").glob("part-*"))
+    assert len(files) > 1
+    assert sum(f.read_bytes().count(b"\x1e") for f in files) == 2000
