@@ -155,12 +155,12 @@ def v21_trained_rerank(spark, d):
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
     passages = cut(rerank.judged_passages(docs, "doc", "content", max(1, docs.count() // TRAINING_QUESTIONS)))
     rarity = cut(rerank.rarity_of(docs, "content"))
-
-    def featured(questions, passages=None):
-        found = cut(rop.bm25(docs, questions, "doc", "content", "query", "question", 40))
-        return cut(rerank.placed(found, docs, rerank.questions(questions, "query", "question", rarity), passages))
-
-    model = rerank.train_on(featured(passages, passages))
-    rows = featured(items)
+    # both kinds of questions are searched and meet the texts in one pass; an item has no passage, so its candidates are not judged
+    key = lambda kind: F.concat(F.lit(kind), F.col("query").cast("string")).alias("query")
+    asked = passages.select(key("p"), "question", "passage").unionByName(items.select(key("i"), "question", F.lit(None).cast("string").alias("passage")))
+    found = cut(rop.bm25(docs, asked, "doc", "content", "query", "question", 40))
+    featured = cut(rerank.placed(found, docs, rerank.questions(asked, "query", "question", rarity), asked))
+    model = rerank.train_on(featured)
+    rows = featured.where(F.col("query").startswith("i")).withColumn("query", F.expr("substring(query, 2)").cast(items.schema["query"].dataType))
     ranked = rerank.ranked(rows, model)
     return ranked.join(rows.select("query", "doc", F.col("rank").alias("rank_before")), ["query", "doc"]).select("query", "doc", F.round("score", 6).alias("score"), "rank", "rank_before")
