@@ -11,12 +11,13 @@ those of a search through everything. What travels with the tasks is a shard of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -33,6 +34,20 @@ def _weight(tf: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+@contextmanager
+def _few_at_a_time(spark: SparkSession) -> Iterator[None]:
+    """For what is run within: texts' tokens and blocks are long rows, of which Spark would hold thousands in each task, in Arrow as in Parquet."""
+    conf = {"spark.sql.parquet.columnarReaderBatchSize": "64", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+    before = {key: spark.conf.get(key) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers from starts[i] on, counts[i] of them, for one i after the other."""
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -82,10 +97,17 @@ def _scores(sent, least, names_type: pa.DataType, doc_type: pa.DataType, top: in
         best, fan, out = scan.Best(top, len(names)), np.diff(starts), pa.array(names, names_type)
         best.edge = least.value.copy()
         seen, read = np.zeros(len(names)), np.zeros(len(names))
+
+        def add(batch: pa.RecordBatch, hits: list[tuple[np.ndarray, ...]]) -> None:
+            # many blocks' documents at once: a table for each would take more than they do
+            if hits:
+                query, doc, score = (np.concatenate(c) for c in zip(*hits, strict=True))
+                best.add(query, batch.column("doc").flatten().take(pa.array(doc)), score)
+
         for batch in batches:
             term, most, n, tf, at, dl = _terms(batch, terms), *(_flat(batch, c) for c in ("most", "n", "tf", "at", "dl"))
             lists, runs, first = _ends(batch, "token"), _ends(batch, "dl"), np.cumsum(n, dtype=np.int64) - n
-            docs = batch.column("doc").flatten()
+            hits, pending = [], 0
             for b in range(batch.num_rows):
                 h = lists[b] + np.flatnonzero(term[lists[b] : lists[b + 1]] >= 0)
                 t, size = term[h], runs[b + 1] - runs[b]
@@ -111,7 +133,12 @@ def _scores(sent, least, names_type: pa.DataType, doc_type: pa.DataType, top: in
                     lo = hi
                 hit = np.flatnonzero(sums)
                 hit = hit[sums[hit] >= best.edge[wanted[hit // size]] - 2e-9]
-                best.add(wanted[hit // size], docs.take(pa.array(runs[b] + hit % size)), sums[hit])
+                hits.append((wanted[hit // size], runs[b] + hit % size, sums[hit]))
+                pending += len(hit)
+                if pending > scan.AT_ONCE // 8:
+                    add(batch, hits)
+                    hits, pending = [], 0
+            add(batch, hits)
         met, found = np.flatnonzero(seen), best.settle()
         shape = pa.schema([("q", pa.int64()), ("query", names_type), ("doc", doc_type), ("score", pa.float64()), ("postings", pa.int64()), ("read", pa.int64())])
         none = lambda k, kind: pa.nulls(k, kind)
@@ -140,16 +167,16 @@ class BlockIndex:
         """The result, and for each query how many postings its lists have and how many were read: (query, postings, read)."""
         spark = self.blocks.sparkSession
         ship(spark)
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
         asked = cut(queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct(tokenize(F.coalesce(F.col(query_text), F.lit(""))))).alias("term")).distinct())
         n_shards = max(1, -(-asked.count() // scan.PAIRS))
         name, doc = asked.schema["query"].dataType, self.blocks.schema["doc"].dataType.elementType
         shape = f"q long, query {name.simpleString()}, doc {doc.simpleString()}, score double, postings long, read long"
         found = spark.createDataFrame([], shape)
-        for k in range(n_shards):
-            rows = self._shard(asked.where(F.pmod(F.xxhash64("query"), F.lit(n_shards)) == k), shape, (to_arrow_type(name), to_arrow_type(doc)), top, probe or max(4, top // 2))
-            found = found if rows is None else found.unionByName(rows)
-        found = cut(found)
+        with _few_at_a_time(spark):
+            for k in range(n_shards):
+                rows = self._shard(asked.where(F.pmod(F.xxhash64("query"), F.lit(n_shards)) == k), shape, (to_arrow_type(name), to_arrow_type(doc)), top, probe or max(4, top // 2))
+                found = found if rows is None else found.unionByName(rows)
+            found = cut(found)
         cost = found.where(F.col("postings").isNotNull()).groupBy("query").agg(F.sum("postings").alias("postings"), F.sum("read").alias("read"))
         return top_k(found.where(F.col("score").isNotNull()).select("query", "doc", "score"), "query", F.round("score", 9), "doc", top), cost
 
@@ -248,17 +275,16 @@ def block_index(docs: DataFrame, key: str, text: str, block_docs: int = 32, toke
 
     Null and empty texts are documents without postings; a row is a document of its own, so keys should not repeat.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    ship(docs.sparkSession)
     own = docs.select(F.col(key).alias("doc"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     kind = own.schema["doc"].dataType.simpleString()
-    # texts are cut once; the ranges are drawn from what was counted
-    counts = cut(own.mapInArrow(_counted, f"doc {kind}, dl int, first string, second string, token array<string>, tf array<int>"))
-    n, avg = counts.agg(F.count("*"), F.avg("dl")).first()
-    avgdl = float(avg or 0) or 1.0
-    order = ["first", "second", "dl", "doc"]
-    ranged = counts.where("dl > 0").repartitionByRange(*order).sortWithinPartitions(*order)
-    # numbers run on within a partition, so a block ends with its partition at the latest
-    placed = ranged.select(F.floor(F.monotonically_increasing_id() / block_docs).alias("block"), "doc", "dl", "token", "tf")
-    return BlockIndex(cut(placed.mapInArrow(_inverted(avgdl), f"block long, doc array<{kind}>, dl array<int>, token array<string>, most array<double>, n array<int>, at array<int>, tf array<int>")), n, avgdl)
+    with _few_at_a_time(docs.sparkSession):
+        # texts are cut once; the ranges are drawn from what was counted
+        counts = cut(own.mapInArrow(_counted, f"doc {kind}, dl int, first string, second string, token array<string>, tf array<int>"))
+        n, avg = counts.agg(F.count("*"), F.avg("dl")).first()
+        avgdl = float(avg or 0) or 1.0
+        order = ["first", "second", "dl", "doc"]
+        ranged = counts.where("dl > 0").repartitionByRange(*order).sortWithinPartitions(*order)
+        # numbers run on within a partition, so a block ends with its partition at the latest
+        placed = ranged.select(F.floor(F.monotonically_increasing_id() / block_docs).alias("block"), "doc", "dl", "token", "tf")
+        return BlockIndex(cut(placed.mapInArrow(_inverted(avgdl), f"block long, doc array<{kind}>, dl array<int>, token array<string>, most array<double>, n array<int>, at array<int>, tf array<int>")), n, avgdl)
