@@ -27,6 +27,8 @@ from strataflow.operators.retrieval import K1, B, tokens, top_k
 
 #: Scores are compared after rounding to nine digits; a bound must not lose a document to that.
 _SLACK = 1e-8
+#: Postings in a range of documents, on average.
+RANGE = 500_000
 
 
 def _weight(tf: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
@@ -281,10 +283,12 @@ def block_index(docs: DataFrame, key: str, text: str, block_docs: int = 32, toke
     with _few_at_a_time(docs.sparkSession):
         # texts are cut once; the ranges are drawn from what was counted
         counts = cut(own.mapInArrow(_counted, f"doc {kind}, dl int, first string, second string, token array<string>, tf array<int>"))
-        n, avg = counts.agg(F.count("*"), F.avg("dl")).first()
+        n, avg, postings = counts.agg(F.count("*"), F.avg("dl"), F.sum(F.size("token"))).first()
         avgdl = float(avg or 0) or 1.0
         order = ["first", "second", "dl", "doc"]
-        ranged = counts.where("dl > 0").repartitionByRange(*order).sortWithinPartitions(*order)
+        # long documents stand together, so ranges of as many rows differ in size: their number follows the postings
+        ranges = max(1, -(-(postings or 0) // RANGE))
+        ranged = counts.where("dl > 0").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
         # numbers run on within a partition, so a block ends with its partition at the latest
         placed = ranged.select(F.floor(F.monotonically_increasing_id() / block_docs).alias("block"), "doc", "dl", "token", "tf")
         return BlockIndex(cut(placed.mapInArrow(_inverted(avgdl), f"block long, doc array<{kind}>, dl array<int>, token array<string>, most array<double>, n array<int>, at array<int>, tf array<int>")), n, avgdl)
