@@ -22,9 +22,8 @@ def v7_filtered_search(spark, d):
 
 @query("a26_best_chunk_per_file", f"WITH {retrieval._LISTS} SELECT query, source, doc, round(score, 6) AS score FROM sc JOIN documents ON doc_id = doc QUALIFY row_number() OVER (PARTITION BY query, source ORDER BY round(score, 9) DESC, doc) = 1")
 def a26_best_chunk_per_file(spark, d):
-    rows = retrieval._bm25(spark, d, None).join(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "source"), "doc")
-    best = rows.groupBy("query", "source").agg(F.min_by(F.struct("doc", "score"), F.struct(-F.round("score", 9), "doc")).alias("b"))
-    return best.select("query", "source", "b.doc", F.round("b.score", 6).alias("score"))
+    best = rop.best_in_groups(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", "source")
+    return best.select("query", F.col("group").alias("source"), "doc", F.round("score", 6).alias("score"))
 
 
 @query("v8_segment_merge", """WITH tok AS (SELECT doc_id % 3 AS seg, doc_id AS doc, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents), st AS (SELECT seg, count(*) AS n_docs, avg(len(t)) AS avgdl FROM tok GROUP BY seg),

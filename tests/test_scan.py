@@ -2,12 +2,18 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from compare import assert_same
+from conftest import SF
 from pyspark.sql import functions as F
 
 from strataflow.operators import fusion, retrieval, scan
+from strataflow.plans import registry
+
+registry.load()
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +85,59 @@ def test_an_indexed_search_shuffles_no_scores(texts):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "HashAggregate" not in plan and "SortMergeJoin" not in plan
     assert _rows(found) == _rows(retrieval.bm25(docs, asked, "doc_id", "text", "q", "text", 7))
+
+
+def _best_in_groups(rows):
+    return sorted((r["query"], str(r["group"]), r["doc"], round(r["score"], 9)) for r in rows)
+
+
+@pytest.mark.parametrize(("pairs", "slots"), [(200_000, 1_000_000), (40, 1_000_000), (200_000, 200), (200_000, 1)])
+def test_the_best_in_groups_are_those_of_all_scores(texts, monkeypatch, pairs, slots):
+    monkeypatch.setattr(scan, "PAIRS", pairs)
+    monkeypatch.setattr(scan, "SLOTS", slots)
+    docs, asked = texts
+    docs = docs.withColumn("part", F.when(F.col("doc_id") % 13 != 0, F.concat(F.lit("p"), (F.col("doc_id") % 13).cast("string"))))
+    every = retrieval.bm25(docs, asked, "doc_id", "text", "q", "text", None).join(docs.select(F.col("doc_id").alias("doc"), F.col("part").alias("group")), "doc").collect()
+    expected = {}
+    for r in sorted(every, key=lambda r: (-round(r["score"], 9), r["doc"])):
+        expected.setdefault((r["query"], r["group"]), r)
+    found = retrieval.best_in_groups(docs, asked, "doc_id", "text", "q", "text", "part")
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert len(expected) > 100 and _best_in_groups(found.collect()) == _best_in_groups(expected.values())
+
+
+def test_a_task_holds_few_groups_and_hands_on_all(monkeypatch):
+    monkeypatch.setattr(scan, "SLOTS", 6)
+    batch = pa.record_batch({"doc": pa.array(range(40)), "seg": pa.array([0] * 40, pa.int32()), "t": [["a"] * (1 + i % 3) + ["b"] for i in range(40)], "group": pa.array([None if i % 8 == 7 else i % 8 for i in range(40)])})
+    held = []
+    monkeypatch.setattr(scan.Best, "grow", lambda self, n, f=scan.Best.grow: held.append(n) or f(self, n))
+    sent = type("Sent", (), {"value": (["a", "b"], [0], np.ones((1, 2)), np.array([3.0]), np.array([0, 2, 3]), np.array([0, 1, 1]), [7, 8])})
+    rows = pa.Table.from_batches(scan._scores(sent, pa.int64(), 1, pa.int64())([batch, batch.slice(0, 0), batch])).to_pylist()
+    assert max(held) <= 3 and {(r["query"], r["group"]) for r in rows} == {(q, g) for q in (7, 8) for g in (*range(7), None)}
+    best = {}
+    for r in sorted(rows, key=lambda r: (-round(r["score"], 9), r["doc"])):
+        best.setdefault((r["query"], r["group"]), r["doc"])
+    one = lambda tf, n: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 3))
+    score = lambda q, i: one(1 + i % 3, 2 + i % 3) + (one(1, 2 + i % 3) if q == 8 else 0)
+    for (q, g), doc in best.items():
+        assert doc == min((i for i in range(40) if (None if i % 8 == 7 else i % 8) == g), key=lambda i: (-round(score(q, i), 9), i))
+
+
+def test_no_score_of_best_chunks_is_shuffled(spark):
+    plan = registry.QUERIES["a26_best_chunk_per_file"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_best_chunks_of_odd_tables(spark, tmp_path, repeated):
+    docs = [(1, "apple pear", "s1"), (2, "Apple apple fig", None), (3, None, "s2"), (4, "", "s1"), (None, "apple fig fig", "s3"), (5, "fig", None), (6, "apple pear", "s1"), (7, "kiwi", "s4")]
+    if repeated:
+        # a copy, other texts of the same and another length in other groups, and more rows without a key
+        docs += [(1, "apple pear", "s1"), (6, "kiwi fig", "s2"), (7, "apple kiwi apple kiwi", "s4"), (None, "apple apple fig", "s3"), (None, "pear", "s2")]
+    asked = [(1, "apple fig"), (1, "fig kiwi"), (2, "PEAR pear"), (3, None), (None, "kiwi")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert_same(registry.QUERIES["a26_best_chunk_per_file"](spark, str(tmp_path)), con, registry.ORACLE_SQL["a26_best_chunk_per_file"])
